@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from geolink.llm import mixing, quality_rules, sharding
+from geolink.llm import mixing, quality_rules, sentencepiece_codec, sharding, substring_dedup
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_sharding": sharding.op2_sharding,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
 
 ORACLE_SQL = {
     "op1_mixing": mixing.SQL,
+    "op3_substring_dedup": substring_dedup.SQL,
     "op8_quality_rules": quality_rules.SQL,
 }

@@ -146,3 +146,23 @@ def run_hashes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
         total = np.zeros(len(hashes) + 1, dtype=np.uint64)
         np.cumsum(hashes * up[: len(hashes)], out=total[1:])
         return mix((total[first[1:]] - total[first[:-1]]) * down[first[:-1]])
+
+
+def joined(w: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's kept words joined by one space: (bytes, offsets)."""
+    n = len(w.data)
+    # +1 where a kept word starts, -1 after it
+    edge = np.zeros(n + 1, dtype=np.int32)
+    np.add.at(edge, w.starts[keep], 1)
+    np.add.at(edge, w.ends[keep], -1)
+    inside = np.cumsum(edge[:n]) > 0
+    kept = np.flatnonzero(keep)
+    text = w.text_of[kept]
+    followed = kept[:-1][text[1:] == text[:-1]]  # kept words with another kept word of the same text after them
+    gap = w.ends[followed]
+    inside[gap] = True
+    data = w.data.copy()
+    data[gap] = 0x20
+    total = np.zeros(n + 1, dtype=np.int64)
+    np.cumsum(inside, out=total[1:])
+    return data[inside], total[w.offsets]
