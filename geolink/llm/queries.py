@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from geolink.llm import mixing, quality_rules, sentencepiece_codec, sharding, substring_dedup
+from geolink.llm import line_dedup, mixing, ngram_join, quality_rules, sentencepiece_codec, sharding, substring_dedup
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_sharding": sharding.op2_sharding,
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
+    "op4_ngram_join": ngram_join.op4_ngram_join,
+    "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
     "op8_quality_rules": quality_rules.op8_quality_rules,
 }
@@ -15,5 +17,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_mixing": mixing.SQL,
     "op3_substring_dedup": substring_dedup.SQL,
+    "op5_line_dedup": line_dedup.SQL,
     "op8_quality_rules": quality_rules.SQL,
 }
