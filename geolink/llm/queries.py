@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geolink.llm import line_dedup, mixing, ngram_join, quality_rules, sentencepiece_codec, sharding, substring_dedup
+from geolink.llm import line_dedup, mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, sharding, substring_dedup
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
     "op8_quality_rules": quality_rules.op8_quality_rules,
+    "op9_quality_classifier": quality_classifier.op9_quality_classifier,
 }
 
 ORACLE_SQL = {
