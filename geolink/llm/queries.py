@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geolink.llm import line_dedup, mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, sharding, substring_dedup
+from geolink.llm import html_extraction, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, sharding, substring_dedup
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_line_dedup": line_dedup.op5_line_dedup,
     "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
+    "op7_html_extraction": html_extraction.op7_html_extraction,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
 }
