@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from geolink.llm import html_extraction, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, sharding, substring_dedup
+from geolink.llm import embedding_dedup, html_extraction, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, sharding, substring_dedup
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_html_extraction": html_extraction.op7_html_extraction,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
+    "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
 }
 
 ORACLE_SQL = {
