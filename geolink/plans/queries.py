@@ -1,2 +1,648 @@
-QUERIES = {}
-ORACLE_SQL = {}
+"""Registered queries, one or more for each operator, and their DuckDB oracles."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from geolink.functions import dates as D
+from geolink.functions import geometry as G
+from geolink.functions import ids as I
+from geolink.functions import text as T
+from geolink.operators import enrich as E
+from geolink.operators import extract as X
+from geolink.operators import gridlink as R
+from geolink.operators import merge as M
+from geolink.plans import api
+from geolink.plans.datasets import GRID, cube, hourly, observations, polygons, read, sql, targets
+from geolink.session import shared_dir
+from geolink.sources import adaptors as A
+from geolink.sources import catalogue as C
+from geolink.sources import cube as Q
+from geolink.sources.stash import Stash, key_column, pop_last
+from geolink.streaming.stream_link import link_stream
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLE_SQL[name] = oracle
+        return f
+
+    return add
+
+
+def _r(name: str, digits: int = 6):
+    """Rounded, and without a negative zero."""
+    return (F.round(F.col(name), digits) + F.lit(0.0)).alias(name)
+
+
+def _obs98(spark, sf):
+    return observations(spark, sf).where(F.year("d") == 1998)
+
+
+_OBS98 = "SELECT * FROM cells WHERE year(d) = 1998"
+_SPAN = "SELECT o.id, avg(c.v) AS linked FROM o JOIN cube c ON c.ix = o.ix AND c.iy = o.iy AND c.t BETWEEN o.d - 3 AND o.d GROUP BY o.id"
+_CLIM = "SELECT strftime(t, '%m-%d') AS md, ix, iy, sum(v) AS s, count(v) AS n FROM cube WHERE year(t) BETWEEN 1995 AND 1996 GROUP BY ALL"
+_BASE = "SELECT id, sum(s) / sum(n) AS baseline FROM (SELECT DISTINCT o.id, o.ix, o.iy, strftime(o.d - k.range::INT, '%m-%d') AS md FROM o, range(4) AS k) w JOIN clim USING (md, ix, iy) GROUP BY id"
+
+
+@query("flagship_link", sql(
+    "SELECT o.id, o.d, round(linked, 6) AS linked, round(baseline, 6) AS baseline, round(linked - baseline, 6) + 0.0::DOUBLE AS deviation FROM o LEFT JOIN s USING (id) LEFT JOIN b USING (id)",
+    "obs", "cells", "cube", o=_OBS98, s=_SPAN, clim=_CLIM, b=_BASE))
+def flagship_link(spark: SparkSession, sf: str) -> DataFrame:
+    """Four-day span mean with 1995-1996 baseline and deviation, through the public entry point."""
+    out = api.link_daily(_obs98(spark, sf), cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d", time_span=3, baseline=(1995, 1996))
+    return out.select("id", "d", _r("linked"), _r("baseline"), _r("deviation"))
+
+
+_JN1 = sql("SELECT o.id, o.d, c.v AS linked FROM cells o LEFT JOIN cube c ON c.t = o.d AND c.ix = o.ix AND c.iy = o.iy", "obs", "cells", "cube")
+
+
+@query("jn1_point_link", _JN1)
+def jn1(spark, sf):
+    obs = observations(spark, sf)
+    return X.point_link(obs, cube(spark, sf), GRID.cell(F.col("lon"), F.col("lat")), F.col("d")).select("id", "d", "linked")
+
+
+@query("jn2_single_date", sql("SELECT o.id, c.v AS linked FROM cells o LEFT JOIN cube c ON c.t = DATE '1997-05-05' AND c.ix = o.ix AND c.iy = o.iy", "obs", "cells", "cube"))
+def jn2(spark, sf):
+    obs = observations(spark, sf).withColumn("d", F.to_date(F.lit("1997-05-05")))
+    return api.link_daily(obs, cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d").select("id", "linked")
+
+
+@query("jn3_span_link", sql("SELECT o.id, round(linked, 6) AS linked FROM cells o LEFT JOIN s USING (id)", "obs", "cells", "cube", o="SELECT * FROM cells", s=_SPAN))
+def jn3(spark, sf):
+    return api.link_daily(observations(spark, sf), cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d", time_span=3).select("id", _r("linked"))
+
+
+@query("jn4_baseline", sql("SELECT o.id, round(baseline, 6) AS baseline FROM o LEFT JOIN b USING (id)", "obs", "cells", "cube", o=_OBS98, clim=_CLIM, b=_BASE))
+def jn4(spark, sf):
+    obs = _obs98(spark, sf)
+    rows = X.cell_rows(obs, "id", GRID.buffer(F.col("lon"), F.col("lat"), 0), F.col("d"))
+    return X.attach(obs, "id", X.baseline_mean(rows, cube(spark, sf), 1995, 1996, 3, single_cell=True), "baseline").select("id", _r("baseline"))
+
+
+_POLY = dict(
+    cover="SELECT p, ix, iy FROM (SELECT p, ix, iy, sum(CASE WHEN (ay > clat) <> (\"by\" > clat) AND clon < (bx - ax) * (clat - ay) / nullif(\"by\" - ay, 0) + ax THEN 1 ELSE 0 END) AS n FROM edges, grid GROUP BY ALL) WHERE n % 2 = 1",
+    mid="SELECT p, floor((min(ax) + max(ax)) / 2 - 5)::INT AS ix, floor(51 - (min(ay) + max(ay)) / 2)::INT AS iy FROM edges GROUP BY p",
+    pc="SELECT * FROM cover UNION ALL SELECT * FROM mid WHERE p NOT IN (SELECT p FROM cover) AND ix BETWEEN 0 AND 4 AND iy BETWEEN 0 AND 3",
+    pd="SELECT DISTINCT p, 10 * p + k AS id, d FROM edges, (VALUES (0, DATE '1997-03-01'), (1, DATE '1998-07-15'), (2, DATE '1999-12-31')) AS x(k, d)",
+)
+
+
+@query("jn5_polygon_link", sql(
+    "SELECT pd.id, round(m, 6) AS linked FROM pd LEFT JOIN (SELECT id, avg(cm) AS m FROM (SELECT pd.id, pc.ix, pc.iy, avg(v) AS cm FROM pd JOIN pc USING (p) JOIN cube c ON c.ix = pc.ix AND c.iy = pc.iy AND c.t BETWEEN pd.d - 6 AND pd.d GROUP BY ALL) GROUP BY id) AS a USING (id)",
+    "edges", "grid", "cube", **_POLY))
+def jn5(spark, sf):
+    return api.link_daily(polygons(spark), cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d", rings="rings", time_span=6).select("id", _r("linked"))
+
+
+@query("jn5_polygon_cells", sql("SELECT p, ix, iy FROM pc", "edges", "grid", **{k: v for k, v in _POLY.items() if k != "pd"}))
+def jn5_cells(spark, sf):
+    one = polygons(spark).where(F.col("id") % 10 == 0).select(F.floor(F.col("id") / 10).cast("int").alias("p"), F.explode(GRID.cover(F.col("rings"))).alias("c"))
+    return one.select("p", "c.ix", "c.iy")
+
+
+def _buffer(km: float) -> dict[str, str]:
+    hav = "2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians(clat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(clat)) * pow(sin(radians(clon - lon) / 2), 2))))"
+    return dict(
+        near=f"SELECT o.id, o.d, g.ix, g.iy FROM o, grid g WHERE {hav} <= {km}",
+        bc="SELECT * FROM near UNION ALL SELECT id, d, ix, iy FROM o WHERE id NOT IN (SELECT id FROM near)",
+    )
+
+
+@query("jn6_buffer_link", sql(
+    "SELECT o.id, round(m, 6) AS linked FROM o LEFT JOIN (SELECT bc.id, avg(v) AS m FROM bc JOIN cube c ON c.t = bc.d AND c.ix = bc.ix AND c.iy = bc.iy GROUP BY bc.id) AS a USING (id)",
+    "obs", "cells", "cube", "grid", o=_OBS98, **_buffer(60)))
+def jn6(spark, sf):
+    return api.link_daily(_obs98(spark, sf), cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d", buffer_km=60.0).select("id", _r("linked"))
+
+
+@query("agg3_two_stage_mean", sql(
+    "SELECT o.id, round(m, 6) AS linked FROM o LEFT JOIN (SELECT id, avg(cm) AS m FROM (SELECT bc.id, c.ix, c.iy, avg(v) AS cm FROM bc JOIN cube c ON c.t BETWEEN bc.d - 3 AND bc.d AND c.ix = bc.ix AND c.iy = bc.iy GROUP BY ALL) GROUP BY id) AS a USING (id)",
+    "obs", "cells", "cube", "grid", o=_OBS98, **_buffer(90)))
+def agg3(spark, sf):
+    return api.link_daily(_obs98(spark, sf), cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d", buffer_km=90.0, time_span=3).select("id", _r("linked"))
+
+
+@query("agg4_climatology", sql("SELECT md, ix, iy, round(s / n, 6) AS mean, n FROM clim", "cube", clim=_CLIM))
+def agg4(spark, sf):
+    return X.climatology(cube(spark, sf), 1995, 1996).select("md", "ix", "iy", F.round(F.col("total") / F.col("n"), 6).alias("mean"), "n")
+
+
+@query("win1_span_window", sql("SELECT t AS obs_date, ix, iy, round(avg(v) OVER (PARTITION BY ix, iy ORDER BY t RANGE BETWEEN INTERVAL 3 DAY PRECEDING AND CURRENT ROW), 6) AS mean FROM cube", "cube"))
+def win1(spark, sf):
+    return X.span_window(cube(spark, sf), 3).select("obs_date", "ix", "iy", _r("mean"))
+
+
+# merges
+
+
+@query("jn7_left_merge", sql(
+    "SELECT x.c_custkey, x.c_nationkey, y.s_name AS s_name FROM customer x LEFT JOIN (SELECT c_nationkey AS k, min(c_custkey) AS f FROM customer GROUP BY 1) a ON x.c_custkey = a.f"
+    " LEFT JOIN (SELECT s_nationkey AS k, arg_max(s_name, s_suppkey) AS s_name FROM supplier GROUP BY 1) y ON a.k IS NOT DISTINCT FROM y.k"))
+def jn7(spark, sf):
+    x = read(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    return M.left_merge(x, read(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_name"), "c_nationkey", "s_nationkey", "c_custkey", "s_suppkey")
+
+
+def _areas(spark, sf):
+    n = read(spark, sf, "nation")
+    return n.select(F.lit("nuts").alias("source"), (F.col("n_nationkey") % 4).cast("string").alias("level"),
+        F.concat(F.lit("DE"), F.substring(F.lpad(F.col("n_nationkey").cast("string"), 3, "1"), 1, (F.col("n_nationkey") % 4).cast("int"))).alias("area_id"), "n_name")
+
+
+@query("jn8_enrich", """
+WITH ref AS (SELECT n_nationkey % 4 AS level, 'DE' || substr(lpad(n_nationkey::VARCHAR, 3, '1'), 1, n_nationkey % 4) AS area_id, min(n_name) AS n_name FROM nation GROUP BY ALL),
+ids AS (SELECT c_custkey, 'DE' || substr(lpad(c_nationkey::VARCHAR, 3, '1'), 1, c_nationkey % 4) AS id FROM customer WHERE c_nationkey % 4 > 0)
+SELECT c_custkey, id, 'DE' AS country, (length(id) - 2)::VARCHAR AS level, n_name FROM ids LEFT JOIN ref ON ref.area_id = ids.id AND ref.level = length(id) - 2""")
+def jn8(spark, sf):
+    c = read(spark, sf, "customer").where(F.col("c_nationkey") % 4 > 0)
+    ids = c.select("c_custkey", F.concat(F.lit("DE"), F.substring(F.lpad(F.col("c_nationkey").cast("string"), 3, "1"), 1, (F.col("c_nationkey") % 4).cast("int"))).alias("id"))
+    return E.enrich(ids, _areas(spark, sf), "id")
+
+
+@query("jn9_bind_layers", sql("SELECT t.tx, t.ty, n.v AS near, p.v AS next_day FROM targets t LEFT JOIN cube n ON n.t = DATE '1998-03-03' AND n.ix = floor(t.lon - 5) AND n.iy = floor(51 - t.lat) LEFT JOIN cube p ON p.t = DATE '1998-03-04' AND p.ix = floor(t.lon - 5) AND p.iy = floor(51 - t.lat)", "targets", "cube"))
+def jn9(spark, sf):
+    q = cube(spark, sf)
+    a, b = (R.resample(targets(spark), R.span_layer(q, F.to_date(F.lit(d))), GRID, "near", name) for d, name in (("1998-03-03", "near"), ("1998-03-04", "next_day")))
+    return R.bind_layers(a.select("tx", "ty", "near"), b.select("tx", "ty", "next_day"))
+
+
+@query("jn10_cross_dates", "SELECT DISTINCT make_date(y, m, d) AS date FROM (SELECT DISTINCT year(o_orderdate) AS y FROM orders), (VALUES (1), (2), (4)) AS a(m), (VALUES (15), (28), (30), (31)) AS b(d) WHERE d <= day(last_day(make_date(y, m, 1)))")
+def jn10(spark, sf):
+    years = read(spark, sf, "orders").agg(F.collect_set(F.year("o_orderdate")).alias("y"), F.first(F.array(F.lit(1), F.lit(2), F.lit(4))).alias("m"), F.first(F.array(*map(F.lit, (15, 28, 30, 31)))).alias("d"))
+    return D.make_dates(years, "y", "m", "d").select("date")
+
+
+@query("jn11_semi", "SELECT c_custkey FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)")
+def jn11(spark, sf):
+    return read(spark, sf, "customer").join(read(spark, sf, "supplier").where("s_acctbal > 5000"), F.col("c_nationkey") == F.col("s_nationkey"), "left_semi").select("c_custkey")
+
+
+@query("jn12_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+def jn12(spark, sf):
+    return read(spark, sf, "customer").join(read(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+
+
+# aggregates
+
+
+@query("agg5_daily_statistic", sql("SELECT (ts + INTERVAL 5 HOUR)::DATE AS obs_date, ix, iy, round(avg(value), 6) AS mean, max(value) AS maximum, min(value) AS minimum FROM hourly GROUP BY ALL", "hourly"))
+def agg5(spark, sf):
+    h = hourly(spark, sf)
+    mean, high, low = (Q.daily_statistic(h, s, "utc+05:00").withColumnRenamed("value", n) for s, n in (("daily_mean", "mean"), ("daily_maximum", "maximum"), ("daily_minimum", "minimum")))
+    return mean.join(high, ["obs_date", "ix", "iy"]).join(low, ["obs_date", "ix", "iy"]).select("obs_date", "ix", "iy", _r("mean"), "maximum", "minimum")
+
+
+@query("agg6_monthly_mean", sql("SELECT date_trunc('month', ts)::DATE AS obs_date, ix, iy, round(avg(value), 6) AS value FROM hourly GROUP BY ALL", "hourly"))
+def agg6(spark, sf):
+    return Q.monthly_mean(hourly(spark, sf)).select("obs_date", "ix", "iy", _r("value"))
+
+
+@query("agg6_monthly_by_hour", sql("SELECT date_trunc('month', ts)::DATE AS obs_date, ix, iy, round(avg(value), 6) AS value FROM hourly WHERE hour(ts) = 13 GROUP BY ALL", "hourly"))
+def agg6_hour(spark, sf):
+    return Q.monthly_mean(hourly(spark, sf), "13:00").select("obs_date", "ix", "iy", _r("value"))
+
+
+@query("agg7_extent", sql("SELECT ceil(max(lat))::DOUBLE AS n, floor(min(lon))::DOUBLE AS w, floor(min(lat))::DOUBLE AS s, ceil(max(lon))::DOUBLE AS e FROM obs", "obs"))
+def agg7(spark, sf):
+    return Q.extent(observations(spark, sf))
+
+
+@query("agg8_distinct_keys", "SELECT array_to_string(list_sort(list_distinct(list(year(o_orderdate)))), ',') AS years, array_to_string(list_sort(list_distinct(list(month(o_orderdate)))), ',') AS months, array_to_string(list_sort(list_distinct(list(day(o_orderdate)))), ',') AS days FROM orders")
+def agg8(spark, sf):
+    y, m, d = D.distinct_keys(F.col("o_orderdate"))
+    return read(spark, sf, "orders").agg(F.array_join(y, ",").alias("years"), F.array_join(m, ",").alias("months"), F.array_join(d, ",").alias("days"))
+
+
+@query("agg9_distinct_dates", "SELECT count(DISTINCT o_orderdate::DATE) AS n FROM orders")
+def agg9(spark, sf):
+    return observations(spark, sf).agg(F.count_distinct("d").alias("n"))
+
+
+@query("agg10_mode", "SELECT c_mktsegment AS most_common FROM customer GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1")
+def agg10(spark, sf):
+    return I.most_common(read(spark, sf, "customer"), "c_mktsegment")
+
+
+@query("agg11_row_sum", "SELECT l_orderkey, l_linenumber, CASE WHEN a IS NULL AND b IS NULL THEN NULL ELSE coalesce(a, 0) + coalesce(b, 0) END AS total FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 25 THEN l_quantity END AS a, CASE WHEN l_tax > 0.04 THEN l_linenumber END AS b FROM lineitem)")
+def agg11(spark, sf):
+    df = read(spark, sf, "lineitem")
+    return df.select("l_orderkey", "l_linenumber", M.psum(F.when(F.col("l_quantity") > 25, F.col("l_quantity")), F.when(F.col("l_tax") > 0.04, F.col("l_linenumber"))).cast("double").alias("total"))
+
+
+@query("agg12_all_true", "SELECT c_mktsegment, bool_and(coalesce(c_acctbal > -999, false)) AS sound FROM customer GROUP BY 1")
+def agg12(spark, sf):
+    return read(spark, sf, "customer").groupBy("c_mktsegment").agg(M.all_true(F.col("c_acctbal") > -999).alias("sound"))
+
+
+def _codes(spark, sf):
+    return read(spark, sf, "nation").select(F.upper(F.substring("n_name", 1, 3)).alias("iso3"), F.upper(F.substring("n_name", 1, 2)).alias("iso2"), F.col("n_name").alias("name"))
+
+
+_CODED = "SELECT c_custkey, CASE WHEN c_custkey % 50 = 0 THEN 'ZZZ' ELSE upper(substr(n_name, 1, 3)) END AS id FROM customer JOIN nation ON c_nationkey = n_nationkey"
+
+
+def _coded(spark, sf):
+    c = read(spark, sf, "customer").join(read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return c.select("c_custkey", F.when(F.col("c_custkey") % 50 == 0, "ZZZ").otherwise(F.upper(F.substring("n_name", 1, 3))).alias("id"))
+
+
+@query("agg13_match_rate", f"WITH i AS (SELECT DISTINCT id FROM ({_CODED})) SELECT round(avg((id IN (SELECT upper(substr(n_name, 1, 3)) FROM nation))::INT::DOUBLE), 6) AS iso3, round(avg((id IN (SELECT upper(substr(n_name, 1, 2)) FROM nation))::INT::DOUBLE), 6) AS iso2, round(avg((id IN (SELECT n_name FROM nation))::INT::DOUBLE), 6) AS name FROM i")
+def agg13(spark, sf):
+    return I.iso3_rates(_coded(spark, sf), "id", _codes(spark, sf), ("iso3", "iso2", "name")).select(_r("iso3"), _r("iso2"), _r("name"))
+
+
+# scans, projections, filters
+
+
+@query("src1_cube_scan", sql("SELECT t AS obs_date, year(t)::INT AS year, strftime(t, '%m-%d') AS md, ix, iy, v AS value FROM cube", "cube"))
+def src1(spark, sf):
+    return cube(spark, sf)
+
+
+@query("src2_monthly_request", sql("SELECT t AS obs_date, ix, iy, v AS value FROM cube WHERE year(t) IN (1997, 1998) AND month(t) IN (7, 8) AND ix BETWEEN 1 AND 3 AND iy BETWEEN 1 AND 2", "cube"))
+def src2(spark, sf):
+    return Q.scan(cube(spark, sf), Q.Request(years=(1997, 1998), months=(7, 8), extent=(49.9, 6.1, 48.1, 8.9)), GRID).select("obs_date", "ix", "iy", "value")
+
+
+@query("src3_daily_request", sql("SELECT t AS obs_date, ix, iy, v AS value FROM cube WHERE year(t) = 1998 AND month(t) IN (7, 8) AND day(t) IN (1, 31)", "cube"))
+def src3(spark, sf):
+    return Q.scan(cube(spark, sf), Q.Request(years=(1998,), months=(7, 8), days=(1, 31)), GRID).select("obs_date", "ix", "iy", "value")
+
+
+@query("src4_request_reuse")
+def src4(spark, sf):
+    """Materialise a request's cube once, then read it again from the stash."""
+    request = Q.Request("2m_temperature", C.DAILY[0], years=(1998,), months=(7,))
+    stash = Stash(spark, f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}", "cube")
+    key = {"request": request.canonical()}
+    stash.materialise(Q.scan(cube(spark, sf), request), key)
+    return stash.materialise(spark.createDataFrame([], "obs_date date, year int, md string, ix int, iy int, value double"), key)
+
+
+@query("src5_wkt_points", sql("SELECT id, lon, lat FROM obs", "obs"))
+def src5(spark, sf):
+    text = A.to_wkt(observations(spark, sf)).select("id", "wkt")
+    return A.from_wkt(text, "wkt").select("id", "lon", "lat")
+
+
+@query("src6_indicators")
+def src6(spark, sf):
+    return C.indicators(spark)
+
+
+@query("src7_reference_areas", "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('EUROPE', 'ASIA')")
+def src7(spark, sf):
+    n, r = read(spark, sf, "nation"), read(spark, sf, "region").where(F.col("r_name").isin("EUROPE", "ASIA"))
+    return n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+
+
+@query("prj6_deviation", "SELECT l_orderkey, l_linenumber, linked - baseline AS deviation FROM (SELECT l_orderkey, l_linenumber, l_quantity AS linked, CASE WHEN l_linenumber > 1 THEN l_tax END AS baseline FROM lineitem)")
+def prj6(spark, sf):
+    df = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("linked"), F.when(F.col("l_linenumber") > 1, F.col("l_tax")).alias("baseline"))
+    return X.deviation(df).drop("linked", "baseline")
+
+
+@query("prj3_geometry_last", sql("SELECT id, lon, lat, d + 1 AS link_date, d FROM obs", "obs"))
+def prj3(spark, sf):
+    return A.move_to_back(observations(spark, sf).withColumn("link_date", D.link_date(F.col("d"), -1)), "d")
+
+
+@query("flt1_exact_date", sql("SELECT t AS obs_date, ix, iy, v AS value FROM cube WHERE t = DATE '1998-08-01'", "cube"))
+def flt1(spark, sf):
+    return cube(spark, sf).where(F.col("obs_date") == F.to_date(F.lit("1998-08-01"))).select("obs_date", "ix", "iy", "value")
+
+
+@query("flt2_date_set", sql("SELECT t AS obs_date, ix, iy, v AS value FROM cube WHERE t IN (DATE '1998-08-01', DATE '1998-07-31', DATE '1998-07-30')", "cube"))
+def flt2(spark, sf):
+    days = D.span_dates(F.to_date(F.lit("1998-08-01")), 2)
+    return cube(spark, sf).where(F.array_contains(days, F.col("obs_date"))).select("obs_date", "ix", "iy", "value")
+
+
+@query("flt3_month_day", sql("SELECT t AS obs_date, ix, iy, v AS value FROM cube WHERE strftime(t, '%m-%d') IN ('02-29', '08-01')", "cube"))
+def flt3(spark, sf):
+    return cube(spark, sf).where(F.col("md").isin("02-29", "08-01")).select("obs_date", "ix", "iy", "value")
+
+
+@query("flt4_year_range", sql("SELECT t AS obs_date, ix, iy, v AS value FROM cube WHERE year(t) BETWEEN 1996 AND 1997", "cube"))
+def flt4(spark, sf):
+    first, last = C.check_baseline(("1996", "1997"))
+    return cube(spark, sf).where(F.col("year").between(first, last)).select("obs_date", "ix", "iy", "value")
+
+
+@query("flt5_level", "SELECT n_nationkey, n_nationkey % 4 AS level FROM nation WHERE n_nationkey % 4 IN (1, 3)")
+def flt5(spark, sf):
+    return read(spark, sf, "nation").select("n_nationkey", (F.col("n_nationkey") % 4).alias("level")).where(F.col("level").isin(1, 3))
+
+
+@query("flt6_clean_tags", "SELECT event_id, event_type AS kind FROM events WHERE regexp_matches(event_type, '^[A-Za-z0-9._-]*$')")
+def flt6(spark, sf):
+    tags = read(spark, sf, "events").select("event_id", F.create_map(F.lit("kind"), F.col("event_type"), F.lit("props"), F.concat(F.col("props"), F.lit(" {}"))).alias("tags"))
+    kept = tags.select("event_id", T.clean_tags(F.col("tags")).alias("tags"))
+    return kept.where(~F.map_contains_key("tags", "props") & F.map_contains_key("tags", "kind")).select("event_id", F.col("tags")["kind"].alias("kind"))
+
+
+# dates
+
+_DATES = "(VALUES (1, '2019-8-31'), (2, '2019-07-03'), (3, '2019-2-31'), (4, '07/08/2014'), (5, NULL), (6, '2019-7-4 12:30:00'))"
+_MIXED = "(VALUES (1, '2019-8-31'), (2, '07/08/2014'), (3, '25/08/2014'), (4, 'August 5, 2014'), (5, '5-Aug-2014'), (6, '2014/8/5'), (7, '5.8.2014'), (8, 'nothing'), (9, NULL))"
+
+
+def _values(spark, text: str) -> DataFrame:
+    return spark.sql(f"SELECT * FROM {text.removeprefix('(').removesuffix(')') if text.startswith('(VALUES') else text} AS t(k, s)")
+
+
+@query("dt1_parse_column", f"SELECT k, try_strptime(regexp_replace(s, '[T ][0-9]+:.*$', ''), '%Y-%m-%d')::DATE AS date FROM {_DATES} AS t(k, s)")
+def dt1(spark, sf):
+    return D.parse_date_column(_values(spark, _DATES), "s", "k").select("k", "date")
+
+
+@query("dt1_parse_rowwise", f"SELECT k, coalesce(try_strptime(s, '%Y-%m-%d'), try_strptime(s, '%m/%d/%Y'), try_strptime(s, '%d/%m/%Y'), try_strptime(s, '%B %d, %Y'), try_strptime(s, '%d-%b-%Y'), try_strptime(s, '%Y/%m/%d'), try_strptime(s, '%d.%m.%Y'))::DATE AS date FROM {_MIXED} AS t(k, s)")
+def dt1_rows(spark, sf):
+    return _values(spark, _MIXED).select("k", D.parse_date_rowwise(F.col("s")).alias("date"))
+
+
+@query("dt2_lag", sql("SELECT id, d - 10 AS back, d + 5 AS ahead, (date_trunc('month', d) - INTERVAL 2 MONTH)::DATE AS months_back FROM obs", "obs"))
+def dt2(spark, sf):
+    d = F.col("d")
+    return observations(spark, sf).select("id", D.link_date(d, 10).alias("back"), D.link_date(d, -5).alias("ahead"), D.link_date(d, 2, "month").alias("months_back"))
+
+
+@query("dt4_sequence", sql("SELECT id, (d - k.range::INT) AS day FROM obs, range(4) AS k WHERE id % 10 = 0", "obs"))
+def dt4(spark, sf):
+    return observations(spark, sf).where("id % 10 = 0").select("id", F.explode(D.span_dates(F.col("d"), 3)).alias("day"))
+
+
+@query("dt4_month_sequence", sql("SELECT id, (date_trunc('month', d) - to_months(k.range::INT))::DATE AS month FROM obs, range(3) AS k WHERE id % 10 = 0", "obs"))
+def dt4_months(spark, sf):
+    return observations(spark, sf).where("id % 10 = 0").select("id", F.explode(D.span_dates(D.link_date(F.col("d"), 0, "month"), 2, "month")).alias("month"))
+
+
+@query("dt5_parts", sql("SELECT id, year(d)::INT AS year, month(d)::INT AS month, day(d)::INT AS day, strftime(d, '%m-%d') AS md FROM obs", "obs"))
+def dt5(spark, sf):
+    return observations(spark, sf).select("id", F.year("d").alias("year"), F.month("d").alias("month"), F.dayofmonth("d").alias("day"), D.month_day(F.col("d")).alias("md"))
+
+
+@query("dt7_days_in_month", sql("SELECT DISTINCT year(d)::INT AS year, month(d)::INT AS month, day(last_day(d))::INT AS days FROM obs", "obs"))
+def dt7(spark, sf):
+    return observations(spark, sf).select(F.year("d").alias("year"), F.month("d").alias("month")).distinct().withColumn("days", D.days_in_month(F.col("year"), F.col("month")))
+
+
+@query("dt10_format", sql("SELECT id, strftime(d, '%Y-%m-%d') AS day, strftime(d, '%Y') AS year, strftime(d, '%d') AS dom FROM obs", "obs"))
+def dt10(spark, sf):
+    return observations(spark, sf).select("id", F.date_format("d", "yyyy-MM-dd").alias("day"), F.date_format("d", "yyyy").alias("year"), F.date_format("d", "dd").alias("dom"))
+
+
+@query("dt11_vocabulary", "SELECT 'hour' AS kind, lpad(range::VARCHAR, 2, '0') || ':00' AS name FROM range(24) UNION ALL SELECT 'zone', 'utc' || CASE WHEN range < 0 THEN '-' ELSE '+' END || lpad(abs(range)::VARCHAR, 2, '0') || ':00' FROM range(-12, 15)")
+def dt11(spark, sf):
+    one = spark.range(1)
+    return one.select(F.lit("hour").alias("kind"), F.explode(D.hour_names()).alias("name")).union(one.select(F.lit("zone"), F.explode(D.zone_names())))
+
+
+# sets
+
+
+@query("set1_distinct", "SELECT DISTINCT c_nationkey FROM customer")
+def set1(spark, sf):
+    return read(spark, sf, "customer").select("c_nationkey").distinct()
+
+
+@query("set2_union", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
+def set2(spark, sf):
+    return read(spark, sf, "customer").select(F.col("c_nationkey").alias("k")).union(read(spark, sf, "supplier").select("s_nationkey")).distinct()
+
+
+@query("set3_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_acctbal > 8000")
+def set3(spark, sf):
+    return read(spark, sf, "nation").select(F.col("n_nationkey").alias("k")).subtract(read(spark, sf, "supplier").where("s_acctbal > 8000").select("s_nationkey"))
+
+
+# ids
+
+_IDS = "(VALUES (1, 'DEU.1_1'), (2, 'DEU.1.2.3_1'), (3, 'DE1'), (4, 'DE111'), (5, 'DE_01001000'), (6, '01001'), (7, '1kmN2690E4341'), (8, 'CRS3035RES1000mN2690000E4341000'), (9, 'DEU'), (10, 'x'), (11, NULL), (12, 'DE'), (13, 'FRA.1.2.3.4_'))"
+
+
+@query("str1_id_patterns", f"""SELECT k, coalesce(regexp_matches(s, '^([A-Z]{{3}})(\\.[0-9]+){{1,4}}_[0-9]{{1}}?$'), false) AS gadm, coalesce(regexp_matches(s, '[A-Z]{{2}}_[0-9]+'), false) AS lau, coalesce(regexp_matches(s, '^[A-Z]{{2}}[A-Z0-9]{{1,3}}$'), false) AS nuts,
+ coalesce(regexp_matches(s, '[0-9]+k?mN[0-9]+E[0-9]+'), false) AS short_inspire, coalesce(regexp_matches(s, 'CRS[0-9]+RES[0-9]+mN[0-9]+E[0-9]+'), false) AS long_inspire, coalesce(regexp_matches(s, '^[0-1]([0-9]{{1}})?([0-9]{{1}})?([0-9]{{2}})?([0-9]{{3}})?'), false) AS ags FROM {_IDS} AS t(k, s)""")
+def str1(spark, sf):
+    return _values(spark, _IDS).select("k", *[F.coalesce(test(F.col("s")), F.lit(False)).alias(name) for name, test in I.TESTS])
+
+
+@query("str6_parse_gadm", "SELECT n_nationkey, 'ABC' || repeat('.' || n_nationkey, n_nationkey % 4 + 1) || '_1' AS id, 'ABC' AS country, n_nationkey % 4 + 1 AS level FROM nation")
+def str6(spark, sf):
+    k = F.col("n_nationkey")
+    df = read(spark, sf, "nation").select("n_nationkey", F.concat(F.lit("ABC"), F.expr("repeat(concat('.', n_nationkey), n_nationkey % 4 + 1)"), F.lit("_1")).alias("id"))
+    return df.select("n_nationkey", "id", I.gadm_country(F.col("id")).alias("country"), I.gadm_level(F.col("id")).alias("level"))
+
+
+@query("str7_parse_nuts", f"SELECT k, CASE WHEN regexp_matches(s, '^[A-Z]{{2}}[A-Z0-9]{{0,3}}$') THEN substr(s, 1, 2) END AS country, CASE WHEN regexp_matches(s, '^[A-Z]{{2}}[A-Z0-9]{{0,3}}$') THEN length(s) - 2 END AS level FROM {_IDS} AS t(k, s)")
+def str7(spark, sf):
+    return _values(spark, _IDS).select("k", I.nuts_country(F.col("s")).alias("country"), I.nuts_level(F.col("s")).alias("level"))
+
+
+@query("str8_parse_lau", f"SELECT k, nullif(regexp_extract(s, '([A-Z]{{2}})_[0-9]+', 1), '') AS country, s AS gisco_id FROM {_IDS} AS t(k, s)")
+def str8(spark, sf):
+    return _values(spark, _IDS).select("k", I.lau_country(F.col("s")).alias("country"), F.col("s").alias("gisco_id"))
+
+
+_AGS = "SELECT c_custkey AS k, CASE c_custkey % 6 WHEN 0 THEN lpad((c_custkey % 16 + 1)::VARCHAR, 2, '0') WHEN 1 THEN lpad((c_custkey % 16 + 1)::VARCHAR, 2, '0') || '1' WHEN 5 THEN '00000000' ELSE lpad((c_custkey % 16 + 1)::VARCHAR, 2, '0') || '0' || lpad((c_custkey % 50 + 1)::VARCHAR, 2, '0') || CASE WHEN c_custkey % 6 = 2 THEN '001' ELSE '' END END AS ags FROM customer"
+
+
+@query("str9_parse_ags", f"""WITH a AS ({_AGS}), o AS (SELECT k, ags, rpad(ags, 8, '0') AS p FROM a),
+l AS (SELECT *, CASE WHEN substr(p, 1, 2) IN ('02', '11') THEN 'gem' WHEN substr(p, 6, 3) > '000' THEN 'gem' WHEN substr(p, 4, 2) > '00' THEN 'krs' WHEN substr(p, 3, 1) > '0' THEN 'rbz' WHEN substr(p, 1, 2) > '00' THEN 'lan' ELSE 'sta' END AS own FROM o)
+SELECT k, ags, 'DEU' AS country, CASE WHEN substr(p, 1, 2) IN ('02', '11') THEN (SELECT own FROM l GROUP BY own ORDER BY count(*) DESC, own LIMIT 1) ELSE own END AS level FROM l""")
+def str9(spark, sf):
+    k = F.col("c_custkey")
+    land = F.lpad((k % 16 + 1).cast("string"), 2, "0")
+    district = F.concat(land, F.lit("0"), F.lpad((k % 50 + 1).cast("string"), 2, "0"), F.when(k % 6 == 2, "001").otherwise(""))
+    ags = F.when(k % 6 == 0, land).when(k % 6 == 1, F.concat(land, F.lit("1"))).when(k % 6 == 5, "00000000").otherwise(district)
+    return I.parse_ags(read(spark, sf, "customer").select(k.alias("k"), ags.alias("ags")), "ags")
+
+
+@query("str10_guess_type", "SELECT 1 AS k, 'nuts' AS kind UNION ALL SELECT 2, 'gadm' UNION ALL SELECT 3, 'long_inspire' UNION ALL SELECT 4, 'lau' UNION ALL SELECT 5, 'ags'")
+def str10(spark, sf):
+    samples = (["DE1", "DE11"], ["DEU.1_1", "DEU.1.2_1"], ["CRS3035RES1000mN2690000E4341000"], ["DE_01001000"], ["01", "01001"])
+    kinds = [(k + 1, I.guess_id_type(spark.createDataFrame([(x,) for x in s], "id string"), "id")) for k, s in enumerate(samples)]
+    return spark.createDataFrame(kinds, "k int, kind string")
+
+
+@query("str11_to_iso3", "WITH c AS (SELECT n_name AS name, min(upper(substr(n_name, 1, 3))) AS iso3 FROM nation GROUP BY 1) SELECT c_custkey, iso3 AS id FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN c ON c.name = n_name")
+def str11(spark, sf):
+    named = read(spark, sf, "customer").join(read(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("id"))
+    out, _ = I.convert_to_iso3(named, "id", _codes(spark, sf), ("iso3", "iso2", "name"))
+    return out.select("c_custkey", "id")
+
+
+@query("str13_indicator_card")
+def str13(spark, sf):
+    return C.lookup(spark, "2m_temperature").select("indicator", "card")
+
+
+@query("str14_superscript", "SELECT * FROM (VALUES (1, 'm s⁻¹'), (2, 'm² m⁻²'), (3, 'K')) AS t(k, unit)")
+def str14(spark, sf):
+    return spark.createDataFrame([(1, "m s**-1"), (2, "m**2 m**-2"), (3, "K")], "k int, unit string").select("k", T.superscript(F.col("unit")).alias("unit"))
+
+
+# math, maps, hashes
+
+
+@query("mth3_haversine", sql("SELECT id, round(2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians(49 - lat) / 2), 2) + cos(radians(lat)) * cos(radians(49)) * pow(sin(radians(7.5 - lon) / 2), 2)))), 6) AS km FROM obs", "obs"))
+def mth3(spark, sf):
+    return observations(spark, sf).select("id", F.round(G.haversine_km(F.col("lon"), F.col("lat"), F.lit(7.5), F.lit(49.0)), 6).alias("km"))
+
+
+@query("map1_lookup", "SELECT s_suppkey, CASE s_nationkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS code FROM supplier")
+def map1(spark, sf):
+    names = F.map_concat(F.create_map(F.lit(0), F.lit("a")), F.create_map(F.lit(1), F.lit("b")))
+    return read(spark, sf, "supplier").select("s_suppkey", F.try_element_at(names, F.col("s_nationkey") % 3).alias("code"))
+
+
+@query("jsn1_props", "SELECT event_id, CAST(props::JSON ->> 'k' AS BIGINT) AS k FROM events")
+def jsn1(spark, sf):
+    return read(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
+
+
+_KEY = "sha256('{\"a\":\"' || c_name || '\",\"b\":\"' || c_mktsegment || '\",\"service\":\"ecmwfr\"}')"
+
+
+@query("hsh1_request_key", f"SELECT c_custkey, {_KEY} AS key FROM customer")
+def hsh1(spark, sf):
+    return read(spark, sf, "customer").select("c_custkey", key_column({"b": F.col("c_mktsegment"), "a": F.col("c_name"), "service": F.lit("ecmwfr")}).alias("key"))
+
+
+@query("sta3_pop", "WITH i AS (SELECT c_custkey AS seq, c_mktsegment || (c_custkey % 7) AS key, c_name AS path FROM customer) SELECT * FROM i WHERE key NOT IN (SELECT key FROM i ORDER BY seq DESC LIMIT 3)")
+def sta3(spark, sf):
+    index = read(spark, sf, "customer").select(F.col("c_custkey").alias("seq"), F.concat("c_mktsegment", (F.col("c_custkey") % 7).cast("string")).alias("key"), F.col("c_name").alias("path"))
+    return pop_last(index, 3)
+
+
+@query("sta1_stash_cycle", "SELECT 3 AS stored, 2 AS popped, 1 AS cleaned")
+def sta1(spark, sf):
+    """Store three files, pop one, lose one and clean: the index sizes on the way."""
+    root = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
+    stash = Stash(spark, root, "test")
+    for name in "abc":
+        path = f"{root}/{name}"
+        spark.range(1).write.parquet(path)
+        stash.store(path, {name: "test"})
+    sizes = [stash.get().count()]
+    stash.pop(1)
+    sizes.append(stash.get().count())
+    fs, p = stash._fs(f"{root}/a")
+    fs.delete(p, True)
+    stash.clean()
+    sizes.append(stash.get().count())
+    stash.destroy()
+    return spark.createDataFrame([tuple(sizes)], "stored int, popped int, cleaned int")
+
+
+# grids
+
+_T = "floor(lon - 5)::INT AS ix, floor(51 - lat)::INT AS iy"
+
+
+@query("geo1_cells", sql("SELECT id, ix, iy FROM cells", "obs", "cells"))
+def geo1(spark, sf):
+    return observations(spark, sf).select("id", GRID.cell(F.col("lon"), F.col("lat")).alias("c")).select("id", "c.ix", "c.iy")
+
+
+@query("geo3_laea_round_trip", sql("SELECT id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM obs", "obs"))
+def geo3(spark, sf):
+    east, north = G.to_laea(F.col("lon"), F.col("lat"))
+    there = observations(spark, sf).select("id", east.alias("e"), north.alias("n"))
+    lon, lat = G.from_laea(F.col("e"), F.col("n"))
+    return there.select("id", F.round(lon, 6).alias("lon"), F.round(lat, 6).alias("lat"))
+
+
+_LAYER = "SELECT ix, iy, avg(v) AS v FROM cube WHERE t BETWEEN DATE '1998-07-29' AND DATE '1998-08-01' GROUP BY ALL"
+_BLAYER = "SELECT ix, iy, avg(v) AS v FROM cube WHERE year(t) BETWEEN 1995 AND 1996 AND strftime(t, '%m-%d') IN ('07-29', '07-30', '07-31', '08-01') GROUP BY ALL"
+
+
+def _resample_sql(method: str, layer: str) -> str:
+    if method == "near":
+        return f"SELECT tx, ty, v AS x FROM targets LEFT JOIN {layer} ON ix = floor(lon - 5) AND iy = floor(51 - lat)"
+    offsets = "(VALUES (0), (1))" if method == "bilinear" else "(VALUES (-1), (0), (1), (2))"
+    w = (lambda d: f"(1 - abs({d}))") if method == "bilinear" else (lambda d: f"(CASE WHEN abs({d}) <= 1 THEN (1.5 * abs({d}) - 2.5) * abs({d}) * abs({d}) + 1 WHEN abs({d}) < 2 THEN ((-0.5 * abs({d}) + 2.5) * abs({d}) - 4) * abs({d}) + 2 ELSE 0 END)")
+    return (
+        f"SELECT tx, ty, CASE WHEN abs(sum(w)) > 1e-9 THEN sum(w * v) / sum(w) END AS x FROM (SELECT tx, ty, greatest(0, least(4, i0 + a)) AS ix, greatest(0, least(3, j0 + b)) AS iy, {w('(u - i0 - a)')} * {w('(q - j0 - b)')} AS w"
+        f" FROM (SELECT tx, ty, lon - 5.5::DOUBLE AS u, 50.5::DOUBLE - lat AS q, floor(lon - 5.5::DOUBLE)::INT AS i0, floor(50.5::DOUBLE - lat)::INT AS j0 FROM targets), {offsets} AS o1(a), {offsets} AS o2(b)) JOIN {layer} USING (ix, iy) GROUP BY tx, ty"
+    )
+
+
+def _grid_sql(method: str) -> str:
+    return sql("SELECT t.tx, t.ty, round(l.x, 9) AS linked FROM targets t LEFT JOIN l USING (tx, ty)", "targets", "cube", layer=_LAYER, l=_resample_sql(method, "layer"))
+
+
+def _grid_query(method: str):
+    def run(spark, sf):
+        return R.grid_link(targets(spark), cube(spark, sf), GRID, "1998-08-01", span=3, method=method).select("tx", "ty", _r("linked", 9))
+
+    return run
+
+
+for _m in C.METHODS:
+    query(f"grd2_{_m}", _grid_sql(_m))(_grid_query(_m))
+
+
+def _grid_api_sql(method: str, layer: str, blayer: str) -> str:
+    return sql("SELECT t.tx, t.ty, round(l.x, 9) AS linked, round(b.x, 9) AS baseline, round(l.x - b.x, 9) + 0.0::DOUBLE AS deviation FROM targets t LEFT JOIN l USING (tx, ty) LEFT JOIN b USING (tx, ty)",
+        "targets", "cube", layer=layer, blayer=blayer, l=_resample_sql(method, "layer"), b=_resample_sql(method, "blayer"))
+
+
+@query("api2_daily_grid", _grid_api_sql("bilinear", _LAYER, _BLAYER))
+def api2(spark, sf):
+    t = targets(spark).withColumn("date", F.to_date(F.lit("1998-08-01")))
+    return api.link_daily_grid(t, cube(spark, sf), GRID, "2m_temperature", time_span=3, baseline=(1995, 1996)).select("tx", "ty", _r("linked", 9), _r("baseline", 9), _r("deviation", 9))
+
+
+@query("api4_monthly_grid", _grid_api_sql("near", "SELECT ix, iy, avg(v) AS v FROM cube WHERE t BETWEEN DATE '1998-07-01' AND DATE '1998-07-31' GROUP BY ALL", "SELECT ix, iy, avg(v) AS v FROM cube WHERE year(t) BETWEEN 1995 AND 1996 AND month(t) = 7 GROUP BY ALL"))
+def api4(spark, sf):
+    t = targets(spark).withColumn("date", F.to_date(F.lit("1998-08-15")))
+    return api.link_monthly_grid(t, cube(spark, sf), GRID, "2m_temperature", time_lag=1, baseline=(1995, 1996), method="near").select("tx", "ty", _r("linked", 9), _r("baseline", 9), _r("deviation", 9))
+
+
+@query("api3_monthly_link", sql(
+    "SELECT o.id, round(s.v, 6) AS linked, round(b.v, 6) AS baseline FROM o LEFT JOIN (SELECT o.id, avg(c.v) AS v FROM o JOIN cube c ON c.ix = o.ix AND c.iy = o.iy AND date_trunc('month', c.t) BETWEEN date_trunc('month', o.d) - INTERVAL 2 MONTH AND date_trunc('month', o.d) - INTERVAL 1 MONTH GROUP BY o.id) s USING (id)"
+    " LEFT JOIN (SELECT o.id, avg(c.v) AS v FROM o JOIN cube c ON c.ix = o.ix AND c.iy = o.iy AND year(c.t) BETWEEN 1995 AND 1996 AND month(c.t) IN (month(o.d - INTERVAL 1 MONTH), month(o.d - INTERVAL 2 MONTH)) GROUP BY o.id) b USING (id)",
+    "obs", "cells", "cube", o=_OBS98))
+def api3(spark, sf):
+    out = api.link_monthly(_obs98(spark, sf), cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d", time_lag=1, time_span=1, baseline=("1995", "1996"))
+    return out.select("id", _r("linked"), _r("baseline"))
+
+
+@query("api1_hourly_source", sql(
+    "SELECT id, round(m, 6) AS linked FROM p LEFT JOIN (SELECT (ts + INTERVAL 2 HOUR)::DATE AS t, ix, iy, max(value) AS m FROM hourly GROUP BY ALL) h ON h.t = p.d AND h.ix = p.ix AND h.iy = p.iy",
+    "hourly", p="SELECT event_id AS id, ts::DATE AS d, (event_id % 5)::INT AS ix, (user_id % 4)::INT AS iy FROM events"))
+def api1_hourly(spark, sf):
+    lon, lat = GRID.centre(F.col("event_id") % 5, F.col("user_id") % 4)
+    points = read(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("date").alias("date"), lon.alias("lon"), lat.alias("lat"))
+    return api.link_daily(points, hourly(spark, sf), GRID, "2m_temperature", id_col="id", statistic="daily_maximum", time_zone="utc+02:00").select("id", _r("linked"))
+
+
+@query("top1_first_layer", sql("SELECT ix, iy, min(t) AS obs_date, arg_min(v, t) AS value FROM cube GROUP BY ALL", "cube"))
+def top1(spark, sf):
+    return cube(spark, sf).groupBy("ix", "iy").agg(F.min("obs_date").alias("obs_date"), F.min_by("value", "obs_date").alias("value"))
+
+
+@query("stream_point_link", _JN1)
+def stream(spark, sf):
+    """The point link over orders arriving as a stream, written by micro-batches and read back."""
+    source = read(spark, sf, "orders")
+    arriving = spark.readStream.schema(source.schema).parquet(f"{sf}/orders.parquet*")
+    lon = F.lit(5) + (F.col("o_custkey") % 50) / F.lit(10.0) + F.lit(0.05)
+    lat = F.lit(47) + (F.expr("o_custkey div 50") % 40) / F.lit(10.0) + F.lit(0.05)
+    obs = arriving.select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("d"), lon.alias("lon"), lat.alias("lat"))
+    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    linked = link_stream(obs, cube(spark, sf), GRID).select("id", "d", "linked")
+    run = linked.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/log").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.parquet(f"{where}/out")
