@@ -24,19 +24,26 @@ def _unplanes(raw: memoryview, n: int, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).reshape(-1).view(dtype)
 
 
-def pack(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray | None = None) -> bytes:
-    """``docs`` should come in runs; ``places`` should rise within a run."""
-    parts = [hashes.astype("<u8").tobytes(), _planes(np.diff(docs, prepend=0).astype("<i8"))]
+def pack(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray | None = None, width: int = 8) -> bytes:
+    """``docs`` should come in runs; ``places`` should rise within a run.
+
+    ``width`` 7 leaves a hash's highest byte to its bucket: of n hashes in buckets
+    of m each, about n * m / 2**57 pairs are then taken for equal by chance.
+    """
+    parts = [hashes.astype("<u8").view(np.uint8).reshape(len(hashes), 8)[:, :width].T.tobytes(), _planes(np.diff(docs, prepend=0).astype("<i8"))]
     if places is not None:
         parts.append(_planes(np.diff(places, prepend=0).astype("<i4")))
     return b"".join(parts)
 
 
-def unpack(raw: bytes, places: bool = True) -> tuple[np.ndarray, ...]:
-    n = len(raw) // (20 if places else 16)
+def unpack(raw: bytes, places: bool = True, width: int = 8) -> tuple[np.ndarray, ...]:
+    n = len(raw) // (width + (12 if places else 8))
     view = memoryview(raw)
-    out = (np.frombuffer(view[: 8 * n], "<u8"), np.cumsum(_unplanes(view[8 * n : 16 * n], n, "<i8")))
-    return (*out, np.cumsum(_unplanes(view[16 * n :], n, "<i4"))) if places else out
+    hashes = np.zeros((n, 8), dtype=np.uint8)
+    hashes[:, :width] = np.frombuffer(view[: width * n], np.uint8).reshape(width, n).T
+    view = view[width * n :]
+    out = (hashes.reshape(-1).view("<u8"), np.cumsum(_unplanes(view[: 8 * n], n, "<i8")))
+    return (*out, np.cumsum(_unplanes(view[8 * n :], n, "<i4"))) if places else out
 
 
 def by_bucket(hashes: np.ndarray, buckets: int):

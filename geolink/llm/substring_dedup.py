@@ -30,37 +30,52 @@ from pyspark.sql import functions as F
 
 from geolink.llm import hashblocks
 from geolink.llm.common import table, text_bytes
-from geolink.llm.textkernel import chunks, joined, window_hashes, word_hashes, words
+from geolink.llm.textkernel import chunks, joined, mix, window_hashes, word_hashes, words
 
 LENGTH = 50
 #: Windows a task gathers before it deals them out, and text bytes (about 6 a window) per bucket.
-FLUSH, BUCKET_BYTES = 1 << 20, 6 << 20
+FLUSH, BUCKET_BYTES = 1 << 19, 4 << 20
 
 
-def _deal(docs_hashes: list, buckets: int):
-    """Rows (bucket, doc_id, body): packed windows for the buckets, and repeats known already (doc_id set)."""
-    h, d, p = (np.concatenate(x) for x in zip(*docs_hashes, strict=True))
+#: Buckets of hashes for each part of documents that repeats come home to; bytes of a hash that travel.
+PER_PART, WIDTH = 8, 7
+
+
+def _least(h: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """For each hash, whether an equal one belongs to a smaller document."""
     order = np.argsort(h, kind="stable")
     cut = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
     least = np.repeat(np.minimum.reduceat(d[order], cut), np.diff(np.r_[cut, len(h)]))
-    repeated = np.empty(len(h), dtype=bool)
-    repeated[order] = d[order] > least
-    out = []
-    on = np.flatnonzero(~repeated)
-    for b, at in hashblocks.by_bucket(h[on], buckets):
-        at = on[at]
-        out.append((b, None, hashblocks.pack(h[at], d[at], p[at])))
-    off = np.flatnonzero(repeated)
-    for doc, lo, hi in hashblocks.runs(d[off]):
-        out.append((doc % buckets, doc, p[off[lo:hi]].astype("<i4").tobytes()))
-    bucket, doc, body = zip(*out, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(doc, pa.int64()), pa.array(body, pa.binary())], names=["bucket", "doc_id", "body"])
+    out = np.empty(len(h), dtype=bool)
+    out[order] = d[order] > least
+    return out
+
+
+def _home(d: np.ndarray, p: np.ndarray, parts: int):
+    """Rows (part, body): repeats packed by the part of their documents."""
+    key = mix(d.astype(np.uint64)) % np.uint64(parts)
+    order = np.argsort(key, kind="stable")
+    for part, lo, hi in hashblocks.runs(key[order].astype(np.int64)):
+        at = order[lo:hi]
+        yield part, d[at].astype("<i8").tobytes() + p[at].astype("<i4").tobytes()
+
+
+def _deal(held: list, buckets: int, parts: int):
+    """Rows (bucket, part, body): packed windows for the buckets, and repeats known already (part set)."""
+    h, d, p = (np.concatenate(x) for x in zip(*held, strict=True))
+    repeated = _least(h, d)
+    on, off = np.flatnonzero(~repeated), np.flatnonzero(repeated)
+    out = [(b, None, hashblocks.pack(h[on[at]], d[on[at]], p[on[at]], WIDTH)) for b, at in hashblocks.by_bucket(h[on], buckets)]
+    out += [(part % buckets, part, body) for part, body in _home(d[off], p[off], parts)]
+    bucket, part, body = zip(*out, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(part, pa.int64()), pa.array(body, pa.binary())], names=["bucket", "part", "body"])
 
 
 def repeated_windows(docs: DataFrame, *, id_col: str, text_col: str, length: int = LENGTH, buckets: int | None = None) -> DataFrame:
     """(doc_id, starts): packed first-word positions of windows that also start in a smaller document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     buckets = buckets or max(32, -(-text_bytes(docs, "text") // BUCKET_BYTES))
+    parts = -(-buckets // PER_PART)
 
     def windows(batches):
         held, n = [], 0
@@ -78,29 +93,34 @@ def repeated_windows(docs: DataFrame, *, id_col: str, text_col: str, length: int
                 held.append((h[inside], ids[lo:hi][text], (at - w.first[text]).astype(np.int32)))
                 n += len(at)
                 if n >= FLUSH:
-                    yield _deal(held, buckets)
+                    yield _deal(held, buckets, parts)
                     held, n = [], 0
         if held:
-            yield _deal(held, buckets)
+            yield _deal(held, buckets, parts)
 
     def count(group: pa.Table) -> pa.Table:
-        known = group.filter(pa.compute.is_valid(group["doc_id"]))
-        blocks = [hashblocks.unpack(x) for x in group.filter(pa.compute.is_null(group["doc_id"]))["body"].to_pylist()]
-        out_doc, out_body = known["doc_id"].to_pylist(), known["body"].to_pylist()
+        known = group.filter(pa.compute.is_valid(group["part"]))
+        blocks = [hashblocks.unpack(x, width=WIDTH) for x in group.filter(pa.compute.is_null(group["part"]))["body"].to_pylist()]
+        part, body = known["part"].to_pylist(), known["body"].to_pylist()
         if blocks:
             h, d, p = (np.concatenate(x) for x in zip(*blocks, strict=True))
-            order = np.argsort(h, kind="stable")
-            cut = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]])
-            least = np.repeat(np.minimum.reduceat(d[order], cut), np.diff(np.r_[cut, len(h)]))
-            repeated = order[d[order] > least]
-            repeated.sort()
-            for doc, lo, hi in hashblocks.runs(d[repeated]):
-                out_doc.append(doc)
-                out_body.append(p[repeated[lo:hi]].astype("<i4").tobytes())
-        return pa.table({"doc_id": pa.array(out_doc, pa.int64()), "starts": pa.array(out_body, pa.binary())})
+            repeated = _least(h, d)
+            for k, x in _home(d[repeated], p[repeated], parts):
+                part.append(k)
+                body.append(x)
+        return pa.table({"part": pa.array(part, pa.int64()), "body": pa.array(body, pa.binary())})
+
+    def gather(group: pa.Table) -> pa.Table:
+        raw = [(x, len(x) // 12) for x in group["body"].to_pylist()]
+        d = np.concatenate([np.frombuffer(x[: 8 * n], "<i8") for x, n in raw])
+        p = np.concatenate([np.frombuffer(x[8 * n :], "<i4") for x, n in raw])
+        order = np.lexsort((p, d))
+        rows = [(doc, p[order[lo:hi]].tobytes()) for doc, lo, hi in hashblocks.runs(d[order])]
+        return pa.table({"doc_id": pa.array([x for x, _ in rows], pa.int64()), "starts": pa.array([x for _, x in rows], pa.binary())})
 
-    dealt = docs.mapInArrow(windows, "bucket long, doc_id long, body binary")
-    return dealt.groupBy("bucket").applyInArrow(count, "doc_id long, starts binary")
+    dealt = docs.mapInArrow(windows, "bucket long, part long, body binary")
+    counted = dealt.groupBy("bucket").applyInArrow(count, "part long, body binary")
+    return counted.groupBy("part").applyInArrow(gather, "doc_id long, starts binary")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, texts: bool = True, buckets: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -110,7 +130,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     the maximal removal intervals as word positions (start, end exclusive).
     """
     found = repeated_windows(docs, id_col=id_col, text_col=text_col, length=length, buckets=buckets)
-    found = found.groupBy(F.col("doc_id").alias("_sub_id")).agg(F.collect_list("starts").alias("_sub_starts"))
+    found = found.select(F.col("doc_id").alias("_sub_id"), F.col("starts").alias("_sub_starts"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_sub_text"), *keep)
     rows = rows.join(found, F.col("doc_id") == F.col("_sub_id"), "left").drop("_sub_id")
     fields = [f for f in rows.schema.fields if not f.name.startswith("_sub_")]
@@ -124,7 +144,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 cover = np.zeros(len(w.starts) + 1, dtype=np.int32)
                 for i, packed in enumerate(starts[lo:hi].to_pylist()):
                     if packed:
-                        at = np.frombuffer(b"".join(packed), "<i4").astype(np.int64)
+                        at = np.frombuffer(packed, "<i4").astype(np.int64)
                         at = np.unique(at[at + length <= w.counts[i]]) + w.first[i]
                         cover[at] += 1
                         cover[at + length] -= 1
