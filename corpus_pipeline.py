@@ -8,6 +8,7 @@ tokens.  ``n_chars`` follows the text.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geolink.llm import line_dedup, mixing, ngram_join, quality_classifier, sentencepiece_codec
@@ -32,10 +33,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates (word 5-grams, Jaccard 0.75 or more) the smallest id stays."""
+    """Of every group of near duplicates (word 5-grams, Jaccard 0.75 or more) the smallest id stays, once.
+
+    A document without an id belongs to no group and stays.
+    """
+    docs = docs.select(*COLUMNS)
     groups, _ = ngram_join.join(docs, Scratch(spark, "pipeline-near"))
-    leaders = groups.where("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_leader")).distinct()
-    return docs.join(leaders, F.col("doc_id").eqNullSafe(F.col("_leader")), "left_semi").select(*COLUMNS)
+    leaders = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_leader")).distinct()
+    rows = docs.join(leaders, F.col("doc_id") == F.col("_leader")).drop("_leader")
+    once = rows.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id").orderBy("n_chars"))).where("_nth = 1").drop("_nth")
+    return once.unionByName(docs.where("doc_id is null"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -74,6 +74,26 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Bits of a sieve: 4 MB, whatever it holds.
+SIEVE_BITS = 1 << 25
+
+
+def sieve(big: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """Rows of ``big`` whose key may be among ``wanted``'s: a one-hash Bloom filter of fixed size.
+
+    The filter is broadcast as 32,768-bit rows, so a big side loses most of its
+    unwanted rows before a shuffle join decides exactly.  With more keys than bits
+    it passes everything, which costs the shuffle and no row.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS)) + 1
+    at = wanted.select(place(F.col(wanted_key)).alias("_p"))
+    bits = at.groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    rows = big.withColumn("_p", place(F.col(key))).withColumn("_at", F.bitmap_bit_position("_p"))
+    rows = rows.join(F.broadcast(bits), F.bitmap_bucket_number("_p") == F.col("_bucket"))
+    byte = F.conv(F.hex(F.substr("_bits", (F.floor(F.col("_at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return rows.where(F.pmod(F.floor(byte / F.pow(F.lit(2), F.col("_at") % 8)), F.lit(2)) == 1).select(*big.columns)
+
+
 def text_bytes(df: DataFrame, col: str) -> int:
     """UTF-8 bytes of a text column, to size hash buckets by."""
     return int(df.agg(F.sum(F.octet_length(col))).first()[0] or 0)

@@ -301,6 +301,8 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, *, id_col: str = "vec_
     links = answers.groupBy("id").agg(F.sum("links").alias("links"))
     result = nodes.join(links.withColumnRenamed("id", "_a"), F.col("id") == F.col("_a"), "left").join(joined, F.col("id") == F.col("node"), "left")
     result = scratch.keep(result.select("v", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("component", "id").alias("component")), "result")
+    for name in ("nodes", "placed", "core", "sizes", "members", "beside", "answers"):
+        scratch.drop(name)
     scaled = F.when(F.col("v").isNotNull() & (F.size("v") > 0) & ~bad & (most > 0), F.transform("v", lambda e: e / most))
     out = rows.withColumn("w", scaled).join(result.withColumnRenamed("v", "_v"), F.col("w") == F.col("_v"), "left")
     own = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
@@ -333,3 +335,19 @@ def recall(vectors: DataFrame, found: DataFrame, *, id_col: str = "vec_id", vect
 
 def op10_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark, "op10"))
+
+
+SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), u AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE list_dot_product(e, e) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95
+), r AS (
+  SELECT vec_id AS id, vec_id AS c FROM embeddings UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.id
+)
+SELECT vec_id, coalesce(k.n, 0)::BIGINT AS n_links, m.c AS component_id, m.c = vec_id AS kept
+FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) k ON k.a = vec_id JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) m ON m.id = vec_id
+"""

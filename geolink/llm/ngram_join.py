@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolink.llm import hashblocks
-from geolink.llm.common import Scratch, small, table, text_bytes
+from geolink.llm.common import Scratch, sieve, small, table, text_bytes
 from geolink.llm.components import components
 from geolink.llm.textkernel import chunks, mix, run_hashes, window_hashes, word_hashes, words
 
@@ -163,7 +163,7 @@ def survivor_sets(docs: DataFrame, survivors: DataFrame, n: int) -> DataFrame:
                 rep, size, grams = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(size, pa.int64()), pa.array(grams, pa.binary())], names=["rep", "n", "grams"])
 
-    return docs.join(survivors, F.col("doc_id") == F.col("rep")).select("rep", "s1", "text").mapInArrow(read, "rep long, n long, grams binary")
+    return sieve(docs, "doc_id", survivors, "rep").join(survivors, F.col("doc_id") == F.col("rep")).select("rep", "s1", "text").mapInArrow(read, "rep long, n long, grams binary")
 
 
 def frequencies(sets: DataFrame, buckets: int) -> DataFrame:
@@ -378,8 +378,10 @@ def join(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col:
     near = answers.where(linked(F.col("overlap"), F.col("n_pivot"), F.col("n"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
     pairs = scratch.keep(open_pairs(index, components(near, scratch, "near"), scratch), "open")
     far = scratch.keep(derived_answers(pairs, answers), "derived")
-    links = near.union(far).distinct()
+    links = scratch.keep(near.union(far).distinct(), "links")
     joined = components(links, scratch, "all")
+    for name in ("survivors", "index", "first", "pairs", "salted", "answers", "entries", "lists", "open", "derived"):
+        scratch.drop(name)
 
     member = classes.join(joined, F.col("rep") == F.col("node"), "left").select(
         F.col("n").alias("_n"), F.col("s1").alias("_s1"), F.col("s2").alias("_s2"), "rep", F.coalesce("component", "rep").alias("component")
@@ -396,3 +398,24 @@ def join(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col:
 def op4_ngram_join(spark, sf_dir: str) -> DataFrame:
     out, _ = join(table(spark, sf_dir, "documents"), Scratch(spark, "op4"))
     return out.select("doc_id", "n_shingles", "component_id")
+
+
+SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+), w AS (
+  SELECT doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d
+), g AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(ws) < 5 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 4], ' ') END AS gram
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 3))) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+), e AS (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.gram = y.gram AND x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN n na ON na.doc_id = p.a JOIN n nb ON nb.doc_id = p.b WHERE 100 * c >= 75 * (na.n + nb.n - c)
+), r AS (
+  SELECT doc_id AS id, doc_id AS c FROM d UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id
+)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.c AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) m ON m.id = d.doc_id
+"""

@@ -13,7 +13,7 @@ driver; scoring runs over every passage of every text in Arrow batches.
 Defined results
     null or blank text  a bag with one all-zero passage; it gets a score like any other
     very long texts     all passages, counted chunk by chunk
-    no labels           an error: there is nothing to learn from (one class only: a constant score)
+    no labels           nothing to learn from: every score is 0.5, so nothing is rejected
     several labels      of one id: the smallest
     null label, null id in labels  ignored
     null id             scored; not held out
@@ -172,7 +172,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
     got = rows.mapInArrow(read, "doc_id long, y int, bag binary").toArrow().sort_by([("doc_id", "ascending"), ("bag", "ascending")])
     if not len(got):
-        raise ValueError("no labelled documents to learn from")
+        blank = train([np.zeros((1, WIDTH), np.float32)] * 2, np.array([0, 1]), steps=0)
+        blank.weights["c"] = np.zeros_like(blank.weights["c"])
+        return blank
     bags = [np.frombuffer(b.as_buffer(), "<f2").reshape(-1, WIDTH).astype(np.float32) for b in got["bag"]]
     return train(bags, got["y"].to_numpy())
 

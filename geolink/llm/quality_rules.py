@@ -20,11 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geolink.llm.common import SPACES, table, text_or_empty, word_list
+from geolink.llm.common import SPACE_CLASS, SPACES, table, text_or_empty, word_list
 
 SYMBOLS = "#*$%&|<>"
+SOLID = f"[^{SPACE_CLASS}]"
 MENU = r"(?i)^[ \t]*(home|menu|search|log ?in|sign ?in|sign ?up|register|next|previous|back|share|print|contact|about us|site ?map|skip to content|read more)[ \t.>|:]*$"
-NOTICE = r"(?i)(all rights reserved|licensed under|released under|this work is licensed|terms of (use|service)|privacy policy|uses? cookies|accept cookies|enable javascript|click here|subscribe (now|to our)|sign up for our newsletter)"
+NOTICE = r"(?i)(?:^|[^a-zA-Z])(all rights reserved|licensed under|released under|this work is licensed|terms of (use|service)|privacy policy|uses? cookies|accept cookies|enable javascript|click here|subscribe (now|to our)|sign up for our newsletter)"
 MIN_WORDS = 50
 #: Most percent of words inside repeated three-word windows, and most percent of words lost with removed lines.
 MAX_REPEAT, MAX_LOST = 50, 50
@@ -39,30 +40,35 @@ def _solid(line: Column) -> Column:
 
 
 def line_passes(line: Column) -> Column:
-    """True for a line with a word that breaks none of the line rules."""
+    """True for a line with a word that breaks none of the line rules.
+
+    Counting is dear, so it waits until a pattern has found something to count.
+    """
     solid = _solid(line)
-    punctuation = (_count(line, SYMBOLS) * 10 > solid) | (_count(line, "!") * 10 > solid)
-    navigation = (_count(line, "|»›") >= 3) | line.rlike(MENU)
-    return (solid > 0) & ~punctuation & ~navigation & ~line.rlike(NOTICE)
+    punctuation = line.rlike(r"[#*$%&|<>!]") & ((_count(line, SYMBOLS) * 10 > solid) | (_count(line, "!") * 10 > solid))
+    navigation = line.rlike(r"[|»›][^|»›]*[|»›][^|»›]*[|»›]") | line.rlike(MENU)
+    return line.rlike(SOLID) & ~punctuation & ~navigation & ~line.rlike(NOTICE)
 
 
 def clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Judge every row: base counts, ``base_failed``, ``lost_words``, ``kept`` and the cleaned ``text``."""
     lines = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_t"), *keep)
-    lines = lines.withColumn("_words", word_list(F.col("_t"))).withColumn("_lines", F.filter(F.split("_t", "\n"), lambda l: _solid(l) > 0))
-    lines = lines.withColumn("n_words", F.size("_words").cast("long")).withColumn("_clean", F.array_join(F.array_distinct(F.filter("_lines", line_passes)), "\n"))
+    lines = lines.withColumn("_words", word_list(F.col("_t"))).withColumn("_lines", F.filter(F.split("_t", "\n"), lambda l: l.rlike(SOLID)))
+    lines = lines.withColumn("n_words", F.size("_words").cast("long")).withColumn("_kept", F.array_distinct(F.filter("_lines", line_passes)))
     grams = F.when(
         F.col("n_words") >= 3,
         F.transform(F.slice("_words", 1, F.size("_words") - 2), lambda w, i: F.struct(F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)).alias("h"), i.alias("i"))),
     )
-    sorted_ = lines.withColumn("_grams", F.array_sort(grams))
+    lines = lines.withColumn("_clean", F.array_join("_kept", "\n"))
+    sorted_ = lines.withColumn("_grams", F.sort_array(grams))
     repeated = F.filter("_grams", lambda g, i: (g["h"] == F.get("_grams", i - 1)["h"]) | (g["h"] == F.get("_grams", i + 1)["h"]))
     covered = F.size(F.array_distinct(F.flatten(F.transform(repeated, lambda g: F.array(g["i"], g["i"] + 1, g["i"] + 2)))))
     counted = sorted_.select(
-        "doc_id", "n_words", _solid(F.col("_t")).cast("long").alias("word_chars"), _count(F.col("_t"), SYMBOLS).cast("long").alias("n_symbols"),
+        "doc_id", "n_words", F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
+        F.when(F.col("_t").rlike("[#*$%&|<>]"), _count(F.col("_t"), SYMBOLS)).otherwise(0).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("_grams").isNull(), 0).otherwise(covered).cast("long").alias("n_repeat_words"),
-        (F.col("n_words") - F.size(word_list(F.col("_clean")))).cast("long").alias("lost_words"), F.col("_clean").alias("text"), *keep,
+        F.when(F.size("_kept") == F.size("_lines"), 0).otherwise(F.col("n_words") - F.size(word_list(F.col("_clean")))).cast("long").alias("lost_words"), F.col("_clean").alias("text"), *keep,
     )
     failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT)
     return counted.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("lost_words") * 100 <= F.col("n_words") * MAX_LOST))
@@ -86,7 +92,7 @@ WITH d AS (
   SELECT *, NOT ((length(line) - length(translate(line, '#*$%&|<>', ''))) * 10 > solid OR (length(line) - length(translate(line, '!', ''))) * 10 > solid
       OR length(line) - length(translate(line, '|»›', '')) >= 3
       OR regexp_matches(line, '(?i)^[ \t]*(home|menu|search|log ?in|sign ?in|sign ?up|register|next|previous|back|share|print|contact|about us|site ?map|skip to content|read more)[ \t.>|:]*$')
-      OR regexp_matches(line, '(?i)(all rights reserved|licensed under|released under|this work is licensed|terms of (use|service)|privacy policy|uses? cookies|accept cookies|enable javascript|click here|subscribe (now|to our)|sign up for our newsletter)')) AS passes
+      OR regexp_matches(line, '(?i)(?:^|[^a-zA-Z])(all rights reserved|licensed under|released under|this work is licensed|terms of (use|service)|privacy policy|uses? cookies|accept cookies|enable javascript|click here|subscribe (now|to our)|sign up for our newsletter)')) AS passes
   FROM l1 WHERE w > 0
 ), l AS (
   SELECT rid, sum(CASE WHEN nth > 1 THEN 1 ELSE 0 END) AS n_dup_lines, sum(CASE WHEN nth > 1 OR NOT passes THEN w ELSE 0 END) AS lost_words FROM l2 GROUP BY rid

@@ -20,6 +20,8 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_mixing": mixing.SQL,
     "op3_substring_dedup": substring_dedup.SQL,
+    "op4_ngram_join": ngram_join.SQL,
     "op5_line_dedup": line_dedup.SQL,
     "op8_quality_rules": quality_rules.SQL,
+    "op10_embedding_dedup": embedding_dedup.SQL,
 }

@@ -77,7 +77,8 @@ def op2_sharding(spark, sf_dir: str) -> DataFrame:
     return assign(table(spark, sf_dir, "documents"), Scratch(spark, "op2"))
 
 
-SQL = r"""
+#: The law alone; slots have no SQL form.
+LAW_SQL = r"""
 WITH s AS (SELECT range::INTEGER AS shard FROM range(17)),
 r AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents

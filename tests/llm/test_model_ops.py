@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from geolink.llm import html_extraction as H
 from geolink.llm import quality_classifier as Q
@@ -62,8 +63,8 @@ def test_classifier_edges_and_chunks(spark, sf):
     assert len(got) == 4 and all(0 <= r.score <= 1 for r in got)
     assert len({r.score for r in got if r.doc_id == 1}) == 1
     assert Q.score(df.where("false"), model).count() == 0
-    with pytest.raises(ValueError):
-        Q.fit(df, spark.createDataFrame([], "doc_id long, quality int"))
+    unlearned = Q.fit(df, spark.createDataFrame([], "doc_id long, quality int"))
+    assert {(r.score, r.predicted) for r in Q.score(df, unlearned).collect()} == {(0.5, 1)}
 
 
 def test_gradient_of_attention_model():
@@ -138,3 +139,18 @@ def test_pipeline_against_brute_force(spark, sf):
         ids = np.array([1, *codec.library.encode(left[r.doc_id]), 2], "<u4")
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(left[r.doc_id].encode()).hexdigest()
+
+
+def test_stages_on_edges(spark, sf):
+    import corpus_pipeline as P
+
+    rows = [(1, "one two three four five six", "en", "a", 27), (1, "one two three four five six", "en", "a", 27), (2, None, None, None, None), (3, "", "en", None, 0), (None, "no id\nat all\nfor this", "en", "b", 23), (4, "word " * 50_000, "en", "c", 250_000)]
+    names = ["size", "score", "predicted", "_text", "_leader", "target", "copies", "_id", "h", "starts", "source_size", "_mix_bucket", "component_id", "rep", "n", "bucket"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in names:
+        docs = docs.withColumn(name, F.lit("x"))
+    for k, (_, stage) in enumerate(P.STAGES):
+        out = stage(spark, docs, sf)
+        assert out.count() > 0 and (k == len(P.STAGES) - 1 or out.columns == list(P.COLUMNS))
+        assert stage(spark, docs.where("false"), sf).count() == 0
+    assert sorted(r.doc_id for r in P.dedup_documents(spark, docs, sf).where("doc_id is not null").collect()) == [1, 2, 3, 4]

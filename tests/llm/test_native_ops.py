@@ -78,6 +78,10 @@ def test_shards(spark, sf):
     assert 0 < moved < len(rows) / 6
 
 
+def test_law_in_sql(same):
+    same(lambda spark, sf: QUERIES["op2_sharding"](spark, sf).select("doc_id", "size", "shard", "grown_shard"), sharding.LAW_SQL)
+
+
 def test_weighted_shards_follow_their_weights(spark):
     keys = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
     got = Counter(r.s for r in keys.select(sharding.shard_of(F.col("k"), 3, (1.0, 2.0, 0.0)).alias("s")).collect())
