@@ -21,6 +21,7 @@ from geolink.session import shared_dir
 from geolink.sources import adaptors as A
 from geolink.sources import catalogue as C
 from geolink.sources import cube as Q
+from geolink.sources.sinks import temporary_cube
 from geolink.sources.stash import Stash, key_column, pop_last
 from geolink.streaming.stream_link import link_stream
 
@@ -43,11 +44,7 @@ def _r(name: str, digits: int = 6):
     return (F.round(F.col(name), digits) + F.lit(0.0)).alias(name)
 
 
-def _obs98(spark, sf):
-    return observations(spark, sf).where(F.year("d") == 1998)
-
-
-_OBS98 = "SELECT * FROM cells WHERE year(d) = 1998"
+_OBS = "SELECT * FROM cells"
 _SPAN = "SELECT o.id, avg(c.v) AS linked FROM o JOIN cube c ON c.ix = o.ix AND c.iy = o.iy AND c.t BETWEEN o.d - 3 AND o.d GROUP BY o.id"
 _CLIM = "SELECT strftime(t, '%m-%d') AS md, ix, iy, sum(v) AS s, count(v) AS n FROM cube WHERE year(t) BETWEEN 1995 AND 1996 GROUP BY ALL"
 _BASE = "SELECT id, sum(s) / sum(n) AS baseline FROM (SELECT DISTINCT o.id, o.ix, o.iy, strftime(o.d - k.range::INT, '%m-%d') AS md FROM o, range(4) AS k) w JOIN clim USING (md, ix, iy) GROUP BY id"
@@ -55,10 +52,10 @@ _BASE = "SELECT id, sum(s) / sum(n) AS baseline FROM (SELECT DISTINCT o.id, o.ix
 
 @query("flagship_link", sql(
     "SELECT o.id, o.d, round(linked, 6) AS linked, round(baseline, 6) AS baseline, round(linked - baseline, 6) + 0.0::DOUBLE AS deviation FROM o LEFT JOIN s USING (id) LEFT JOIN b USING (id)",
-    "obs", "cells", "cube", o=_OBS98, s=_SPAN, clim=_CLIM, b=_BASE))
+    "obs", "cells", "cube", o=_OBS, s=_SPAN, clim=_CLIM, b=_BASE))
 def flagship_link(spark: SparkSession, sf: str) -> DataFrame:
     """Four-day span mean with 1995-1996 baseline and deviation, through the public entry point."""
-    out = api.link_daily(_obs98(spark, sf), cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d", time_span=3, baseline=(1995, 1996))
+    out = api.link_daily(observations(spark, sf), cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d", time_span=3, baseline=(1995, 1996))
     return out.select("id", "d", _r("linked"), _r("baseline"), _r("deviation"))
 
 
@@ -77,14 +74,14 @@ def jn2(spark, sf):
     return api.link_daily(obs, cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d").select("id", "linked")
 
 
-@query("jn3_span_link", sql("SELECT o.id, round(linked, 6) AS linked FROM cells o LEFT JOIN s USING (id)", "obs", "cells", "cube", o="SELECT * FROM cells", s=_SPAN))
+@query("jn3_span_link", sql("SELECT o.id, round(linked, 6) AS linked FROM cells o LEFT JOIN s USING (id)", "obs", "cells", "cube", o=_OBS, s=_SPAN))
 def jn3(spark, sf):
     return api.link_daily(observations(spark, sf), cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d", time_span=3).select("id", _r("linked"))
 
 
-@query("jn4_baseline", sql("SELECT o.id, round(baseline, 6) AS baseline FROM o LEFT JOIN b USING (id)", "obs", "cells", "cube", o=_OBS98, clim=_CLIM, b=_BASE))
+@query("jn4_baseline", sql("SELECT o.id, round(baseline, 6) AS baseline FROM o LEFT JOIN b USING (id)", "obs", "cells", "cube", o=_OBS, clim=_CLIM, b=_BASE))
 def jn4(spark, sf):
-    obs = _obs98(spark, sf)
+    obs = observations(spark, sf)
     rows = X.cell_rows(obs, "id", GRID.buffer(F.col("lon"), F.col("lat"), 0), F.col("d"))
     return X.attach(obs, "id", X.baseline_mean(rows, cube(spark, sf), 1995, 1996, 3, single_cell=True), "baseline").select("id", _r("baseline"))
 
@@ -106,7 +103,8 @@ def jn5(spark, sf):
 
 @query("jn5_polygon_cells", sql("SELECT p, ix, iy FROM pc", "edges", "grid", **{k: v for k, v in _POLY.items() if k != "pd"}))
 def jn5_cells(spark, sf):
-    one = polygons(spark).where(F.col("id") % 10 == 0).select(F.floor(F.col("id") / 10).cast("int").alias("p"), F.explode(GRID.cover(F.col("rings"))).alias("c"))
+    each = polygons(spark).select(F.floor(F.col("id") / 10).cast("int").alias("p"), "rings").distinct()
+    one = each.select("p", F.explode(GRID.cover(F.col("rings"))).alias("c"))
     return one.select("p", "c.ix", "c.iy")
 
 
@@ -120,16 +118,16 @@ def _buffer(km: float) -> dict[str, str]:
 
 @query("jn6_buffer_link", sql(
     "SELECT o.id, round(m, 6) AS linked FROM o LEFT JOIN (SELECT bc.id, avg(v) AS m FROM bc JOIN cube c ON c.t = bc.d AND c.ix = bc.ix AND c.iy = bc.iy GROUP BY bc.id) AS a USING (id)",
-    "obs", "cells", "cube", "grid", o=_OBS98, **_buffer(60)))
+    "obs", "cells", "cube", "grid", o=_OBS, **_buffer(60)))
 def jn6(spark, sf):
-    return api.link_daily(_obs98(spark, sf), cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d", buffer_km=60.0).select("id", _r("linked"))
+    return api.link_daily(observations(spark, sf), cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d", buffer_km=60.0).select("id", _r("linked"))
 
 
 @query("agg3_two_stage_mean", sql(
     "SELECT o.id, round(m, 6) AS linked FROM o LEFT JOIN (SELECT id, avg(cm) AS m FROM (SELECT bc.id, c.ix, c.iy, avg(v) AS cm FROM bc JOIN cube c ON c.t BETWEEN bc.d - 3 AND bc.d AND c.ix = bc.ix AND c.iy = bc.iy GROUP BY ALL) GROUP BY id) AS a USING (id)",
-    "obs", "cells", "cube", "grid", o=_OBS98, **_buffer(90)))
+    "obs", "cells", "cube", "grid", o=_OBS, **_buffer(90)))
 def agg3(spark, sf):
-    return api.link_daily(_obs98(spark, sf), cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d", buffer_km=90.0, time_span=3).select("id", _r("linked"))
+    return api.link_daily(observations(spark, sf), cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d", buffer_km=90.0, time_span=3).select("id", _r("linked"))
 
 
 @query("agg4_climatology", sql("SELECT md, ix, iy, round(s / n, 6) AS mean, n FROM clim", "cube", clim=_CLIM))
@@ -153,20 +151,33 @@ def jn7(spark, sf):
     return M.left_merge(x, read(spark, sf, "supplier").select("s_suppkey", "s_nationkey", "s_name"), "c_nationkey", "s_nationkey", "c_custkey", "s_suppkey")
 
 
+def _nuts(nation: str):
+    """Level 1 to 3 of a nation key, and an area id of that level."""
+    level = (F.col(nation) % 3 + 1).cast("int")
+    return level, F.concat(F.lit("DE"), F.substring(F.lpad(F.col(nation).cast("string"), 3, "1"), F.lit(1), level))
+
+
 def _areas(spark, sf):
-    n = read(spark, sf, "nation")
-    return n.select(F.lit("nuts").alias("source"), (F.col("n_nationkey") % 4).cast("string").alias("level"),
-        F.concat(F.lit("DE"), F.substring(F.lpad(F.col("n_nationkey").cast("string"), 3, "1"), 1, (F.col("n_nationkey") % 4).cast("int"))).alias("area_id"), "n_name")
+    level, area = _nuts("n_nationkey")
+    return read(spark, sf, "nation").select(F.lit("nuts").alias("source"), level.cast("string").alias("level"), area.alias("area_id"), "n_name")
+
+
+_NUTS = """
+WITH ref AS (SELECT n_nationkey % 3 + 1 AS level, 'DE' || substr(lpad(n_nationkey::VARCHAR, 3, '1'), 1, n_nationkey % 3 + 1) AS area_id, min(n_name) AS n_name FROM nation GROUP BY ALL),
+ids AS (SELECT c_custkey, 'DE' || substr(lpad(c_nationkey::VARCHAR, 3, '1'), 1, c_nationkey % 3 + 1) AS id FROM customer)
+"""
 
 
-@query("jn8_enrich", """
-WITH ref AS (SELECT n_nationkey % 4 AS level, 'DE' || substr(lpad(n_nationkey::VARCHAR, 3, '1'), 1, n_nationkey % 4) AS area_id, min(n_name) AS n_name FROM nation GROUP BY ALL),
-ids AS (SELECT c_custkey, 'DE' || substr(lpad(c_nationkey::VARCHAR, 3, '1'), 1, c_nationkey % 4) AS id FROM customer WHERE c_nationkey % 4 > 0)
-SELECT c_custkey, id, 'DE' AS country, (length(id) - 2)::VARCHAR AS level, n_name FROM ids LEFT JOIN ref ON ref.area_id = ids.id AND ref.level = length(id) - 2""")
+@query("jn8_enrich", _NUTS + "SELECT c_custkey, id, 'DE' AS country, (length(id) - 2)::VARCHAR AS level, n_name FROM ids LEFT JOIN ref ON ref.area_id = ids.id AND ref.level = length(id) - 2")
 def jn8(spark, sf):
-    c = read(spark, sf, "customer").where(F.col("c_nationkey") % 4 > 0)
-    ids = c.select("c_custkey", F.concat(F.lit("DE"), F.substring(F.lpad(F.col("c_nationkey").cast("string"), 3, "1"), 1, (F.col("c_nationkey") % 4).cast("int"))).alias("id"))
-    return E.enrich(ids, _areas(spark, sf), "id")
+    return E.enrich(read(spark, sf, "customer").select("c_custkey", _nuts("c_nationkey")[1].alias("id")), _areas(spark, sf), "id")
+
+
+@query("str12_enrich_dispatch", _NUTS + "SELECT c_custkey, id, 'XX' AS country, '2' AS level, n_name FROM ids LEFT JOIN ref ON ref.area_id = ids.id AND ref.level = 2")
+def str12(spark, sf):
+    """Type, country and level named by the caller take the place of what the ids say."""
+    rows = read(spark, sf, "customer").select("c_custkey", _nuts("c_nationkey")[1].alias("id"))
+    return E.enrich(rows, _areas(spark, sf), "id", type="nuts", country="XX", level="2")
 
 
 @query("jn9_bind_layers", sql("SELECT t.tx, t.ty, n.v AS near, p.v AS next_day FROM targets t LEFT JOIN cube n ON n.t = DATE '1998-03-03' AND n.ix = floor(t.lon - 5) AND n.iy = floor(51 - t.lat) LEFT JOIN cube p ON p.t = DATE '1998-03-04' AND p.ix = floor(t.lon - 5) AND p.iy = floor(51 - t.lat)", "targets", "cube"))
@@ -377,14 +388,14 @@ def dt2(spark, sf):
     return observations(spark, sf).select("id", D.link_date(d, 10).alias("back"), D.link_date(d, -5).alias("ahead"), D.link_date(d, 2, "month").alias("months_back"))
 
 
-@query("dt4_sequence", sql("SELECT id, (d - k.range::INT) AS day FROM obs, range(4) AS k WHERE id % 10 = 0", "obs"))
+@query("dt4_sequence", sql("SELECT id, (d - k.range::INT) AS day FROM obs, range(4) AS k", "obs"))
 def dt4(spark, sf):
-    return observations(spark, sf).where("id % 10 = 0").select("id", F.explode(D.span_dates(F.col("d"), 3)).alias("day"))
+    return observations(spark, sf).select("id", F.explode(D.span_dates(F.col("d"), 3)).alias("day"))
 
 
-@query("dt4_month_sequence", sql("SELECT id, (date_trunc('month', d) - to_months(k.range::INT))::DATE AS month FROM obs, range(3) AS k WHERE id % 10 = 0", "obs"))
+@query("dt4_month_sequence", sql("SELECT id, (date_trunc('month', d) - to_months(k.range::INT))::DATE AS month FROM obs, range(3) AS k", "obs"))
 def dt4_months(spark, sf):
-    return observations(spark, sf).where("id % 10 = 0").select("id", F.explode(D.span_dates(D.link_date(F.col("d"), 0, "month"), 2, "month")).alias("month"))
+    return observations(spark, sf).select("id", F.explode(D.span_dates(D.link_date(F.col("d"), 0, "month"), 2, "month")).alias("month"))
 
 
 @query("dt5_parts", sql("SELECT id, year(d)::INT AS year, month(d)::INT AS month, day(d)::INT AS day, strftime(d, '%m-%d') AS md FROM obs", "obs"))
@@ -511,12 +522,12 @@ def jsn1(spark, sf):
     return read(spark, sf, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-_KEY = "sha256('{\"a\":\"' || c_name || '\",\"b\":\"' || c_mktsegment || '\",\"service\":\"ecmwfr\"}')"
+_KEY = "sha256('{\"a\":\"' || c_name || '\",\"b\":\"' || c_mktsegment || '\",\"service\":\"cube\"}')"
 
 
 @query("hsh1_request_key", f"SELECT c_custkey, {_KEY} AS key FROM customer")
 def hsh1(spark, sf):
-    return read(spark, sf, "customer").select("c_custkey", key_column({"b": F.col("c_mktsegment"), "a": F.col("c_name"), "service": F.lit("ecmwfr")}).alias("key"))
+    return read(spark, sf, "customer").select("c_custkey", key_column({"b": F.col("c_mktsegment"), "a": F.col("c_name"), "service": F.lit("cube")}).alias("key"))
 
 
 @query("sta3_pop", "WITH i AS (SELECT c_custkey AS seq, c_mktsegment || (c_custkey % 7) AS key, c_name AS path FROM customer) SELECT * FROM i WHERE key NOT IN (SELECT key FROM i ORDER BY seq DESC LIMIT 3)")
@@ -613,9 +624,9 @@ def api4(spark, sf):
 @query("api3_monthly_link", sql(
     "SELECT o.id, round(s.v, 6) AS linked, round(b.v, 6) AS baseline FROM o LEFT JOIN (SELECT o.id, avg(c.v) AS v FROM o JOIN cube c ON c.ix = o.ix AND c.iy = o.iy AND date_trunc('month', c.t) BETWEEN date_trunc('month', o.d) - INTERVAL 2 MONTH AND date_trunc('month', o.d) - INTERVAL 1 MONTH GROUP BY o.id) s USING (id)"
     " LEFT JOIN (SELECT o.id, avg(c.v) AS v FROM o JOIN cube c ON c.ix = o.ix AND c.iy = o.iy AND year(c.t) BETWEEN 1995 AND 1996 AND month(c.t) IN (month(o.d - INTERVAL 1 MONTH), month(o.d - INTERVAL 2 MONTH)) GROUP BY o.id) b USING (id)",
-    "obs", "cells", "cube", o=_OBS98))
+    "obs", "cells", "cube", o=_OBS))
 def api3(spark, sf):
-    out = api.link_monthly(_obs98(spark, sf), cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d", time_lag=1, time_span=1, baseline=("1995", "1996"))
+    out = api.link_monthly(observations(spark, sf), cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d", time_lag=1, time_span=1, baseline=("1995", "1996"))
     return out.select("id", _r("linked"), _r("baseline"))
 
 
@@ -646,3 +657,138 @@ def stream(spark, sf):
     run = linked.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/log").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{where}/out")
+
+
+# further lines of the inventory, each through the library's own function
+
+
+@query("agg1_temporal_mean", sql("SELECT ix, iy, round(v, 9) AS value FROM layer", "cube", layer=_LAYER))
+def agg1(spark, sf):
+    return R.span_layer(cube(spark, sf), F.to_date(F.lit("1998-08-01")), 3).select("ix", "iy", _r("value", 9))
+
+
+@query("agg2_zonal_mean", sql(
+    "SELECT pd.id, round(m, 6) AS linked FROM pd LEFT JOIN (SELECT pd.id, avg(v) AS m FROM pd JOIN pc USING (p) JOIN cube c ON c.ix = pc.ix AND c.iy = pc.iy AND c.t = pd.d GROUP BY pd.id) AS a USING (id)",
+    "edges", "grid", "cube", **_POLY))
+def agg2(spark, sf):
+    return api.link_daily(polygons(spark), cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d", rings="rings").select("id", _r("linked"))
+
+
+@query("dt3_span_bounds", sql("SELECT id, d - 13 AS first, d - 10 AS last FROM obs", "obs"))
+def dt3(spark, sf):
+    last = D.link_date(F.col("d"), 10)
+    return observations(spark, sf).select("id", D.span_start(last, 3).alias("first"), last.alias("last"))
+
+
+@query("dt6_make_dates", "SELECT y, unnest(generate_series(make_date(y, 1, 1), make_date(y, 12, 31), INTERVAL 1 DAY))::DATE AS date FROM (SELECT DISTINCT year(l_shipdate)::INT AS y FROM lineitem)")
+def dt6(spark, sf):
+    """All months and all days of every year: impossible combinations go."""
+    years = read(spark, sf, "lineitem").select(F.year("l_shipdate").alias("y")).distinct()
+    every = lambda n: F.sequence(F.lit(1), F.lit(n))
+    return D.make_dates(years.select("y", F.array("y").alias("ys"), every(12).alias("ms"), every(31).alias("ds")), "ys", "ms", "ds").select("y", "date")
+
+
+@query("dt9_month_day", sql("SELECT strftime(d, '%m-%d') AS md, count(*) AS n FROM obs GROUP BY 1", "obs"))
+def dt9(spark, sf):
+    return observations(spark, sf).groupBy(D.month_day(F.col("d")).alias("md")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("prj1_link_date", sql("SELECT id, d, lon, lat, d AS link_date FROM obs", "obs"))
+def prj1(spark, sf):
+    return observations(spark, sf).withColumn("link_date", D.link_date(F.col("d")))
+
+
+@query("geo2_buffer_cells", sql("SELECT id, ix, iy FROM bc", "obs", "cells", "grid", o=_OBS, **_buffer(60)))
+def geo2(spark, sf):
+    return observations(spark, sf).select("id", F.explode(GRID.buffer(F.col("lon"), F.col("lat"), 60.0)).alias("c")).select("id", "c.ix", "c.iy")
+
+
+@query("geo4_projected_targets", sql("SELECT tx, ty, v AS linked FROM targets LEFT JOIN layer ON ix = floor(lon - 5) AND iy = floor(51 - lat)", "targets", "cube", layer="SELECT ix, iy, v FROM cube WHERE t = DATE '1998-08-01'"))
+def geo4(spark, sf):
+    """Target cells in EPSG:3035: each centre is brought back to the cube's system, then sampled."""
+    east, north = G.to_laea(F.col("lon"), F.col("lat"))
+    projected = targets(spark).select("tx", "ty", east.alias("e"), north.alias("n"))
+    lon, lat = G.from_laea(F.col("e"), F.col("n"))
+    centres = projected.select("tx", "ty", lon.alias("lon"), lat.alias("lat"))
+    return R.resample(centres, R.span_layer(cube(spark, sf), F.to_date(F.lit("1998-08-01"))), GRID, "near").select("tx", "ty", "linked")
+
+
+@query("geo5_geometry_kept", sql("SELECT o.id, o.lon, o.lat, c.v AS linked FROM cells o LEFT JOIN cube c ON c.t = o.d AND c.ix = o.ix AND c.iy = o.iy", "obs", "cells", "cube"))
+def geo5(spark, sf):
+    return api.link_daily(observations(spark, sf), cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d").select("id", "lon", "lat", "linked")
+
+
+@query("grd1_single_date", sql("SELECT t.tx, t.ty, round(l.x, 9) AS linked FROM targets t LEFT JOIN l USING (tx, ty)", "targets", "cube", layer="SELECT ix, iy, v FROM cube WHERE t = DATE '1998-03-03'", l=_resample_sql("bilinear", "layer")))
+def grd1(spark, sf):
+    return R.grid_link(targets(spark), cube(spark, sf), GRID, "1998-03-03").select("tx", "ty", _r("linked", 9))
+
+
+@query("grd3_baseline_method", _grid_api_sql("cubic", _LAYER, _BLAYER))
+def grd3(spark, sf):
+    """The method asked for resamples the baseline too; ``deviation`` is the two layers' difference."""
+    return R.grid_link(targets(spark), cube(spark, sf), GRID, "1998-08-01", span=3, baseline=(1995, 1996), method="cubic").select("tx", "ty", _r("linked", 9), _r("baseline", 9), _r("deviation", 9))
+
+
+@query("map2_request_defaults", "SELECT c_custkey, 'area=' || c_nationkey || ',format=grib,variable=' || c_mktsegment AS request FROM customer")
+def map2(spark, sf):
+    """Defaults overlaid with a row's own fields; the target's name is no part of a request."""
+    text = F.col("c_nationkey").cast("string")
+    own = F.create_map(F.lit("variable"), F.col("c_mktsegment"), F.lit("area"), text, F.lit("target"), F.col("c_name"))
+    defaults = F.create_map(F.lit("format"), F.lit("grib"), F.lit("variable"), F.lit("none"))
+    merged = F.map_concat(F.map_filter(defaults, lambda k, v: ~F.map_contains_key(own, k)), F.map_filter(own, lambda k, v: k != "target"))
+    parts = F.transform(F.array_sort(F.map_entries(merged)), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return read(spark, sf, "customer").select("c_custkey", F.array_join(parts, ",").alias("request"))
+
+
+@query("snk2_temporary_cube", sql("SELECT count(*) AS n, round(sum(v), 6) AS total FROM cube", "cube"))
+def snk2(spark, sf):
+    """A cube written for the time of a block, read again and deleted."""
+    with temporary_cube(cube(spark, sf)) as written:
+        row = written.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total")).first()
+    return spark.createDataFrame([tuple(row)], "n long, total double")
+
+
+@query("sta2_restore", "SELECT true AS first_wins, true AS lost_is_none, 1::BIGINT AS left_over")
+def sta2(spark, sf):
+    """The first of two entries with one key is found; when its file is lost it is forgotten for good."""
+    root = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
+    stash, request = Stash(spark, root, "test"), {"a": "test"}
+    for name in ("one", "two"):
+        spark.range(1).write.parquet(f"{root}/{name}")
+        stash.store(f"{root}/{name}", request | {"target": name})
+    first = stash.restore(request) == f"{root}/one"
+    fs, p = stash._fs(f"{root}/one")
+    fs.delete(p, True)
+    lost = stash.restore(request) is None
+    left = stash.get().count()
+    stash.destroy()
+    return spark.createDataFrame([(first, lost, left)], "first_wins boolean, lost_is_none boolean, left_over long")
+
+
+_CHECKS = (
+    ("val1_catalogue", lambda v: C.check_catalogue(v, "daily"), C.DAILY[0], "none"),
+    ("val2_indicator", lambda v: C.check_indicator(v, C.DAILY[0]), "2m_temperature", "none"),
+    ("val3_by_hour", C.check_by_hour, "23:00", "24:00"),
+    ("val4_statistic", C.check_statistic, "daily_mean", "daily_median"),
+    ("val5_time_zone", C.check_time_zone, "utc-12:00", "utc+15:00"),
+    ("val6_baseline", C.check_baseline, (1995, 1996), (1996, 1995)),
+)
+
+
+@query("val_arguments", "SELECT * FROM (VALUES ('val1_catalogue', true, true), ('val2_indicator', true, true), ('val3_by_hour', true, true), ('val4_statistic', true, true), ('val5_time_zone', true, true), ('val6_baseline', true, true)) AS t(name, accepts, rejects)")
+def val_arguments(spark, sf):
+    """Each argument check on a sound and on an unsound value."""
+
+    def passes(check, value) -> bool:
+        try:
+            check(value)
+        except ValueError:
+            return False
+        return True
+
+    return spark.createDataFrame([(name, passes(f, good), not passes(f, bad)) for name, f, good, bad in _CHECKS], "name string, accepts boolean, rejects boolean")
+
+
+@query("srt3_by_category")
+def srt3(spark, sf):
+    return C.indicators(spark).orderBy(F.desc("category"), "indicator")
