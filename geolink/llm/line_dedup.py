@@ -5,9 +5,11 @@ line hashes are winnowed: each window of ``window`` grams selects its smallest
 (the rightmost of equals) as a fingerprint, so any two documents that share a run
 of ``gram + window - 1`` lines share a fingerprint at the same place of it.
 
-Fingerprints that occur once go.  The positions of the others are joined and each
-match is extended both ways, to the whole runs for which its fingerprint stands;
-of equal runs the first by (document id, line) stays, and later ones are deleted.
+Only selected positions leave a document, each with the hashes of the runs around
+it, to the left and to the right, for which its fingerprint stands.  Fingerprints
+at one place only go.  The positions of the others are joined, and each match is
+extended both ways to those runs: of equal ones the first by (document id, line)
+stays, and later ones are deleted.
 Overlapping deleted runs merge, so longer matches are deleted whole.
 
 Keys meet only in partial aggregations and in joins against one row per key, which
@@ -49,16 +51,18 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: s
     rows = rows.select("doc_id", F.transform(solid, lambda l: F.xxhash64(l)).alias("h")).where(F.size("h") >= run)
     grams = F.transform(F.sequence(F.lit(0), F.size("h") - gram), lambda i: F.struct(F.xxhash64(F.slice("h", i + 1, gram)).alias("g"), (-i).alias("back")))
     rows = rows.select("doc_id", "h", grams.alias("grams"))
-    chosen = F.transform(
-        F.sequence(F.lit(0), F.size("h") - run),
-        lambda s: F.struct(F.array_min(F.slice("grams", s + 1, F.least(F.lit(window), F.size("grams")))).getField("g").alias("print"), s.cast("int").alias("start"), F.xxhash64(F.slice("h", s + 1, run)).alias("body")),
-    )
-    rows = rows.select("doc_id", F.explode(chosen).alias("c")).select("doc_id", "c.*")
-    prints = scratch.keep(rows, "prints")
+    minima = F.transform(F.sequence(F.lit(0), F.size("h") - run), lambda s: -F.array_min(F.slice("grams", s + 1, window)).getField("back"))
+    rows = rows.select("doc_id", "h", "grams", minima.alias("minima"))
+    # a fingerprint and the runs around it: one for each window whose minimum it is
+    windows = lambda p: F.filter(F.sequence(F.greatest(F.lit(0), p - (window - 1)), F.least(p, F.size("minima") - 1)), lambda s: F.get("minima", s) == p)
+    around = lambda p: F.transform(windows(p), lambda s: F.struct(s.cast("int").alias("start"), F.xxhash64(F.slice("h", s + 1, run)).alias("body")))
+    chosen = F.transform(F.array_distinct("minima"), lambda p: F.struct(F.get("grams", p).getField("g").alias("print"), around(p).alias("runs")))
+    prints = scratch.keep(rows.select("doc_id", F.explode(chosen).alias("c")).select("doc_id", "c.*"), "prints")
 
     often = prints.groupBy(F.col("print").alias("_print")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_print")
     often = scratch.keep(often, "often")
-    matches = scratch.keep(prints.join(often, F.col("print") == F.col("_print")).select("doc_id", "start", "print", "body"), "matches")
+    met = prints.join(often, F.col("print") == F.col("_print"))
+    matches = scratch.keep(met.select("doc_id", "print", F.explode("runs").alias("r")).select("doc_id", "print", "r.*"), "matches")
     first = matches.groupBy(F.col("print").alias("_print"), F.col("body").alias("_body")).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("c"))
     first = scratch.keep(first.where("c > 1").drop("c"), "first")
     later = matches.join(first, (F.col("print") == F.col("_print")) & (F.col("body") == F.col("_body"))).where(F.struct("doc_id", "start") > F.col("first"))
