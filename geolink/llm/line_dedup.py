@@ -12,13 +12,18 @@ extended both ways to those runs: of equal ones the first by (document id, line)
 stays, and later ones are deleted.
 Overlapping deleted runs merge, so longer matches are deleted whole.
 
+With ``words`` a shorter run counts too, from so many words: every window of fewer
+lines that holds them leaves the document beside the winnowed ones.
+``op5_line_dedup`` keeps to runs of three lines, as its SQL does;
+``op5_passage_dedup`` counts runs from three lines or from ``WORDS`` words.
+
 Keys meet only in partial aggregations and in joins against one row per key, which
 AQE splits where a line is hot.
 
 Defined results
     null or blank text  no lines, nothing removed; a null text counts as empty
     blank lines         never compared; they stay where they are
-    fewer lines than a run  nothing removed
+    fewer lines than a run  nothing removed, unless ``words`` lets a shorter run count
     null id             compares with nothing and is left alone
     ties, repeated rows rows with one id are one document and don't delete each other's lines; they must hold one text
     within one document a later copy of a run goes too
@@ -32,9 +37,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geolink.llm.common import SPACES, Scratch, table, text_or_empty
+from geolink.llm.common import SPACE_CLASS, SPACES, Scratch, table, text_or_empty
 
 GRAM, WINDOW = 2, 2
+#: Words from which a run of fewer lines counts in ``op5_passage_dedup``.
+WORDS = 50
 
 
 def _lines(df: DataFrame) -> DataFrame:
@@ -43,21 +50,29 @@ def _lines(df: DataFrame) -> DataFrame:
     return df.withColumn("_solid", F.filter(F.transform("_lines", lambda l, i: F.when(F.btrim(l, F.lit(SPACES)) != "", i)), lambda i: i.isNotNull()))
 
 
-def repeated_runs(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """(doc_id, starts): first line (counting lines with a word) of every later copy of a run."""
+def repeated_runs(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, gram: int = GRAM, window: int = WINDOW, words: int | None = None) -> DataFrame:
+    """(doc_id, starts): first line (counting lines with a word) and lines of every later copy of a run."""
     run = gram + window - 1
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_text")).where("doc_id is not null")
     solid = F.filter(F.split("_text", "\n"), lambda l: F.btrim(l, F.lit(SPACES)) != "")
-    rows = rows.select("doc_id", F.transform(solid, lambda l: F.xxhash64(l)).alias("h")).where(F.size("h") >= run)
-    grams = F.transform(F.sequence(F.lit(0), F.size("h") - gram), lambda i: F.struct(F.xxhash64(F.slice("h", i + 1, gram)).alias("g"), (-i).alias("back")))
-    rows = rows.select("doc_id", "h", grams.alias("grams"))
-    minima = F.transform(F.sequence(F.lit(0), F.size("h") - run), lambda s: -F.array_min(F.slice("grams", s + 1, window)).getField("back"))
-    rows = rows.select("doc_id", "h", "grams", minima.alias("minima"))
+    counts = F.transform("solid", lambda l: F.size(F.split(F.btrim(l, F.lit(SPACES)), f"[{SPACE_CLASS}]+"))) if words else F.lit(None).cast("array<int>")
+    rows = rows.select("doc_id", solid.alias("solid")).select("doc_id", F.transform("solid", lambda l: F.xxhash64(l)).alias("h"), counts.alias("n"))
+    rows = rows.where(F.size("h") >= (1 if words else run))
+    upto = lambda last: F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    grams = F.transform(upto(F.size("h") - gram), lambda i: F.struct(F.xxhash64(F.slice("h", i + 1, gram)).alias("g"), (-i).alias("back")))
+    rows = rows.select("doc_id", "h", "n", grams.alias("grams"))
+    minima = F.transform(upto(F.size("h") - run), lambda s: -F.array_min(F.slice("grams", s + 1, window)).getField("back"))
+    rows = rows.select("doc_id", "h", "n", "grams", minima.alias("minima"))
     # a fingerprint and the runs around it: one for each window whose minimum it is
     windows = lambda p: F.filter(F.sequence(F.greatest(F.lit(0), p - (window - 1)), F.least(p, F.size("minima") - 1)), lambda s: F.get("minima", s) == p)
-    around = lambda p: F.transform(windows(p), lambda s: F.struct(s.cast("int").alias("start"), F.xxhash64(F.slice("h", s + 1, run)).alias("body")))
+    body = lambda s, size: F.struct(s.cast("int").alias("start"), F.lit(size).alias("size"), F.xxhash64(F.slice("h", s + 1, size)).alias("body"))
+    around = lambda p: F.transform(windows(p), lambda s: body(s, run))
     chosen = F.transform(F.array_distinct("minima"), lambda p: F.struct(F.get("grams", p).getField("g").alias("print"), around(p).alias("runs")))
-    prints = scratch.keep(rows.select("doc_id", F.explode(chosen).alias("c")).select("doc_id", "c.*"), "prints")
+    # a shorter run with enough words is its own fingerprint
+    enough = lambda size: F.filter(upto(F.size("h") - size), lambda s: F.aggregate(F.slice("n", s + 1, size), F.lit(0), lambda x, y: x + y) >= words)
+    alone = lambda size: F.transform(enough(size), lambda s: F.struct(F.xxhash64(F.slice("h", s + 1, size)).alias("print"), F.array(body(s, size)).alias("runs")))
+    short = map(alone, range(1, run if words else 1))
+    prints = scratch.keep(rows.select("doc_id", F.explode(F.concat(chosen, *short)).alias("c")).select("doc_id", "c.*"), "prints")
 
     often = prints.groupBy(F.col("print").alias("_print")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_print")
     often = scratch.keep(often, "often")
@@ -66,16 +81,15 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: s
     first = matches.groupBy(F.col("print").alias("_print"), F.col("body").alias("_body")).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("c"))
     first = scratch.keep(first.where("c > 1").drop("c"), "first")
     later = matches.join(first, (F.col("print") == F.col("_print")) & (F.col("body") == F.col("_body"))).where(F.struct("doc_id", "start") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set("start").alias("starts"))
+    return later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "size")).alias("starts"))
 
 
-def remove_lines(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
+def remove_lines(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, words: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Delete later repeated runs: ``doc_id, text, n_lines, n_removed`` and ``keep``."""
-    run = gram + window - 1
-    found = repeated_runs(docs, scratch, id_col=id_col, text_col=text_col, gram=gram, window=window).withColumnRenamed("doc_id", "_id")
+    found = repeated_runs(docs, scratch, id_col=id_col, text_col=text_col, gram=gram, window=window, words=words).withColumnRenamed("doc_id", "_id")
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_text"), *keep)
     rows = _lines(rows.join(found, F.col("doc_id") == F.col("_id"), "left").drop("_id"))
-    places = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (run - 1)))))
+    places = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["start"], s["start"] + s["size"] - 1))))
     gone = F.transform(places, lambda p: F.get("_solid", p))
     rows = rows.withColumn("_gone", F.when(F.col("starts").isNotNull(), gone).otherwise(F.array().cast("array<int>")))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
@@ -89,6 +103,12 @@ def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_passage_dedup(spark, sf_dir: str) -> DataFrame:
+    """As ``op5_line_dedup``, with runs of one or two lines from ``WORDS`` words."""
+    out = remove_lines(table(spark, sf_dir, "documents"), Scratch(spark, "op5"), words=WORDS)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
@@ -108,3 +128,28 @@ WITH d AS (
 )
 SELECT doc_id, n_lines, n_removed, sha256(kept) AS kept_sha256 FROM d JOIN k USING (rid)
 """
+
+PASSAGE_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
+), l AS (
+  SELECT rid, doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d
+), s AS (
+  SELECT rid, doc_id, line, pos, row_number() OVER (PARTITION BY rid ORDER BY pos) AS n, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), w AS (
+  SELECT rid, doc_id, n, 1 AS size, line AS body FROM s WHERE words >= 50
+  UNION ALL
+  SELECT rid, doc_id, n, 2, line || chr(10) || lead(line) OVER o FROM s WINDOW o AS (PARTITION BY rid ORDER BY n) QUALIFY words + lead(words) OVER o >= 50
+  UNION ALL
+  SELECT rid, doc_id, n, 3, line || chr(10) || lead(line) OVER o || chr(10) || lead(line, 2) OVER o FROM s WINDOW o AS (PARTITION BY rid ORDER BY n)
+), f AS (
+  SELECT rid, doc_id, n, size, min({'d': doc_id, 'n': n}) OVER (PARTITION BY size, body) AS first FROM w WHERE body IS NOT NULL AND doc_id IS NOT NULL
+), g AS (
+  SELECT DISTINCT rid, unnest(range(n, n + size)) AS n FROM f WHERE {'d': doc_id, 'n': n} > first
+), k AS (
+  SELECT l.rid, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (g.rid IS NULL), '') AS kept, count(s.n) AS n_lines, count(g.rid) AS n_removed
+  FROM l LEFT JOIN s ON l.rid = s.rid AND l.pos = s.pos LEFT JOIN g ON s.rid = g.rid AND s.n = g.n GROUP BY l.rid
+)
+SELECT doc_id, n_lines, n_removed, sha256(kept) AS kept_sha256 FROM d JOIN k USING (rid)
+"""

@@ -166,6 +166,15 @@ def test_lines_against_brute_force(spark, gram, window):
     assert sorted([(r.doc_id, r.n_lines, r.n_removed, r.text) for r in got], key=str) == brute_lines(rows, gram + window - 1)
 
 
+def test_long_passages_go_from_one_or_two_lines(spark):
+    long, half, other = " ".join(words(60, 31)), " ".join(words(30, 32)), " ".join(words(30, 33))
+    rows = [(1, f"head\n{long}\ntail"), (2, long), (3, f"{half}\n{other}\nend"), (4, f"start\n\n{half}\n\n{other}"), (5, half), (6, "short\nend"), (7, f"end\n{long}\ntail"), (2, long), (None, long), (8, f"{long}\n{long}")]
+    got = line_dedup.remove_lines(docs(spark, rows), Scratch(spark, "t"), words=50).collect()
+    want = [(1, 3, 0, rows[0][1]), (2, 1, 1, ""), (3, 3, 0, rows[2][1]), (4, 3, 2, "start\n\n"), (5, 1, 0, half), (6, 2, 0, "short\nend"), (7, 3, 2, "end"), (2, 1, 1, ""), (None, 1, 0, long), (8, 2, 2, "")]
+    assert sorted([(r.doc_id, r.n_lines, r.n_removed, r.text) for r in got], key=str) == sorted(want, key=str)
+    assert all(r.n_removed == 0 for r in line_dedup.remove_lines(docs(spark, rows), Scratch(spark, "t")).collect())
+
+
 def test_lines_empty(spark):
     assert line_dedup.remove_lines(docs(spark, []), Scratch(spark, "t")).count() == 0
 
