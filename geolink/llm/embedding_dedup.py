@@ -2,7 +2,9 @@
 
 1.  Equal vectors form one node with a multiplicity.
 2.  Spherical k-means on a bounded sample (``SAMPLE`` rows by id hash) gives
-    cluster shards; every node joins its two nearest, so shards overlap.
+    cluster shards; every node joins several of its nearest, so shards overlap.
+    A pair is only found in a shard that both its nodes join, so the number
+    (``overlap``) grows with the number of shards, and the shards keep their size.
 3.  Each shard builds a robust-pruned graph; a node's lists from its shards unite.
 4.  Every node is searched for from the shard's medoids and its own list, greedily,
     and expands through whatever lies in range.  Hits count once verified in double
@@ -65,6 +67,11 @@ def fit_clusters(x: np.ndarray, k: int, rounds: int = 6) -> np.ndarray:
     return centre
 
 
+def overlap(k: int) -> int:
+    """Shards that each node joins, of ``k``: enough that near pairs share one, however many shards there are."""
+    return min(k, max(3, math.ceil(math.log2(k) / 2)))
+
+
 def find_pivots(x: np.ndarray, threshold: float) -> np.ndarray:
     """Centres of the sample's large near-copy groups, more than twice the threshold's angle apart."""
     count = np.concatenate([((x[a : a + 1024] @ x.T) >= threshold).sum(axis=1) for a in range(0, len(x), 1024)])
@@ -178,14 +185,16 @@ def _roots(ids: np.ndarray, found: np.ndarray) -> np.ndarray:
     return label
 
 
-def first_shard(shards: np.ndarray, here: int) -> np.ndarray:
-    """For each pair of nodes the smallest shard they share: there, and only there, the pair counts."""
-    first = np.full((len(shards), len(shards)), here)
-    for k in range(shards.shape[1]):
-        for m in range(shards.shape[1]):
-            same = shards[:, k][:, None] == shards[:, m][None, :]
-            first = np.where(same, np.minimum(first, shards[:, k][:, None]), first)
-    return first
+def counted_here(shards: np.ndarray, found: np.ndarray, here: int) -> np.ndarray:
+    """Those of the found pairs whose smallest shared shard is this one: there, and only there, a pair counts."""
+    out = np.zeros_like(found)
+    i, j = np.nonzero(found)
+    for a in range(0, len(i), 1 << 16):
+        p, q = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
+        one, two = shards[p], shards[q]
+        shared = (one[:, :, None] == two[:, None, :]).any(axis=2)
+        out[p, q] = np.where(shared, one, here).min(axis=1) == here
+    return out
 
 
 def near_duplicates(vectors: DataFrame, scratch: Scratch, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
@@ -202,7 +211,11 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, *, id_col: str = "vec_
     nodes = scratch.keep(sound.where(F.size("v") == length[0]["k"]).groupBy("v").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("mult")), "nodes")
     total = nodes.count()
     sample = _unit(nodes.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()["v"])
-    centres = fit_clusters(sample, max(1, min(-(-total // SHARD), len(sample) // 4 or 1)))
+    most_centres = len(sample) // 4 or 1
+    # of twice SHARD nodes on average, whatever the overlap
+    wanted = -(-total * overlap(-(-total // SHARD)) // (2 * SHARD))
+    centres = fit_clusters(sample, max(1, min(wanted, most_centres)))
+    joins = overlap(len(centres))
     pivots = find_pivots(sample, threshold)
     half, wide = math.acos(threshold) / 2 - MARGIN, 1.5 * math.acos(threshold) + MARGIN
 
@@ -220,9 +233,9 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, *, id_col: str = "vec_
                 for i, k in zip(*np.nonzero((s >= math.cos(wide)) & (core < 0)[:, None]), strict=True):
                     near[i].append(int(k))
             s = x @ centres.T
-            pair = np.argpartition(-s, min(1, s.shape[1] - 1), axis=1)[:, :2]
+            nearest = np.argpartition(-s, joins - 1, axis=1)[:, :joins]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("mult"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(core, pa.int64()), pa.array(near, pa.list_(pa.int64())), pa.array(np.sort(pair, axis=1).tolist(), pa.list_(pa.int64()))],
+                [batch.column("id"), batch.column("mult"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(core, pa.int64()), pa.array(near, pa.list_(pa.int64())), pa.array(np.sort(nearest, axis=1).tolist(), pa.list_(pa.int64()))],
                 names=["id", "mult", "x", "core", "near", "shards"],
             )
 
@@ -258,8 +271,8 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, *, id_col: str = "vec_
             at = np.minimum(np.searchsorted(ids, a), len(ids) - 1)
             lists.append(at[ids[at] == a])
         found = range_search(matrix(group), lists, threshold)
-        first = first_shard(np.array(group["shards"].to_pylist()).reshape(len(ids), -1), shard)
-        links = ((found & (first == shard)) * mult[None, :]).sum(axis=1)
+        counted = counted_here(np.array(group["shards"].to_pylist()).reshape(len(ids), -1), found, shard)
+        links = (counted * mult[None, :]).sum(axis=1)
         return pa.table({"id": pa.array(ids, pa.int64()), "links": pa.array(links, pa.int64()), "root": pa.array(_roots(ids, found), pa.int64())})
 
     searched = members.join(union, F.col("id") == F.col("_id")).drop("_id").groupBy("shard").applyInArrow(search, "id long, links long, root long")
@@ -290,8 +303,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, *, id_col: str = "vec_
         else:
             if i != j:
                 found &= own[:, None] != own[None, :]
-            first = first_shard(np.array(group["shards"].to_pylist()).reshape(len(ids), -1), key)
-            counted = found & (first == key)
+            counted = counted_here(np.array(group["shards"].to_pylist()).reshape(len(ids), -1), found, key)
         return pa.table({"id": pa.array(ids, pa.int64()), "links": pa.array((counted * mult[None, :]).sum(axis=1), pa.int64()), "root": pa.array(_roots(ids, found), pa.int64())})
 
     compared = large.unionByName(one).unionByName(two).groupBy("key", "cell").applyInArrow(exact, "id long, links long, root long")

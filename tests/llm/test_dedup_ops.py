@@ -224,6 +224,18 @@ def test_vectors_against_brute_force(spark, monkeypatch, most, pivot):
     assert sum(got[i][1] != w[1] for i, w in want.items()) <= 0.01 * len(want)
 
 
+def test_vectors_recall_holds_with_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SHARD", 10)
+    rng = np.random.default_rng(11)
+    x, g = rng.normal(size=(2, 1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g -= (g * x).sum(axis=1, keepdims=True) * x
+    g /= np.linalg.norm(g, axis=1, keepdims=True)
+    rows = [(2 * i + k, v.tolist()) for i in range(1500) for k, v in enumerate((x[i], 0.953 * x[i] + np.sqrt(1 - 0.953**2) * g[i]))]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), Scratch(spark, "t")).collect()
+    assert all(r.n_links <= 1 for r in got) and sum(r.n_links for r in got) >= 0.98 * len(rows)
+
+
 def test_vectors_recall_and_edges(spark, sf):
     df = spark.createDataFrame([(100, [1.0, 0.0]), (200, [1.0, 0.01]), (200, [1.0, 0.01]), (None, [1.0, 0.0]), (300, [0.0, 1.0])], "vec_id long, embedding array<float>")
     found = embedding_dedup.near_duplicates(df, Scratch(spark, "t"))
