@@ -59,7 +59,8 @@ TAGS = "a article aside b blockquote body button code dd div dl dt em figcaption
 TAG_ID = {t: i + 1 for i, t in enumerate(TAGS)}
 _SIDE = frozenset("nav footer header aside form script style button select label noscript head template iframe textarea title".split())
 
-_MARKUP = re.compile(r"<(?:!--(?:.*?-->|.*)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>)", re.S)
+#: A quote opens a string where it closes before a later '>', else it stands alone: one reading each, so nothing backtracks.
+_MARKUP = re.compile(r"<(?:!--(?:.*?-->|.*)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*+)(?=[^>]*+>)((?:[^>\"']++|\"[^\"]*+\"(?=[^>]*+>)|'[^']*+'(?=[^>]*+>)|[\"'])*+)>)", re.S)
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
 _RAW_END = {t: re.compile(f"</{t}(?=[\\s/>])[^>]*>|\\Z", re.I) for t in RAW}

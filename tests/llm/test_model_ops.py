@@ -1,6 +1,7 @@
 """Tokenizer, classifier, page extraction and the pipeline."""
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -87,6 +88,14 @@ def test_page():
     assert text == "A title\nFirst & bold text, which is long enough to be read as prose. After.\nSecond one <x> with some more words in it, and more."
 
 
+def test_unclosed_tag_is_text():
+    began = time.process_time()
+    for tail in ("<b" + "'" * 5000, "<b " + "\"'" * 2500, "<b'" * 500):
+        assert [t for _, t, _ in H.parse("<p>a</p>" + tail).texts] == ["a", tail]
+    assert time.process_time() - began < 20
+    assert H.parse("<p title='x>y' class=\"it's\">a<b it's>c").names[1:] == ["it's", ""]
+
+
 def test_generated_pages():
     rng = np.random.default_rng(12345)
     trees, good = H.fitted(), 0
