@@ -60,6 +60,12 @@ def month_day(date: Column) -> Column:
     return F.date_format(date, "MM-dd")
 
 
+def leap_days(date: Column) -> Column:
+    """How many days called 29 February there were up to a date, since the year 1."""
+    year = F.year(date) - F.when(F.month(date) * 100 + F.dayofmonth(date) < 229, 1).otherwise(0)
+    return F.floor(year / 4) - F.floor(year / 100) + F.floor(year / 400)
+
+
 def days_in_month(year: Column, month: Column) -> Column:
     return F.dayofmonth(F.last_day(F.make_date(year, month, F.lit(1))))
 

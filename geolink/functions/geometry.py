@@ -38,6 +38,24 @@ def contains(rings: Column, x: Column, y: Column) -> Column:
     return F.aggregate(F.filter(rings, lambda r: F.size(r) > 0), F.lit(0), lambda n, r: n + crossings(r)) % 2 == 1
 
 
+def edge_km(rings: Column, x: Column, y: Column) -> Column:
+    """Distance in km from a point to the nearest edge of rings, on the plane that touches the sphere at the point's latitude."""
+    degree = math.radians(1.0) * EARTH_KM
+    across = F.cos(F.radians(y)) * degree
+
+    def nearest(ring: Column) -> Column:
+        def distance(i: Column) -> Column:
+            a, b = F.get(ring, i), F.get(ring, F.pmod(i + 1, F.size(ring)))
+            ax, ay, bx, by = (a["x"] - x) * across, (a["y"] - y) * degree, (b["x"] - x) * across, (b["y"] - y) * degree
+            dx, dy = bx - ax, by - ay
+            t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(-(ax * dx + ay * dy), dx * dx + dy * dy), F.lit(0.0))))
+            return F.sqrt(F.pow(ax + t * dx, F.lit(2)) + F.pow(ay + t * dy, F.lit(2)))
+
+        return F.array_min(F.transform(F.sequence(F.lit(0), F.size(ring) - 1), distance))
+
+    return F.array_min(F.transform(F.filter(rings, lambda r: F.size(r) > 0), nearest))
+
+
 def bounds(rings: Column) -> dict[str, Column]:
     points = F.flatten(rings)
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
@@ -81,3 +99,8 @@ def from_laea(east: Column, north: Column) -> tuple[Column, Column]:
     e4, e6 = _E2**2, _E2**3
     lat = beta + (_E2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * beta) + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * beta) + 761 * e6 / 45360 * F.sin(6 * beta)
     return F.when(rho == 0, F.lit(_LON0)).otherwise(lon), F.degrees(lat)
+
+
+def unproject(rings: Column) -> Column:
+    """Rings in EPSG:3035 to longitude and latitude."""
+    return F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(from_laea(p["x"], p["y"])[0].alias("x"), from_laea(p["x"], p["y"])[1].alias("y"))))

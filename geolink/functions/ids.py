@@ -80,7 +80,7 @@ def ags_is_city_state(c: Column) -> Column:
 def most_common(df: DataFrame, col: str) -> DataFrame:
     """One row: the most frequent non-null value; the smallest of equals."""
     counts = df.where(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.agg(F.max_by(F.col(col), F.struct("_n", F.lit(0))).alias("_any"), F.max("_n").alias("_n")).select("_n").join(counts, "_n").agg(F.min(col).alias("most_common"))
+    return counts.agg(F.min_by(F.col(col), F.struct(-F.col("_n"), F.col(col))).alias("most_common"))
 
 
 def parse_ags(df: DataFrame, col: str) -> DataFrame:
@@ -114,12 +114,19 @@ def convert_to_iso3(df: DataFrame, col: str, codes: DataFrame, systems: tuple[st
     return df.join(lookup, F.col(col) == F.col("_from"), "left").withColumn(col, F.col("_to")).drop("_from", "_to"), True
 
 
+def guess_id_types(df: DataFrame, col: str, *by: str) -> DataFrame:
+    """One row per group (one for the whole frame without ``by``): ``kind``, the first id type that all ids of the group match.
+
+    A null id matches none; ``kind`` is NULL where no type fits.
+    """
+    tests = [F.bool_and(F.coalesce(test(F.col(col)), F.lit(False))).alias(name) for name, test in TESTS]
+    kind = F.coalesce(*[F.when(F.col(name), F.lit(name)) for name, _ in TESTS])
+    return df.groupBy(*by).agg(*tests).select(*by, kind.alias("kind"))
+
+
 def guess_id_type(df: DataFrame, col: str, iso3: bool = False) -> str:
     """The first id type that all ids of the column match (a null id matches none)."""
-    if iso3:
-        return "gadm"
-    row = df.agg(*[F.bool_and(F.coalesce(test(F.col(col)), F.lit(False))).alias(name) for name, test in TESTS]).first()
-    for name, _ in TESTS:
-        if row[name]:
-            return name
-    raise ValueError("could not detect the id type; name it with `type`")
+    kind = "gadm" if iso3 else guess_id_types(df, col).first()["kind"]
+    if kind is None:
+        raise ValueError("could not detect the id type; name it with `type`")
+    return kind

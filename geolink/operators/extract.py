@@ -1,39 +1,55 @@
 """Linking observations to a cube: which cells, which dates, then means over time and space.
 
-All joins are equi-joins on (date, cell): geometries become cells by arithmetic and
-spans become dates by ``sequence``, so no range join and no cross join is planned.
+Values belong to (date, cell), not to observations: the distinct (link date, cell)
+keys of all observations are formed first, each gets its means once, and one
+equi-join brings them home.  No observation id is needed, so null and repeated ids
+and any number of rows a cell and date in the cube leave the row count as it is.
+
+* Cells are arithmetic; a span is a RANGE frame over one cell's history, so a key
+  costs one row however long the span is.
+* A baseline meets a climatology: sums and counts per (day of the year, cell).
+* Observations with several cells share the mean of equal (date, place).
+
 Unmatched observations keep their row with NULL.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from geolink.functions.dates import month_day, span_dates
+from geolink.functions.dates import leap_days, month_day, span_dates, span_start
+
+KEY = ["link_date", "ix", "iy"]
 
 
 def point_link(obs: DataFrame, cube: DataFrame, cell: Column, date: Column, out: str = "linked") -> DataFrame:
-    """One left join: the value of the containing cell on the exact date (cells unique per date in the cube)."""
+    """One left join to a cube that holds one row a cell and date: the value of the containing cell on the exact date."""
     right = cube.select(F.col("obs_date").alias("_d"), F.col("ix").alias("_ix"), F.col("iy").alias("_iy"), F.col("value").alias(out))
     keyed = obs.withColumn("_cell", cell).withColumn("_date", date)
     joined = keyed.join(right, (F.col("_date") == F.col("_d")) & (F.col("_cell.ix") == F.col("_ix")) & (F.col("_cell.iy") == F.col("_iy")), "left")
     return joined.drop("_cell", "_date", "_d", "_ix", "_iy")
 
 
-def cell_rows(obs: DataFrame, id_col: str, cells: Column, date: Column) -> DataFrame:
-    """(oid, link_date, ix, iy): one row per observation and cell."""
-    return obs.select(F.col(id_col).alias("oid"), date.alias("link_date"), F.explode(cells).alias("c")).select("oid", "link_date", "c.ix", "c.iy")
+def _order(date: Column, grain: str) -> Column:
+    return F.unix_date(date) if grain == "day" else F.year(date) * 12 + F.month(date)
 
 
-def span_mean(cells: DataFrame, cube: DataFrame, span: int = 0, grain: str = "day", single_cell: bool = False) -> DataFrame:
-    """(oid, mean): mean over the span for each cell, then over cells; missing values are skipped."""
-    wanted = cells.select("oid", "ix", "iy", F.explode(span_dates(F.col("link_date"), span, grain)).alias("obs_date"))
-    hit = wanted.join(cube.select("obs_date", "ix", "iy", "value"), ["obs_date", "ix", "iy"])
-    if single_cell:
-        return hit.groupBy("oid").agg(F.avg("value").alias("mean"))
-    over_time = hit.groupBy("oid", "ix", "iy").agg(F.avg("value").alias("m"))
-    return over_time.groupBy("oid").agg(F.avg("m").alias("mean"))
+def span_means(keys: DataFrame, cube: DataFrame, span: int = 0, grain: str = "day", out: str = "linked") -> DataFrame:
+    """(link_date, ix, iy, out) of distinct keys that have a value: the mean of all rows in the span, missing values skipped."""
+    rows = cube.select("obs_date", "ix", "iy", "value")
+    if span == 0:
+        hit = rows.withColumnRenamed("obs_date", "link_date").join(keys, KEY)
+        return hit.groupBy(*KEY).agg(F.avg("value").alias(out))
+    near = rows.join(keys.select("ix", "iy").distinct(), ["ix", "iy"], "left_semi")
+    daily = near.groupBy("obs_date", "ix", "iy").agg(F.sum("value").alias("total"), F.count("value").alias("n"))
+    events = daily.withColumn("key", F.lit(False)).unionByName(
+        keys.select(F.col("link_date").alias("obs_date"), "ix", "iy", F.lit(None).cast("double").alias("total"), F.lit(0).cast("long").alias("n"), F.lit(True).alias("key"))
+    )
+    frame = W.partitionBy("ix", "iy").orderBy(_order(F.col("obs_date"), grain)).rangeBetween(-span, 0)
+    over = events.withColumn(out, F.try_divide(F.sum("total").over(frame), F.sum("n").over(frame)))
+    return over.where(F.col("key") & F.col(out).isNotNull()).select(F.col("obs_date").alias("link_date"), "ix", "iy", out)
 
 
 def climatology(cube: DataFrame, first: int, last: int, grain: str = "day") -> DataFrame:
@@ -43,24 +59,58 @@ def climatology(cube: DataFrame, first: int, last: int, grain: str = "day") -> D
     return rows.groupBy(key, "ix", "iy").agg(F.sum("value").alias("total"), F.count("value").alias("n"))
 
 
-def baseline_mean(cells: DataFrame, cube: DataFrame, first: int, last: int, span: int = 0, grain: str = "day", single_cell: bool = False) -> DataFrame:
-    """(oid, mean) over all baseline years' anniversaries of the span's days (months).
+def baseline_means(keys: DataFrame, cube: DataFrame, first: int, last: int, span: int = 0, grain: str = "day", out: str = "baseline") -> DataFrame:
+    """(link_date, ix, iy, out) over all baseline years' anniversaries of the span's days (months).
 
-    29 February meets leap years only.
+    29 February meets leap years only.  Keys whose spans hold the same days of the
+    year are answered together, so a span is written out once for each day of the
+    year and cell, not for each date.
     """
-    key = (lambda d: month_day(d)) if grain == "day" else (lambda d: F.date_format(d, "MM"))
-    days = F.array_distinct(F.transform(span_dates(F.col("link_date"), span, grain), key))
-    wanted = cells.select("oid", "ix", "iy", F.explode(days).alias("md"))
-    hit = wanted.join(climatology(cube, first, last, grain), ["md", "ix", "iy"])
-    mean = F.sum("total") / F.sum("n")
-    if single_cell:
-        return hit.groupBy("oid").agg(mean.alias("mean"))
-    return hit.groupBy("oid", "ix", "iy").agg(mean.alias("m")).groupBy("oid").agg(F.avg("m").alias("mean"))
-
-
-def attach(obs: DataFrame, id_col: str, means: DataFrame, out: str) -> DataFrame:
-    right = means.select(F.col("oid").alias("_oid"), F.col("mean").alias(out))
-    return obs.join(right, F.col(id_col) == F.col("_oid"), "left").drop("_oid")
+    of = (lambda d: month_day(d)) if grain == "day" else (lambda d: F.date_format(d, "MM"))
+    clim = climatology(cube, first, last, grain)
+    start, end = span_start(F.col("link_date"), span, grain), F.col("link_date")
+    if span == 0:
+        return keys.withColumn("md", of(end)).join(clim, ["md", "ix", "iy"]).select(*KEY, F.try_divide("total", "n").alias(out))
+    # equal first and last day and the same answer on 29 February make equal sets of days
+    leap = leap_days(end) != leap_days(F.date_sub(start, 1))
+    sets = ["a", "b", "leap", "ix", "iy"]
+    named = keys.select(*KEY, of(start).alias("a"), of(end).alias("b"), leap.alias("leap"))
+    days = named.groupBy(*sets).agg(F.min("link_date").alias("d")).select(*sets, F.explode(F.array_distinct(F.transform(span_dates(F.col("d"), span, grain), of))).alias("md"))
+    means = days.join(clim, ["md", "ix", "iy"]).groupBy(*sets).agg(F.try_divide(F.sum("total"), F.sum("n")).alias(out))
+    return named.join(means, sets).select(*KEY, out)
+
+
+def link(obs: DataFrame, date: Column, place: list[str], cells: Column, single: bool, measures: list, shape: str | None = None) -> DataFrame:
+    """``obs`` with one column for each of ``measures``, (name, function of distinct keys to their means).
+
+    ``place``: the columns that tell places apart; ``cells``, an array of struct(ix, iy),
+    is computed from them, or from ``shape``, which they stand for.  With
+    ``single`` it holds one cell at most; otherwise means over time are averaged over
+    the cells of each distinct date and place.
+    """
+    names = [name for name, _ in measures]
+    # outer explodes: conditions on a cell stop there instead of copying its formula
+    if single:
+        at = obs.select("*", date.alias("_d"), F.explode_outer(F.array(F.get(cells, F.lit(0)))).alias("_c"))
+        rows = at.select(F.col("_d").alias("link_date"), "_c.ix", "_c.iy").where("link_date is not null and ix is not null")
+        on = {"_d": "link_date", "_c.ix": "ix", "_c.iy": "iy"}
+    else:
+        at = obs.withColumn("_d", date)
+        # cells once for each place; rows of one place hold one shape, so it doesn't matter which of them gives it
+        spots = at.groupBy(*place).agg(F.first(shape).alias(shape)) if shape else at.select(*place).distinct()
+        spots = spots.select(*place, F.explode_outer(cells).alias("_c")).select(*place, "_c.ix", "_c.iy").where("ix is not null")
+        rows = at.select(F.col("_d").alias("link_date"), *place).where("link_date is not null").distinct().join(spots, place)
+        on = {"_d": "link_date", **{p: p for p in place}}
+    keys = rows.select(*KEY).distinct()
+    parts = [f(keys) for _, f in measures]
+    means = parts[0]
+    for more in parts[1:]:
+        means = means.join(more, KEY, "full")
+    if not single:
+        means = rows.join(means, KEY).groupBy(*on.values()).agg(*[F.avg(n).alias(n) for n in names])
+    means = means.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(on.values())], *names)
+    same = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(on)]
+    return at.join(means, same, "left").select(*obs.columns, *names)
 
 
 def deviation(df: DataFrame) -> DataFrame:
@@ -69,7 +119,5 @@ def deviation(df: DataFrame) -> DataFrame:
 
 def span_window(cube: DataFrame, span: int, out: str = "mean") -> DataFrame:
     """Trailing mean per cell and date over a calendar RANGE of days: for dense cubes linked many times."""
-    from pyspark.sql import Window as W
-
     frame = W.partitionBy("ix", "iy").orderBy(F.unix_date("obs_date")).rangeBetween(-span, 0)
     return cube.withColumn(out, F.avg("value").over(frame))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from datetime import date, timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geolink.functions.dates import link_date
+from geolink.functions.dates import link_date, month_day
+from geolink.functions.geometry import EARTH_KM, bounds, from_laea, unproject
 from geolink.operators import extract, gridlink
-from geolink.session import with_ids
 from geolink.sources import catalogue as C
 from geolink.sources.cube import Request, daily_statistic, ingest, monthly_mean, scan
 from geolink.sources.grid import Grid
@@ -47,7 +49,10 @@ class LinkSpec:
 
 
 def _cube(cube: DataFrame, spec: LinkSpec) -> DataFrame:
-    """The cube at the link's grain: hourly data (a ``ts`` column) is aggregated, other data is keyed."""
+    """The cube at the link's grain: hourly data (a ``ts`` column) is aggregated, other data is keyed.
+
+    By month, dates become the first of their month; means are formed after pruning.
+    """
     for name in ("indicator", "catalogue"):
         if name in cube.columns:
             cube = cube.where(F.col(name) == getattr(spec, name))
@@ -59,59 +64,105 @@ def _cube(cube: DataFrame, spec: LinkSpec) -> DataFrame:
     return cube if {"year", "md"} <= set(cube.columns) else ingest(cube)
 
 
-def _pruned(cube: DataFrame, obs: DataFrame, spec: LinkSpec, date) -> DataFrame:
-    """Push the observations' years into the cube's scan: one small aggregate over the observations."""
-    years = obs.agg(F.min(F.year(F.date_sub(date, spec.time_span if spec.grain == "day" else 31 * spec.time_span))).alias("a"), F.max(F.year(date)).alias("b")).first()
-    if years["a"] is None:
-        return cube
-    return scan(cube, Request(years=tuple(range(years["a"], years["b"] + 1))))
+def _days_before(days: set[str], span: int) -> set[str] | None:
+    """The days of the year (MM-dd) within ``span`` days before the given ones; None for (nearly) all of them."""
+    if span >= 300:
+        return None
+    out = set()
+    for day in days:
+        month, number = map(int, day.split("-"))
+        for year in (2001, 2004, 2005):  # with a leap day before, after and nowhere near
+            if (month, number) != (2, 29) or year == 2004:
+                last = date(year, month, number)
+                out |= {(last - timedelta(k)).strftime("%m-%d") for k in range(span + 1)}
+    return out if len(out) < 300 else None
+
+
+def _requests(obs: DataFrame, grid: Grid, spec: LinkSpec, when: Column, box: dict[str, Column]) -> tuple[Request, Request] | None:
+    """What the link and its baseline need of the cube: one small aggregate over the observations.
 
+    Bounds of the cells, dates and days of the year; None without observations.
+    """
+    obs = obs.select(when.alias("_when"), *[box[k].cast("double").alias(f"_{k}") for k in box]).withColumn("_middle", (F.col("_xmin") + F.col("_xmax")) / 2)
+    obs = obs.withColumn("_shift", grid.near_lon(F.col("_middle")) - F.col("_middle"))
+    when, shift, box = F.col("_when"), F.col("_shift"), {k: F.col(f"_{k}") for k in box}
+    facts = obs.agg(
+        F.min(when).alias("first"), F.max(when).alias("last"), F.collect_set(month_day(when)).alias("days"), F.min(box["ymin"]).alias("s"), F.max(box["ymax"]).alias("n"),
+        F.min(box["xmin"] + shift).alias("w"), F.max(box["xmax"] + shift).alias("e"), F.bool_or(box["xmax"] - box["xmin"] > 180).alias("wide"),
+    ).first()
+    if facts["first"] is None or facts["s"] is None:
+        return None
+    span = spec.time_span if spec.grain == "day" else 31 * (spec.time_span + 1)
+    up = math.degrees(spec.buffer_km / EARTH_KM)
+    south, north = facts["s"] - up, facts["n"] + up
+    steep = max(abs(south), abs(north))
+    aside = min(180.0, up / math.cos(math.radians(steep)) * 1.1) if steep < 80 else 180.0
+    west, east = facts["w"] - aside, facts["e"] + aside
+    whole = facts["wide"] or east < west or (grid.wraps and not (grid.xmin <= west and east < grid.xmin + 360)) or aside >= 180 and spec.buffer_km > 0
+    extent = (north, grid.xmin, south, grid.xmin + grid.nx * grid.dx) if whole else (north, west, south, east)
+    days = _days_before(set(facts["days"]), spec.time_span if spec.grain == "day" else 0)
+    if spec.grain == "month":
+        months = {int(d[:2]) for d in facts["days"]}
+        months = {(m - 1 - k) % 12 + 1 for m in months for k in range(min(spec.time_span, 11) + 1)}
+        days = None if len(months) == 12 else {f"{m:02d}-{d:02d}" for m in months for d in range(1, 32)}
+    month_days = tuple(sorted(days)) if days else ()
+    return Request(extent=extent, dates=(facts["first"] - timedelta(span), facts["last"] + timedelta(0 if spec.grain == "day" else 31)), month_days=month_days), Request(extent=extent, month_days=month_days)
 
-def link_observations(obs: DataFrame, cube: DataFrame, grid: Grid, spec: LinkSpec, *, id_col: str | None = None, date_col: str = "date", lon: str = "lon", lat: str = "lat", rings: str | None = None, prune: bool = True) -> DataFrame:
+
+def link_observations(obs: DataFrame, cube: DataFrame, grid: Grid, spec: LinkSpec, *, date_col: str = "date", lon: str = "lon", lat: str = "lat", rings: str | None = None, crs: int = 4326, prune: bool = True) -> DataFrame:
     """Points (``lon``, ``lat``) or polygons (``rings``) with ``linked`` and, given a baseline, ``baseline`` and ``deviation``.
 
-    Without ``id_col`` the rows are written once with a generated id.  Row count and
-    input columns stay as they are.
+    ``crs`` names the system of the coordinates, 4326 or 3035; the columns stay as
+    they are.  So do rows and their number, whatever the observations' ids and
+    however many rows the cube holds for a cell and date (their mean counts).
     """
     C.check_columns(obs, date_col, *([rings] if rings else [lon, lat]))
-    own = id_col or "_obs_id"
-    rows = obs if id_col else with_ids(obs, own)
-    date = link_date(F.col(date_col).cast("date"), spec.time_lag, spec.grain)
-    cube = _cube(cube, spec)
-    recent = _pruned(cube, rows, spec, date) if prune else cube
-    single = not rings and spec.buffer_km == 0
+    if crs not in (4326, 3035):
+        raise ValueError(f"crs must be 4326 or 3035; got {crs!r}")
+    when = link_date(F.col(date_col).cast("date"), spec.time_lag, spec.grain)
+    columns = obs.columns
     if rings:
-        cells = grid.cover(F.col(rings))
-    else:
-        cells = grid.buffer(F.col(lon), F.col(lat), spec.buffer_km)
-    keyed = extract.cell_rows(rows, own, cells, date)
-    if single and spec.time_span == 0:
-        out = extract.point_link(rows, recent, grid.cell(F.col(lon), F.col(lat)), date)
+        # 128 bits stand for a polygon's corners where places are told apart
+        shape = F.col(rings) if crs == 4326 else unproject(F.col(rings))
+        obs = obs.select("*", F.explode_outer(F.array(shape)).alias("_shape")).withColumns({"_h1": F.xxhash64("_shape"), "_h2": F.xxhash64(F.lit("rings"), "_shape")})
+        place, cells, box = ["_h1", "_h2"], grid.cover(F.col("_shape"), spec.buffer_km), bounds(F.col("_shape"))
     else:
-        out = extract.attach(rows, own, extract.span_mean(keyed, recent, spec.time_span, spec.grain, single), "linked")
+        place, x, y = ["_x", "_y"], F.col("_x"), F.col("_y")
+        if crs == 4326:
+            obs = obs.withColumns({"_x": F.col(lon).cast("double"), "_y": F.col(lat).cast("double")})
+        else:
+            # an outer explode of one: conditions on cells stop here instead of copying the projection's formulas
+            east, north = from_laea(F.col(lon), F.col(lat))
+            obs = obs.select("*", F.explode_outer(F.array(F.struct(east.alias("x"), north.alias("y")))).alias("_at")).withColumns({"_x": F.col("_at.x"), "_y": F.col("_at.y")})
+        cells, box = grid.buffer(x, y, spec.buffer_km), {"xmin": x, "xmax": x, "ymin": y, "ymax": y}
+    recent = past = _cube(cube, spec)
+    wanted = _requests(obs, grid, spec, when, box) if prune else None
+    if wanted:
+        recent, past = scan(recent, wanted[0], grid), scan(past, wanted[1], grid)
+    measures = [("linked", lambda keys: extract.span_means(keys, recent, spec.time_span, spec.grain))]
     if spec.baseline:
-        means = extract.baseline_mean(keyed, cube, *spec.baseline, spec.time_span, spec.grain, single)
-        out = extract.deviation(extract.attach(out, own, means, "baseline"))
-    return out if id_col else out.drop(own)
+        measures.append(("baseline", lambda keys: extract.baseline_means(keys, past, *spec.baseline, spec.time_span, spec.grain)))
+    out = extract.link(obs, when, place, cells, not rings and spec.buffer_km == 0, measures, "_shape" if rings else None).select(*columns, *[name for name, _ in measures])
+    return extract.deviation(out) if spec.baseline else out
 
 
-def link_daily(obs: DataFrame, cube: DataFrame, grid: Grid, indicator: str, *, id_col: str | None = None, date_var: str = "date", rings: str | None = None, catalogue: str = "derived-era5-land-daily-statistics", prune: bool = True, **options) -> DataFrame:
+def link_daily(obs: DataFrame, cube: DataFrame, grid: Grid, indicator: str, *, date_var: str = "date", rings: str | None = None, crs: int = 4326, catalogue: str = "derived-era5-land-daily-statistics", prune: bool = True, **options) -> DataFrame:
     """Link points or polygons by day.
 
     Options: ``time_span`` and ``time_lag`` (days), ``buffer_km``, ``baseline`` (first,
     last year), ``statistic``, ``time_zone``.
     """
     spec = LinkSpec.of("daily", indicator, catalogue, **options)
-    return link_observations(obs, cube, grid, spec, id_col=id_col, date_col=date_var, rings=rings, prune=prune)
+    return link_observations(obs, cube, grid, spec, date_col=date_var, rings=rings, crs=crs, prune=prune)
 
 
-def link_monthly(obs: DataFrame, cube: DataFrame, grid: Grid, indicator: str, *, id_col: str | None = None, date_var: str = "date", rings: str | None = None, catalogue: str = "reanalysis-era5-land-monthly-means", prune: bool = True, **options) -> DataFrame:
+def link_monthly(obs: DataFrame, cube: DataFrame, grid: Grid, indicator: str, *, date_var: str = "date", rings: str | None = None, crs: int = 4326, catalogue: str = "reanalysis-era5-land-monthly-means", prune: bool = True, **options) -> DataFrame:
     """Link points or polygons by month; span and lag count months.
 
     Options: ``time_span``, ``time_lag``, ``buffer_km``, ``baseline``, ``by_hour``.
     """
     spec = LinkSpec.of("monthly", indicator, catalogue, **options)
-    return link_observations(obs, cube, grid, spec, id_col=id_col, date_col=date_var, rings=rings, prune=prune)
+    return link_observations(obs, cube, grid, spec, date_col=date_var, rings=rings, crs=crs, prune=prune)
 
 
 def _link_grid(target: DataFrame, cube: DataFrame, grid: Grid, spec: LinkSpec, date_col: str) -> DataFrame:

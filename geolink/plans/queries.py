@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,9 @@ from geolink.session import shared_dir
 from geolink.sources import adaptors as A
 from geolink.sources import catalogue as C
 from geolink.sources import cube as Q
+from geolink.sources.grid import Grid
 from geolink.sources.sinks import temporary_cube
-from geolink.sources.stash import Stash, key_column, pop_last
+from geolink.sources.stash import Stash, clean_index, key_column, live, pop_last, restore_all
 from geolink.streaming.stream_link import link_stream
 
 QUERIES: dict = {}
@@ -55,7 +57,7 @@ _BASE = "SELECT id, sum(s) / sum(n) AS baseline FROM (SELECT DISTINCT o.id, o.ix
     "obs", "cells", "cube", o=_OBS, s=_SPAN, clim=_CLIM, b=_BASE))
 def flagship_link(spark: SparkSession, sf: str) -> DataFrame:
     """Four-day span mean with 1995-1996 baseline and deviation, through the public entry point."""
-    out = api.link_daily(observations(spark, sf), cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d", time_span=3, baseline=(1995, 1996))
+    out = api.link_daily(observations(spark, sf), cube(spark, sf), GRID, "2m_temperature", date_var="d", time_span=3, baseline=(1995, 1996))
     return out.select("id", "d", _r("linked"), _r("baseline"), _r("deviation"))
 
 
@@ -71,19 +73,19 @@ def jn1(spark, sf):
 @query("jn2_single_date", sql("SELECT o.id, c.v AS linked FROM cells o LEFT JOIN cube c ON c.t = DATE '1997-05-05' AND c.ix = o.ix AND c.iy = o.iy", "obs", "cells", "cube"))
 def jn2(spark, sf):
     obs = observations(spark, sf).withColumn("d", F.to_date(F.lit("1997-05-05")))
-    return api.link_daily(obs, cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d").select("id", "linked")
+    return api.link_daily(obs, cube(spark, sf), GRID, "2m_temperature", date_var="d").select("id", "linked")
 
 
 @query("jn3_span_link", sql("SELECT o.id, round(linked, 6) AS linked FROM cells o LEFT JOIN s USING (id)", "obs", "cells", "cube", o=_OBS, s=_SPAN))
 def jn3(spark, sf):
-    return api.link_daily(observations(spark, sf), cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d", time_span=3).select("id", _r("linked"))
+    return api.link_daily(observations(spark, sf), cube(spark, sf), GRID, "2m_temperature", date_var="d", time_span=3).select("id", _r("linked"))
 
 
 @query("jn4_baseline", sql("SELECT o.id, round(baseline, 6) AS baseline FROM o LEFT JOIN b USING (id)", "obs", "cells", "cube", o=_OBS, clim=_CLIM, b=_BASE))
 def jn4(spark, sf):
     obs = observations(spark, sf)
-    rows = X.cell_rows(obs, "id", GRID.buffer(F.col("lon"), F.col("lat"), 0), F.col("d"))
-    return X.attach(obs, "id", X.baseline_mean(rows, cube(spark, sf), 1995, 1996, 3, single_cell=True), "baseline").select("id", _r("baseline"))
+    q, cells = cube(spark, sf), GRID.buffer(F.col("lon"), F.col("lat"), 0)
+    return X.link(obs, F.col("d"), ["lon", "lat"], cells, True, [("baseline", lambda keys: X.baseline_means(keys, q, 1995, 1996, 3))]).select("id", _r("baseline"))
 
 
 _POLY = dict(
@@ -98,7 +100,7 @@ _POLY = dict(
     "SELECT pd.id, round(m, 6) AS linked FROM pd LEFT JOIN (SELECT id, avg(cm) AS m FROM (SELECT pd.id, pc.ix, pc.iy, avg(v) AS cm FROM pd JOIN pc USING (p) JOIN cube c ON c.ix = pc.ix AND c.iy = pc.iy AND c.t BETWEEN pd.d - 6 AND pd.d GROUP BY ALL) GROUP BY id) AS a USING (id)",
     "edges", "grid", "cube", **_POLY))
 def jn5(spark, sf):
-    return api.link_daily(polygons(spark), cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d", rings="rings", time_span=6).select("id", _r("linked"))
+    return api.link_daily(polygons(spark), cube(spark, sf), GRID, "2m_temperature", date_var="d", rings="rings", time_span=6).select("id", _r("linked"))
 
 
 @query("jn5_polygon_cells", sql("SELECT p, ix, iy FROM pc", "edges", "grid", **{k: v for k, v in _POLY.items() if k != "pd"}))
@@ -120,14 +122,14 @@ def _buffer(km: float) -> dict[str, str]:
     "SELECT o.id, round(m, 6) AS linked FROM o LEFT JOIN (SELECT bc.id, avg(v) AS m FROM bc JOIN cube c ON c.t = bc.d AND c.ix = bc.ix AND c.iy = bc.iy GROUP BY bc.id) AS a USING (id)",
     "obs", "cells", "cube", "grid", o=_OBS, **_buffer(60)))
 def jn6(spark, sf):
-    return api.link_daily(observations(spark, sf), cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d", buffer_km=60.0).select("id", _r("linked"))
+    return api.link_daily(observations(spark, sf), cube(spark, sf), GRID, "2m_temperature", date_var="d", buffer_km=60.0).select("id", _r("linked"))
 
 
 @query("agg3_two_stage_mean", sql(
     "SELECT o.id, round(m, 6) AS linked FROM o LEFT JOIN (SELECT id, avg(cm) AS m FROM (SELECT bc.id, c.ix, c.iy, avg(v) AS cm FROM bc JOIN cube c ON c.t BETWEEN bc.d - 3 AND bc.d AND c.ix = bc.ix AND c.iy = bc.iy GROUP BY ALL) GROUP BY id) AS a USING (id)",
     "obs", "cells", "cube", "grid", o=_OBS, **_buffer(90)))
 def agg3(spark, sf):
-    return api.link_daily(observations(spark, sf), cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d", buffer_km=90.0, time_span=3).select("id", _r("linked"))
+    return api.link_daily(observations(spark, sf), cube(spark, sf), GRID, "2m_temperature", date_var="d", buffer_km=90.0, time_span=3).select("id", _r("linked"))
 
 
 @query("agg4_climatology", sql("SELECT md, ix, iy, round(s / n, 6) AS mean, n FROM clim", "cube", clim=_CLIM))
@@ -209,8 +211,8 @@ def jn12(spark, sf):
 @query("agg5_daily_statistic", sql("SELECT (ts + INTERVAL 5 HOUR)::DATE AS obs_date, ix, iy, round(avg(value), 6) AS mean, max(value) AS maximum, min(value) AS minimum FROM hourly GROUP BY ALL", "hourly"))
 def agg5(spark, sf):
     h = hourly(spark, sf)
-    mean, high, low = (Q.daily_statistic(h, s, "utc+05:00").withColumnRenamed("value", n) for s, n in (("daily_mean", "mean"), ("daily_maximum", "maximum"), ("daily_minimum", "minimum")))
-    return mean.join(high, ["obs_date", "ix", "iy"]).join(low, ["obs_date", "ix", "iy"]).select("obs_date", "ix", "iy", _r("mean"), "maximum", "minimum")
+    every = Q.daily_statistics(h, {"daily_mean": "mean", "daily_maximum": "maximum", "daily_minimum": "minimum"}, "utc+05:00")
+    return every.select("obs_date", "ix", "iy", _r("mean"), "maximum", "minimum")
 
 
 @query("agg6_monthly_mean", sql("SELECT date_trunc('month', ts)::DATE AS obs_date, ix, iy, round(avg(value), 6) AS value FROM hourly GROUP BY ALL", "hourly"))
@@ -290,7 +292,7 @@ def src3(spark, sf):
     return Q.scan(cube(spark, sf), Q.Request(years=(1998,), months=(7, 8), days=(1, 31)), GRID).select("obs_date", "ix", "iy", "value")
 
 
-@query("src4_request_reuse")
+@query("src4_request_reuse", sql("SELECT t AS obs_date, year(t)::INT AS year, strftime(t, '%m-%d') AS md, ix, iy, v AS value FROM cube WHERE year(t) = 1998 AND month(t) = 7", "cube"))
 def src4(spark, sf):
     """Materialise a request's cube once, then read it again from the stash."""
     request = Q.Request("2m_temperature", C.DAILY[0], years=(1998,), months=(7,))
@@ -306,9 +308,29 @@ def src5(spark, sf):
     return A.from_wkt(text, "wkt").select("id", "lon", "lat")
 
 
-@query("src6_indicators")
+_INDICATORS = """
+SELECT * FROM (VALUES ('2m_temperature', 'Temperature', 'K', 2, 3, true), ('total_precipitation', 'Precipitation', 'm', 2, 3, true), ('10m_u_component_of_wind', 'Wind', 'm s**-1', 3, 3, true),
+ ('10m_v_component_of_wind', 'Wind', 'm s**-1', 3, 3, true), ('leaf_area_index_high_vegetation', 'Vegetation', 'm**2 m**-2', 2, 3, true), ('leaf_area_index_low_vegetation', 'Vegetation', 'm**2 m**-2', 2, 3, true),
+ ('snow_cover', 'Snow', '%', 1, 3, true), ('snowfall', 'Snow', 'm to water equivalent', 1, 3, true), ('total_cloud_cover', 'Clouds', '(0 - 1)', 1, 3, true), ('fire_weather_index', 'Extreme weather', NULL, 0, 3, false),
+ ('extreme_wind_speed_days', 'Extreme weather', 'days', 0, 3, false), ('mean_wind_speed', 'Wind', 'm s**-1', 0, 3, false), ('days_with_high_fire_danger', 'Extreme weather', 'days', 0, 3, false),
+ ('magnitude_of_meteorological_droughts', 'Extreme weather', NULL, 0, 1, false), ('duration_of_meteorological_droughts', 'Extreme weather', 'months', 0, 1, false), ('consecutive_dry_days', 'Extreme weather', 'days', 0, 1, false),
+ ('frequency_of_extreme_precipitation', 'Extreme weather', 'days', 0, 1, false), ('extreme_precipitation_total', 'Extreme weather', 'mm', 0, 1, false), ('maximum_consecutive_five_day_precipitation', 'Extreme weather', 'mm', 0, 1, false)
+) AS t(indicator, category, unit, n_subsets, n_resolutions, reanalysis)"""
+
+
+@query("src6_indicators", _INDICATORS)
 def src6(spark, sf):
-    return C.indicators(spark)
+    return C.indicators(spark).select(
+        "indicator", "category", "unit", F.coalesce(F.size("subsets"), F.lit(0)).alias("n_subsets"), F.size("temporal_resolution").alias("n_resolutions"), (F.col("project") == "era5").alias("reanalysis")
+    )
+
+
+@query("src6_read_json", "SELECT c_name AS indicator, c_mktsegment AS category, c_nationkey::BIGINT AS id, 'land' AS first_subset, c_mktsegment AS zone FROM customer")
+def src6_json(spark, sf):
+    """Catalogue objects of JSON text, one indicator for each customer, read to rows."""
+    item = F.struct(F.col("c_mktsegment").alias("category"), F.col("c_nationkey").alias("id"), F.array(F.lit("land")).alias("subsets"), F.create_map(F.lit("time_zone"), F.col("c_mktsegment")).alias("arguments"))
+    text = read(spark, sf, "customer").select(F.to_json(F.create_map("c_name", item)).alias("json"))
+    return C.parse_indicators(text, "json").select("indicator", "category", "id", F.col("subsets")[0].alias("first_subset"), F.col("arguments")["time_zone"].alias("zone"))
 
 
 @query("src7_reference_areas", "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('EUROPE', 'ASIA')")
@@ -335,8 +357,8 @@ def flt1(spark, sf):
 
 @query("flt2_date_set", sql("SELECT t AS obs_date, ix, iy, v AS value FROM cube WHERE t IN (DATE '1998-08-01', DATE '1998-07-31', DATE '1998-07-30')", "cube"))
 def flt2(spark, sf):
-    days = D.span_dates(F.to_date(F.lit("1998-08-01")), 2)
-    return cube(spark, sf).where(F.array_contains(days, F.col("obs_date"))).select("obs_date", "ix", "iy", "value")
+    wanted = Q.Request(dates=(datetime.date(1998, 7, 30), datetime.date(1998, 8, 1)))
+    return Q.scan(cube(spark, sf), wanted).select("obs_date", "ix", "iy", "value")
 
 
 @query("flt3_month_day", sql("SELECT t AS obs_date, ix, iy, v AS value FROM cube WHERE strftime(t, '%m-%d') IN ('02-29', '08-01')", "cube"))
@@ -479,11 +501,17 @@ def str9(spark, sf):
     return I.parse_ags(read(spark, sf, "customer").select(k.alias("k"), ags.alias("ags")), "ags")
 
 
-@query("str10_guess_type", "SELECT 1 AS k, 'nuts' AS kind UNION ALL SELECT 2, 'gadm' UNION ALL SELECT 3, 'long_inspire' UNION ALL SELECT 4, 'lau' UNION ALL SELECT 5, 'ags'")
+_TYPED = """SELECT c_nationkey, CASE c_nationkey % 7 WHEN 0 THEN 'DE' || c_custkey % 10 WHEN 1 THEN 'DEU.' || c_custkey % 9 || '_1' WHEN 2 THEN 'CRS3035RES1000mN' || c_custkey || 'E1' WHEN 3 THEN 'DE_' || c_custkey
+ WHEN 4 THEN '0' || c_custkey WHEN 5 THEN '1kmN' || c_custkey || 'E43' ELSE '?' || c_custkey END AS id FROM customer"""
+
+
+@query("str10_guess_type", f"SELECT c_nationkey, CASE c_nationkey % 7 WHEN 0 THEN 'nuts' WHEN 1 THEN 'gadm' WHEN 2 THEN 'long_inspire' WHEN 3 THEN 'lau' WHEN 4 THEN 'ags' WHEN 5 THEN 'short_inspire' END AS kind FROM ({_TYPED}) GROUP BY 1, 2")
 def str10(spark, sf):
-    samples = (["DE1", "DE11"], ["DEU.1_1", "DEU.1.2_1"], ["CRS3035RES1000mN2690000E4341000"], ["DE_01001000"], ["01", "01001"])
-    kinds = [(k + 1, I.guess_id_type(spark.createDataFrame([(x,) for x in s], "id string"), "id")) for k, s in enumerate(samples)]
-    return spark.createDataFrame(kinds, "k int, kind string")
+    """The id type of each nation's ids, six types and none."""
+    k, n = F.col("c_custkey").cast("string"), F.col("c_nationkey") % 7
+    id_ = F.when(n == 0, F.concat(F.lit("DE"), (F.col("c_custkey") % 10).cast("string"))).when(n == 1, F.concat(F.lit("DEU."), (F.col("c_custkey") % 9).cast("string"), F.lit("_1")))
+    id_ = id_.when(n == 2, F.concat(F.lit("CRS3035RES1000mN"), k, F.lit("E1"))).when(n == 3, F.concat(F.lit("DE_"), k)).when(n == 4, F.concat(F.lit("0"), k)).when(n == 5, F.concat(F.lit("1kmN"), k, F.lit("E43")))
+    return I.guess_id_types(read(spark, sf, "customer").select("c_nationkey", id_.otherwise(F.concat(F.lit("?"), k)).alias("id")), "id", "c_nationkey")
 
 
 @query("str11_to_iso3", "WITH c AS (SELECT n_name AS name, min(upper(substr(n_name, 1, 3))) AS iso3 FROM nation GROUP BY 1) SELECT c_custkey, iso3 AS id FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN c ON c.name = n_name")
@@ -493,9 +521,17 @@ def str11(spark, sf):
     return out.select("c_custkey", "id")
 
 
-@query("str13_indicator_card")
+def _card(*lines: str) -> str:
+    return "concat_ws(chr(10), " + ", ".join(f"'{x}'" for x in lines) + ")"
+
+
+@query("str13_indicator_card", "SELECT '2m_temperature' AS indicator, " + _card(
+    "Indicator:           2 metre temperature", "Category:            Temperature", "Data type:           gridded", "Unit:                K", "Spatial resolution:  0.25° x 0.25°", "Spatial coverage:    global",
+    "Temporal resolution: - hourly", "                     - daily", "                     - monthly", "Temporal coverage:   1950-01-01 00:00") + " AS card UNION ALL SELECT 'fire_weather_index', " + _card(
+    "Indicator:           Fire weather index", "Category:            Extreme weather", "Data type:           gridded", "Unit:                N/A", "Spatial resolution:  0.25° x 0.25°", "Spatial coverage:    global",
+    "Temporal resolution: - monthly", "                     - seasonal", "                     - yearly", "Temporal coverage:   1940-01-01"))
 def str13(spark, sf):
-    return C.lookup(spark, "2m_temperature").select("indicator", "card")
+    return C.lookup(spark, "2m_temperature").unionByName(C.lookup(spark, "fire_weather_index")).select("indicator", "card")
 
 
 @query("str14_superscript", "SELECT * FROM (VALUES (1, 'm s⁻¹'), (2, 'm² m⁻²'), (3, 'K')) AS t(k, unit)")
@@ -536,24 +572,34 @@ def sta3(spark, sf):
     return pop_last(index, 3)
 
 
-@query("sta1_stash_cycle", "SELECT 3 AS stored, 2 AS popped, 1 AS cleaned")
+_LOG = "SELECT 'k' || o_custkey % 50 AS key, 'p' || o_orderkey AS path, o_orderkey AS seq FROM orders WHERE o_orderkey % 3 <> 0"
+
+
+def _stash_log(spark, sf) -> DataFrame:
+    """A log of one entry for each order, of which every third has a tombstone."""
+    orders = read(spark, sf, "orders")
+    entry = F.concat(F.lit("k"), (F.col("o_custkey") % 50).cast("string")).alias("key"), F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("path"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").cast("string").alias("entry")
+    return orders.select(*entry, F.lit(False).alias("dead")).unionByName(orders.where("o_orderkey % 3 = 0").select(*entry, F.lit(True).alias("dead")))
+
+
+@query("sta1_stash_cycle", f"SELECT key, path, seq FROM ({_LOG})")
 def sta1(spark, sf):
-    """Store three files, pop one, lose one and clean: the index sizes on the way."""
-    root = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    stash = Stash(spark, root, "test")
-    for name in "abc":
-        path = f"{root}/{name}"
-        spark.range(1).write.parquet(path)
-        stash.store(path, {name: "test"})
-    sizes = [stash.get().count()]
-    stash.pop(1)
-    sizes.append(stash.get().count())
-    fs, p = stash._fs(f"{root}/a")
-    fs.delete(p, True)
-    stash.clean()
-    sizes.append(stash.get().count())
-    stash.destroy()
-    return spark.createDataFrame([tuple(sizes)], "stored int, popped int, cleaned int")
+    """The entries of a log that stand."""
+    return live(_stash_log(spark, sf)).select("key", "path", "seq")
+
+
+@query("sta2_restore", f"SELECT c_custkey, path FROM customer LEFT JOIN (SELECT key, arg_min(path, seq) AS path FROM ({_LOG}) GROUP BY 1) ON key = 'k' || c_custkey % 60")
+def sta2(spark, sf):
+    """The oldest entry of each request's key, if any."""
+    requests = read(spark, sf, "customer").select("c_custkey", F.concat(F.lit("k"), (F.col("c_custkey") % 60).cast("string")).alias("key"))
+    return restore_all(live(_stash_log(spark, sf)), requests).select("c_custkey", "path")
+
+
+@query("sta4_clean", f"SELECT key, path, seq FROM ({_LOG}) WHERE seq % 4 <> 0")
+def sta4(spark, sf):
+    """Entries whose file is gone leave the index."""
+    files = read(spark, sf, "orders").where("o_orderkey % 4 <> 0").select(F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("path"))
+    return clean_index(live(_stash_log(spark, sf)), files).select("key", "path", "seq")
 
 
 # grids
@@ -626,7 +672,7 @@ def api4(spark, sf):
     " LEFT JOIN (SELECT o.id, avg(c.v) AS v FROM o JOIN cube c ON c.ix = o.ix AND c.iy = o.iy AND year(c.t) BETWEEN 1995 AND 1996 AND month(c.t) IN (month(o.d - INTERVAL 1 MONTH), month(o.d - INTERVAL 2 MONTH)) GROUP BY o.id) b USING (id)",
     "obs", "cells", "cube", o=_OBS))
 def api3(spark, sf):
-    out = api.link_monthly(observations(spark, sf), cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d", time_lag=1, time_span=1, baseline=("1995", "1996"))
+    out = api.link_monthly(observations(spark, sf), cube(spark, sf), GRID, "2m_temperature", date_var="d", time_lag=1, time_span=1, baseline=("1995", "1996"))
     return out.select("id", _r("linked"), _r("baseline"))
 
 
@@ -636,7 +682,7 @@ def api3(spark, sf):
 def api1_hourly(spark, sf):
     lon, lat = GRID.centre(F.col("event_id") % 5, F.col("user_id") % 4)
     points = read(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("ts").cast("date").alias("date"), lon.alias("lon"), lat.alias("lat"))
-    return api.link_daily(points, hourly(spark, sf), GRID, "2m_temperature", id_col="id", statistic="daily_maximum", time_zone="utc+02:00").select("id", _r("linked"))
+    return api.link_daily(points, hourly(spark, sf), GRID, "2m_temperature", statistic="daily_maximum", time_zone="utc+02:00").select("id", _r("linked"))
 
 
 @query("top1_first_layer", sql("SELECT ix, iy, min(t) AS obs_date, arg_min(v, t) AS value FROM cube GROUP BY ALL", "cube"))
@@ -671,7 +717,7 @@ def agg1(spark, sf):
     "SELECT pd.id, round(m, 6) AS linked FROM pd LEFT JOIN (SELECT pd.id, avg(v) AS m FROM pd JOIN pc USING (p) JOIN cube c ON c.ix = pc.ix AND c.iy = pc.iy AND c.t = pd.d GROUP BY pd.id) AS a USING (id)",
     "edges", "grid", "cube", **_POLY))
 def agg2(spark, sf):
-    return api.link_daily(polygons(spark), cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d", rings="rings").select("id", _r("linked"))
+    return api.link_daily(polygons(spark), cube(spark, sf), GRID, "2m_temperature", date_var="d", rings="rings").select("id", _r("linked"))
 
 
 @query("dt3_span_bounds", sql("SELECT id, d - 13 AS first, d - 10 AS last FROM obs", "obs"))
@@ -715,7 +761,7 @@ def geo4(spark, sf):
 
 @query("geo5_geometry_kept", sql("SELECT o.id, o.lon, o.lat, c.v AS linked FROM cells o LEFT JOIN cube c ON c.t = o.d AND c.ix = o.ix AND c.iy = o.iy", "obs", "cells", "cube"))
 def geo5(spark, sf):
-    return api.link_daily(observations(spark, sf), cube(spark, sf), GRID, "2m_temperature", id_col="id", date_var="d").select("id", "lon", "lat", "linked")
+    return api.link_daily(observations(spark, sf), cube(spark, sf), GRID, "2m_temperature", date_var="d").select("id", "lon", "lat", "linked")
 
 
 @query("grd1_single_date", sql("SELECT t.tx, t.ty, round(l.x, 9) AS linked FROM targets t LEFT JOIN l USING (tx, ty)", "targets", "cube", layer="SELECT ix, iy, v FROM cube WHERE t = DATE '1998-03-03'", l=_resample_sql("bilinear", "layer")))
@@ -740,55 +786,163 @@ def map2(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", F.array_join(parts, ",").alias("request"))
 
 
-@query("snk2_temporary_cube", sql("SELECT count(*) AS n, round(sum(v), 6) AS total FROM cube", "cube"))
-def snk2(spark, sf):
-    """A cube written for the time of a block, read again and deleted."""
-    with temporary_cube(cube(spark, sf)) as written:
-        row = written.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total")).first()
-    return spark.createDataFrame([tuple(row)], "n long, total double")
+_ARGUMENTS = """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'derived-era5-land-daily-statistics' WHEN 1 THEN 'derived-era5-single-levels-daily-statistics' ELSE 'reanalysis-era5-land-monthly-means' END AS catalogue,
+ CASE o_custkey % 4 WHEN 0 THEN '2m_temperature' WHEN 1 THEN 'k_index' WHEN 2 THEN 'snow_cover' END AS indicator, lpad((o_custkey % 26)::VARCHAR, 2, '0') || ':00' AS by_hour,
+ 'daily_' || CASE o_orderkey % 4 WHEN 0 THEN 'mean' WHEN 1 THEN 'maximum' WHEN 2 THEN 'minimum' ELSE 'median' END AS statistic, 'utc+' || lpad((o_orderkey % 17)::VARCHAR, 2, '0') || ':00' AS time_zone,
+ 1990 + o_custkey % 5 AS first, 1990 + o_orderkey % 5 AS last FROM orders"""
 
 
-@query("sta2_restore", "SELECT true AS first_wins, true AS lost_is_none, 1::BIGINT AS left_over")
-def sta2(spark, sf):
-    """The first of two entries with one key is found; when its file is lost it is forgotten for good."""
-    root = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    stash, request = Stash(spark, root, "test"), {"a": "test"}
-    for name in ("one", "two"):
-        spark.range(1).write.parquet(f"{root}/{name}")
-        stash.store(f"{root}/{name}", request | {"target": name})
-    first = stash.restore(request) == f"{root}/one"
-    fs, p = stash._fs(f"{root}/one")
-    fs.delete(p, True)
-    lost = stash.restore(request) is None
-    left = stash.get().count()
-    stash.destroy()
-    return spark.createDataFrame([(first, lost, left)], "first_wins boolean, lost_is_none boolean, left_over long")
-
-
-_CHECKS = (
-    ("val1_catalogue", lambda v: C.check_catalogue(v, "daily"), C.DAILY[0], "none"),
-    ("val2_indicator", lambda v: C.check_indicator(v, C.DAILY[0]), "2m_temperature", "none"),
-    ("val3_by_hour", C.check_by_hour, "23:00", "24:00"),
-    ("val4_statistic", C.check_statistic, "daily_mean", "daily_median"),
-    ("val5_time_zone", C.check_time_zone, "utc-12:00", "utc+15:00"),
-    ("val6_baseline", C.check_baseline, (1995, 1996), (1996, 1995)),
+@query("val_arguments", f"""SELECT o_orderkey, o_orderkey % 3 <> 2 AS ok_catalogue, coalesce(CASE indicator WHEN '2m_temperature' THEN true WHEN 'k_index' THEN o_orderkey % 3 = 1 WHEN 'snow_cover' THEN o_orderkey % 3 <> 1 END, false) AS ok_indicator,
+ by_hour < '24' AS ok_by_hour, statistic <> 'daily_median' AS ok_statistic, time_zone <= 'utc+14:00' AS ok_time_zone, first <= last AS ok_last FROM ({_ARGUMENTS})""")
+def val_arguments(spark, sf):
+    """A table of requests, sound and unsound, and what the argument checks say of each."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    two = lambda n: F.concat(F.lpad(n.cast("string"), 2, "0"), F.lit(":00"))
+    pick = lambda n, *names: F.get(F.array(*map(F.lit, names)), n.cast("int"))
+    rows = read(spark, sf, "orders").select(
+        "o_orderkey", pick(k % 3, *C.DAILY, C.MONTHLY[0]).alias("catalogue"), pick(c % 4, "2m_temperature", "k_index", "snow_cover").alias("indicator"), two(c % 26).alias("by_hour"),
+        F.concat(F.lit("daily_"), pick(k % 4, "mean", "maximum", "minimum", "median")).alias("statistic"), F.concat(F.lit("utc+"), two(k % 17)).alias("time_zone"), (1990 + c % 5).alias("first"), (1990 + k % 5).alias("last"),
+    )
+    return C.valid_arguments(rows).select("o_orderkey", "ok_catalogue", "ok_indicator", "ok_by_hour", "ok_statistic", "ok_time_zone", "ok_last")
+
+
+@query("srt3_by_category", f"SELECT row_number() OVER (ORDER BY category DESC, indicator) AS place, indicator, category FROM ({_INDICATORS})")
+def srt3(spark, sf):
+    """The catalogue's order as a number: the answer of a sorted list has no order of its own."""
+    listed = C.indicators(spark)
+    above = listed.select(F.col("category").alias("_c"), F.col("indicator").alias("_i"))
+    later = (F.col("_c") > F.col("category")) | ((F.col("_c") == F.col("category")) & (F.col("_i") <= F.col("indicator")))
+    return listed.join(F.broadcast(above), later).groupBy("indicator", "category").agg(F.count(F.lit(1)).alias("place"))
+
+
+# rules of linking that the inventory's lines leave open
+
+
+@query("api1_null_and_repeated_ids", sql(
+    "SELECT CASE WHEN id % 5 = 0 THEN NULL ELSE id % 7 END AS id, o.d, o.lon, o.lat, round(linked, 6) AS linked FROM o LEFT JOIN s USING (id)", "obs", "cells", "cube", o=_OBS, s=_SPAN))
+def api1_ids(spark, sf):
+    """A panel: ids repeat or are missing; every row gets its own value."""
+    obs = observations(spark, sf).withColumn("id", F.when(F.col("id") % 5 != 0, F.col("id") % 7))
+    return api.link_daily(obs, cube(spark, sf), GRID, "2m_temperature", date_var="d", time_span=3).select("id", "d", "lon", "lat", _r("linked"))
+
+
+@query("api1_many_rows_a_cell", sql(
+    "SELECT o.id, round(v, 6) AS linked FROM o LEFT JOIN (SELECT l_shipdate::DATE AS t, (l_suppkey % 5)::INT AS ix, (l_partkey % 4)::INT AS iy, avg(l_quantity) AS v FROM lineitem GROUP BY ALL) c ON c.t = o.d AND c.ix = o.ix AND c.iy = o.iy",
+    "obs", "cells", o=_OBS))
+def api1_many(spark, sf):
+    """A cube with several rows for a cell and date: their mean counts, no row multiplies."""
+    rows = read(spark, sf, "lineitem").select(F.col("l_shipdate").cast("date").alias("obs_date"), (F.col("l_suppkey") % 5).alias("ix"), (F.col("l_partkey") % 4).alias("iy"), F.col("l_quantity").alias("value"))
+    return api.link_daily(observations(spark, sf), Q.ingest(rows), GRID, "2m_temperature", date_var="d").select("id", _r("linked"))
+
+
+@query("api3_monthly_of_daily", sql(
+    "SELECT o.id, round(v, 6) AS linked FROM o LEFT JOIN (SELECT date_trunc('month', t)::DATE AS t, ix, iy, avg(v) AS v FROM cube GROUP BY ALL) c ON c.t = date_trunc('month', o.d)::DATE AND c.ix = o.ix AND c.iy = o.iy", "obs", "cells", "cube", o=_OBS))
+def api3_daily(spark, sf):
+    """A month without a span over a daily cube: the month's mean, one row for each observation."""
+    return api.link_monthly(observations(spark, sf), cube(spark, sf), GRID, "2m_temperature", date_var="d").select("id", _r("linked"))
+
+
+@query("api1_long_span", sql(
+    "SELECT o.id, round(linked, 6) AS linked FROM o LEFT JOIN (SELECT o.id, avg(c.v) AS linked FROM o JOIN cube c ON c.ix = o.ix AND c.iy = o.iy AND c.t BETWEEN o.d - 365 AND o.d GROUP BY o.id) USING (id)", "obs", "cells", "cube", o=_OBS))
+def api1_long(spark, sf):
+    """A span of a year."""
+    return api.link_daily(observations(spark, sf), cube(spark, sf), GRID, "2m_temperature", date_var="d", time_span=365).select("id", _r("linked"))
+
+
+@query("api1_projected_points", sql("SELECT o.id, round(linked, 6) AS linked FROM o LEFT JOIN s USING (id)", "obs", "cells", "cube", o=_OBS, s=_SPAN))
+def api1_projected(spark, sf):
+    """Observations in EPSG:3035."""
+    east, north = G.to_laea(F.col("lon"), F.col("lat"))
+    obs = observations(spark, sf).select("id", "d", east.alias("lon"), north.alias("lat"))
+    return api.link_daily(obs, cube(spark, sf), GRID, "2m_temperature", date_var="d", time_span=3, crs=3035).select("id", _r("linked"))
+
+
+_EDGE = "radians(1) * 6371.0088"
+_NEAR_POLY = dict(
+    flat=f"SELECT p, ix, iy, (ax - clon) * cos(radians(clat)) * {_EDGE} AS ax, (ay - clat) * {_EDGE} AS ay, (bx - ax) * cos(radians(clat)) * {_EDGE} AS dx, (\"by\" - ay) * {_EDGE} AS dy FROM edges, grid",
+    dist="SELECT p, ix, iy, min(sqrt(pow(ax + t * dx, 2) + pow(ay + t * dy, 2))) AS km FROM (SELECT *, greatest(0, least(1, coalesce(-(ax * dx + ay * dy) / nullif(dx * dx + dy * dy, 0), 0))) AS t FROM flat) GROUP BY ALL",
+    nearby="SELECT p, ix, iy FROM cover UNION SELECT p, ix, iy FROM dist WHERE km <= 40",
+    npc="SELECT * FROM nearby UNION ALL SELECT * FROM mid WHERE p NOT IN (SELECT p FROM nearby) AND ix BETWEEN 0 AND 4 AND iy BETWEEN 0 AND 3",
 )
 
 
-@query("val_arguments", "SELECT * FROM (VALUES ('val1_catalogue', true, true), ('val2_indicator', true, true), ('val3_by_hour', true, true), ('val4_statistic', true, true), ('val5_time_zone', true, true), ('val6_baseline', true, true)) AS t(name, accepts, rejects)")
-def val_arguments(spark, sf):
-    """Each argument check on a sound and on an unsound value."""
+@query("api1_polygon_buffer", sql(
+    "SELECT pd.id, round(m, 6) AS linked FROM pd LEFT JOIN (SELECT id, avg(cm) AS m FROM (SELECT pd.id, npc.ix, npc.iy, avg(v) AS cm FROM pd JOIN npc USING (p) JOIN cube c ON c.ix = npc.ix AND c.iy = npc.iy AND c.t BETWEEN pd.d - 6 AND pd.d GROUP BY ALL) GROUP BY id) AS a USING (id)",
+    "edges", "grid", "cube", **_POLY, **_NEAR_POLY))
+def api1_polygon_buffer(spark, sf):
+    """Polygons with 40 km round them."""
+    return api.link_daily(polygons(spark), cube(spark, sf), GRID, "2m_temperature", date_var="d", rings="rings", time_span=6, buffer_km=40.0).select("id", _r("linked"))
 
-    def passes(check, value) -> bool:
-        try:
-            check(value)
-        except ValueError:
-            return False
-        return True
 
-    return spark.createDataFrame([(name, passes(f, good), not passes(f, bad)) for name, f, good, bad in _CHECKS], "name string, accepts boolean, rejects boolean")
+_GLOBE = dict(
+    g="SELECT x.range::INT AS ix, y.range::INT AS iy, -180 + (x.range + 0.5::DOUBLE) * 10 AS clon, 90 - (y.range + 0.5::DOUBLE) * 10 AS clat FROM range(36) AS x, range(18) AS y",
+    q="SELECT l_shipdate::DATE AS t, (l_suppkey % 36)::INT AS ix, (l_partkey % 18)::INT AS iy, avg(l_quantity) AS v FROM lineitem WHERE l_shipdate < DATE '1995-07-01' GROUP BY ALL",
+    p="SELECT o_orderkey AS id, o_orderdate::DATE AS d, (o_custkey * 7 % 720)::DOUBLE + 0.3::DOUBLE AS lon, (o_custkey * 11 % 179) - 89 + 0.2::DOUBLE AS lat FROM orders WHERE o_orderdate < DATE '1995-07-01'",
+    near="SELECT p.id, p.d, g.ix, g.iy FROM p, g WHERE 2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians(clat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(clat)) * pow(sin(radians(clon - lon) / 2), 2)))) <= 900",
+    bc="SELECT * FROM near UNION ALL SELECT id, d, (floor((lon + 180) / 10)::INT % 36) AS ix, floor((90 - lat) / 10)::INT AS iy FROM p WHERE id NOT IN (SELECT id FROM near)",
+)
 
 
-@query("srt3_by_category")
-def srt3(spark, sf):
-    return C.indicators(spark).orderBy(F.desc("category"), "indicator")
+@query("api1_round_the_globe", sql(
+    "SELECT p.id, round(m, 6) AS linked FROM p LEFT JOIN (SELECT bc.id, avg(v) AS m FROM bc JOIN q ON q.t = bc.d AND q.ix = bc.ix AND q.iy = bc.iy GROUP BY bc.id) AS a USING (id)", **_GLOBE))
+def api1_globe(spark, sf):
+    """A global grid: longitudes of any name, buffers across the edge of the map and round the poles."""
+    rows = read(spark, sf, "lineitem").where("l_shipdate < date'1995-07-01'").groupBy(F.col("l_shipdate").cast("date").alias("obs_date"), (F.col("l_suppkey") % 36).alias("ix"), (F.col("l_partkey") % 18).alias("iy"))
+    q = Q.ingest(rows.agg(F.avg("l_quantity").alias("value")))
+    at = (F.col("o_custkey") * 7 % 720).cast("double") + 0.3, (F.col("o_custkey") * 11 % 179) - 89 + F.lit(0.2)
+    obs = read(spark, sf, "orders").where("o_orderdate < date'1995-07-01'").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("d"), at[0].alias("lon"), at[1].alias("lat"))
+    return api.link_daily(obs, q, Grid(-180.0, 90.0, 10.0, 10.0, 36, 18), "2m_temperature", date_var="d", buffer_km=900.0).select("id", _r("linked"))
+
+
+@query("src5_wkt_polygons", "SELECT s_suppkey, 2::BIGINT AS n_rings, 9::BIGINT AS n_points, (s_suppkey % 50)::DOUBLE AS xmin, s_suppkey % 50 + 4.5::DOUBLE AS xmax, (s_suppkey % 30)::DOUBLE AS ymin, s_suppkey % 30 + 4.0::DOUBLE AS ymax FROM supplier")
+def src5_polygons(spark, sf):
+    """A polygon with a hole as text for each supplier, read to rings."""
+    x, y = F.col("s_suppkey") % 50, F.col("s_suppkey") % 30
+    outer = F.format_string("(%d %d, %d.5 %d, %d.5 %d, %d %d, %d %d)", x, y, x + 4, y, x + 4, y + 4, x, y + 4, x, y)
+    hole = F.format_string("(%d.5 %d.25, %d %d, %d %d.75, %d.5 %d.25)", x + 1, y + 1, x + 2, y + 1, x + 2, y + 2, x + 1, y + 1)
+    rows = read(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("POLYGON ("), outer, F.lit(", "), hole, F.lit(")")).alias("wkt"))
+    b = G.bounds(F.col("rings"))
+    sizes = F.size("rings").cast("long").alias("n_rings"), F.size(F.flatten("rings")).cast("long").alias("n_points")
+    return A.from_wkt(rows, "wkt").select("s_suppkey", *sizes, *[b[k].alias(k) for k in ("xmin", "xmax", "ymin", "ymax")])
+
+
+def _area_query(kind: str, of, sql_id: str, level: str, country: str):
+    """Register the enrichment of one id type: areas named after nations, ids from customers."""
+    reference = f"SELECT {sql_id.format(k='n_nationkey')} AS area_id, min(n_name) AS n_name FROM nation GROUP BY 1"
+
+    @query(f"jn8_enrich_{kind}", f"WITH ref AS ({reference}) SELECT c_custkey, id, {country} AS country, {level} AS level, n_name FROM (SELECT c_custkey, {sql_id.format(k='c_nationkey')} AS id FROM customer) LEFT JOIN ref ON area_id = id")
+    def run(spark, sf):
+        rows = read(spark, sf, "customer").select("c_custkey", of(F.col("c_nationkey")).alias("id"))
+        areas = read(spark, sf, "nation").select(F.lit(kind).alias("source"), of(F.col("n_nationkey")).alias("area_id"), "n_name")
+        named = E.parse_ids(areas, "area_id", kind).drop("country")
+        return E.enrich(rows, named.select("source", "level", "area_id", "n_name"), "id", type=kind)
+
+
+_s = lambda k: k.cast("string")
+_area_query("gadm", lambda k: F.concat(F.lit("DEU."), _s(k % 5), F.when(k % 2 == 0, F.concat(F.lit("."), _s(k))).otherwise(""), F.lit("_1")),
+    "'DEU.' || {k} % 5 || CASE WHEN {k} % 2 = 0 THEN '.' || {k} ELSE '' END || '_1'", "(length(id) - length(replace(id, '.', '')))::VARCHAR", "'DEU'")
+_area_query("lau", lambda k: F.concat(F.lit("FR_"), F.lpad(_s(k), 5, "0")), "'FR_' || lpad({k}::VARCHAR, 5, '0')", "NULL::VARCHAR", "'FR'")
+_area_query("ags", lambda k: F.concat(F.lit("0"), _s(k % 9 + 1), F.when(k % 2 == 0, F.concat(F.lit("0"), F.lpad(_s(k + 1), 2, "0"))).otherwise("")),
+    "'0' || ({k} % 9 + 1) || CASE WHEN {k} % 2 = 0 THEN '0' || lpad(({k} + 1)::VARCHAR, 2, '0') ELSE '' END",
+    "CASE WHEN id LIKE '02%' THEN (SELECT l FROM (SELECT CASE WHEN i LIKE '02%' THEN 'gem' WHEN length(i) > 2 THEN 'krs' ELSE 'lan' END AS l FROM (SELECT '0' || (c_nationkey % 9 + 1) || CASE WHEN c_nationkey % 2 = 0 THEN '001' ELSE '' END AS i FROM customer)) GROUP BY l ORDER BY count(*) DESC, l LIMIT 1) WHEN length(id) > 2 THEN 'krs' ELSE 'lan' END", "'DEU'")
+_area_query("postcode", lambda k: F.lpad(_s(k * 37 + 1000), 5, "0"), "lpad(({k} * 37 + 1000)::VARCHAR, 5, '0')", "NULL::VARCHAR", "NULL::VARCHAR")
+
+
+@query("geo3_laea_forward", sql("""SELECT id, round(4321000 + b * dd * cos(beta) * sin(dl), 2) AS east, round(3210000 + b / dd * (cb * sin(beta) - sb * cos(beta) * cos(dl)), 2) AS north
+ FROM (SELECT *, rq * sqrt(2 / (1 + sb * sin(beta) + cb * cos(beta) * cos(dl))) AS b, 6378137 * cos(radians(52)) / sqrt(1 - e2 * pow(sin(radians(52)), 2)) / (rq * cb) AS dd
+ FROM (SELECT *, sin(asin(q0 / qp)) AS sb, cos(asin(q0 / qp)) AS cb, asin(q / qp) AS beta, 6378137 * sqrt(qp / 2) AS rq, radians(lon - 10) AS dl
+ FROM (SELECT *, (1 - e2) * (s / (1 - e2 * s * s) - ln((1 - e * s) / (1 + e * s)) / (2 * e)) AS q, (1 - e2) * (1 / (1 - e2) - ln((1 - e) / (1 + e)) / (2 * e)) AS qp,
+ (1 - e2) * (s0 / (1 - e2 * s0 * s0) - ln((1 - e * s0) / (1 + e * s0)) / (2 * e)) AS q0
+ FROM (SELECT id, lon, lat, sin(radians(lat)) AS s, sin(radians(52)) AS s0, sqrt(0.00669438002290079::DOUBLE) AS e, 0.00669438002290079::DOUBLE AS e2 FROM obs))))""", "obs"))
+def geo3_forward(spark, sf):
+    """Points to EPSG:3035; tests compare the published example of the projection too."""
+    east, north = G.to_laea(F.col("lon"), F.col("lat"))
+    return observations(spark, sf).select("id", F.round(east, 2).alias("east"), F.round(north, 2).alias("north"))
+
+
+@query("snk2_temporary_cube", sql("SELECT count(*) AS n, round(sum(v), 6) AS total FROM cube", "cube"))
+def snk2(spark, sf):
+    """A cube written for the time of a block, read again and deleted."""
+    with temporary_cube(cube(spark, sf)) as written:
+        row = written.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total")).first()
+    return spark.createDataFrame([tuple(row)], "n long, total double")

@@ -1,11 +1,10 @@
-"""Session defaults and stable row ids."""
+"""Session defaults and the shared folder."""
 
 from __future__ import annotations
 
-import uuid
+import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 
 def session(name: str = "geolink", **conf: str) -> SparkSession:
@@ -17,18 +16,14 @@ def session(name: str = "geolink", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); /tmp only in local mode."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where the session names none, a local session (tests) takes a folder of this
+    machine; on a cluster that is an error.
+    """
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if where:
         return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return "file:///tmp/checkpoints"
-
-
-def with_ids(df: DataFrame, id_col: str = "obs_id") -> DataFrame:
-    """Add a unique id and write the rows once: a generated id is not stable under re-evaluation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
-    df.withColumn(id_col, F.monotonically_increasing_id()).write.parquet(path)
-    return spark.read.parquet(path)
+    return f"file://{tempfile.gettempdir()}/geolink-checkpoints"

@@ -31,22 +31,39 @@ STATISTICS = ("daily_mean", "daily_maximum", "daily_minimum")
 HOURS = tuple(f"{h:02d}:00" for h in range(24))
 ZONES = tuple(f"utc{h:+03d}:00" for h in range(-12, 15))
 METHODS = ("near", "bilinear", "cubic")
-#: Indicator, name, category, unit, subsets.
-_CARDS = (
-    ("2m_temperature", "2 metre temperature", "Temperature", "K", "single_levels land"),
-    ("total_precipitation", "Total precipitation", "Precipitation", "m", "single_levels land"),
-    ("10m_u_component_of_wind", "10 metre U wind component", "Wind", "m s**-1", "single_levels land"),
-    ("10m_v_component_of_wind", "10 metre V wind component", "Wind", "m s**-1", "single_levels land"),
-    ("instantaneous_10m_wind_gust", "Instantaneous 10 metre wind gust", "Wind", "m s**-1", "single_levels"),
-    ("downward_uv_radiation_at_the_surface", "Downward UV radiation at the surface", "Radiation", "J m**-2", "single_levels"),
-    ("total_cloud_cover", "Total cloud cover", "Clouds", "(0 - 1)", "single_levels"),
-    ("k_index", "K index", "Stability", "K", "single_levels"),
-    ("leaf_area_index_high_vegetation", "Leaf area index, high vegetation", "Vegetation", "m**2 m**-2", "single_levels land"),
-    ("leaf_area_index_low_vegetation", "Leaf area index, low vegetation", "Vegetation", "m**2 m**-2", "single_levels land"),
-    ("snow_cover", "Snow cover", "Snow", "%", "land"),
-    ("snowfall", "Snowfall", "Snow", "m of water equivalent", "single_levels land"),
+#: Indicator, name, parameter id, category, unit, subsets of reanalysis indicators (two ids by the public parameter list).
+_REANALYSIS = (
+    ("2m_temperature", "2 metre temperature", 167, "Temperature", "K", "single_levels land"),
+    ("total_precipitation", "Total precipitation", 228, "Precipitation", "m", "single_levels land"),
+    ("10m_u_component_of_wind", "10 metre U wind component", 165, "Wind", "m s**-1", "single_levels land pressure_levels"),
+    ("10m_v_component_of_wind", "10 metre V wind component", 166, "Wind", "m s**-1", "single_levels land pressure_levels"),
+    ("leaf_area_index_high_vegetation", "Leaf area index, high vegetation", 67, "Vegetation", "m**2 m**-2", "single_levels land"),
+    ("leaf_area_index_low_vegetation", "Leaf area index, low vegetation", 66, "Vegetation", "m**2 m**-2", "single_levels land"),
+    ("snow_cover", "Snow cover", 260038, "Snow", "%", "land"),
+    ("snowfall", "Snowfall", 144, "Snow", "m to water equivalent", "land"),
+    ("total_cloud_cover", "Total cloud cover", 164, "Clouds", "(0 - 1)", "land"),
 )
-SCHEMA = "indicator string, name string, category string, unit string, subsets array<string>, project string, data_type string, spatial_resolution string, spatial_coverage string, temporal_resolution array<string>, temporal_coverage string"
+#: Indicator, name, category, unit, temporal resolution of derived climate indicators.
+_DERIVED = (
+    ("fire_weather_index", "Fire weather index", "Extreme weather", None, "monthly seasonal yearly"),
+    ("extreme_wind_speed_days", "Extreme wind speed days", "Extreme weather", "days", "monthly seasonal yearly"),
+    ("mean_wind_speed", "Mean wind speed", "Wind", "m s**-1", "monthly seasonal yearly"),
+    ("days_with_high_fire_danger", "Days with high fire danger", "Extreme weather", "days", "monthly seasonal yearly"),
+    ("magnitude_of_meteorological_droughts", "Magnitude of meteorological droughts", "Extreme weather", None, "yearly"),
+    ("duration_of_meteorological_droughts", "Duration of meteorological droughts", "Extreme weather", "months", "yearly"),
+    ("consecutive_dry_days", "Consecutive dry days", "Extreme weather", "days", "yearly"),
+    ("frequency_of_extreme_precipitation", "Frequency of extreme precipitation", "Extreme weather", "days", "yearly"),
+    ("extreme_precipitation_total", "Total extreme precipitation", "Extreme weather", "mm", "yearly"),
+    ("maximum_consecutive_five_day_precipitation", "Maximum consecutive five-day precipitation", "Extreme weather", "mm", "yearly"),
+)
+#: Default arguments of reanalysis indicators, and a warning of one of them.
+_ARGUMENTS = {"only_land": "true", "statistic": "daily_mean", "time_zone": "utc+00:00"}
+_WARNINGS = {"total_precipitation": {"by_hour && !only_land": "If `by_hour` and `land_only`, timestamp is one hour earlier than usual."}}
+ITEM = (
+    "name string, id long, category string, project string, data_type string, subsets array<string>, unit string, spatial_resolution string, spatial_coverage string,"
+    " temporal_resolution array<string>, temporal_coverage string, arguments map<string,string>, warning map<string,string>"
+)
+SCHEMA = f"indicator string, {ITEM}"
 
 
 def _one_of(value, choices, what: str):
@@ -100,9 +117,31 @@ def check_uniform_date(df: DataFrame, col: str = "date") -> None:
         raise ValueError(f"a grid needs exactly one date, found {n}")
 
 
+def valid_arguments(df: DataFrame, resolution: str = "daily") -> DataFrame:
+    """``df`` with ``ok_<argument>`` for each argument that it has as a column, by the rules of the checks above.
+
+    For tables of link requests; arguments: catalogue, indicator (with catalogue),
+    by_hour, statistic, time_zone, and baseline as ``first`` and ``last``.
+    """
+    offers = F.create_map(*[x for name, all_ in INDICATORS.items() for x in (F.lit(name), F.array(*map(F.lit, all_)))])
+    rules = {
+        "catalogue": lambda: F.col("catalogue").isin(*(DAILY if resolution == "daily" else MONTHLY)),
+        "indicator": lambda: F.array_contains(F.try_element_at(offers, F.col("catalogue")), F.col("indicator")),
+        "by_hour": lambda: F.col("by_hour").isin(*HOURS), "statistic": lambda: F.col("statistic").isin(*STATISTICS), "time_zone": lambda: F.col("time_zone").isin(*ZONES),
+        "last": lambda: F.col("first") <= F.col("last"),
+    }
+    return df.select("*", *[F.coalesce(rule(), F.lit(False)).alias(f"ok_{name}") for name, rule in rules.items() if name in df.columns])
+
+
 def indicators(spark: SparkSession) -> DataFrame:
     """All indicators, by category from the end of the alphabet, then by name."""
-    rows = [(i, n, c, u, s.split(), "era5", "gridded", "0.25° x 0.25°", "global", ["hourly", "daily", "monthly"], "1950-01-01 00:00") for i, n, c, u, s in _CARDS]
+    common = ("gridded", "0.25° x 0.25°", "global")
+    kind, grid, area = common
+    rows = [
+        (i, n, k, c, "era5", kind, s.split(), u, grid, area, ["hourly", "daily", "monthly"], "1950-01-01 00:00", _ARGUMENTS | ({"pressure_levels": None} if "pressure_levels" in s else {}), _WARNINGS.get(i))
+        for i, n, k, c, u, s in _REANALYSIS
+    ]
+    rows += [(i, n, None, c, "era5-ecde", kind, None, u, grid, area, t.split(), "1940-01-01", None, None) for i, n, c, u, t in _DERIVED]
     return spark.createDataFrame(rows, SCHEMA).orderBy(F.desc("category"), "indicator")
 
 
@@ -113,6 +152,10 @@ def lookup(spark: SparkSession, indicator: str) -> DataFrame:
 
 def read_indicators(spark: SparkSession, path: str) -> DataFrame:
     """Read a catalogue file: one JSON object whose members are indicators."""
-    item = "struct<name:string,id:bigint,category:string,project:string,data_type:string,subsets:array<string>,unit:string,spatial_resolution:string,spatial_coverage:string,temporal_resolution:array<string>,temporal_coverage:string,arguments:map<string,string>,warning:map<string,string>>"
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,{item}>").alias("m"))
-    return whole.select(F.explode("m").alias("indicator", "v")).select("indicator", "v.*")
+    return parse_indicators(spark.read.text(path, wholetext=True), "value")
+
+
+def parse_indicators(df: DataFrame, col: str) -> DataFrame:
+    """One row per indicator of the JSON objects in a column."""
+    item = ", ".join(f"{name}:{kind}" for name, kind in (f.split(" ") for f in ITEM.split(", ")))
+    return df.select(F.explode(F.from_json(col, f"map<string,struct<{item}>>")).alias("indicator", "v")).select("indicator", "v.*")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field
+from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,9 +26,19 @@ def ingest(df: DataFrame, date: str = "obs_date", value: str = "value", keep: tu
     return out.where(F.col("value").isNotNull())
 
 
+#: Cells on a side of the blocks that a written cube's files keep together.
+BLOCK = 32
+
+
 def write_cube(cube: DataFrame, path: str) -> None:
-    """Parquet by year, sorted by cell within files so that row groups prune on ``ix`` and ``iy``."""
-    cube.repartition("year", "md").sortWithinPartitions("ix", "iy", "obs_date").write.partitionBy("year").mode("overwrite").parquet(path)
+    """Parquet by year, files of neighbouring blocks of cells, sorted by block, cell and date.
+
+    So a file spans few blocks and conditions on ``ix`` and ``iy`` skip files, those
+    on ``md`` and ``obs_date`` row groups.
+    """
+    block = [F.floor(F.col(k) / BLOCK).alias(f"_{k}") for k in ("iy", "ix")]
+    rows = cube.select("*", *block).repartitionByRange("year", "_iy", "_ix").sortWithinPartitions("year", "_iy", "_ix", "obs_date", "iy", "ix")
+    rows.drop("_iy", "_ix").write.partitionBy("year").mode("overwrite").parquet(path)
 
 
 _STATISTIC = {"daily_mean": F.avg, "daily_maximum": F.max, "daily_minimum": F.min}
@@ -37,10 +48,15 @@ def zone_hours(zone: str) -> int:
     return int(zone[3:6])
 
 
-def daily_statistic(hourly: DataFrame, statistic: str = "daily_mean", zone: str = "utc+00:00", ts: str = "ts", by: tuple[str, ...] = ("ix", "iy"), value: str = "value") -> DataFrame:
-    """Daily mean, maximum or minimum in a fixed offset from UTC."""
+def daily_statistics(hourly: DataFrame, names: dict[str, str], zone: str = "utc+00:00", ts: str = "ts", by: tuple[str, ...] = ("ix", "iy"), value: str = "value") -> DataFrame:
+    """Daily statistics in a fixed offset from UTC, one column for each of ``names`` (statistic: column), in one aggregation."""
     day = F.to_date(F.col(ts) + F.make_dt_interval(F.lit(0), F.lit(zone_hours(zone))))
-    return hourly.groupBy(day.alias("obs_date"), *by).agg(_STATISTIC[statistic](value).alias("value"))
+    return hourly.groupBy(day.alias("obs_date"), *by).agg(*[_STATISTIC[s](value).alias(name) for s, name in names.items()])
+
+
+def daily_statistic(hourly: DataFrame, statistic: str = "daily_mean", zone: str = "utc+00:00") -> DataFrame:
+    """Daily mean, maximum or minimum of ``value`` as ``value``."""
+    return daily_statistics(hourly, {statistic: "value"}, zone)
 
 
 def monthly_mean(hourly: DataFrame, by_hour: str | bool = False, ts: str = "ts", by: tuple[str, ...] = ("ix", "iy"), value: str = "value") -> DataFrame:
@@ -59,10 +75,12 @@ class Request:
     years: tuple[int, ...] = ()
     months: tuple[int, ...] = ()
     days: tuple[int, ...] = ()
+    dates: tuple[date, date] | None = None
+    month_days: tuple[str, ...] = ()
     options: dict = field(default_factory=dict)
 
     def canonical(self) -> str:
-        return json.dumps(asdict(self), sort_keys=True)
+        return json.dumps(asdict(self), sort_keys=True, default=str)
 
 
 def extent(obs: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
@@ -86,7 +104,12 @@ def scan(cube: DataFrame, request: Request, grid: Grid | None = None) -> DataFra
     if request.months and request.days:
         where.append(F.col("md").isin(*[f"{m:02d}-{d:02d}" for m in request.months for d in request.days]))
     elif request.months:
-        where.append(F.substring("md", 1, 2).isin(*[f"{m:02d}" for m in request.months]))
+        where.append(F.col("md").isin(*[f"{m:02d}-{d:02d}" for m in request.months for d in range(1, 32)]))
+    if request.month_days:
+        where.append(F.col("md").isin(*request.month_days))
+    if request.dates:
+        first, last = request.dates
+        where += [F.col("obs_date").between(F.lit(first), F.lit(last)), F.col("year").between(first.year, last.year)]
     if request.extent and grid:
         n, w, s, e = request.extent
         i0, i1 = int((w - grid.xmin) // grid.dx), int((e - grid.xmin) // grid.dx)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolink.functions.geometry import EARTH_KM, bounds, contains, haversine_km
+from geolink.functions.geometry import EARTH_KM, bounds, contains, edge_km, haversine_km
 
 
 @dataclass(frozen=True)
@@ -22,8 +22,19 @@ class Grid:
     nx: int
     ny: int
 
+    @property
+    def wraps(self) -> bool:
+        """Whether the grid goes round the globe, so that its last column meets its first."""
+        return abs(self.nx * self.dx - 360.0) < self.dx / 2
+
+    def near_lon(self, lon: Column) -> Column:
+        """The longitude's name (-180 to 180, 0 to 360, ...) that lies within half a turn of the grid's middle."""
+        west = self.xmin + self.nx * self.dx / 2 - 180.0
+        return F.when((lon >= west) & (lon < west + 360.0), lon).otherwise(F.pmod(lon - west, F.lit(360.0)) + west)
+
     def column(self, lon: Column) -> Column:
-        return F.floor((lon - self.xmin) / self.dx).cast("int")
+        at = F.floor((self.near_lon(lon) - self.xmin) / self.dx).cast("int")
+        return F.pmod(at, F.lit(self.nx)) if self.wraps else at
 
     def row(self, lat: Column) -> Column:
         return F.floor((self.ymax - lat) / self.dy).cast("int")
@@ -39,31 +50,60 @@ class Grid:
         ix, iy = self.column(lon), self.row(lat)
         return F.when(self.inside(ix, iy), F.struct(ix.alias("ix"), iy.alias("iy")))
 
-    def box(self, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
-        """All cells of the grid that a box touches, as array<struct(ix, iy)>."""
-        i0, i1 = F.greatest(self.column(x0), F.lit(0)), F.least(self.column(x1), F.lit(self.nx - 1))
+    def _box(self, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+        """All cells that a box touches, as array<struct(ix, iy)>; columns of a grid that wraps run on beyond its edge."""
+        i0, i1 = (F.floor((x - self.xmin) / self.dx).cast("int") for x in (x0, x1))
+        if self.wraps:
+            i1 = F.least(i1, i0 + (self.nx - 1))
+        else:
+            i0, i1 = F.greatest(i0, F.lit(0)), F.least(i1, F.lit(self.nx - 1))
         j0, j1 = F.greatest(self.row(y1), F.lit(0)), F.least(self.row(y0), F.lit(self.ny - 1))
-        none = F.array().cast("array<struct<ix:int,iy:int>>")
         every = F.flatten(F.transform(F.sequence(i0, i1), lambda i: F.transform(F.sequence(j0, j1), lambda j: F.struct(i.alias("ix"), j.alias("iy")))))
-        return F.when((i0 <= i1) & (j0 <= j1), every).otherwise(none)
+        return F.when((i0 <= i1) & (j0 <= j1), every).otherwise(_no_cells())
+
+    def _named(self, cells: Column) -> Column:
+        """Cells of ``_box`` by their numbers in the grid."""
+        return F.transform(cells, lambda c: F.struct(F.pmod(c["ix"], F.lit(self.nx)).alias("ix"), c["iy"].alias("iy"))) if self.wraps else cells
 
     def buffer(self, lon: Column, lat: Column, km: float) -> Column:
         """Cells whose centre lies within ``km`` of a point; the containing cell if there is none."""
         here = self.cell(lon, lat)
-        own = F.when(here.isNotNull(), F.array(here)).otherwise(F.array().cast("array<struct<ix:int,iy:int>>"))
+        own = F.when(here.isNotNull(), F.array(here)).otherwise(_no_cells())
         if km <= 0:
             return own
-        up = math.degrees(km / EARTH_KM)
-        aside = F.degrees(F.asin(F.least(F.lit(1.0), math.sin(min(km / EARTH_KM, math.pi / 2)) / F.greatest(F.cos(F.radians(lat)), F.lit(1e-9)))))
-        near = F.filter(self.box(lon - aside, lon + aside, lat - up, lat + up), lambda c: haversine_km(lon, lat, *self.centre(c["ix"], c["iy"])) <= km)
-        return F.when(F.size(near) > 0, near).otherwise(own)
+        up, aside = reach(lat, km)
+        x = self.near_lon(lon)
+        near = F.filter(self._box(x - aside, x + aside, lat - up, lat + up), lambda c: haversine_km(x, lat, *self.centre(c["ix"], c["iy"])) <= km)
+        return _first_full(self._named(near), own)
 
-    def cover(self, rings: Column) -> Column:
-        """Cells whose centre lies in a polygon; the cell of the box's centre if there is none."""
+    def cover(self, rings: Column, km: float = 0.0) -> Column:
+        """Cells whose centre lies in a polygon, or within ``km`` of its edge; the cell of the box's centre if there is none."""
         b = bounds(rings)
-        hit = F.filter(self.box(b["xmin"], b["xmax"], b["ymin"], b["ymax"]), lambda c: contains(rings, *self.centre(c["ix"], c["iy"])))
-        middle = self.cell((b["xmin"] + b["xmax"]) / 2, (b["ymin"] + b["ymax"]) / 2)
-        return F.when(F.size(hit) > 0, hit).otherwise(F.when(middle.isNotNull(), F.array(middle)).otherwise(F.array().cast("array<struct<ix:int,iy:int>>")))
+        x, y = (b["xmin"] + b["xmax"]) / 2, (b["ymin"] + b["ymax"]) / 2
+        shift = self.near_lon(x) - x
+        rings = F.when(shift == 0, rings).otherwise(F.transform(rings, lambda r: F.transform(r, lambda p: F.struct((p["x"] + shift).alias("x"), p["y"].alias("y")))))
+        up, aside = reach(F.greatest(F.abs(b["ymin"]), F.abs(b["ymax"])), km) if km > 0 else (0.0, F.lit(0.0))
+        box = self._box(b["xmin"] + shift - aside, b["xmax"] + shift + aside, b["ymin"] - up, b["ymax"] + up)
+        inside = lambda c: contains(rings, *self.centre(c["ix"], c["iy"]))
+        hit = F.filter(box, (lambda c: inside(c) | (edge_km(rings, *self.centre(c["ix"], c["iy"])) <= km)) if km > 0 else inside)
+        middle = self.cell(x, y)
+        return _first_full(self._named(hit), F.when(middle.isNotNull(), F.array(middle)).otherwise(_no_cells()))
+
+
+def _no_cells() -> Column:
+    return F.array().cast("array<struct<ix:int,iy:int>>")
+
+
+def _first_full(cells: Column, other: Column) -> Column:
+    """``cells`` unless it's empty; a lambda's argument is computed once, however often it is read."""
+    return F.get(F.transform(F.array(cells), lambda c: F.when(F.size(c) > 0, c).otherwise(other)), F.lit(0))
+
+
+def reach(lat: Column, km: float) -> tuple[float, Column]:
+    """Degrees of latitude and of longitude that ``km`` span at a latitude; all longitudes where the circle holds a pole."""
+    angle = min(km / EARTH_KM, math.pi / 2)
+    ratio = math.sin(angle) / F.greatest(F.cos(F.radians(lat)), F.lit(1e-12))
+    return math.degrees(angle), F.when(ratio >= 1, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), ratio))))
 
 
 def target_grid(spark: SparkSession, grid: Grid) -> DataFrame:

@@ -1,39 +1,59 @@
 """Stash: a persistent index from request hashes to materialised files, one per service.
 
-The index is a Parquet table (key, path, seq) under the stash's folder; appending an
-entry writes one file.  A missing file drops its entry for good.
+The index is a Parquet log: storing appends one file with an entry, deleting one
+with tombstones, and nothing is rewritten.  So a crash loses at most the entry being
+written and two writers lose none.  ``live`` reads the log as the entries that stand.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import time
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SCHEMA = "key string, path string, seq long"
+SCHEMA = "key string, path string, seq long, entry string, dead boolean"
 
 
 def request_key(request: dict, service: str) -> str:
     """Hash of a request and its service; the target file's name is not part of it."""
     fields = {k: v for k, v in request.items() if k != "target"} | {"service": service}
-    return hashlib.sha256(json.dumps(fields, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    return hashlib.sha256(json.dumps(fields, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
 def key_column(fields: dict[str, Column]) -> Column:
     """The same hash for request fields held in string columns."""
-    parts = []
-    for name in sorted(fields):
-        parts += [F.lit(f'{"," if parts else ""}"{name}":"'), fields[name].cast("string"), F.lit('"')]
-    return F.sha2(F.concat(F.lit("{"), *parts, F.lit("}")), 256)
+    return F.sha2(F.to_json(F.struct(*[fields[name].cast("string").alias(name) for name in sorted(fields)])), 256)
+
+
+def live(log: DataFrame) -> DataFrame:
+    """(key, path, seq, entry): the log's entries without a tombstone."""
+    last = log.groupBy("entry").agg(F.min("key").alias("key"), F.min("path").alias("path"), F.min("seq").alias("seq"), F.bool_or("dead").alias("dead"))
+    return last.where(~F.col("dead")).select("key", "path", "seq", "entry")
+
+
+def first_entries(index: DataFrame) -> DataFrame:
+    """The entry that each key is restored from: its oldest."""
+    return index.groupBy("key").agg(F.min_by("path", F.struct("seq", "path")).alias("path"))
+
+
+def restore_all(index: DataFrame, requests: DataFrame) -> DataFrame:
+    """``requests`` (with ``key``) and the ``path`` each is restored from, NULL where nothing is stored."""
+    return requests.join(first_entries(index), "key", "left")
+
+
+def clean_index(index: DataFrame, files: DataFrame) -> DataFrame:
+    """The entries whose ``path`` is among the files that exist."""
+    return index.join(files.select("path"), "path", "left_semi").select(*index.columns)
 
 
 def pop_last(index: DataFrame, n: int = 1) -> DataFrame:
     """The index without the keys of its last ``n`` entries (duplicates of a key all go)."""
-    last = index.withColumn("_r", F.row_number().over(W.orderBy(F.desc("seq")))).where(F.col("_r") <= n).select("key").distinct()
-    return index.join(F.broadcast(last), "key", "left_anti")
+    last = index.orderBy(F.desc("seq")).limit(n).select("key").distinct()
+    return index.join(last, "key", "left_anti")
 
 
 class Stash:
@@ -49,52 +69,45 @@ class Stash:
         return fs.exists(p)
 
     def get(self) -> DataFrame:
-        """The index; empty if there is none."""
+        """The live index; empty if there is none."""
         where = f"{self.folder}/index"
-        return self.spark.read.schema(SCHEMA).parquet(where) if self.exists(where) else self.spark.createDataFrame([], SCHEMA)
+        return live(self.spark.read.schema(SCHEMA).parquet(where) if self.exists(where) else self.spark.createDataFrame([], SCHEMA))
 
-    def entries(self) -> list:
-        """The index is small (one row per stored request): rows by age."""
-        return self.get().orderBy("seq").collect()
+    def _append(self, rows: list[tuple]) -> None:
+        if rows:
+            self.spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(f"{self.folder}/index")
 
-    def write(self, entries: list) -> None:
-        """Replace the index: the new one is written beside it, then takes its place."""
-        new, old = f"{self.folder}/index-new", f"{self.folder}/index"
-        self.spark.createDataFrame([tuple(e) for e in entries], SCHEMA).coalesce(1).write.mode("overwrite").parquet(new)
-        fs, p = self._fs(old)
-        fs.delete(p, True)
-        fs.rename(self._fs(new)[1], p)
+    def _remove(self, entries: list) -> None:
+        self._append([(e["key"], e["path"], e["seq"], e["entry"], True) for e in entries])
 
     def store(self, path: str, request: dict) -> str:
         """Append an entry; an earlier one with the same key stays first."""
-        key, entries = request_key(request, self.service), self.entries()
-        self.write([*entries, (key, path, (entries[-1]["seq"] if entries else 0) + 1)])
+        key = request_key(request, self.service)
+        self._append([(key, path, time.time_ns(), uuid.uuid4().hex, False)])
         return key
 
     def restore(self, request: dict) -> str | None:
         """The first entry's path, or None; an entry whose file is gone is removed."""
-        key = request_key(request, self.service)
-        hit = next((e for e in self.entries() if e["key"] == key), None)
+        hit = self.get().where(F.col("key") == request_key(request, self.service)).orderBy("seq", "entry").first()
         if hit is None:
             return None
         if not self.exists(hit["path"]):
-            self.write([e for e in self.entries() if e["seq"] != hit["seq"]])
+            self._remove([hit])
             return None
         return hit["path"]
 
     def pop(self, n: int = 1) -> None:
         """Delete the files of the last ``n`` entries and all entries with their keys."""
-        entries = self.entries()
-        last = entries[-n:] if n else []
+        index = self.get()
+        last = index.orderBy(F.desc("seq"), F.desc("entry")).limit(n).collect()
         for e in last:
             fs, p = self._fs(e["path"])
             fs.delete(p, True)
-        keys = {e["key"] for e in last}
-        self.write([e for e in entries if e["key"] not in keys])
+        self._remove(index.where(F.col("key").isin(*{e["key"] for e in last})).collect() if last else [])
 
     def clean(self) -> None:
         """Drop entries whose file is gone."""
-        self.write([e for e in self.entries() if self.exists(e["path"])])
+        self._remove([e for e in self.get().collect() if not self.exists(e["path"])])
 
     def destroy(self) -> None:
         fs, p = self._fs(self.folder)
@@ -104,8 +117,8 @@ class Stash:
         """Reuse the stored result of an equal request, or write ``df`` once and store it."""
         path = self.restore(request) if cache else None
         if path is None:
-            path = f"{self.folder}/data/{request_key(request, self.service)}"
-            df.write.mode("overwrite").parquet(path)
+            path = f"{self.folder}/data/{request_key(request, self.service)}-{uuid.uuid4().hex}"
+            df.write.parquet(path)
             if cache:
                 self.store(path, request)
         return self.spark.read.parquet(path)

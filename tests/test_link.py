@@ -34,20 +34,20 @@ def linked(df):
 
 def test_span_skips_null_and_nan_and_crosses_years(spark):
     q = cube(spark, [("1998-12-31", 0, 0, 1.0), ("1999-01-01", 0, 0, float("nan")), ("1999-01-02", 0, 0, 3.0), ("1999-01-03", 0, 0, None)])
-    out = api.link_daily(obs(spark, [(1, "1999-01-03", 0.5, 1.5)]), q, G, IND, id_col="id", time_span=3)
+    out = api.link_daily(obs(spark, [(1, "1999-01-03", 0.5, 1.5)]), q, G, IND, time_span=3)
     assert linked(out) == {1: 2.0}
 
 
 def test_unmatched_and_outside_rows_stay(spark):
     q = cube(spark, [("1999-01-01", 0, 0, 1.0)])
-    out = api.link_daily(obs(spark, [(1, "1999-01-01", 0.5, 1.5), (2, "1999-01-02", 0.5, 1.5), (3, "1999-01-01", 9.0, 9.0), (4, None, 0.5, 1.5)]), q, G, IND, id_col="id")
+    out = api.link_daily(obs(spark, [(1, "1999-01-01", 0.5, 1.5), (2, "1999-01-02", 0.5, 1.5), (3, "1999-01-01", 9.0, 9.0), (4, None, 0.5, 1.5)]), q, G, IND)
     assert linked(out) == {1: 1.0, 2: None, 3: None, 4: None}
     assert out.columns == ["id", "date", "lon", "lat", "linked"]
 
 
 def test_cells_are_half_open(spark):
     q = cube(spark, [("1999-01-01", 0, 0, 1.0), ("1999-01-01", 1, 0, 2.0), ("1999-01-01", 1, 1, 4.0)])
-    out = api.link_daily(obs(spark, [(1, "1999-01-01", 1.0, 1.5), (2, "1999-01-01", 1.0, 1.0), (3, "1999-01-01", 2.0, 1.5)]), q, G, IND, id_col="id")
+    out = api.link_daily(obs(spark, [(1, "1999-01-01", 1.0, 1.5), (2, "1999-01-01", 1.0, 1.0), (3, "1999-01-01", 2.0, 1.5)]), q, G, IND)
     assert linked(out) == {1: 2.0, 2: 4.0, 3: None}
 
 
@@ -55,7 +55,7 @@ def test_mean_over_time_then_space(spark):
     rings = [[{"x": 0.0, "y": 1.0}, {"x": 2.0, "y": 1.0}, {"x": 2.0, "y": 2.0}, {"x": 0.0, "y": 2.0}]]
     q = cube(spark, [("1999-01-01", 0, 0, 1.0), ("1999-01-02", 0, 0, 3.0), ("1999-01-02", 1, 0, 10.0)])
     areas = spark.createDataFrame([(1, "1999-01-02", rings)], f"id long, date string, rings {RINGS}")
-    assert linked(api.link_daily(areas, q, G, IND, id_col="id", rings="rings", time_span=1)) == {1: 6.0}
+    assert linked(api.link_daily(areas, q, G, IND, rings="rings", time_span=1)) == {1: 6.0}
 
 
 def test_polygon_hole_and_sliver(spark):
@@ -71,24 +71,24 @@ def test_buffer_zero_is_the_cell_and_small_falls_back(spark):
     q = cube(spark, [("1999-01-01", 0, 0, 5.0), ("1999-01-01", 1, 0, 7.0)])
     points = obs(spark, [(1, "1999-01-01", 0.9, 1.9)])
     for km in (0.0, 1.0):
-        assert linked(api.link_daily(points, q, G, IND, id_col="id", buffer_km=km)) == {1: 5.0}
-    assert linked(api.link_daily(points, q, G, IND, id_col="id", buffer_km=100.0)) == {1: 6.0}
+        assert linked(api.link_daily(points, q, G, IND, buffer_km=km)) == {1: 5.0}
+    assert linked(api.link_daily(points, q, G, IND, buffer_km=100.0)) == {1: 6.0}
 
 
 def test_baseline_leap_day_and_deviation(spark):
     q = cube(spark, [("2000-02-29", 0, 0, 9.0), ("1996-02-29", 0, 0, 1.0), ("1997-03-01", 0, 0, 100.0)])
-    out = api.link_daily(obs(spark, [(1, "2000-02-29", 0.5, 1.5)]), q, G, IND, id_col="id", baseline=(1995, 1997)).first()
+    out = api.link_daily(obs(spark, [(1, "2000-02-29", 0.5, 1.5)]), q, G, IND, baseline=(1995, 1997)).first()
     assert (out["linked"], out["baseline"], out["deviation"]) == (9.0, 1.0, 8.0)
-    none = api.link_daily(obs(spark, [(1, "2000-02-29", 0.5, 1.5)]), q, G, IND, id_col="id", baseline=(1997, 1997)).first()
+    none = api.link_daily(obs(spark, [(1, "2000-02-29", 0.5, 1.5)]), q, G, IND, baseline=(1997, 1997)).first()
     assert none["baseline"] is None and none["deviation"] is None
 
 
 def test_monthly_takes_any_day_of_the_month(spark):
     q = cube(spark, [("2014-07-01", 0, 0, 1.0), ("2014-08-01", 0, 0, 3.0)])
     points = obs(spark, [(1, "2014-08-17", 0.5, 1.5)])
-    assert linked(api.link_monthly(points, q, G, IND, id_col="id")) == {1: 3.0}
-    assert linked(api.link_monthly(points, q, G, IND, id_col="id", time_lag=1)) == {1: 1.0}
-    assert linked(api.link_monthly(points, q, G, IND, id_col="id", time_span=1)) == {1: 2.0}
+    assert linked(api.link_monthly(points, q, G, IND)) == {1: 3.0}
+    assert linked(api.link_monthly(points, q, G, IND, time_lag=1)) == {1: 1.0}
+    assert linked(api.link_monthly(points, q, G, IND, time_span=1)) == {1: 2.0}
 
 
 def test_negative_lag_looks_ahead_and_rows_get_ids(spark):
@@ -99,7 +99,7 @@ def test_negative_lag_looks_ahead_and_rows_get_ids(spark):
 
 def test_golden_span_algebra(spark):
     q = cube(spark, [("2014-08-01", 0, 0, 290.51), ("2014-08-02", 0, 0, 292.51)])
-    out = api.link_daily(obs(spark, [(1, "2014-08-02", 0.5, 1.5)]), q, G, IND, id_col="id", time_span=1)
+    out = api.link_daily(obs(spark, [(1, "2014-08-02", 0.5, 1.5)]), q, G, IND, time_span=1)
     assert linked(out)[1] == pytest.approx(291.51)
 
 
@@ -124,7 +124,7 @@ def test_missing_column_and_mixed_grid_dates(spark):
 
 
 def test_empty_observations(spark):
-    assert api.link_daily(obs(spark, []), cube(spark, []), G, IND, id_col="id", time_span=2, baseline=(1995, 1996)).collect() == []
+    assert api.link_daily(obs(spark, []), cube(spark, []), G, IND, time_span=2, baseline=(1995, 1996)).collect() == []
 
 
 def test_near_resample_onto_itself_is_identity_and_bilinear_renormalises(spark):
@@ -211,3 +211,69 @@ def test_daily_statistics_stream(spark, tmp_path):
     run.awaitTermination()
     got = {str(r.obs_date): (r["mean"], r.maximum, r.minimum) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {"2024-01-01": (2.0, 3.0, 1.0), "2024-01-02": (2.0, 3.0, 1.0)}
+
+
+def test_projection_meets_the_published_example(spark):
+    from geolink.functions.geometry import from_laea, to_laea
+
+    east, north = to_laea(F.lit(5.0), F.lit(50.0))
+    row = spark.range(1).select(east.alias("e"), north.alias("n"), *[c.alias(k) for k, c in zip(("lon", "lat"), from_laea(F.lit(3962799.45), F.lit(2999718.85)), strict=True)]).first()
+    assert (row.e, row.n) == (pytest.approx(3962799.45, abs=0.01), pytest.approx(2999718.85, abs=0.01))
+    assert (row.lon, row.lat) == (pytest.approx(5.0, abs=1e-7), pytest.approx(50.0, abs=1e-7))
+
+
+def test_conditions_reach_the_cubes_scan(spark, tmp_path):
+    from geolink.sources.cube import write_cube
+
+    big = Grid(0.0, 64.0, 1.0, 1.0, 64, 64)
+    rows = spark.range(64 * 64 * 6).select(F.expr("date_add(date'1998-07-01', cast(id % 6 as int) * 40)").alias("obs_date"), F.expr("cast(id div 6 % 64 as int)").alias("ix"), F.expr("cast(id div 384 as int)").alias("iy"), F.rand(1).alias("value"))
+    write_cube(ingest(rows), f"{tmp_path}/cube")
+    points = obs(spark, [(1, "1998-07-01", 3.5, 60.5), (2, "1998-08-10", 4.5, 61.5)])
+    out = api.link_daily(points, spark.read.parquet(f"{tmp_path}/cube"), big, IND, time_span=2, baseline=(1998, 1999))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    scans = [line for line in out._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan parquet" in line]
+    assert scans and all("GreaterThanOrEqual(ix" in x and "LessThanOrEqual(iy" in x and "In(md" in x and "PartitionFilters: [" in x for x in scans)
+    assert any("GreaterThanOrEqual(obs_date" in x for x in scans)
+    assert out.where("linked is not null and baseline is not null").count() == 2
+
+
+def test_days_before_a_span():
+    assert api._days_before({"03-01"}, 1) == {"03-01", "02-28", "02-29"} and api._days_before({"01-01"}, 400) is None
+    assert api._days_before({"02-29"}, 0) == {"02-29"}
+
+
+def test_ids_grain_and_edges_keep_rows(spark):
+    q = cube(spark, [("1999-01-01", 0, 0, 1.0), ("1999-01-01", 0, 0, 3.0), ("1999-01-20", 0, 0, 8.0)])
+    points = obs(spark, [(None, "1999-01-01", 0.5, 1.5), (None, "1999-01-20", 0.5, 1.5), (1, "1999-01-01", 0.5, 1.5), (1, "1999-01-20", 0.5, 1.5), (2, "1999-01-20", None, 1.5)])
+    daily = sorted((str(r.date), r.linked) for r in api.link_daily(points, q, G, IND, time_span=0).collect() if r.lon)
+    assert daily == [("1999-01-01", 2.0)] * 2 + [("1999-01-20", 8.0)] * 2
+    monthly = api.link_monthly(points, q, G, IND).collect()
+    assert len(monthly) == 5 and {r.linked for r in monthly if r.lon} == {4.0}
+    east = obs(spark, [(1, "1999-01-01", 360.5, 1.5)])
+    assert linked(api.link_daily(east, q, G, IND, buffer_km=1.0)) == {1: 2.0}
+
+
+def test_two_writers_lose_no_entry(spark, tmp_path):
+    one, two = (Stash(spark, f"file://{tmp_path}", "svc") for _ in range(2))
+    one.store("p1", {"a": 'with "quotes" \\ and é'})
+    two.store("p2", {"b": 1})
+    assert one.get().count() == 2
+    from geolink.sources.stash import key_column
+
+    key = spark.range(1).select(key_column({"a": F.lit('with "quotes" \\ and é'), "service": F.lit("svc")})).first()[0]
+    assert key == request_key({"a": 'with "quotes" \\ and é'}, "svc")
+
+
+def test_library_without_the_training_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "geolink", tmp_path / "geolink", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (root / name).exists():
+            shutil.copy(root / name, tmp_path)
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()) and 'flagship_link' in e.queries() and 'pipeline' not in e.queries()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
