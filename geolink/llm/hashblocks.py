@@ -1,13 +1,14 @@
 """Hashes on their way to the reducers, packed: (hash, document, position) triples in byte planes.
 
 One row for each bucket of hashes and flush of a task replaces a row for each
-hash: sorted by document, ids and positions become small differences whose high
-bytes are zero and vanish in Spark's shuffle compression.
+hash: sorted by document, ids and positions become small differences, which compress
+to a byte or two.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import zstandard
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -19,31 +20,36 @@ def _planes(x: np.ndarray) -> bytes:
     return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
 
 
-def _unplanes(raw: memoryview, n: int, dtype: type) -> np.ndarray:
+def _unplanes(raw: bytes, n: int, dtype: type) -> np.ndarray:
     size = np.dtype(dtype).itemsize
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).reshape(-1).view(dtype)
 
 
-def pack(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray | None = None, width: int = 8) -> bytes:
+def pack(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray | None = None, checks: np.ndarray | None = None) -> bytes:
     """``docs`` should come in runs; ``places`` should rise within a run.
 
-    ``width`` 7 leaves a hash's highest byte to its bucket: of n hashes in buckets
-    of m each, about n * m / 2**57 pairs are then taken for equal by chance.
+    Hashes and checks are as random as they look and stay as they are; the small
+    differences of ids and positions go through zstd.
     """
-    parts = [hashes.astype("<u8").view(np.uint8).reshape(len(hashes), 8)[:, :width].T.tobytes(), _planes(np.diff(docs, prepend=0).astype("<i8"))]
+    small = [_planes(np.diff(docs, prepend=0).astype("<i8"))]
     if places is not None:
-        parts.append(_planes(np.diff(places, prepend=0).astype("<i4")))
-    return b"".join(parts)
-
-
-def unpack(raw: bytes, places: bool = True, width: int = 8) -> tuple[np.ndarray, ...]:
-    n = len(raw) // (width + (12 if places else 8))
-    view = memoryview(raw)
-    hashes = np.zeros((n, 8), dtype=np.uint8)
-    hashes[:, :width] = np.frombuffer(view[: width * n], np.uint8).reshape(width, n).T
-    view = view[width * n :]
-    out = (hashes.reshape(-1).view("<u8"), np.cumsum(_unplanes(view[: 8 * n], n, "<i8")))
-    return (*out, np.cumsum(_unplanes(view[8 * n :], n, "<i4"))) if places else out
+        small.append(_planes(np.diff(places, prepend=0).astype("<i4")))
+    body = b"" if checks is None else checks.astype("<u4").tobytes()
+    return len(hashes).to_bytes(4, "little") + hashes.astype("<u8").tobytes() + body + zstandard.compress(b"".join(small), 1)
+
+
+def unpack(raw: bytes, places: bool = True, checks: bool = False) -> tuple[np.ndarray, ...]:
+    """(hashes, docs), then places and checks as packed."""
+    n = int.from_bytes(raw[:4], "little")
+    at = 4 + 8 * n
+    tail = at + (4 * n if checks else 0)
+    small = zstandard.decompress(raw[tail:])
+    out = [np.frombuffer(raw[4:at], "<u8"), np.cumsum(_unplanes(small[: 8 * n], n, "<i8"))]
+    if places:
+        out.append(np.cumsum(_unplanes(small[8 * n :], n, "<i4")))
+    if checks:
+        out.append(np.frombuffer(raw[at:tail], "<u4"))
+    return tuple(out)
 
 
 def by_bucket(hashes: np.ndarray, buckets: int):

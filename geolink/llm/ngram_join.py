@@ -11,13 +11,23 @@ one class, so only class representatives are joined:
     partner must share one.
 3.  Answers of a pivot.  Every member of an index list is compared with the
     list's first set.  Lists of one group of near copies share their first set,
-    so this is about one comparison a set; its differences to the pivot are kept.
+    so this is about one comparison a set; the differences of sets that are highly
+    similar to the pivot (``SIMILAR``) are kept.
 4.  Skipping.  Members that a pivot already connects need no comparison.  For the
-    others a list is cut into blocks by size and position, blocks whose bound
-    stays under the required overlap are skipped, and the overlap of what is left
-    follows from both sets' differences to the pivot, without reading a set.
+    others a list is cut into blocks by size and position and blocks whose bound
+    stays under the required overlap are skipped.  The overlap of what is left
+    follows from both sets' differences to the pivot, without reading a set; where
+    the pivot is not similar to both, the two sets are compared.
 
-Links are exact (64-bit gram hashes; 48 bits of them inside a pair).
+Sets are compared as 64-bit gram hashes (Rabin-Karp over a field of 61 bits, which
+no kind of text makes collide): of two sets of n grams, n * n / 2**61 pairs of
+different grams look equal by chance, and each moves an overlap by one.
+
+A class goes to one bucket per shared hash only unless the task that read it knows
+already that the hash is shared; then one mark stands for all of the task's classes.
+Document frequencies are summed over blocks of sets.  So a gram that a third of all
+documents hold is one entry for each task or block, and documents of one text, or of
+none, are dealt out evenly.
 
 Defined results
     null or blank text    empty set, ``n_shingles`` 0, linked with nothing
@@ -48,6 +58,8 @@ OVER, UNDER = 100, 75
 FLUSH, BUCKET_BYTES = 1 << 20, 12 << 20
 #: Members that are compared with one copy of a pivot, and entries in a block of an index list.
 PIVOT_ROWS, BLOCK_ROWS = 256, 256
+#: Differences to a pivot are kept from this share of the larger set in common; class that stands for several.
+SIMILAR, MANY = 0.6, np.iinfo(np.int64).min
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -72,7 +84,8 @@ def signature(grams: np.ndarray) -> tuple[int, int]:
     with np.errstate(over="ignore"):
         one = int(mix(grams ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64))
         two = int(mix(grams + np.uint64(0x1234567)).sum(dtype=np.uint64))
-    return one - (1 << 64) if one >> 63 else one, two - (1 << 64) if two >> 63 else two
+    one, two = (x - (1 << 64) if x >> 63 else x for x in (one, two))
+    return max(one, int(MANY) + 1), two
 
 
 def _low_buckets(hashes: np.ndarray, buckets: int):
@@ -92,17 +105,30 @@ def _least(n: int) -> int:
 def screen(docs: DataFrame, n: int, buckets: int) -> DataFrame:
     """A row per document (doc_id, n, s1, s2) and rows (s1, shared): hashes a class shares in a bucket."""
 
+    names = ["bucket", "doc_id", "n", "s1", "s2", "body"]
+
+    def rows(bucket, n, s1, body, doc_id=None, s2=None):
+        none = pa.nulls(len(bucket), pa.int64())
+        columns = [pa.array(bucket, pa.int64()), none if doc_id is None else doc_id, none if n is None else pa.array(n, pa.int64()), none if s1 is None else pa.array(s1, pa.int64())]
+        return pa.RecordBatch.from_arrays([*columns, none if s2 is None else pa.array(s2, pa.int64()), pa.nulls(len(bucket), pa.binary()) if body is None else pa.array(body, pa.binary())], names=names)
+
     def read(batches):
-        held, size, seen = [], 0, set()
+        held, size, seen, dealt = [], 0, set(), 0
 
         def flush():
             h, s = (np.concatenate(x) for x in zip(*held, strict=True))
-            rows = [(b, hashblocks.pack(h[at], s[at])) for b, at in _low_buckets(h, buckets)]
-            m = len(rows)
-            none = pa.nulls(m, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), none, none, none, none, pa.array([x for _, x in rows], pa.binary())], names=names)
+            order = np.argsort(h, kind="stable")
+            h, s = h[order], s[order]
+            first = np.r_[True, h[1:] != h[:-1]]
+            several = np.repeat(np.diff(np.r_[np.flatnonzero(first), len(h)]) > 1, np.diff(np.r_[np.flatnonzero(first), len(h)]))
+            known, count = np.unique(s[several], return_counts=True)
+            yield rows(known % buckets, count, known, None)
+            h, s = h[first], np.where(several[first], MANY, s[first])
+            order = np.argsort(s, kind="stable")  # runs of one class pack best
+            h, s = h[order], s[order]
+            packed = [(b, hashblocks.pack(h[at], s[at])) for b, at in _low_buckets(h, buckets)]
+            yield rows([b for b, _ in packed], None, None, [x for _, x in packed])
 
-        names = ["bucket", "doc_id", "n", "s1", "s2", "body"]
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             ns, ones, twos = [], [], []
@@ -117,16 +143,15 @@ def screen(docs: DataFrame, n: int, buckets: int) -> DataFrame:
                     held.append((half, np.full(len(half), one, dtype=np.int64)))
                     size += len(half)
                     if size >= FLUSH:
-                        yield flush()
+                        yield from flush()
                         held, size, seen = [], 0, set()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x % buckets for x in ones], pa.int64()), batch.column("doc_id"), pa.array(ns, pa.int64()), pa.array(ones, pa.int64()), pa.array(twos, pa.int64()), pa.nulls(len(ns), pa.binary())], names=names
-            )
+            yield rows((dealt + np.arange(len(ns))) % buckets, ns, ones, None, batch.column("doc_id"), twos)
+            dealt += len(ns)
         if held:
-            yield flush()
+            yield from flush()
 
     def share(group: pa.Table) -> pa.Table:
-        rows = group.filter(pa.compute.is_null(group["body"]))
+        told = group.filter(pa.compute.is_null(group["body"]))
         blocks = [hashblocks.unpack(x, places=False) for x in group.filter(pa.compute.is_valid(group["body"]))["body"].to_pylist()]
         classes, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if blocks:
@@ -136,12 +161,14 @@ def screen(docs: DataFrame, n: int, buckets: int) -> DataFrame:
             first = np.r_[True, (h[1:] != h[:-1]) | (c[1:] != c[:-1])]
             h, c = h[first], c[first]
             same = h[1:] == h[:-1]
-            shared = np.r_[same, False] | np.r_[False, same]
+            shared = (np.r_[same, False] | np.r_[False, same]) & (c != MANY)
             classes, counts = np.unique(c[shared], return_counts=True)
-        more = len(classes)
-        none = pa.nulls(more, pa.int64())
-        out = [pa.concat_arrays([rows[k].combine_chunks(), x]) for k, x in (("doc_id", none), ("n", none), ("s1", pa.array(classes, pa.int64())), ("s2", none))]
-        return pa.table([*out, pa.concat_arrays([pa.nulls(len(rows), pa.int64()), pa.array(counts, pa.int64())])], names=["doc_id", "n", "s1", "s2", "shared"])
+        none = pa.nulls(len(classes), pa.int64())
+        known = pa.compute.is_null(told["s2"])
+        blank = pa.scalar(None, pa.int64())
+        old = {"doc_id": told["doc_id"], "n": pa.compute.if_else(known, blank, told["n"]), "s1": told["s1"], "s2": told["s2"], "shared": pa.compute.if_else(known, told["n"], blank)}
+        new = {"doc_id": none, "n": none, "s1": pa.array(classes, pa.int64()), "s2": none, "shared": pa.array(counts, pa.int64())}
+        return pa.table({k: pa.concat_arrays([v.combine_chunks(), new[k]]) for k, v in old.items()})
 
     dealt = docs.mapInArrow(read, "bucket long, doc_id long, n long, s1 long, s2 long, body binary")
     return dealt.groupBy("bucket").applyInArrow(share, "doc_id long, n long, s1 long, s2 long, shared long")
@@ -166,69 +193,56 @@ def survivor_sets(docs: DataFrame, survivors: DataFrame, n: int) -> DataFrame:
     return sieve(docs, "doc_id", survivors, "rep").join(survivors, F.col("doc_id") == F.col("rep")).select("rep", "s1", "text").mapInArrow(read, "rep long, n long, grams binary")
 
 
-def frequencies(sets: DataFrame, buckets: int) -> DataFrame:
-    """(rep, parts): for each set, its grams' frequency classes, bucket by bucket in hash order."""
+def _grams(column) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u8") for x in column]
 
-    def deal(batches):
-        held, size = [], 0
 
-        def flush():
-            h, d = (np.concatenate(x) for x in zip(*held, strict=True))
-            rows = [(b, hashblocks.pack(h[at], d[at])) for b, at in hashblocks.by_bucket(h, buckets)]
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "body"])
+def frequencies(sets: DataFrame, buckets: int) -> DataFrame:
+    """(block, parts): for each block of sets, its distinct grams' frequency classes, bucket by bucket in hash order."""
 
-        for batch in batches:
-            for rep, grams in zip(batch.column("rep").to_pylist(), batch.column("grams"), strict=True):
-                h = np.frombuffer(grams.as_buffer(), "<u8")
-                held.append((h, np.full(len(h), rep, dtype=np.int64)))
-                size += len(h)
-                if size >= FLUSH:
-                    yield flush()
-                    held, size = [], 0
-        if held:
-            yield flush()
+    def deal(group: pa.Table) -> pa.Table:
+        h, n = np.unique(np.concatenate(_grams(group["grams"])), return_counts=True)
+        out = [(b, h[at].tobytes() + n[at].astype("<u4").tobytes()) for b, at in hashblocks.by_bucket(h, buckets)]
+        return pa.table({"bucket": pa.array([b for b, _ in out], pa.int64()), "block": pa.repeat(group["block"][0], len(out)), "body": pa.array([x for _, x in out], pa.binary())})
 
     def count(group: pa.Table) -> pa.Table:
-        h, d = (np.concatenate(x) for x in zip(*(hashblocks.unpack(x, places=False) for x in group["body"].to_pylist()), strict=True))
-        order = np.lexsort((h, d))
-        h, d = h[order], d[order]
-        once = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])]
-        h, d = h[once], d[once]
-        _, where, df = np.unique(h, return_inverse=True, return_counts=True)
+        bodies = group["body"].to_pylist()
+        sizes = [len(x) // 12 for x in bodies]
+        h = np.concatenate([np.frombuffer(x[: 8 * n], "<u8") for x, n in zip(bodies, sizes, strict=True)])
+        c = np.concatenate([np.frombuffer(x[8 * n :], "<u4") for x, n in zip(bodies, sizes, strict=True)])
+        _, where = np.unique(h, return_inverse=True)
+        df = np.bincount(where, weights=c)
         level = np.minimum(255, np.floor(8 * np.log2(df))).astype(np.uint8)[where]
-        reps, parts = [], []
-        for rep, lo, hi in hashblocks.runs(d):
-            reps.append(rep)
-            parts.append(level[lo:hi].tobytes())
-        return pa.table({"rep": pa.array(reps, pa.int64()), "bucket": pa.repeat(group["bucket"][0], len(reps)), "levels": pa.array(parts, pa.binary())})
+        ends = np.cumsum(sizes)
+        parts = [level[b - n : b].tobytes() for b, n in zip(ends.tolist(), sizes, strict=True)]
+        return pa.table({"block": group["block"], "bucket": group["bucket"], "levels": pa.array(parts, pa.binary())})
 
-    counted = sets.mapInArrow(deal, "bucket long, body binary").groupBy("bucket").applyInArrow(count, "rep long, bucket long, levels binary")
-    return counted.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("bucket", "levels"))).alias("parts"))
+    counted = sets.groupBy("block").applyInArrow(deal, "bucket long, block long, body binary").groupBy("bucket").applyInArrow(count, "block long, bucket long, levels binary")
+    return counted.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "levels"))).alias("parts"))
 
 
 def postings(sets: DataFrame, levels: DataFrame) -> DataFrame:
     """Index entries (gram, rep, n, pos): prefix grams that occur in more than one set."""
 
-    def read(batches):
-        for batch in batches:
-            out = []
-            for rep, n, grams, parts in zip(batch.column("rep").to_pylist(), batch.column("n").to_pylist(), batch.column("grams"), batch.column("parts").to_pylist(), strict=True):
-                h = np.frombuffer(grams.as_buffer(), "<u8")
-                level = np.frombuffer(b"".join(p["levels"] for p in parts), np.uint8)
-                prefix = n - _least(n) + 1
-                order = np.lexsort((h, level))[:prefix]
+    def read(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if len(left):
+            grams = _grams(left["grams"])
+            distinct = np.unique(np.concatenate(grams))
+            every = np.frombuffer(b"".join(p["levels"] for p in right["parts"][0].as_py()), np.uint8)
+            for rep, h in zip(left["rep"].to_pylist(), grams, strict=True):
+                level = every[np.searchsorted(distinct, h)]
+                order = np.lexsort((h, level))[: len(h) - _least(len(h)) + 1]
                 pos = np.flatnonzero(level[order] > 0)
-                if len(pos):
-                    out.append((h[order[pos]].view(np.int64), np.full(len(pos), rep, np.int64), np.full(len(pos), n, np.int64), pos.astype(np.int64)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in zip(*out, strict=True)], names=["gram", "rep", "n", "pos"])
+                out.append((h[order[pos]].view(np.int64), np.full(len(pos), rep, np.int64), np.full(len(pos), len(h), np.int64), pos.astype(np.int64)))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
+        return pa.table([pa.array(x, pa.int64()) for x in columns], names=["gram", "rep", "n", "pos"])
 
-    rows = sets.join(levels.withColumnRenamed("rep", "_rep"), F.col("rep") == F.col("_rep")).drop("_rep")
-    return rows.mapInArrow(read, "gram long, rep long, n long, pos long")
+    return sets.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(read, "gram long, rep long, n long, pos long")
 
 
 def pivot_answers(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(pivot, rep, n_pivot, n, overlap, minus, plus): each pair's overlap and its differences (48-bit hashes)."""
+    """(pivot, rep, n_pivot, n, overlap, minus, plus): each pair's overlap and its differences, if it is similar."""
     pairs = scratch.keep(pairs, "pairs")
     counts = pairs.groupBy("pivot").agg(F.ceil(F.count(F.lit(1)) / PIVOT_ROWS).alias("salts")).withColumnRenamed("pivot", "_pivot")
     salted = pairs.join(counts, F.col("pivot") == F.col("_pivot")).select("pivot", "rep", F.pmod(F.xxhash64("rep"), F.col("salts")).alias("salt"))
@@ -242,14 +256,16 @@ def pivot_answers(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFr
         cols: dict[str, list] = {k: [] for k in ("pivot", "rep", "n_pivot", "n", "overlap", "minus", "plus")}
         if len(right) and len(left):
             pivot, n_pivot = right["p"][0].as_py(), right["m"][0].as_py()
-            own = np.frombuffer(right["own"][0].as_buffer(), "<u8") >> np.uint64(16)
+            own = np.frombuffer(right["own"][0].as_buffer(), "<u8")
             for rep, n, grams in zip(left["rep"].to_pylist(), left["n"].to_pylist(), left["grams"], strict=True):
-                h = np.frombuffer(grams.as_buffer(), "<u8") >> np.uint64(16)
+                h = np.frombuffer(grams.as_buffer(), "<u8")
                 at = np.minimum(np.searchsorted(own, h), len(own) - 1)
                 hit = own[at] == h
                 there = np.zeros(len(own), dtype=bool)
                 there[at[hit]] = True
-                for k, v in zip(cols, (pivot, rep, n_pivot, n, int(hit.sum()), own[~there].tobytes(), h[~hit].tobytes()), strict=True):
+                overlap = int(hit.sum())
+                near = overlap >= SIMILAR * max(n, n_pivot)
+                for k, v in zip(cols, (pivot, rep, n_pivot, n, overlap, own[~there].tobytes() if near else None, h[~hit].tobytes() if near else None), strict=True):
                     cols[k].append(v)
         return pa.table({k: pa.array(v, pa.binary() if k in ("minus", "plus") else pa.int64()) for k, v in cols.items()})
 
@@ -332,11 +348,12 @@ def open_pairs(index: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFra
     return placed.mapInArrow(skip, "a long, b long, pivot long").groupBy("a", "b").agg(F.min("pivot").alias("pivot"))
 
 
-def derived_answers(pairs: DataFrame, answers: DataFrame) -> DataFrame:
-    """Links (a, b) among open pairs, from both sets' differences to their pivot."""
+def derived_answers(pairs: DataFrame, answers: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) among open pairs: from both sets' differences to their pivot, or from the sets where it isn't similar to both."""
     one = answers.select(F.col("pivot").alias("_p1"), F.col("rep").alias("_r1"), "n_pivot", F.col("n").alias("n_a"), F.col("minus").alias("minus_a"), F.col("plus").alias("plus_a"))
     two = answers.select(F.col("pivot").alias("_p2"), F.col("rep").alias("_r2"), F.col("n").alias("n_b"), F.col("minus").alias("minus_b"), F.col("plus").alias("plus_b"))
     rows = pairs.join(one, (F.col("pivot") == F.col("_p1")) & (F.col("a") == F.col("_r1"))).join(two, (F.col("pivot") == F.col("_p2")) & (F.col("b") == F.col("_r2")))
+    similar = F.col("minus_a").isNotNull() & F.col("minus_b").isNotNull()
 
     def derive(batches):
         for batch in batches:
@@ -352,12 +369,23 @@ def derived_answers(pairs: DataFrame, answers: DataFrame) -> DataFrame:
                     b.append(right[row])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.mapInArrow(derive, "a long, b long")
+    def compare(batches):
+        for batch in batches:
+            keep = []
+            for row, (x, y) in enumerate(zip(_grams(batch.column("grams_a")), _grams(batch.column("grams_b")), strict=True)):
+                if linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)):
+                    keep.append(row)
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    far = rows.where(~similar).select("a", "b")
+    for side in "ab":
+        far = far.join(sets.select(F.col("rep").alias(f"_{side}"), F.col("grams").alias(f"grams_{side}")), F.col(side) == F.col(f"_{side}")).drop(f"_{side}")
+    return rows.where(similar).mapInArrow(derive, "a long, b long").union(far.mapInArrow(compare, "a long, b long"))
 
 
 def join(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> tuple[DataFrame, DataFrame]:
     """(documents, links): a row per document (doc_id, n_shingles, representative, component_id), and
-    the links between class representatives that span each component (a, b)."""
+    spanning links (a, b) between class representatives: enough of them to connect each component, not all of them."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     size = text_bytes(docs, "text")
     buckets = max(32, -(-size // BUCKET_BYTES))
@@ -368,19 +396,19 @@ def join(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col:
     survivors = classes.join(shared, F.col("s1") == F.col("_s1")).where(F.col("shared") * 4 >= F.col("n")).select("rep", "s1")
     sets = scratch.keep(survivor_sets(docs.where("doc_id is not null"), scratch.keep(survivors, "survivors"), n), "sets")
     gram_bytes = int(sets.agg(F.sum(F.col("n"))).first()[0] or 0) * 8
+    sets = sets.withColumn("block", F.pmod(F.xxhash64("rep"), F.lit(max(32, -(-gram_bytes // BUCKET_BYTES)))))
     index = scratch.keep(postings(sets, frequencies(sets, max(32, -(-gram_bytes // BUCKET_BYTES)))), "index")
 
     first = index.groupBy(F.col("gram").alias("_gram")).agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     first = scratch.keep(first, "first")
     stars = index.join(first, F.col("gram") == F.col("_gram")).where("rep <> pivot").select("pivot", "rep").distinct()
     answers = scratch.keep(pivot_answers(stars, sets, scratch), "answers")
-    scratch.drop("sets")
     near = answers.where(linked(F.col("overlap"), F.col("n_pivot"), F.col("n"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
     pairs = scratch.keep(open_pairs(index, components(near, scratch, "near"), scratch), "open")
-    far = scratch.keep(derived_answers(pairs, answers), "derived")
+    far = scratch.keep(derived_answers(pairs, answers, sets), "derived")
     links = scratch.keep(near.union(far).distinct(), "links")
     joined = components(links, scratch, "all")
-    for name in ("survivors", "index", "first", "pairs", "salted", "answers", "entries", "lists", "open", "derived"):
+    for name in ("sets", "survivors", "index", "first", "pairs", "salted", "answers", "entries", "lists", "open", "derived"):
         scratch.drop(name)
 
     member = classes.join(joined, F.col("rep") == F.col("node"), "left").select(

@@ -7,6 +7,7 @@ long, so memory per task stays small whatever a batch or a text holds.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,8 +22,12 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_GRAM_BASE = 0xD1342543DE82EF95 | 1
+#: Rabin-Karp hashes are polynomials over the field of this prime; its size bounds chance collisions, its field structured ones.
+PRIME = (1 << 61) - 1
+_P = np.uint64(PRIME)
+_GRAM_BASE = 0x11E3779B97F4A7C5 % PRIME
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,28 +40,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def fold(x: np.ndarray) -> np.ndarray:
+    """Values below 2**64 modulo the prime."""
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, from 31-bit halves; both sides are below it."""
+    low, half, m30 = np.uint64((1 << 31) - 1), np.uint64(31), np.uint64((1 << 30) - 1)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    middle = a1 * b0 + a0 * b1
+    # 2**62 is 2 and 2**61 is 1 modulo the prime
+    return fold(fold(a1 * b1 * np.uint64(2) + (middle >> np.uint64(30)) + ((middle & m30) << half)) + fold(a0 * b0))
 
 
 class _Powers:
-    """Powers of an odd base modulo 2**64 and their inverses, grown on demand."""
+    """Powers of the base and of its inverse modulo the prime, grown on demand by doubling."""
 
     def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=np.uint64)
+        self.base = (base, pow(base, -1, PRIME))
+        self.held = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
     def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            size = max(n, 2 * len(self.up))
-            with np.errstate(over="ignore"):
-                for name, base in (("up", self.base), ("down", self.inverse)):
-                    steps = np.full(size, base, dtype=np.uint64)
-                    steps[0] = 1
-                    setattr(self, name, np.multiply.accumulate(steps))
-        return self.up[:n], self.down[:n]
+        while len(self.held[0]) < n:
+            for i, base in enumerate(self.base):
+                have = self.held[i]
+                step = np.full(len(have), pow(base, len(have), PRIME), dtype=np.uint64)
+                self.held[i] = np.concatenate([have, times(have, step)])
+        return self.held[0][:n], self.held[1][:n]
 
 
-_byte_powers, _gram_powers = _Powers(_BASE), _Powers(_GRAM_BASE)
+_gram_powers = _Powers(_GRAM_BASE)
 
 
 @dataclass
@@ -116,15 +131,46 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
 
 
 def word_hashes(w: Words, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of each word's bytes (A-Z lower-cased first if asked)."""
-    up, down = _byte_powers(len(w.data) + 1)
-    with np.errstate(over="ignore"):
-        value = _BYTE[_LOWER[w.data] if lower else w.data]
-        value *= up[: len(w.data)]
-        total = np.zeros(len(w.data) + 1, dtype=np.uint64)
-        np.cumsum(value, out=total[1:])
-        out = (total[w.ends] - total[w.starts]) * down[w.starts]
-        return mix(out + (w.ends - w.starts).astype(np.uint64))
+    """A 64-bit hash of each word's bytes (A-Z lower-cased first if asked).
+
+    Blocks of eight bytes are mixed one after the other, so words of up to eight
+    bytes collide only across lengths; long words go through BLAKE2.
+    """
+    data = _LOWER[w.data] if lower else w.data
+    size = w.ends - w.starts
+    out = mix((size.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    # all eight-byte blocks of the data, wherever they begin
+    blocks = np.lib.stride_tricks.as_strided(padded, shape=(len(data) + 1, 8), strides=(1, 1))
+    going = np.flatnonzero(size <= LONG_WORD)
+    at = 0
+    while len(going):
+        left = np.minimum(size[going] - at, 8)
+        block = np.ascontiguousarray(blocks[w.starts[going] + at]).view("<u8").ravel()
+        block &= np.uint64(0xFFFFFFFFFFFFFFFF) >> ((8 - left) * 8).astype(np.uint64)
+        out[going] = mix(out[going] ^ block)
+        at += 8
+        going = going[size[going] > at]
+    raw = None
+    for i in np.flatnonzero(size > LONG_WORD):
+        raw = data.tobytes() if raw is None else raw
+        out[i] = int.from_bytes(hashlib.blake2b(raw[w.starts[i] : w.ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
+def _prefix(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of the values times powers of the base, modulo the prime, and inverse powers."""
+    up, down = _gram_powers(len(hashes) + 1)
+    terms = times(fold(hashes), up[: len(hashes)])
+    total = np.zeros(len(hashes) + 1, dtype=np.uint64)
+    # halves add up without overflow
+    high, low = np.cumsum(terms >> np.uint64(31)), np.cumsum(terms & np.uint64((1 << 31) - 1))
+    total[1:] = fold(times(fold(high), np.full(len(high), 1 << 31, np.uint64)) + fold(low))
+    return total, down
+
+
+def _between(total: np.ndarray, first: np.ndarray, last: np.ndarray, down: np.ndarray) -> np.ndarray:
+    return mix(times(fold(total[last] + (_P - total[first])), down[first]))
 
 
 def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -132,20 +178,28 @@ def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
     n = len(hashes) - length + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    up, down = _gram_powers(len(hashes) + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(hashes) + 1, dtype=np.uint64)
-        np.cumsum(hashes * up[: len(hashes)], out=total[1:])
-        return mix((total[length:] - total[:n]) * down[:n])
+    total, down = _prefix(hashes)
+    at = np.arange(n)
+    return _between(total, at, at + length, down)
+
+
+def window_checks(hashes: np.ndarray, length: int) -> np.ndarray:
+    """A second, unrelated 32-bit hash of every run: halves are joined by mixing until they cover it."""
+    n = len(hashes) - length + 1
+    if n <= 0:
+        return np.zeros(0, dtype=np.uint32)
+    have, size = mix(hashes ^ np.uint64(0xC2B2AE3D27D4EB4F)), 1
+    while size < length:
+        step = min(size, length - size)
+        have = mix(have[: len(have) - step] * np.uint64(0x9E3779B97F4A7C15) + have[step:])
+        size += step
+    return (have[:n] >> np.uint64(32)).astype(np.uint32)
 
 
 def run_hashes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Hash of each text's whole word sequence."""
-    up, down = _gram_powers(len(hashes) + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(hashes) + 1, dtype=np.uint64)
-        np.cumsum(hashes * up[: len(hashes)], out=total[1:])
-        return mix((total[first[1:]] - total[first[:-1]]) * down[first[:-1]])
+    total, down = _prefix(hashes)
+    return _between(total, first[:-1], first[1:], down)
 
 
 def joined(w: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

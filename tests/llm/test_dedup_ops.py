@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from geolink.llm import embedding_dedup, line_dedup, ngram_join, substring_dedup
 from geolink.llm.common import Scratch
@@ -61,6 +62,23 @@ def test_substring_empty(spark):
     assert substring_dedup.remove_repeats(docs(spark, [])).count() == 0
 
 
+def thue_morse(n, swap=False):
+    return "".join("ab"[(bin(i).count("1") + swap) % 2] for i in range(n))
+
+
+def test_structured_words_do_not_collide(spark):
+    """Words that any polynomial modulo a power of two takes for equal, alone and as sequences of words."""
+    pairs = [(thue_morse(n), thue_morse(n, True)) for n in (1024, 2048, 4096)]
+    rows = []
+    for k, (x, y) in enumerate(pairs):
+        rows += [(10 * k + 1, " ".join([x] * 60)), (10 * k + 2, " ".join([y] * 60)), (10 * k + 3, " ".join([x] * 60 + ["tail"]))]
+    rows += [(100, " ".join(thue_morse(1024))), (101, " ".join(thue_morse(1024, True)))]
+    got = substring_dedup.remove_repeats(docs(spark, rows), buckets=5).collect()
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got], key=str) == brute_substring(rows)
+    out, _ = ngram_join.join(docs(spark, rows), Scratch(spark, "t"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute_ngram(rows)
+
+
 def brute_ngram(rows, n=5):
     sets = {}
     for d, t in rows:
@@ -119,6 +137,24 @@ def test_ngram_blocks_against_brute_force(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute_ngram(rows)
 
 
+def test_ngram_pivots_that_are_not_similar(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SIMILAR", 2.0)
+    rows = near_copies()
+    out, _ = ngram_join.join(docs(spark, rows).repartition(3), Scratch(spark, "t"))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute_ngram(rows)
+
+
+def test_blank_and_common_texts_are_dealt_out(spark):
+    many = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, "one licence line that very many documents hold").otherwise(F.concat(F.lit("the same five words here "), "id")).alias("text"))
+    buckets = 37
+    seen = ngram_join.screen(many, 5, buckets)
+    per = [r["count"] for r in seen.where("s2 is not null").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per) == 60_000 and max(per) < 4 * 60_000 / len(per)
+    out, _ = ngram_join.join(many, Scratch(spark, "t"))
+    got = out.groupBy("n_shingles").agg(F.count_distinct("component_id").alias("c"), F.count(F.lit(1)).alias("n")).orderBy("n_shingles").collect()
+    assert [(r.n_shingles, r.c, r.n) for r in got] == [(0, 20_000, 20_000), (2, 20_000, 20_000), (4, 1, 20_000)]
+
+
 def test_ngram_edges(spark):
     text = " ".join(words(30, 9))
     out, _ = ngram_join.join(docs(spark, [(2, text), (2, text), (1, text.upper()), (None, text), (3, None)]), Scratch(spark, "t"))
