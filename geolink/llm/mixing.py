@@ -5,15 +5,17 @@ that key within its source, documents are taken until the source's token budget
 is used up.  Complete epochs (every document once) come before the fractional
 selection.
 
-No sort of a whole source: the key is cut into equal-probability buckets, sums
-per bucket give the one bucket in which a source's budget ends, and only that
-bucket's rows are ordered.
+No sort of a whole source: quantile sketches cut the keys into buckets, sums per
+bucket give the one in which a source's budget ends, and that bucket is cut again
+until it holds few rows, which alone are ordered.  Keys come from id and text, so
+missing and repeated ids spread like others; rows that agree in both are told apart
+by a number, which cuts even a group of copies that makes up a source.
 
 Defined results
     null text           size 0
     null source         a source of its own, after all others
-    null id             an ordinary id (hashed as the empty string)
-    ties, repeated rows equal rows get equal keys; which of them comes first cannot be told apart
+    null id             an ordinary id (hashed as the empty string, with the text)
+    ties, repeated rows equal rows get equal keys; which of them is taken makes no difference
     empty table         no rows
     size-0 documents    ``taken`` 0; they cost nothing and follow their key
     a source of size 0  target 0
@@ -31,8 +33,8 @@ from geolink.llm.common import Scratch, small, table, text_or_empty, unit_hash,
 #: Characters that lower a document's quality weight.
 SYMBOLS = "#*$%&|<>!"
 WEIGHTS = (5, 2, 1)
-#: Rows in a key bucket, about.
-BUCKET_ROWS = 2_000
+#: Most rows that are ordered by one task, and buckets that a round cuts a source's open interval into.
+BUCKET_ROWS, CUTS = 2_000, 256
 
 
 def quality_weight(text: Column) -> Column:
@@ -76,7 +78,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[i
     target = F.when(F.col("open"), F.col("first.left") * F.col("weight") / (F.lit(share[1]) * F.col("first.weight_left"))).otherwise(
         F.lit(cap) * F.col("source_size")
     )
-    return found.select("source", "source_size", "n_rows", "quality_sum", "weight", target.cast("double").alias("target"))
+    return found.select("source", "source_size", "weight", target.cast("double").alias("target"))
 
 
 def mix(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -86,42 +88,70 @@ def mix(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", source_col
     copies, taken`` and the columns named in ``keep``.
     """
     text = text_or_empty(text_col)
-    key_of = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(f":{seed}"))
+    key_of = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(text.cast("binary")), F.lit(f":{seed}"))
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"),
         quality_weight(text).alias("_mix_quality"), unit_hash(key_of).alias("_mix_unit"), *keep,
     )
-    rows = scratch.keep(rows, "rows").withColumn("_mix_key", -F.log("_mix_unit") * 1000 / F.col("_mix_quality"))
-    sizes = rows.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"), F.sum("_mix_quality").alias("quality_sum")
-    )
-    goal = small(scratch.keep(targets(sizes), "targets"))
-    goal = goal.select(
-        F.col("source").alias("_mix_source"), "source_size", "target", "n_rows", "quality_sum",
-        F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1).cast("long").alias("epochs"),
-    )
-    goal = goal.withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
-    n_buckets = F.ceil(F.col("n_rows") / BUCKET_ROWS)
-    mean_quality = F.col("quality_sum") / F.col("n_rows") / 1000
-    bucket = F.least(n_buckets - 1, F.floor((1 - F.exp(-F.col("_mix_key") * mean_quality)) * n_buckets)).cast("long")
-    placed = rows.join(goal, F.col("source").eqNullSafe(F.col("_mix_source"))).withColumn("_mix_bucket", bucket)
-
-    sums = placed.groupBy("_mix_source", "_mix_bucket", "rest").agg(F.sum("size").alias("bucket_size"))
-    running = W.partitionBy("_mix_source").orderBy("_mix_bucket").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.withColumn("before", F.coalesce(F.sum("bucket_size").over(running), F.lit(0)))
-    ends = sums.where(F.col("before") <= F.col("rest")).groupBy("_mix_source").agg(F.max(F.struct("_mix_bucket", "before")).alias("end"))
-    ends = scratch.keep(ends.select(F.col("_mix_source").alias("_mix_end_source"), F.col("end._mix_bucket").alias("_mix_end"), F.col("end.before").alias("_mix_before")), "ends")
-    placed = placed.join(small(ends), F.col("_mix_source").eqNullSafe(F.col("_mix_end_source")))
-
-    ordered = W.partitionBy("_mix_source").orderBy("_mix_key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    last = placed.where(F.col("_mix_bucket") == F.col("_mix_end")).withColumn("_mix_at", F.col("_mix_before") + F.coalesce(F.sum("size").over(ordered), F.lit(0)))
+    # the number tells copies apart: written once, it stays
+    rows = scratch.keep(rows.withColumn("_mix_number", F.xxhash64(F.monotonically_increasing_id(), "_mix_unit")), "rows")
+    rows = rows.withColumn("_mix_key", -F.log("_mix_unit") * 1000 / F.col("_mix_quality")).withColumn("_mix_tie", F.col("_mix_number").cast("double"))
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    goal = scratch.keep(targets(sizes), "targets")
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(1).cast("long")
+    goal = goal.select(F.col("source").alias("_mix_source"), "source_size", "target", epochs.alias("epochs")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
+    ends = open_interval(rows.select("source", "size", "_mix_key", "_mix_tie"), goal.select("_mix_source", "rest"), scratch)
+    placed = rows.join(small(goal.join(ends.drop("rest"), F.col("_mix_source").eqNullSafe(F.col("_end_source"))).drop("_end_source")), F.col("source").eqNullSafe(F.col("_mix_source")))
+
+    at = F.struct("_mix_key", "_mix_tie")
+    inside = (at > F.col("low")) & (at <= F.col("high"))
+    ordered = W.partitionBy("_mix_source").orderBy("_mix_key", "doc_id", "size", "_mix_tie").rowsBetween(W.unboundedPreceding, -1)
+    last = placed.where(inside).withColumn("_mix_at", F.col("before") + F.coalesce(F.sum("size").over(ordered), F.lit(0)))
     last = last.withColumn("_mix_take", (2 * F.col("_mix_at") + F.col("size") <= 2 * F.col("rest")).cast("long"))
-    others = placed.where(F.col("_mix_bucket") != F.col("_mix_end")).withColumn("_mix_take", (F.col("_mix_bucket") < F.col("_mix_end")).cast("long"))
-    both = last.drop("_mix_at").unionByName(others).withColumn("copies", F.col("epochs") + F.col("_mix_take"))
-    both = both.withColumn("copies", F.least("copies", F.lit(2)))
+    others = placed.where(~inside).withColumn("_mix_take", (at <= F.col("low")).cast("long"))
+    both = last.drop("_mix_at").unionByName(others).withColumn("copies", F.least(F.col("epochs") + F.col("_mix_take"), F.lit(2)))
     return both.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), *keep)
 
 
+def open_interval(rows: DataFrame, goal: DataFrame, scratch: Scratch) -> DataFrame:
+    """Per source (``_end_source, low, high, before``): the interval of (key, tie) in which its budget ends.
+
+    ``before``: tokens up to ``low``.  Each round cuts every interval of more than
+    ``BUCKET_ROWS`` rows at sketched quantiles of the key or, once it holds a single
+    key, of the tie.  One row a source.
+    """
+    edge = lambda x: F.struct(F.lit(x).alias("_mix_key"), F.lit(x).alias("_mix_tie"))
+    infinite = float("inf")
+    ends = goal.select(F.col("_mix_source").alias("_end_source"), "rest", edge(-infinite).alias("low"), edge(infinite).alias("high"), F.lit(0).cast("long").alias("before"))
+    at, step = F.struct("_mix_key", "_mix_tie"), 0
+    same = F.col("source").eqNullSafe(F.col("_end_source"))
+    while True:
+        step += 1
+        ends = scratch.keep(ends, f"ends-{step}")
+        inside = rows.join(small(ends), same).where((at > F.col("low")) & (at <= F.col("high")))
+        cuts = inside.groupBy("_end_source").agg(
+            F.count(F.lit(1)).alias("n"), F.min("_mix_key").alias("k0"), F.max("_mix_key").alias("k1"),
+            *[F.array_distinct(F.percentile_approx(c, [i / CUTS for i in range(1, CUTS)], 20 * CUTS)).alias(q) for c, q in (("_mix_key", "keys"), ("_mix_tie", "ties"))],
+        )
+        cuts = scratch.keep(cuts.where(F.col("n") > BUCKET_ROWS), f"cuts-{step}").withColumnRenamed("_end_source", "_cut_source")
+        if not cuts.limit(1).count():
+            return ends
+        # below and above each quantile, so that the rows of one frequent key end up alone
+        by_key = F.flatten(F.transform("keys", lambda x: F.array(*[F.struct(x.alias("_mix_key"), F.lit(e).alias("_mix_tie")) for e in (-infinite, infinite)])))
+        by_tie = F.transform("ties", lambda x: F.struct(F.col("k0").alias("_mix_key"), x.alias("_mix_tie")))
+        cuts = cuts.select("_cut_source", F.when(F.col("k0") < F.col("k1"), by_key).otherwise(by_tie).alias("cuts"))
+        cut = inside.join(small(cuts), F.col("_end_source").eqNullSafe(F.col("_cut_source")))
+        # the bucket's upper edge is its name: the smallest cut not below the row
+        upper = F.coalesce(F.array_min(F.filter("cuts", lambda x: x >= at)), F.col("high"))
+        sums = cut.groupBy("_cut_source", upper.alias("upper")).agg(F.sum("size").alias("tokens"), F.min("low").alias("low"), F.min("before").alias("before"), F.min("rest").alias("rest"))
+        order = W.partitionBy("_cut_source").orderBy("upper")
+        sums = sums.withColumn("until", F.col("before") + F.coalesce(F.sum("tokens").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+        sums = sums.withColumn("under", F.coalesce(F.lag("upper").over(order), F.col("low")))
+        found = sums.where(F.col("until") <= F.col("rest")).groupBy("_cut_source").agg(F.max(F.struct("upper", "under", "until")).alias("x"))
+        moved = ends.join(small(found), F.col("_end_source").eqNullSafe(F.col("_cut_source")), "left")
+        ends = moved.select("_end_source", "rest", F.coalesce("x.under", "low").alias("low"), F.coalesce("x.upper", "high").alias("high"), F.coalesce("x.until", "before").alias("before"))
+
+
 def op1_mixing(spark, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"), Scratch(spark, "op1"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
@@ -133,7 +163,7 @@ WITH d AS (
 ), r AS (
   SELECT doc_id, source, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+'))::BIGINT AS size,
     CASE WHEN t = '' THEN 50 ELSE greatest(50, 1000 - floor(5000 * (length(t) - length(translate(t, '#*$%&|<>!', ''))) / length(t))) END::BIGINT AS quality,
-    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':0'), 1, 13))::BIGINT + 1) / (power(2, 52) + 1) AS unit
+    (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(t) || ':0'), 1, 13))::BIGINT + 1) / (power(2, 52) + 1) AS unit
   FROM d
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,

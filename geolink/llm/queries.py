@@ -20,6 +20,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_mixing": mixing.SQL,
+    "op2_sharding": sharding.SQL,
     "op3_substring_dedup": substring_dedup.SQL,
     "op4_ngram_join": ngram_join.SQL,
     "op5_line_dedup": line_dedup.SQL,

@@ -78,10 +78,6 @@ def test_shards(spark, sf):
     assert 0 < moved < len(rows) / 6
 
 
-def test_law_in_sql(same):
-    same(lambda spark, sf: QUERIES["op2_sharding"](spark, sf).select("doc_id", "size", "shard", "grown_shard"), sharding.LAW_SQL)
-
-
 def test_weighted_shards_follow_their_weights(spark):
     keys = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
     got = Counter(r.s for r in keys.select(sharding.shard_of(F.col("k"), 3, (1.0, 2.0, 0.0)).alias("s")).collect())
@@ -96,6 +92,26 @@ def test_shard_edges(spark, edge, empty):
     assert sharding.assign(empty, Scratch(spark, "t")).count() == 0
 
 
+def test_mix_with_hot_groups(spark, monkeypatch):
+    """A source of which half the rows are poor, and one of which all rows but few are copies without an id."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(mixing, "CUTS", 8)
+    low = spark.range(20_000).select("id", F.when(F.col("id") % 2 == 0, F.lit("# $ % & | < > !")).otherwise(F.concat(F.lit("some plain words "), "id")).alias("text"), F.lit("a").alias("source"))
+    copies = spark.range(9_000).select(F.when(F.col("id") < 10, F.col("id")).alias("id"), F.lit("one two three four five").alias("text"), F.lit("b").alias("source"))
+    out = mixing.mix(low.union(copies).withColumnRenamed("id", "doc_id"), Scratch(spark, "t"))
+    got = {r.source: r for r in out.groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.count(F.lit(1)).alias("n"), F.max("size").alias("size")).collect()}
+    assert (got["a"].n, got["b"].n) == (20_000, 9_000) and all(abs(r.taken - r.target) <= r["size"] for r in got.values())
+    counts = out.groupBy("doc_id", "source", "size", "taken").count()
+    again = mixing.mix(low.union(copies).withColumnRenamed("id", "doc_id").repartition(7), Scratch(spark, "t")).groupBy("doc_id", "source", "size", "taken").count()
+    assert counts.exceptAll(again).count() == 0 and again.exceptAll(counts).count() == 0
+
+
+def test_slots_do_not_depend_on_files(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    one, two = (sharding.assign(d, Scratch(spark, "t")) for d in (docs, docs.repartition(7)))
+    assert one.exceptAll(two).count() == 0
+
+
 def test_shards_with_many_slots_stay_gapless(spark, monkeypatch):
     monkeypatch.setattr(sharding, "SLOT_ROWS", 10)
     docs = spark.range(4000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("t").alias("text"))
