@@ -3,22 +3,24 @@
 A document is its sequence of lines with a word.  Grams of ``gram`` consecutive
 line hashes are winnowed: each window of ``window`` grams selects its smallest
 (the rightmost of equals) as a fingerprint, so any two documents that share a run
-of ``gram + window - 1`` lines share a fingerprint at the same place of it.
+of ``gram + window - 1`` lines share a fingerprint at the same place of it.  Only
+selected positions leave a document, each with the lines around it.
 
-Only selected positions leave a document, each with the hashes of the runs around
-it, to the left and to the right, for which its fingerprint stands.  Fingerprints
-at one place only go.  The positions of the others are joined, and each match is
-extended both ways to those runs: of equal ones the first by (document id, line)
-stays, and later ones are deleted.
-Overlapping deleted runs merge, so longer matches are deleted whole.
+Positions of equal fingerprints are joined with the first of them by (document id,
+line), and each match is extended line by line to the left and to the right, as far
+as the windows reach that the fingerprint stands for; beyond them the next
+fingerprint's match goes on.  A run of ``gram + window - 1`` lines or more that has
+been there before goes.  Windows in which a position differs from the first one are
+joined among themselves in the same way, each with the first position that has the
+whole window, so a run is found wherever it first occurred.  Overlapping runs merge,
+so longer matches are deleted whole.
 
-With ``words`` a shorter run counts too, from so many words: every window of fewer
-lines that holds them leaves the document beside the winnowed ones.
-``op5_line_dedup`` keeps to runs of three lines, as its SQL does;
-``op5_passage_dedup`` counts runs from three lines or from ``WORDS`` words.
+With ``words`` a shorter run counts too, from so many words: every run of fewer
+lines that holds them is a fingerprint beside the winnowed ones.
 
-Keys meet only in partial aggregations and in joins against one row per key, which
-AQE splits where a line is hot.
+Lines are equal when two unrelated 64-bit hashes agree.  Keys meet only in partial
+aggregations and in joins against one row per key, which AQE splits where a line is
+hot.
 
 Defined results
     null or blank text  no lines, nothing removed; a null text counts as empty
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from geolink.llm.common import SPACE_CLASS, SPACES, Scratch, table, text_or_empty
 
 GRAM, WINDOW = 2, 2
-#: Words from which a run of fewer lines counts in ``op5_passage_dedup``.
+#: Words from which a run of fewer lines counts.
 WORDS = 50
 
 
@@ -50,41 +52,75 @@ def _lines(df: DataFrame) -> DataFrame:
     return df.withColumn("_solid", F.filter(F.transform("_lines", lambda l, i: F.when(F.btrim(l, F.lit(SPACES)) != "", i)), lambda i: i.isNotNull()))
 
 
-def repeated_runs(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, gram: int = GRAM, window: int = WINDOW, words: int | None = None) -> DataFrame:
-    """(doc_id, starts): first line (counting lines with a word) and lines of every later copy of a run."""
-    run = gram + window - 1
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_text")).where("doc_id is not null")
+def _upto(last):
+    return F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+
+
+def fingerprints(rows: DataFrame, gram: int, window: int, words: int | None) -> DataFrame:
+    """Selected positions: doc_id, print, at (first line), size (lines), span (lines of a window), left (nearest first), own, right, starts (of its windows)."""
+    run, reach = gram + window - 1, window - 1
     solid = F.filter(F.split("_text", "\n"), lambda l: F.btrim(l, F.lit(SPACES)) != "")
     counts = F.transform("solid", lambda l: F.size(F.split(F.btrim(l, F.lit(SPACES)), f"[{SPACE_CLASS}]+"))) if words else F.lit(None).cast("array<int>")
-    rows = rows.select("doc_id", solid.alias("solid")).select("doc_id", F.transform("solid", lambda l: F.xxhash64(l)).alias("h"), counts.alias("n"))
-    rows = rows.where(F.size("h") >= (1 if words else run))
-    upto = lambda last: F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    grams = F.transform(upto(F.size("h") - gram), lambda i: F.struct(F.xxhash64(F.slice("h", i + 1, gram)).alias("g"), (-i).alias("back")))
-    rows = rows.select("doc_id", "h", "n", grams.alias("grams"))
-    minima = F.transform(upto(F.size("h") - run), lambda s: -F.array_min(F.slice("grams", s + 1, window)).getField("back"))
-    rows = rows.select("doc_id", "h", "n", "grams", minima.alias("minima"))
-    # a fingerprint and the runs around it: one for each window whose minimum it is
-    windows = lambda p: F.filter(F.sequence(F.greatest(F.lit(0), p - (window - 1)), F.least(p, F.size("minima") - 1)), lambda s: F.get("minima", s) == p)
-    body = lambda s, size: F.struct(s.cast("int").alias("start"), F.lit(size).alias("size"), F.xxhash64(F.slice("h", s + 1, size)).alias("body"))
-    around = lambda p: F.transform(windows(p), lambda s: body(s, run))
-    chosen = F.transform(F.array_distinct("minima"), lambda p: F.struct(F.get("grams", p).getField("g").alias("print"), around(p).alias("runs")))
-    # a shorter run with enough words is its own fingerprint
-    enough = lambda size: F.filter(upto(F.size("h") - size), lambda s: F.aggregate(F.slice("n", s + 1, size), F.lit(0), lambda x, y: x + y) >= words)
-    alone = lambda size: F.transform(enough(size), lambda s: F.struct(F.xxhash64(F.slice("h", s + 1, size)).alias("print"), F.array(body(s, size)).alias("runs")))
+    hashed = F.transform("solid", lambda l: F.xxhash64(l)).alias("h"), F.transform("solid", lambda l: F.xxhash64(F.lit("check"), l)).alias("c")
+    rows = rows.select("doc_id", solid.alias("solid")).select("doc_id", *hashed, counts.alias("n")).where(F.size("h") >= (1 if words else run))
+    grams = F.transform(_upto(F.size("h") - gram), lambda i: F.struct(F.xxhash64(F.lit(gram), F.slice("h", i + 1, gram)).alias("g"), (-i).alias("back")))
+    rows = rows.select("*", grams.alias("grams"))
+    minima = F.transform(_upto(F.size("h") - run), lambda s: -F.array_min(F.slice("grams", s + 1, window)).getField("back"))
+    rows = rows.select("*", minima.alias("minima"))
+    # the windows that a fingerprint stands for: those whose minimum it is
+    windows = lambda p: F.filter(F.sequence(F.greatest(F.lit(0), p - reach), F.least(p, F.size("minima") - 1)), lambda s: F.get("minima", s) == p)
+    none = F.array().cast("array<bigint>")
+    before = lambda p: F.when(p > 0, F.reverse(F.slice("c", F.greatest(F.lit(1), p - reach + 1), F.least(p, F.lit(reach))))).otherwise(none) if reach else none
+    place = lambda p, size, span, print_, left, right, starts: F.struct(
+        print_.alias("print"), p.cast("int").alias("at"), F.lit(size).alias("size"), F.lit(span).alias("span"), left.alias("left"), F.slice("c", p + 1, size).alias("own"), right.alias("right"), starts.cast("array<int>").alias("starts")
+    )
+    chosen = F.transform(F.array_distinct("minima"), lambda p: place(p, gram, run, F.get("grams", p).getField("g"), before(p), F.slice("c", p + gram + 1, reach) if reach else none, windows(p)))
+    # a shorter run with enough words stands for itself
+    enough = lambda size: F.filter(_upto(F.size("h") - size), lambda s: F.aggregate(F.slice("n", s + 1, size), F.lit(0), lambda x, y: x + y) >= words)
+    alone = lambda size: F.transform(enough(size), lambda s: place(s, size, size, F.xxhash64(F.lit(-size), F.slice("h", s + 1, size)), none, none, F.array(s)))
     short = map(alone, range(1, run if words else 1))
-    prints = scratch.keep(rows.select("doc_id", F.explode(F.concat(chosen, *short)).alias("c")).select("doc_id", "c.*"), "prints")
+    return rows.select("doc_id", F.explode(F.concat(chosen, *short)).alias("p")).select("doc_id", "p.*")
 
-    often = prints.groupBy(F.col("print").alias("_print")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_print")
-    often = scratch.keep(often, "often")
-    met = prints.join(often, F.col("print") == F.col("_print"))
-    matches = scratch.keep(met.select("doc_id", "print", F.explode("runs").alias("r")).select("doc_id", "print", "r.*"), "matches")
-    first = matches.groupBy(F.col("print").alias("_print"), F.col("body").alias("_body")).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("c"))
-    first = scratch.keep(first.where("c > 1").drop("c"), "first")
-    later = matches.join(first, (F.col("print") == F.col("_print")) & (F.col("body") == F.col("_body"))).where(F.struct("doc_id", "start") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct("start", "size")).alias("starts"))
 
+def _alike(one: str, other: str):
+    """How many leading elements two arrays share."""
+    differ = F.zip_with(one, other, lambda x, y: ~F.coalesce(x == y, F.lit(False)))
+    at = F.coalesce(F.array_position(differ, True), F.lit(0))
+    return F.when(at > 0, at - 1).otherwise(F.size(differ)).cast("int")
 
-def remove_lines(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, words: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+
+def repeated_runs(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: str, gram: int = GRAM, window: int = WINDOW, words: int | None = WORDS) -> DataFrame:
+    """(doc_id, starts): first line (counting lines with a word) and number of lines of every run that has been there before."""
+    run = gram + window - 1
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_text")).where("doc_id is not null")
+    prints = scratch.keep(fingerprints(rows, gram, window, words), "prints")
+    often = scratch.keep(prints.groupBy(F.col("print").alias("_print")).agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("_print"), "often")
+    met = scratch.keep(prints.join(often, F.col("print") == F.col("_print")).drop("_print"), "met")
+    scratch.drop("prints")
+
+    # join positions with the first one and extend both ways
+    first = met.groupBy(F.col("print").alias("_print")).agg(F.min(F.struct("doc_id", "at", "left", "own", "right")).alias("first"))
+    pairs = met.join(first, F.col("print") == F.col("_print")).where(F.struct("doc_id", "at") > F.struct("first.doc_id", "first.at"))
+    pairs = pairs.withColumn("same", F.col("own") == F.col("first.own")).withColumn("l", _alike("left", "first.left")).withColumn("r", _alike("right", "first.right"))
+    pairs = pairs.withColumn("low", F.when(F.col("same"), F.col("at") - F.col("l")).otherwise(F.col("at"))).withColumn("lines", F.when(F.col("same"), F.col("l") + F.col("size") + F.col("r")).otherwise(0))
+    inside = lambda s: (s >= F.col("low")) & (s + F.col("span") <= F.col("low") + F.col("lines"))
+    pairs = pairs.withColumn("rest", F.filter("starts", lambda s: ~inside(s)))
+    pairs = scratch.keep(pairs.select("doc_id", "print", "at", "size", "span", "left", "own", "right", "low", "lines", "rest"), "pairs")
+    found = pairs.where(F.col("lines") >= F.col("span")).select("doc_id", F.col("low").alias("start"), F.col("lines").alias("size"))
+
+    # windows that differ from the first position's: each with the first that has it
+    around = F.concat(F.reverse("left"), "own", "right")
+    other = pairs.where(F.size("rest") > 0).select("doc_id", "print", "span", F.explode("rest").alias("start"), "at", (F.col("at") - F.size("left")).alias("from"), around.alias("around"))
+    other = other.select("doc_id", "print", "span", "start", F.expr("slice(around, start - from + 1, span)").alias("body"), (F.col("start") - F.col("at")).alias("offset"))
+    other = scratch.keep(other, "other")
+    key = ["print", "offset", "body"]
+    leads = other.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    later = other.join(leads, [F.col(k) == F.col(f"_{k}") for k in key]).where(F.struct("doc_id", "start") > F.col("first"))
+    found = found.unionByName(later.select("doc_id", "start", F.col("span").alias("size")))
+    return found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "size")).alias("starts"))
+
+
+def remove_lines(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, words: int | None = WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Delete later repeated runs: ``doc_id, text, n_lines, n_removed`` and ``keep``."""
     found = repeated_runs(docs, scratch, id_col=id_col, text_col=text_col, gram=gram, window=window, words=words).withColumnRenamed("doc_id", "_id")
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_text"), *keep)
@@ -97,19 +133,24 @@ def remove_lines(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", t
     return rows.select("doc_id", text.alias("text"), F.size("_solid").cast("long").alias("n_lines"), F.size("_gone").cast("long").alias("n_removed"), *keep)
 
 
-def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
-    """All documents: doc_id, n_lines (with a word), n_removed, kept_sha256 (of the text left, UTF-8)."""
-    out = remove_lines(table(spark, sf_dir, "documents"), Scratch(spark, "op5"))
+def _digest(out: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
-def op5_passage_dedup(spark, sf_dir: str) -> DataFrame:
-    """As ``op5_line_dedup``, with runs of one or two lines from ``WORDS`` words."""
-    out = remove_lines(table(spark, sf_dir, "documents"), Scratch(spark, "op5"), words=WORDS)
-    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
+    """All documents: doc_id, n_lines (with a word), n_removed, kept_sha256 (of the text left, UTF-8).
 
+    A run counts from three lines, or from ``WORDS`` words.
+    """
+    return _digest(remove_lines(table(spark, sf_dir, "documents"), Scratch(spark, "op5")))
 
-SQL = r"""
+
+def op5_run_dedup(spark, sf_dir: str) -> DataFrame:
+    """The same for runs of three lines alone, however many words they have."""
+    return _digest(remove_lines(table(spark, sf_dir, "documents"), Scratch(spark, "op5"), words=None))
+
+
+RUN_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
 ), l AS (
@@ -129,7 +170,7 @@ WITH d AS (
 SELECT doc_id, n_lines, n_removed, sha256(kept) AS kept_sha256 FROM d JOIN k USING (rid)
 """
 
-PASSAGE_SQL = r"""
+SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents
 ), l AS (

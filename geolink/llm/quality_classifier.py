@@ -7,8 +7,8 @@ passage representation gives the score.  Neither labels nor language, source or
 id enter a score.
 
 Training: the labelled documents with the ``SAMPLE`` smallest id hashes among
-those whose crc32(id as text) mod 3 is not 1.  The sample bounds what reaches the
-driver; scoring runs over every passage of every text in Arrow batches.
+those whose crc32(id as text) mod 3 is not 1, one row an id and at most
+``FIT_PASSAGES`` passages of it.  So what reaches the driver is bounded; scoring runs over every passage of every text in Arrow batches.
 
 Defined results
     null or blank text  a bag with one all-zero passage; it gets a score like any other
@@ -36,6 +36,8 @@ from geolink.llm.textkernel import chunks, window_hashes, word_hashes, words
 
 #: Words in a passage; most labelled documents that training reads; hidden and attention units; training steps.
 PASSAGE, SAMPLE, HIDDEN, ATTENTION, STEPS = 100, 3_000, 16, 8, 250
+#: Most passages of one document that training reads, spread evenly over it (scoring reads all).
+FIT_PASSAGES = 64
 SEED = 7
 
 #: Character classes: lower, upper, digit, blank, newline, non-ASCII, and the punctuation that junk is made of.
@@ -101,6 +103,7 @@ class Model:
     mean: np.ndarray
     scale: np.ndarray
     weights: dict[str, np.ndarray]
+    attend: bool = True
 
     def forward(self, x: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
         """``x``: scaled passages of all bags; ``first``: each bag's first passage."""
@@ -109,7 +112,7 @@ class Model:
         bag = np.repeat(np.arange(len(first)), sizes)
         h = np.tanh(x @ p["w"] + p["b"])
         t, g = np.tanh(h @ p["v"]), _sigmoid(h @ p["u"])
-        s = (t * g) @ p["a"]
+        s = (t * g) @ p["a"] * self.attend
         e = np.exp(s - np.maximum.reduceat(s, first)[bag])
         alpha = e / np.add.reduceat(e, first)[bag]
         z = np.add.reduceat(alpha[:, None] * h, first, axis=0)
@@ -121,8 +124,11 @@ class Model:
         return np.asarray(self.forward(x, first)["score"], dtype=np.float64)
 
 
-def train(bags: list[np.ndarray], labels: np.ndarray, *, steps: int = STEPS, rate: float = 0.01, decay: float = 1e-3, seed: int = SEED) -> Model:
-    """Fit all weights by Adam on the documents' cross-entropy, the rarer class weighted up to twofold."""
+def train(bags: list[np.ndarray], labels: np.ndarray, *, steps: int = STEPS, rate: float = 0.01, decay: float = 1e-3, seed: int = SEED, attend: bool = True) -> Model:
+    """Fit all weights by Adam on the documents' cross-entropy, the rarer class weighted up to twofold.
+
+    Without ``attend`` all passages weigh alike: for comparison only.
+    """
     rng = np.random.default_rng(seed)
     x = np.concatenate(bags).astype(np.float32)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 0.02
@@ -130,7 +136,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray, *, steps: int = STEPS, rat
     first = np.r_[0, np.cumsum([len(b) for b in bags])[:-1]].astype(np.int64)
     shapes = {"w": (x.shape[1], HIDDEN), "b": (HIDDEN,), "v": (HIDDEN, ATTENTION), "u": (HIDDEN, ATTENTION), "a": (ATTENTION,), "c": (HIDDEN,), "d": ()}
     p = {k: (rng.normal(0, 1, s) / np.sqrt(s[0] if s else 1) * (k not in "bd")).astype(np.float32) for k, s in shapes.items()}
-    model = Model(mean, scale, p)
+    model = Model(mean, scale, p, attend)
     m, v = {k: np.zeros_like(q) for k, q in p.items()}, {k: np.zeros_like(q) for k, q in p.items()}
     y = labels.astype(np.float32)
     rare = min(2.0, (1 - y.mean()) / max(y.mean(), 1e-6)) if y.mean() < 0.5 else min(2.0, y.mean() / max(1 - y.mean(), 1e-6))
@@ -142,7 +148,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray, *, steps: int = STEPS, rat
         do = (f["score"] - y) * weight
         dz = do[:, None] * p["c"]
         dalpha = (dz[bag] * h).sum(axis=1)
-        ds = alpha * (dalpha - np.add.reduceat(alpha * dalpha, first)[bag])
+        ds = attend * alpha * (dalpha - np.add.reduceat(alpha * dalpha, first)[bag])
         dtg = ds[:, None] * p["a"]
         dt, dg = dtg * g * (1 - t * t), dtg * t * g * (1 - g)
         dh = (alpha[:, None] * dz[bag] + dt @ p["v"].T + dg @ p["u"].T) * (1 - h * h)
@@ -159,18 +165,25 @@ def _fold(id_col: str):
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(3))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """Learn from the labelled documents outside the held-out third, ``sample`` of them at most."""
+def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> pa.Table:
+    """(doc_id, y, bag) of the documents to learn from, in the order of ids."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).where("_id is not null and _y is not null").where(_fold("_id") != 1)
     chosen = known.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_y")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    # of several rows of one id the smallest text by hash, picked with partial aggregation
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text", "_y")).alias("r")).select("doc_id", "r.text", "r._y")
 
     def read(batches):
         for batch in batches:
-            body = [f.astype("<f2").tobytes() for _, f in passages(batch.column("text"))]
+            body = [f[np.linspace(0, len(f) - 1, min(len(f), FIT_PASSAGES)).astype(int)].astype("<f2").tobytes() for _, f in passages(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("_y").cast(pa.int32()), pa.array(body, pa.binary())], names=["doc_id", "y", "bag"])
 
-    got = rows.mapInArrow(read, "doc_id long, y int, bag binary").toArrow().sort_by([("doc_id", "ascending"), ("bag", "ascending")])
+    return rows.mapInArrow(read, "doc_id long, y int, bag binary").toArrow().sort_by([("doc_id", "ascending"), ("bag", "ascending")])
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
+    """Learn from the labelled documents outside the held-out third, ``sample`` of them at most."""
+    got = training_rows(docs, labels, id_col=id_col, text_col=text_col, label_col=label_col, sample=sample)
     if not len(got):
         blank = train([np.zeros((1, WIDTH), np.float32)] * 2, np.array([0, 1]), steps=0)
         blank.weights["c"] = np.zeros_like(blank.weights["c"])

@@ -10,7 +10,7 @@ QUERIES = {
     "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_ngram_join": ngram_join.op4_ngram_join,
     "op5_line_dedup": line_dedup.op5_line_dedup,
-    "op5_passage_dedup": line_dedup.op5_passage_dedup,
+    "op5_run_dedup": line_dedup.op5_run_dedup,
     "op6_sentencepiece": sentencepiece_codec.op6_sentencepiece,
     "op7_html_extraction": html_extraction.op7_html_extraction,
     "op8_quality_rules": quality_rules.op8_quality_rules,
@@ -24,7 +24,7 @@ ORACLE_SQL = {
     "op3_substring_dedup": substring_dedup.SQL,
     "op4_ngram_join": ngram_join.SQL,
     "op5_line_dedup": line_dedup.SQL,
-    "op5_passage_dedup": line_dedup.PASSAGE_SQL,
+    "op5_run_dedup": line_dedup.RUN_SQL,
     "op8_quality_rules": quality_rules.SQL,
     "op10_embedding_dedup": embedding_dedup.SQL,
 }

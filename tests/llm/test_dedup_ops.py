@@ -173,26 +173,43 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
 
 
-def brute_lines(rows, run=3):
+def brute_lines(rows, run=3, words=50):
     first, lines = {}, []
+
+    def runs(all_, solid):
+        for size in [*range(1, run if words else 1), run]:
+            for s in range(len(solid) - size + 1):
+                body = tuple(all_[i] for i in solid[s : s + size])
+                if size == run or sum(len(WORD.findall(l)) for l in body) >= words:
+                    yield s, body
+
     for d, t in rows:
         all_ = (t or "").split("\n")
         solid = [i for i, l in enumerate(all_) if WORD.search(l)]
         lines.append((all_, solid))
-        for s in range(len(solid) - run + 1):
-            body = tuple(all_[i] for i in solid[s : s + run])
+        for s, body in runs(all_, solid):
             if d is not None:
                 first[body] = min(first.get(body, (d, s)), (d, s))
     out = []
     for (d, _), (all_, solid) in zip(rows, lines, strict=True):
         gone = set()
-        for s in range(len(solid) - run + 1):
-            if d is not None and first[tuple(all_[i] for i in solid[s : s + run])] < (d, s):
-                gone |= set(solid[s : s + run])
+        for s, body in runs(all_, solid):
+            if d is not None and first[body] < (d, s):
+                gone |= set(solid[s : s + len(body)])
         out.append((d, len(solid), len(gone), "\n".join(l for i, l in enumerate(all_) if i not in gone)))
     return sorted(out, key=str)
 
 
+def test_lines_of_few_kinds_against_brute_force(spark):
+    """Many documents of three kinds of line: fingerprints repeat in every surrounding there is."""
+    rng = np.random.default_rng(6)
+    kinds = ["x", "y", "z z", "", " ".join(words(50, 41)), " ".join(words(27, 42)), " ".join(words(30, 43))]
+    rows = [(i, "\n".join(kinds[k] for k in rng.integers(0, len(kinds), rng.integers(0, 14)))) for i in range(150)]
+    for words_ in (50, None):
+        got = line_dedup.remove_lines(docs(spark, rows), Scratch(spark, "t"), words=words_).collect()
+        assert sorted([(r.doc_id, r.n_lines, r.n_removed, r.text) for r in got], key=str) == brute_lines(rows, words=words_)
+
+
 @pytest.mark.parametrize("gram,window", [(2, 2), (1, 3), (3, 2)])
 def test_lines_against_brute_force(spark, gram, window):
     a = [f"line number {i}" for i in range(20)]
@@ -205,10 +222,10 @@ def test_lines_against_brute_force(spark, gram, window):
 def test_long_passages_go_from_one_or_two_lines(spark):
     long, half, other = " ".join(words(60, 31)), " ".join(words(30, 32)), " ".join(words(30, 33))
     rows = [(1, f"head\n{long}\ntail"), (2, long), (3, f"{half}\n{other}\nend"), (4, f"start\n\n{half}\n\n{other}"), (5, half), (6, "short\nend"), (7, f"end\n{long}\ntail"), (2, long), (None, long), (8, f"{long}\n{long}")]
-    got = line_dedup.remove_lines(docs(spark, rows), Scratch(spark, "t"), words=50).collect()
+    got = line_dedup.remove_lines(docs(spark, rows), Scratch(spark, "t")).collect()
     want = [(1, 3, 0, rows[0][1]), (2, 1, 1, ""), (3, 3, 0, rows[2][1]), (4, 3, 2, "start\n\n"), (5, 1, 0, half), (6, 2, 0, "short\nend"), (7, 3, 2, "end"), (2, 1, 1, ""), (None, 1, 0, long), (8, 2, 2, "")]
     assert sorted([(r.doc_id, r.n_lines, r.n_removed, r.text) for r in got], key=str) == sorted(want, key=str)
-    assert all(r.n_removed == 0 for r in line_dedup.remove_lines(docs(spark, rows), Scratch(spark, "t")).collect())
+    assert all(r.n_removed == 0 for r in line_dedup.remove_lines(docs(spark, rows), Scratch(spark, "t"), words=None).collect())
 
 
 def test_lines_empty(spark):

@@ -30,6 +30,7 @@ def test_agenda_equals_library(codec, spark, sf):
     texts = TEXTS + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     own = [np.frombuffer(x, "<u4").tolist() for x in codec.encode(texts)]
     assert own == [[1, *codec.library.encode(t), 2] for t in texts]
+    assert not codec.corrected
     assert all(codec.agenda(s) == codec.library.encode(s[1:]) for s in list(codec.memo)[:3000] if s[0] == S.MARK and s.strip(S.MARK) and s[1:2] != S.MARK)
 
 
@@ -40,6 +41,22 @@ def test_memo_bound_changes_nothing(monkeypatch):
     assert c.encode(TEXTS) == first and len(c.memo) <= 5 + 200
 
 
+def test_the_library_decides_where_the_agenda_differs(monkeypatch):
+    c = S.Codec(S.tokenizer_path())
+    real = c.agendas
+
+    def wrong(segments):
+        real(segments)
+        for s in segments:
+            if "fox" in s or s == "\n" or s.startswith("🦊"):
+                c.memo[s] = b"\x05\x00\x00\x00"
+
+    monkeypatch.setattr(c, "agendas", wrong)
+    texts = ["The quick fox\njumps", "no animal here", "🦊fox fox"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in c.encode(texts)] == [[1, *c.library.encode(t), 2] for t in texts]
+    assert c.met[1] == 0 and c.met[0] >= 1 and c.corrected
+
+
 def test_encode_edges(spark):
     df = spark.createDataFrame([(1, None, "x"), (1, None, "x"), (None, "abc", "x"), (2, "Hi there\n", None)], DOCS)
     rows = S.encode(df, keep=("extra",)).collect()
@@ -76,6 +93,26 @@ def test_gradient_of_attention_model():
     assert ((model.score(bags) >= 0.5) == y).mean() > 0.9
 
 
+def test_attention_finds_the_passage_that_decides():
+    """Bags in which one passage in ten decides: with attention it is found, with equal weights it drowns."""
+    rng = np.random.default_rng(3)
+    bags, y = [], np.arange(400) % 2
+    for label in y:
+        bag = rng.normal(size=(10, Q.WIDTH)).astype(np.float32)
+        bag[rng.integers(10), :12] += 2.5 if label else -2.5
+        bags.append(bag)
+    learned = [np.mean((Q.train(bags[:300], y[:300], steps=200, attend=attend).score(bags[300:]) >= 0.5) == y[300:]) for attend in (True, False)]
+    assert learned[0] >= 0.9 and learned[0] >= learned[1] + 0.05
+
+
+def test_fitting_is_bounded(spark):
+    """One labelled id holds a third of all rows and a text is very long: one row an id and few passages are read."""
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("doc_id"), F.when(F.col("id") == 5, F.repeat(F.lit("word "), F.lit(200_000))).otherwise(F.lit("a text of words")).alias("text"))
+    got = Q.training_rows(docs, spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality")), sample=2500)
+    assert len(got) == got["doc_id"].to_numpy().tolist().__len__() == len(set(got["doc_id"].to_pylist()))
+    assert max(len(b.as_buffer()) for b in got["bag"]) <= Q.FIT_PASSAGES * Q.WIDTH * 2
+
+
 PAGE = """<!doctype html><html><head><title>T</title><style>p{x}</style><script>var a="</p>";</script></head><body>
 <nav><ul><li><a href="/a">Home</a></li><li><a href="/b">More</a></li></ul></nav><div class="ad">Buy this now.</div>
 <article><h1>A title</h1><p>First &amp; <b>bold</b>
