@@ -1,11 +1,17 @@
 """Operator 8: line-first quality rules (native DataFrame operations only).
 
-Each line is judged on its own first: symbol-heavy and shouting lines
-(punctuation), link bars and menu words (navigation), licence and cookie notices
-(boilerplate), and lines already seen in the document go.  Then a document is
-rejected if it lost more than half of its words that way, or if it fails the base
-rules: fewer than 50 words, or more than half of the words inside three-word
-windows that occur twice or more.
+Each line is judged on its own first, by its build and not by words of a language:
+
+punctuation  symbols or exclamation marks in a tenth of its characters, or no
+             closing punctuation at its end
+navigation   three separators (a link bar), or three or more lines of at most
+             three words in a row (a menu)
+boilerplate  a copyright or trademark sign, an address of a page or mailbox in a
+             line of at most twelve words, or a line that the document had before
+
+Lines that fail go.  Then a document is rejected if it lost more than half of its
+words that way, or if it fails the base rules: fewer than 50 words, or more than half
+of the words inside three-word windows that occur twice or more.
 
 Defined results
     null or blank text  no words, all counts 0, base_failed true
@@ -24,8 +30,14 @@ from geolink.llm.common import SPACE_CLASS, SPACES, table, text_or_empty, word_l
 
 SYMBOLS = "#*$%&|<>"
 SOLID = f"[^{SPACE_CLASS}]"
-MENU = r"(?i)^[ \t]*(home|menu|search|log ?in|sign ?in|sign ?up|register|next|previous|back|share|print|contact|about us|site ?map|skip to content|read more)[ \t.>|:]*$"
-NOTICE = r"(?i)(?:^|[^a-zA-Z])(all rights reserved|licensed under|released under|this work is licensed|terms of (use|service)|privacy policy|uses? cookies|accept cookies|enable javascript|click here|subscribe (now|to our)|sign up for our newsletter)"
+#: A sentence's last mark, with quotes and brackets that close after it.
+CLOSED = r"[.!?:;…。！？؟।][\"'”’»)\]\x20\x09-\x0D]*$"
+BAR = r"[|»›·•→][^|»›·•→]*[|»›·•→][^|»›·•→]*[|»›·•→]"
+SIGN, ADDRESS = "[©®™]", r"https?://|www\.|[^\x20\x09-\x0D@]@[^\x20\x09-\x0D@]+\."
+#: A line of more than ``MENU_WORDS`` words.
+MANY = rf"(?:[^{SPACE_CLASS}]+[{SPACE_CLASS}]+){{3}}[^{SPACE_CLASS}]"
+#: Most words of a menu's line and of a line that an address decides, lines that make a menu.
+MENU_WORDS, ADDRESS_WORDS = 3, 12
 MIN_WORDS = 50
 #: Most percent of words inside repeated three-word windows, and most percent of words lost with removed lines.
 MAX_REPEAT, MAX_LOST = 50, 50
@@ -45,16 +57,23 @@ def line_passes(line: Column) -> Column:
     Counting is dear, so it waits until a pattern has found something to count.
     """
     solid = _solid(line)
-    punctuation = line.rlike(r"[#*$%&|<>!]") & ((_count(line, SYMBOLS) * 10 > solid) | (_count(line, "!") * 10 > solid))
-    navigation = line.rlike(r"[|»›][^|»›]*[|»›][^|»›]*[|»›]") | line.rlike(MENU)
-    return line.rlike(SOLID) & ~punctuation & ~navigation & ~line.rlike(NOTICE)
+    punctuation = (line.rlike(r"[#*$%&|<>!]") & ((_count(line, SYMBOLS) * 10 > solid) | (_count(line, "!") * 10 > solid))) | ~line.rlike(CLOSED)
+    boilerplate = line.rlike(SIGN) | (line.rlike(ADDRESS) & (F.size(word_list(line)) <= ADDRESS_WORDS))
+    return line.rlike(SOLID) & ~punctuation & ~line.rlike(BAR) & ~boilerplate
+
+
+def menu_lines(short: str, i: Column) -> Column:
+    """Whether line ``i`` is one of three or more short ones in a row; ``short`` names an array of booleans."""
+    at = lambda k: F.coalesce(F.get(short, i + k), F.lit(False))
+    return at(0) & ((at(-2) & at(-1)) | (at(-1) & at(1)) | (at(1) & at(2)))
 
 
 def clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Judge every row: base counts, ``base_failed``, ``lost_words``, ``kept`` and the cleaned ``text``."""
     lines = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_t"), *keep)
     lines = lines.withColumn("_words", word_list(F.col("_t"))).withColumn("_lines", F.filter(F.split("_t", "\n"), lambda l: l.rlike(SOLID)))
-    lines = lines.withColumn("n_words", F.size("_words").cast("long")).withColumn("_kept", F.array_distinct(F.filter("_lines", line_passes)))
+    lines = lines.withColumn("n_words", F.size("_words").cast("long")).withColumn("_short", F.transform("_lines", lambda l: ~l.rlike(MANY)))
+    lines = lines.withColumn("_kept", F.array_distinct(F.filter("_lines", lambda l, i: line_passes(l) & ~menu_lines("_short", i))))
     grams = F.when(
         F.col("n_words") >= 3,
         F.transform(F.slice("_words", 1, F.size("_words") - 2), lambda w, i: F.struct(F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)).alias("h"), i.alias("i"))),
@@ -85,17 +104,19 @@ WITH d AS (
 ), l0 AS (
   SELECT rid, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM d
 ), l1 AS (
-  SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS solid,
-    row_number() OVER (PARTITION BY rid, line ORDER BY pos) AS nth
+  SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w, length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) AS solid
   FROM l0
 ), l2 AS (
   SELECT *, NOT ((length(line) - length(translate(line, '#*$%&|<>', ''))) * 10 > solid OR (length(line) - length(translate(line, '!', ''))) * 10 > solid
-      OR length(line) - length(translate(line, '|»›', '')) >= 3
-      OR regexp_matches(line, '(?i)^[ \t]*(home|menu|search|log ?in|sign ?in|sign ?up|register|next|previous|back|share|print|contact|about us|site ?map|skip to content|read more)[ \t.>|:]*$')
-      OR regexp_matches(line, '(?i)(?:^|[^a-zA-Z])(all rights reserved|licensed under|released under|this work is licensed|terms of (use|service)|privacy policy|uses? cookies|accept cookies|enable javascript|click here|subscribe (now|to our)|sign up for our newsletter)')) AS passes
-  FROM l1 WHERE w > 0
+      OR NOT regexp_matches(line, '[.!?:;…。！？؟।]["''”’»)\]\x20\x09-\x0D]*$') OR length(line) - length(translate(line, '|»›·•→', '')) >= 3
+      OR regexp_matches(line, '[©®™]') OR (w <= 12 AND regexp_matches(line, 'https?://|www\.|[^\x20\x09-\x0D@]@[^\x20\x09-\x0D@]+\.'))
+      OR (w <= 3 AND ((lag(w, 2, 9) OVER o <= 3 AND lag(w, 1, 9) OVER o <= 3) OR (lag(w, 1, 9) OVER o <= 3 AND lead(w, 1, 9) OVER o <= 3) OR (lead(w, 1, 9) OVER o <= 3 AND lead(w, 2, 9) OVER o <= 3)))) AS passes,
+    row_number() OVER (PARTITION BY rid, line ORDER BY pos) AS nth
+  FROM l1 WHERE w > 0 WINDOW o AS (PARTITION BY rid ORDER BY pos)
+), l3 AS (
+  SELECT *, row_number() OVER (PARTITION BY rid, line, passes ORDER BY pos) AS nth_passing FROM l2
 ), l AS (
-  SELECT rid, sum(CASE WHEN nth > 1 THEN 1 ELSE 0 END) AS n_dup_lines, sum(CASE WHEN nth > 1 OR NOT passes THEN w ELSE 0 END) AS lost_words FROM l2 GROUP BY rid
+  SELECT rid, sum(CASE WHEN nth > 1 THEN 1 ELSE 0 END) AS n_dup_lines, sum(w) - sum(CASE WHEN passes AND nth_passing = 1 THEN w ELSE 0 END) AS lost_words FROM l3 GROUP BY rid
 ), w AS (
   SELECT rid, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d
 ), g0 AS (

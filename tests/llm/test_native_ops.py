@@ -123,11 +123,19 @@ def test_shards_with_many_slots_stay_gapless(spark, monkeypatch):
 
 def test_rules(spark):
     good = "This is a plain sentence that goes on for a while, as plain sentences do. " * 2
-    lines = [(good.strip(), True), ("Home", False), ("a | b | c | d", False), ("Licensed under the MIT License.", False), ("BUY!! NOW!! GO!!", False), ("x### y### z###", False), ("  ", False)]
+    lines = [(good.strip(), True), ("Home", False), ("a | b | c | d.", False), ("© 2020 someone.", False), ("BUY!! NOW!! GO!!", False), ("x### y### z###.", False), ("  ", False), ("« Très bien. »", True),
+             ("Mehr unter www.example.org.", False), ("Ein Satz ohne Ende", False), ("She said: \"go.\"", True), ("Write to me@example.org whenever you like, as the people who live here have done for years.", True)]
     df = spark.createDataFrame(lines, "line string, want boolean")
     assert all(r.want == r.got for r in df.select("want", quality_rules.line_passes(F.col("line")).alias("got")).collect())
 
 
+def test_menus_are_short_lines_in_a_row(spark):
+    body = "A sentence that is long enough to stay where it is."
+    df = spark.createDataFrame([(1, f"One.\nTwo.\nThree.\n{body}\nFour.\nFive.\n\n{body} Yes."), (2, f"{body}\nA.\n\nB.\nC d e.\nF g h.")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in quality_rules.clean(df).collect()}
+    assert got == {1: f"{body}\nFour.\nFive.\n{body} Yes.", 2: body}
+
+
 def test_rules_edges(spark, edge, empty):
     out = quality_rules.clean(edge, keep=("extra",)).collect()
     assert len(out) == len(EDGE)
