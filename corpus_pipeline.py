@@ -1,8 +1,8 @@
 """A training corpus from raw documents in five stages, each one operator over all that is left.
 
 Each stage takes (spark, docs, sf_dir), gets its predecessor's rows as Parquet and
-returns documents (doc_id, text, lang, source, n_chars); the last returns ids of
-tokens.  ``n_chars`` follows the text.
+returns documents (doc_id, text, lang, source, n_chars); the last returns the token
+ids of every row.  ``n_chars`` follows the text.
 """
 
 from __future__ import annotations
@@ -53,7 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row with begin and end ids, checked, with digests of ids and decoded text."""
-    return sentencepiece_codec.encode(docs.select("doc_id", "source", "text"), ids=False, keep=("source",))
+    return sentencepiece_codec.encode(docs.select("doc_id", "source", "text"), keep=("source",)).drop("decoded")
 
 
 STAGES = [
@@ -76,4 +76,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = scratch.keep(docs, str(k))
+            scratch.drop(str(k - 1))  # read for the last time
     return docs
