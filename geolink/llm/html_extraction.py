@@ -2,7 +2,9 @@
 
 A page is parsed into a tree.  Gradient-boosted trees score every element from
 subtree statistics (text, link and punctuation density, element counts), attribute
-tokens, tag, depth, sibling statistics and its ancestors.  Decoding chooses the
+tokens, tag, depth, sibling statistics and its ancestors.  What a token of a class, id
+or role speaks for is learned with the trees: its log odds, in a table of ``SLOTS``
+hashed tokens.  Decoding chooses the
 set of elements with the best total score in which every chosen element's parent
 is chosen, so no ancestor and descendant contradict each other.  The text of the
 chosen elements, block by block, is the result.
@@ -29,6 +31,7 @@ import re
 from dataclasses import dataclass, field
 from functools import lru_cache
 from html import unescape
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -48,22 +51,59 @@ BLOCK = frozenset(
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 FENCE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
-#: Tokens of class, id and role attributes that speak for and against main text.
-GOOD = frozenset("article body content copy entry main post prose story text".split())
-BAD = frozenset(
-    "ad ads adv advert advertisement alert aside author banner bar breadcrumb breadcrumbs byline button comment comments consent cookie cookies credits disclaimer"
-    " disqus footer form gdpr header login logo masthead menu meta modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted"
-    " related reply replies responses rss search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar tracking widget".split()
-)
 TAGS = "a article aside b blockquote body button code dd div dl dt em figcaption figure footer form h1 h2 h3 h4 header i input label li main nav ol p pre script section select span strong style table td th tr ul".split()
 TAG_ID = {t: i + 1 for i, t in enumerate(TAGS)}
 _SIDE = frozenset("nav footer header aside form script style button select label noscript head template iframe textarea title".split())
 
-#: A quote opens a string where it closes before a later '>', else it stands alone: one reading each, so nothing backtracks.
-_MARKUP = re.compile(r"<(?:!--(?:.*?-->|.*)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*+)(?=[^>]*+>)((?:[^>\"']++|\"[^\"]*+\"(?=[^>]*+>)|'[^']*+'(?=[^>]*+>)|[\"'])*+)>)", re.S)
+#: One step inside a tag: its end, or an attribute with its value.  A quote opens a string after "=" alone, and a string
+#: that never closes ends the attribute, so no step reads a character twice but the first that looks for a missing quote.
+_STEP = re.compile(r"""[\s/]*+(?:(>)|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+|(?=>)))?+|=[^\s/>]*+)""")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
-_RAW_END = {t: re.compile(f"</{t}(?=[\\s/>])[^>]*>|\\Z", re.I) for t in RAW}
+_RAW_END = {t: re.compile(f"</{t}(?=[\\s/>])", re.I) for t in RAW}
+
+
+def _tag_end(html: str, at: int) -> int:
+    """Where the tag whose attributes begin at ``at`` ends (after its '>'); -1 if it never does."""
+    while True:
+        m = _STEP.match(html, at)
+        if m is None:
+            return -1
+        at = m.end()
+        if m[1]:
+            return at
+
+
+def _markup(html: str):
+    """Yield (start, end, closing, name, attributes) of all markup, in one pass; names of comments and declarations are None.
+
+    A tag that never ends is text, and so is all that follows it.
+    """
+    at, size = 0, len(html)
+    while True:
+        start = html.find("<", at)
+        if start < 0 or start + 1 >= size:
+            return
+        mark = html[start + 1]
+        if mark in "!?":
+            end = html.find("-->", start + 4) + 3 if html.startswith("<!--", start) else html.find(">", start) + 1
+            at = end if end > 2 or end == 1 and html[0] == ">" else size
+            yield start, at, False, None, ""
+            continue
+        closing = mark == "/"
+        name = _NAME.match(html, start + 1 + closing)
+        if name is None:
+            at = start + 1
+            continue
+        end = _tag_end(html, name.end())
+        if end < 0:
+            return
+        at = end
+        raw = yield start, end, closing, name[0].lower(), html[name.end() : end - 1]
+        if raw is not None:  # the consumer went on behind an element of raw text
+            at = raw
+            yield
 
 
 @dataclass
@@ -80,20 +120,14 @@ def parse(html: str) -> Page:
     """The element tree of a page, with HTML's implied end tags where blocks need them."""
     page, stack, at, run = Page(), [0], 0, 0
     tags, parents, names, texts = page.tag, page.parent, page.names, page.texts
-    size = len(html)
-    while at < size:
-        m = _MARKUP.search(html, at)
-        if m is None:
-            texts.append((stack[-1], unescape(html[at:]), run))
-            break
-        if m.start() > at:
-            texts.append((stack[-1], unescape(html[at : m.start()]), run))
-        at = m.end()
-        name = m[2]
+    scan = _markup(html)
+    for start, end, closing, name, attributes in scan:
+        if start > at:
+            texts.append((stack[-1], unescape(html[at:start]), run))
+        at = end
         if name is None:
             continue
-        name = name.lower()
-        if m[1]:
+        if closing:
             for k in range(len(stack) - 1, 0, -1):
                 if tags[stack[k]] == name:
                     run += any(tags[x] in BLOCK for x in stack[k:])
@@ -118,24 +152,45 @@ def parse(html: str) -> Page:
         node = len(tags)
         tags.append(name)
         parents.append(stack[-1])
-        attributes = m[3]
         names.append(" ".join(a or b or c for a, b, c in _NAMES.findall(attributes)).lower() if attributes and not attributes.isspace() else "")
         if name in RAW:
-            end = _RAW_END[name].search(html, at)
-            texts.append((node, html[at : end.start()], run))
-            at = end.end()
+            stop = _RAW_END[name].search(html, at)
+            texts.append((node, html[at : stop.start() if stop else len(html)], run))
+            at = html.find(">", stop.start()) + 1 if stop else 0
+            at = at or len(html)
+            scan.send(at)
         elif name in VOID:
             if name == "br":
                 texts.append((stack[-1], " ", run))
         elif not attributes.endswith("/"):
             stack.append(node)
+    if at < len(html):
+        texts.append((stack[-1], unescape(html[at:]), run))
     return page
 
 
 FEATURES = 30
 
 
-def features(page: Page) -> np.ndarray:
+#: Slots of the table of attribute tokens.
+SLOTS = 4096
+
+
+def slots(names: str) -> list[int]:
+    """The table's places of the tokens of an element's class, id and role."""
+    return sorted({crc32(t.encode()) % SLOTS for t in _TOKEN.findall(names)}) if names else []
+
+
+def token_odds(pages: list[Page], truths: list[list[bool]]) -> np.ndarray:
+    """For each slot, how its tokens speak for main text (above 0) or against it, shrunk where they are few."""
+    seen = np.ones((2, SLOTS))
+    for page, truth in zip(pages, truths, strict=True):
+        for names, main in zip(page.names, truth, strict=True):
+            seen[int(main), slots(names)] += 1
+    return np.log(seen[1] / seen[0])
+
+
+def features(page: Page, odds: np.ndarray) -> np.ndarray:
     """One row per element: what the trees see of it."""
     n = len(page.tag)
     parent = np.array(page.parent)
@@ -153,11 +208,11 @@ def features(page: Page) -> np.ndarray:
     good, bad, side, art = (np.zeros(n) for _ in range(4))
     for i, (t, names) in enumerate(zip(page.tag, page.names, strict=True)):
         if names:
-            tokens = set(_TOKEN.findall(names))
-            good[i], bad[i] = len(tokens & GOOD), len(tokens & BAD)
+            known = odds[slots(names)]
+            good[i], bad[i] = max(known.max(initial=0), 0), max(-known.min(initial=0), 0)
         side[i], art[i] = t in _SIDE, t in ("article", "main")
     # from the leaves up: sums over subtrees (children come after their parents)
-    columns = np.stack([own, words, stops, marks, link, np.ones(n), is_["p"], is_["a"], is_["li"], is_["input"], bad > 0, art])
+    columns = np.stack([own, words, stops, marks, link, np.ones(n), is_["p"], is_["a"], is_["li"], is_["input"], bad > 1, art])
     total = columns.T.tolist()
     for i in range(n - 1, 0, -1):
         up, here = total[parent[i]], total[i]
@@ -172,7 +227,7 @@ def features(page: Page) -> np.ndarray:
     for i in range(1, n):
         u = page.parent[i]
         depth[i] = depth[u] + 1
-        above_bad[i] = above_bad[u] + (bad[u] > 0 and good[u] == 0)
+        above_bad[i] = above_bad[u] + (bad[u] > 1 and good[u] <= 1)
         above_side[i] = above_side[u] + side[u]
         above_art[i] = above_art[u] or art[u]
         place[i] = counted[u]
@@ -212,6 +267,14 @@ class Trees:
         return out
 
 
+@dataclass
+class Model:
+    """The trees and the log odds of hashed attribute tokens."""
+
+    trees: Trees
+    odds: np.ndarray
+
+
 def boost(x: np.ndarray, y: np.ndarray, *, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> Trees:
     """Second-order gradient boosting on the logistic loss with histogram splits."""
     n, k = x.shape
@@ -280,14 +343,14 @@ def blocks(page: Page, chosen: np.ndarray) -> str:
 
 
 class Extractor:
-    def __init__(self, trees: Trees):
-        self.trees = trees
+    def __init__(self, model: Model):
+        self.trees, self.odds = model.trees, model.odds
 
     def texts(self, pages: list[str]) -> list[str]:
         parsed = [parse(x) for x in pages]
         if not parsed:
             return []
-        odds = self.trees.predict(np.concatenate([features(p) for p in parsed]))
+        odds = self.trees.predict(np.concatenate([features(p, self.odds) for p in parsed]))
         out, at = [], 0
         for p in parsed:
             out.append(blocks(p, decode(p.parent, odds[at : at + len(p.tag)])))
@@ -296,7 +359,7 @@ class Extractor:
 
 
 #: Generated pages that the trees are fitted on.
-PAGES = 260
+PAGES = 400
 SEED = 11
 
 
@@ -335,7 +398,38 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
             text = " ".join(word() for _ in range(rng.integers(1, 4)))
             put(item, keep, "", lambda text=text: put("a", keep, f' href="/{word()}"', text))
 
-    def menu(tag="nav", tokens=("nav", "menu", "navbar")):
+    def bar(tag, n):
+        """Links side by side or one below the other, without a list."""
+        down = rng.random() < 0.5
+
+        def inside():
+            for _ in range(n):
+                put("a", False, f' href="/{word()}"', " ".join(word() for _ in range(rng.integers(1, 3))).capitalize())
+                put("br", False, close=False) if down else html.append(" | " if rng.random() < 0.3 else " ")
+
+        put(tag, False, "", inside)
+
+    def layout():
+        """Everything in cells of a table."""
+
+        def rows():
+            if rng.random() < 0.8:
+                put("tr", False, "", lambda: bar("td", int(rng.integers(2, 9))))
+
+            def middle():
+                if rng.random() < 0.7:
+                    bar("td", int(rng.integers(2, 9)))
+                put("td", True, "", article)
+                if rng.random() < 0.3:
+                    notice(["ad", "related", "sidebar"], "td")
+
+            put("tr", True, "", middle)
+            if rng.random() < 0.5:
+                put("tr", False, "", lambda: put("td", False, "", "&copy; " + prose(1, 2)))
+
+        put("table", True, "", rows)
+
+    def menu(tag="nav", tokens=("nav", "menu", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pager", "pagination", "toolbar", "skip")):
         put(tag, False, name(tokens, 0.4 if tag == "nav" else 1), lambda: put("ul", False, "", lambda: links(int(rng.integers(2, 12)))))
 
     def notice(tokens, tag="div", long=(1, 3)):
@@ -346,14 +440,14 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
             put("label", False, "", word())
             put("input", False, ' type="text"', close=False)
             put("button", False, "", word())
-        put("form", False, name(["search", "login", "newsletter"], 0.5), inside)
+        put("form", False, name(["search", "login", "newsletter", "subscribe", "signup", "form"], 0.5), inside)
 
     def comments():
         def inside():
             put("h3", False, "", word())
             for _ in range(rng.integers(1, 6)):
                 put("div" if rng.random() < 0.6 else "article", False, name(["comment", "reply"], 0.8), lambda: put("p", False, "", prose(1, 4)))
-        put("section" if rng.random() < 0.5 else "div", False, name(["comments", "responses", "comment-list", "replies"], 1), inside)
+        put("section" if rng.random() < 0.5 else "div", False, name(["comments", "responses", "comment-list", "replies", "disqus", "discussion"], 1), inside)
 
     def paragraph():
         kind = rng.random()
@@ -375,15 +469,15 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
 
     def article():
         if rng.random() < 0.25:
-            put("header", False, "", lambda: put("p", False, name(["byline", "meta"], 0.7), sentence(3)))
+            put("header", False, "", lambda: put("p", False, name(["byline", "meta", "author"], 0.7), sentence(3)))
         if rng.random() < 0.85:
             put("h1", True, "", sentence(int(rng.integers(1, 9))))
         for _ in range(int(rng.choice([1, 1, 2, 4, 8, 20]))):
             paragraph()
             if rng.random() < 0.06:
-                notice(["ad", "advert", "promo", "related", "share", "sponsored"], str(rng.choice(["div", "aside"])))
+                notice(["ad", "advert", "promo", "related", "share", "sponsored", "callout-ad", "newsletter"], str(rng.choice(["div", "aside"])))
         if rng.random() < 0.15:
-            put("div", False, name(["share", "social", "tags"], 1), lambda: links(int(rng.integers(2, 5)), item="span"))
+            put("div", False, name(["share", "sharing", "social", "tags"], 1), lambda: links(int(rng.integers(2, 5)), item="span"))
         if rng.random() < 0.12:
             comments()
         if rng.random() < 0.1:
@@ -391,32 +485,36 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
 
     def body():
         if rng.random() < 0.3:
-            notice(["cookie", "consent", "notice", "banner", "gdpr"])
+            notice(["cookie", "cookies", "consent", "notice", "alert", "banner", "gdpr", "overlay", "modal"])
         if rng.random() < 0.3:
-            put("header", False, name(["header", "masthead"], 0.5), lambda: (put("h1", False, name(["logo"], 0.3), word()), menu() if rng.random() < 0.5 else None))
+            put("header", False, name(["header", "masthead", "logo"], 0.5), lambda: (put("h1", False, name(["logo"], 0.3), word()), menu() if rng.random() < 0.5 else None))
         if rng.random() < 0.8:
             menu(*([] if rng.random() < 0.7 else ["div"]))
         if rng.random() < 0.5:
-            notice(["ad", "ads", "advert", "banner", "sponsor", "promo"])
+            notice(["ad", "ads", "adv", "advert", "advertisement", "banner", "sponsor", "promo", "promoted", "tracking"])
         if rng.random() < 0.15:
             form()
+        if rng.random() < 0.15:
+            bar(str(rng.choice(["div", "p", "td", "center"])), int(rng.integers(2, 9)))
         wrap = rng.random()
-        if wrap < 0.6:
-            put("article", True, name(["post", "entry", "story"], 0.2), article)
+        if wrap < 0.1:
+            layout()
+        elif wrap < 0.6:
+            put("article", True, name(["post", "entry", "story", "article", "hentry"], 0.3), article)
         elif wrap < 0.75:
             put("main", True, "", lambda: put("article", True, "", article) if rng.random() < 0.5 else article())
         else:
-            put("div", True, name(["content", "post-body", "entry-content", "main", "article-text"], 0.9), article)
+            put("div", True, name(["content", "post-body", "entry-content", "main", "article-text", "story", "prose", "copy", "text", "body"], 0.9), article)
         if rng.random() < 0.3:
-            put("aside", False, name(["sidebar", "related", "widget"], 0.7), lambda: (put("h3", False, "", word()), put("ul", False, "", lambda: links(int(rng.integers(2, 8))))) if rng.random() < 0.7 else html.append(prose(1, 3)))
+            put("aside", False, name(["sidebar", "related", "widget", "rss", "bar"], 0.7), lambda: (put("h3", False, "", word()), put("ul", False, "", lambda: links(int(rng.integers(2, 8))))) if rng.random() < 0.7 else html.append(prose(1, 3)))
         if rng.random() < 0.2:
-            notice(["sidebar", "related", "widget", "popup", "newsletter"])
+            notice(["sidebar", "related", "widget", "popup", "newsletter", "social", "share"])
         if rng.random() < 0.25:
             comments()
         if rng.random() < 0.15:
             form()
         if rng.random() < 0.9:
-            put("footer", False, name(["footer", "credits"], 0.5), "&copy; " + prose(1, 3)) if rng.random() < 0.8 else put("div", False, name(["footer", "disclaimer"], 1), prose(1, 3))
+            put("footer", False, name(["footer", "credits", "legal"], 0.5), "&copy; " + prose(1, 3)) if rng.random() < 0.8 else put("div", False, name(["footer", "disclaimer", "credits", "legal"], 1), prose(1, 3))
 
     def head():
         put("meta", False, ' charset="utf-8"', close=False)
@@ -434,18 +532,20 @@ _SYLLABLES = ["an", "be", "ca", "do", "el", "fi", "go", "hu", "in", "jo", "ka",
 
 
 @lru_cache(maxsize=1)
-def fitted() -> Trees:
-    """The trees, fitted once per driver process; the same arrays every time."""
+def fitted() -> Model:
+    """The model, fitted once per driver process; the same arrays every time."""
     rng = np.random.default_rng(SEED)
-    rows, labels = [], []
+    pages, truths = [], []
     for _ in range(PAGES):
         html, truth = sample_page(rng)
         page = parse(html)
         if len(page.tag) != len(truth):
             raise AssertionError("generated page and its truth differ in elements")
-        rows.append(features(page))
-        labels.append(truth)
-    return boost(np.concatenate(rows), np.concatenate(labels).astype(float))
+        pages.append(page)
+        truths.append(truth)
+    odds = token_odds(pages, truths)
+    x = np.concatenate([features(p, odds) for p in pages])
+    return Model(boost(x, np.concatenate(truths).astype(float)), odds)
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
@@ -453,10 +553,10 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html"
     rows = pages.select(F.col(id_col).alias("page_id"), *keep, F.col(html_col).cast("string").alias("_html"))
     fields = [f for f in rows.schema.fields if f.name != "_html"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "text string"])
-    trees = fitted()
+    model = fitted()
 
     def run(batches):
-        extractor = Extractor(trees)
+        extractor = Extractor(model)
         for batch in batches:
             html = batch.column("_html").fill_null("")
             texts: list[str] = []

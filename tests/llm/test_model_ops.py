@@ -126,13 +126,83 @@ def test_page():
 
 
 def test_unclosed_tag_is_text():
-    began = time.process_time()
     for tail in ("<b" + "'" * 5000, "<b " + "\"'" * 2500, "<b'" * 500):
         assert [t for _, t, _ in H.parse("<p>a</p>" + tail).texts] == ["a", tail]
-    assert time.process_time() - began < 20
     assert H.parse("<p title='x>y' class=\"it's\">a<b it's>c").names[1:] == ["it's", ""]
 
 
+@pytest.mark.parametrize("unit", ["<a ", "'", "<b'", "<b x=\"", "<b x='>", "<!--", "<!", "</script ", "<script></script ", "<a x=\">\" ", "< ", "<p class='", "=\"'", "<title>"])
+@pytest.mark.parametrize("end", ["", ">", "'>", "\">"])
+def test_hostile_pages_take_linear_time(unit, end):
+    times = []
+    for n in (60_000, 480_000):
+        html = "<p>a</p><b" + unit * (n // len(unit)) + end
+        began = time.process_time()
+        H.parse(html)
+        times.append(time.process_time() - began)
+    assert times[1] < 3 and times[1] < 30 * max(times[0], 0.02)
+
+
+HAND_MADE = [
+    # a table layout of old, without any names
+    ("<html><body><table width=100%><tr><td colspan=2><a href=/>Home</a> <a href=/b>News</a> <a href=/c>About</a> <a href=/d>Links</a></td></tr><tr><td valign=top><a href=1>One</a><br><a href=2>Two</a><br><a href=3>Three</a></td>"
+     "<td><h1>Tides of the north</h1><p>The harbour lies between two long hills, and the tide comes in twice a day, as it has always done.</p><p>Fishermen know it well, they say, and so do the gulls that wait for them on the wall.</p></td></tr></table></body></html>",
+     ["Tides of the north", "The harbour lies between two long hills", "Fishermen know it well"], ["Home", "News", "Three"]),
+    # nested divs with names no page of the training set has
+    ("<html><head><title>x</title></head><body><div class='x1 q'><div class='x2'><ul><li><a href=1>Start</a></li><li><a href=2>Shop</a></li><li><a href=3>Kontakt</a></li></ul></div></div><div class='x3'><div class='x4'>"
+     "<h1>Ein langer Tag</h1><p>Am Morgen gingen sie los, weil der Weg weit war, und am Abend kamen sie müde an.</p><p>Dazwischen lag ein Tal, von dem sie später, wenn sie gefragt wurden, lange erzählten.</p></div></div>"
+     "<footer>© 2019 Verlag. Alle Rechte.</footer></body></html>",
+     ["Ein langer Tag", "Am Morgen gingen sie los", "Dazwischen lag ein Tal"], ["Kontakt", "Alle Rechte"]),
+    # a journal with replies, a form and a script in the middle
+    ("<!doctype html><html><body><header><nav><a href=/>Blog</a></nav></header><main><article><h1>Notes on bread</h1><p>Flour, water, salt and time: nothing else is needed, though patience helps.</p><script>if(a<b){x('</p>')}</script>"
+     "<blockquote><p>Give it a night, my grandmother said, and it will give you a week.</p></blockquote><ol><li>Mix it all, and let it rest for an hour or so.</li><li>Fold it, wait again, and bake it hot.</li></ol></article></main>"
+     "<section id=comments><h2>Replies</h2><div class=comment><p>I tried this, and it did not rise at all.</p></div></section><form action=/s><input name=q><button>Search</button></form></body></html>",
+     ["Notes on bread", "Flour, water, salt and time", "Give it a night", "Mix it all", "Fold it, wait again"], ["did not rise", "Search", "Replies"]),
+]
+
+
+@pytest.mark.parametrize("html,there,gone", HAND_MADE)
+def test_hand_made_pages(html, there, gone):
+    text = H.Extractor(H.fitted()).texts([html])[0]
+    assert all(x in text for x in there) and not any(x in text for x in gone)
+
+
+def test_whole_table_against_another_parser(spark, sf):
+    """Every line of a page's text is a block of it as the standard library's parser sees it, in page order; the rest of the result follows from the text."""
+    from html.parser import HTMLParser
+
+    class Blocks(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.raw = [[]], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.raw += tag in ("script", "style")
+            if tag in H.BLOCK:
+                self.out.append([])
+            if tag == "br":
+                self.out[-1].append(" ")
+
+        def handle_endtag(self, tag):
+            self.raw -= tag in ("script", "style")
+            if tag in H.BLOCK:
+                self.out.append([])
+
+        def handle_data(self, data):
+            if not self.raw:
+                self.out[-1].append(data)
+
+    pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = QUERIES["op7_html_extraction"](spark, sf).collect()
+    assert sorted(r.page_id for r in rows) == sorted(pages)
+    for r in rows:
+        parser = Blocks()
+        parser.feed(pages[r.page_id] or "")
+        parser.close()
+        whole = iter([x for x in (" ".join("".join(b).split()) for b in parser.out) if x])
+        assert r.n_chars == len(r.text) and all(any(line == b or line in b for b in whole) for line in r.text.split("\n") if line)
+
+
 def test_generated_pages():
     rng = np.random.default_rng(12345)
     trees, good = H.fitted(), 0
