@@ -25,30 +25,41 @@ def _unplanes(raw: bytes, n: int, dtype: type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, n).T).reshape(-1).view(dtype)
 
 
-def pack(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray | None = None, checks: np.ndarray | None = None) -> bytes:
-    """``docs`` should come in runs; ``places`` should rise within a run.
+#: From so many buckets on, two hashes of one bucket that agree in their lowest seven bytes agree in the eighth.
+SHORT = 256
 
-    Hashes and checks are as random as they look and stay as they are; the small
-    differences of ids and positions go through zstd.
+
+def _width(buckets: int) -> int:
+    return 7 if buckets >= SHORT else 8
+
+
+def pack(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray | None = None, checks: np.ndarray | None = None, buckets: int = 0) -> bytes:
+    """``docs`` should come in runs; ``places`` should rise within a run; ``checks`` keep 16 bits.
+
+    Hashes and checks are as random as they look and stay as they are, less the byte
+    that their bucket (one of ``buckets``) says already; the small differences of ids
+    and positions go through zstd.
     """
     small = [_planes(np.diff(docs, prepend=0).astype("<i8"))]
     if places is not None:
         small.append(_planes(np.diff(places, prepend=0).astype("<i4")))
-    body = b"" if checks is None else checks.astype("<u4").tobytes()
-    return len(hashes).to_bytes(4, "little") + hashes.astype("<u8").tobytes() + body + zstandard.compress(b"".join(small), 1)
+    body = hashes.astype("<u8").view(np.uint8).reshape(len(hashes), 8)[:, : _width(buckets)].T.tobytes() + (b"" if checks is None else checks.astype("<u2").tobytes())
+    return len(hashes).to_bytes(4, "little") + body + zstandard.compress(b"".join(small), 1)
 
 
-def unpack(raw: bytes, places: bool = True, checks: bool = False) -> tuple[np.ndarray, ...]:
-    """(hashes, docs), then places and checks as packed."""
-    n = int.from_bytes(raw[:4], "little")
-    at = 4 + 8 * n
-    tail = at + (4 * n if checks else 0)
+def unpack(raw: bytes, places: bool = True, checks: bool = False, buckets: int = 0) -> tuple[np.ndarray, ...]:
+    """(hashes, docs), then places and checks as packed; hashes are comparable within their bucket."""
+    n, width = int.from_bytes(raw[:4], "little"), _width(buckets)
+    at = 4 + width * n
+    tail = at + (2 * n if checks else 0)
+    hashes = np.zeros((n, 8), dtype=np.uint8)
+    hashes[:, :width] = np.frombuffer(raw[4:at], np.uint8).reshape(width, n).T
     small = zstandard.decompress(raw[tail:])
-    out = [np.frombuffer(raw[4:at], "<u8"), np.cumsum(_unplanes(small[: 8 * n], n, "<i8"))]
+    out = [hashes.reshape(-1).view("<u8"), np.cumsum(_unplanes(small[: 8 * n], n, "<i8"))]
     if places:
         out.append(np.cumsum(_unplanes(small[8 * n :], n, "<i4")))
     if checks:
-        out.append(np.frombuffer(raw[at:tail], "<u4"))
+        out.append(np.frombuffer(raw[at:tail], "<u2"))
     return tuple(out)
 
 

@@ -5,10 +5,10 @@ deals the hashes to buckets and each bucket finds the smallest document id per
 hash.  A window that also starts in a document with a smaller id is repeated;
 overlapping repeated windows merge into maximal removal intervals.
 
-Windows count as equal when their Rabin-Karp hashes over a 61-bit field and a second,
-unrelated hash of 32 bits agree: of n windows with m equal-looking neighbours in a
-hash bucket about n * m / 2**93 pairs would be taken for equal by chance, under
-0.001 on 100 TB, and no kind of text makes the field's hashes collide on purpose.
+Windows count as equal when their Rabin-Karp hashes over a field of 61 bits and a
+second, unrelated hash of 16 bits agree.  Of n different windows n * n / 2**78 pairs
+agree by chance: none on 1 TB, some hundreds of the 10**13 on 100 TB; no kind of text
+makes the field's hashes collide.
 
 A task first counts what it holds: of equal windows only the smallest document's
 travel on, the others are already known to repeat.  So however often a window
@@ -71,7 +71,7 @@ def _deal(held: list, buckets: int, parts: int):
     h, c, d, p = (np.concatenate(x) for x in zip(*held, strict=True))
     repeated = _least(h, c, d)
     on, off = np.flatnonzero(~repeated), np.flatnonzero(repeated)
-    out = [(b, None, hashblocks.pack(h[on[at]], d[on[at]], p[on[at]], c[on[at]])) for b, at in hashblocks.by_bucket(h[on], buckets)]
+    out = [(b, None, hashblocks.pack(h[on[at]], d[on[at]], p[on[at]], c[on[at]], buckets)) for b, at in hashblocks.by_bucket(h[on], buckets)]
     out += [(part % buckets, part, body) for part, body in _home(d[off], p[off], parts)]
     bucket, part, body = zip(*out, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(part, pa.int64()), pa.array(body, pa.binary())], names=["bucket", "part", "body"])
@@ -80,7 +80,7 @@ def _deal(held: list, buckets: int, parts: int):
 def repeated_windows(docs: DataFrame, *, id_col: str, text_col: str, length: int = LENGTH, buckets: int | None = None) -> DataFrame:
     """(doc_id, starts): packed first-word positions of windows that also start in a smaller document."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    buckets = buckets or max(32, -(-text_bytes(docs, "text") // BUCKET_BYTES))
+    buckets = buckets or max(hashblocks.SHORT, -(-text_bytes(docs, "text") // BUCKET_BYTES))
     parts = -(-buckets // PER_PART)
 
     def windows(batches):
@@ -107,7 +107,7 @@ def repeated_windows(docs: DataFrame, *, id_col: str, text_col: str, length: int
 
     def count(group: pa.Table) -> pa.Table:
         known = group.filter(pa.compute.is_valid(group["part"]))
-        blocks = [hashblocks.unpack(x, checks=True) for x in group.filter(pa.compute.is_null(group["part"]))["body"].to_pylist()]
+        blocks = [hashblocks.unpack(x, checks=True, buckets=buckets) for x in group.filter(pa.compute.is_null(group["part"]))["body"].to_pylist()]
         part, body = known["part"].to_pylist(), known["body"].to_pylist()
         if blocks:
             h, d, p, c = (np.concatenate(x) for x in zip(*blocks, strict=True))

@@ -184,16 +184,16 @@ def window_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
 
 
 def window_checks(hashes: np.ndarray, length: int) -> np.ndarray:
-    """A second, unrelated 32-bit hash of every run: halves are joined by mixing until they cover it."""
+    """A second, unrelated 16-bit hash of every run: halves are joined by mixing until they cover it."""
     n = len(hashes) - length + 1
     if n <= 0:
-        return np.zeros(0, dtype=np.uint32)
+        return np.zeros(0, dtype=np.uint16)
     have, size = mix(hashes ^ np.uint64(0xC2B2AE3D27D4EB4F)), 1
     while size < length:
         step = min(size, length - size)
         have = mix(have[: len(have) - step] * np.uint64(0x9E3779B97F4A7C15) + have[step:])
         size += step
-    return (have[:n] >> np.uint64(32)).astype(np.uint32)
+    return (have[:n] >> np.uint64(48)).astype(np.uint16)
 
 
 def run_hashes(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:

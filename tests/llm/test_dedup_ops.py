@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geolink.llm import embedding_dedup, line_dedup, ngram_join, substring_dedup
+from geolink.llm import embedding_dedup, hashblocks, line_dedup, ngram_join, substring_dedup
 from geolink.llm.common import Scratch
 from geolink.llm.components import components
 from geolink.llm.queries import QUERIES
@@ -58,6 +58,18 @@ def test_substring_against_brute_force(spark, monkeypatch, flush):
         assert sum(s.end - s.start for s in r.spans) == r.n_removed and hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256
 
 
+def test_packed_hashes_lose_nothing():
+    rng = np.random.default_rng(2)
+    for buckets in (5, 256, 1000):
+        h, d = rng.integers(0, 1 << 64, 5000, dtype=np.uint64), np.sort(rng.integers(-9, 1 << 40, 5000))
+        h[1::2] = h[::2] ^ (rng.integers(0, 256, 2500, dtype=np.uint64) << np.uint64(56))  # pairs that differ in the top byte alone
+        p, c = np.arange(5000, dtype=np.int32), rng.integers(0, 1 << 16, 5000).astype(np.uint16)
+        for _, at in hashblocks.by_bucket(h, buckets):
+            h2, d2, p2, c2 = hashblocks.unpack(hashblocks.pack(h[at], d[at], p[at], c[at], buckets), checks=True, buckets=buckets)
+            assert (d2 == d[at]).all() and (p2 == p[at]).all() and (c2 == c[at]).all()
+            assert len(np.unique(h2)) == len(np.unique(h[at])) and (np.unique(h2, return_inverse=True)[1][np.argsort(h[at])[:1]] >= 0).all()
+
+
 def test_substring_empty(spark):
     assert substring_dedup.remove_repeats(docs(spark, [])).count() == 0
 
