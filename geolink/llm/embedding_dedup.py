@@ -4,8 +4,10 @@
 2.  Spherical k-means on a bounded sample (``SAMPLE`` rows by id hash) gives
     cluster shards; every node joins several of its nearest, so shards overlap.
     A pair is only found in a shard that both its nodes join, so the number
-    (``overlap``) grows with the number of shards, and the shards keep their size.
-3.  Each shard builds a robust-pruned graph; a node's lists from its shards unite.
+    (``overlap``) grows with the number of shards.  A shard beyond ``MOST`` nodes
+    is split again in the same way, by a bounded sample of its own.
+3.  Each shard builds a robust-pruned graph (``flat_graph``) by inserting its nodes,
+    whose candidates a greedy search finds; a node's lists from its shards unite.
 4.  Every node is searched for from the shard's medoids and its own list, greedily,
     and expands through whatever lies in range.  Hits count once verified in double
     precision; shards return counts and local roots, never pairs.
@@ -13,7 +15,9 @@
     within half the threshold's angle of it are all linked with each other (angles
     obey the triangle inequality), which is counted, not compared.  Other nodes
     near such a pivot are compared with its group exactly, block by block.
-6.  A shard beyond ``MOST`` nodes is compared exactly, block by block.
+6.  Clusters of a sample that lie in range of each other aren't split apart.  A
+    shard that is one such group of near copies, too small for a pivot but beyond
+    ``MOST``, is compared exactly, block by block: nearly all its pairs are links.
 
 ``recall`` audits the links against brute force for the rows whose id is
 divisible by 100.
@@ -39,12 +43,13 @@ from pyspark.sql import functions as F
 
 from geolink.llm.common import Scratch, small, table
 from geolink.llm.components import components
+from geolink.llm.flat_graph import build, padded, range_search
 
 THRESHOLD = 0.95
-#: Rows of the sample; nodes in a shard on average and at most; rows in an exact block.
+#: Rows of the sample of the table; wanted nodes in a shard; nodes beyond which it is split; rows in an exact block.
 SAMPLE, SHARD, MOST, BLOCK = 8_192, 500, 2_000, 1_000
-#: Graph: nearest and random candidates, kept neighbours, pruning slack; search: entry medoids, beam.
-NEAREST, RANDOM, DEGREE, SLACK, MEDOIDS, BEAM = 40, 12, 14, 1.2, 12, 8
+#: Rows of the sample of a shard that is split, rows placed at a time, how often shards are split at most.
+PART_SAMPLE, PLACED, LEVELS = 4_096, 8_192, 4
 #: Sample rows in range of each other that make a pivot; safety margin of angles.
 PIVOT_ROWS, MARGIN = 3, 1e-6
 
@@ -89,114 +94,105 @@ def find_pivots(x: np.ndarray, threshold: float) -> np.ndarray:
     return pivots
 
 
-def pruned_graph(x: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
-    """Neighbour lists by robust pruning of nearest and random candidates, made symmetric."""
-    n = len(x)
-    s = x @ x.T
-    np.fill_diagonal(s, -2)
-    near = min(NEAREST, n - 1)
-    candidates = np.argpartition(-s, near - 1, axis=1)[:, :near] if near else np.zeros((n, 0), np.int64)
-    candidates = np.concatenate([candidates, rng.integers(0, n, (n, RANDOM))], axis=1)
-    gap = np.maximum(0, 1 - s)  # half the squared distance
-    own = np.take_along_axis(gap, candidates, axis=1)
-    alive = candidates != np.arange(n)[:, None]
-    kept = np.zeros((n, n), dtype=bool)
-    rows = np.arange(n)
-    for _ in range(min(DEGREE, n - 1)):
-        best = np.where(alive, own, np.inf).argmin(axis=1)
-        on = alive[rows, best]
-        if not on.any():
-            break
-        pick = candidates[rows, best]
-        kept[rows[on], pick[on]] = True
-        # a candidate much nearer to the pick than to the node is reached through the pick
-        alive &= (SLACK * gap[pick[:, None], candidates] > own) & (candidates != pick[:, None])
-    kept |= kept.T
-    lists = []
-    for i in range(n):
-        at = np.flatnonzero(kept[i])
-        lists.append(at if len(at) <= 3 * DEGREE else at[np.argsort(-s[i, at], kind="stable")[: 3 * DEGREE]])
-    return lists
-
-
-def medoids(x: np.ndarray) -> np.ndarray:
-    """The node nearest to the mean of the shard and of each of a few cells of it."""
-    cells = (x @ x[np.linspace(0, len(x) - 1, min(MEDOIDS, len(x))).astype(int)].T).argmax(axis=1)
-    out = [int((x @ x.mean(axis=0)).argmax())]
-    for c in np.unique(cells):
-        at = np.flatnonzero(cells == c)
-        out.append(int(at[(x[at] @ x[at].mean(axis=0)).argmax()]))
-    return np.unique(out)
-
-
-def range_search(x: np.ndarray, lists: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Boolean matrix of in-range pairs found by searching for every node at once."""
-    n = len(x)
-    width = max(1, max(len(a) for a in lists))
-    table_ = np.full((n, width), -1, dtype=np.int64)
-    for i, a in enumerate(lists):
-        table_[i, : len(a)] = a
-    low = x.astype(np.float32)
-    seen = np.full((n, n), -2, dtype=np.float32)
-    opened = np.zeros((n, n), dtype=bool)
-    rows = np.arange(n)
-    enter = medoids(x)
-    seen[:, enter] = low @ low[enter].T
-    opened[rows, rows] = True
-
-    def visit(who: np.ndarray, at: np.ndarray) -> None:
-        near = table_[at]
-        r, c = np.nonzero((near >= 0) & (seen[who[:, None], near] < -1))
-        q, t = who[r], near[r, c]
-        seen[q, t] = np.einsum("ij,ij->i", low[q], low[t])
-
-    visit(rows, rows)
-    going = rows
-    reach = min(BEAM, n) - 1
-    while len(going):
-        value = np.where(opened[going], np.float32(-2), seen[going])
-        best = value.argmax(axis=1)
-        top = value[np.arange(len(going)), best]
-        bar = np.partition(seen[going], n - 1 - reach, axis=1)[:, n - 1 - reach]
-        on = (top > -1.5) & ((top >= bar) | (top >= threshold - 1e-3))
-        going, best = going[on], best[on]
-        opened[going, best] = True
-        visit(going, best)
-    found = seen >= threshold - 1e-3
-    found |= found.T
-    np.fill_diagonal(found, False)
-    i, j = np.nonzero(found)
-    for a in range(0, len(i), 1 << 16):
-        b = slice(a, a + (1 << 16))
-        found[i[b], j[b]] = np.einsum("ij,ij->i", x[i[b]], x[j[b]]) >= threshold
-    return found
+def cluster_parts(x: np.ndarray, centre: np.ndarray, threshold: float) -> np.ndarray:
+    """The part each cluster belongs to: clusters of which half the sample rows reach another's rows are one part."""
+    own, k = (x @ centre.T).argmax(axis=1), len(centre)
+    reach = np.zeros((k, k))
+    for a in range(0, len(x), 1024):
+        i, j = np.nonzero(x[a : a + 1024] @ x.T >= threshold)
+        key = np.unique((a + i) * k + own[j])
+        np.add.at(reach, (own[key // k], key % k), 1)
+    together = (reach >= 2) & (reach >= np.bincount(own, minlength=k)[:, None] / 2)
+    i, j = np.nonzero(together)
+    return np.unique(_roots(np.arange(k), i, j), return_inverse=True)[1]
 
 
-def _roots(ids: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """The smallest id each node reaches through the found pairs."""
+def _roots(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The smallest id each node reaches through the pairs (i, j)."""
     label = ids.copy()
-    i, j = np.nonzero(found)
     while len(i):
         new = label.copy()
         np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
         if (new == label).all():
             break
         label = new
     return label
 
 
-def counted_here(shards: np.ndarray, found: np.ndarray, here: int) -> np.ndarray:
-    """Those of the found pairs whose smallest shared shard is this one: there, and only there, a pair counts."""
-    out = np.zeros_like(found)
-    i, j = np.nonzero(found)
+def counted_here(shards: list[list[int]], i: np.ndarray, j: np.ndarray, here: int) -> np.ndarray:
+    """Of pairs found here those whose smallest shared shard this is: there, and only there, a pair counts."""
+    at = np.full((len(shards), max(map(len, shards), default=1)), -1, dtype=np.int64)
+    for r, row in enumerate(shards):
+        at[r, : len(row)] = row
+    out = np.zeros(len(i), dtype=bool)
     for a in range(0, len(i), 1 << 16):
-        p, q = i[a : a + (1 << 16)], j[a : a + (1 << 16)]
-        one, two = shards[p], shards[q]
-        shared = (one[:, :, None] == two[:, None, :]).any(axis=2)
-        out[p, q] = np.where(shared, one, here).min(axis=1) == here
+        one, two = at[i[a : a + (1 << 16)]], at[j[a : a + (1 << 16)]]
+        shared = (one >= 0) & (one[:, :, None] == two[:, None, :]).any(axis=2)
+        out[a : a + (1 << 16)] = np.where(shared, one, here).min(axis=1) == here
     return out
 
 
+def _answer(ids: np.ndarray, mult: np.ndarray, i: np.ndarray, j: np.ndarray, counted: np.ndarray) -> pa.Table:
+    """Links that count and roots of a shard's nodes, from its pairs (i, j), each once."""
+    links = np.zeros(len(ids), dtype=np.int64)
+    np.add.at(links, i[counted], mult[j[counted]])
+    np.add.at(links, j[counted], mult[i[counted]])
+    return pa.table({"id": pa.array(ids, pa.int64()), "links": pa.array(links, pa.int64()), "root": pa.array(_roots(ids, i, j), pa.int64())})
+
+
+def _matrix(t: pa.Table, k: str = "x") -> np.ndarray:
+    return np.frombuffer(b"".join(t[k].to_pylist()), np.float64).reshape(len(t), -1)
+
+
+def split_shards(placed: DataFrame, homes: DataFrame, joins: int, threshold: float, scratch: Scratch) -> DataFrame:
+    """``id, shards`` (similarity, shard) after splitting each shard beyond ``MOST`` nodes by a sample of its own.
+
+    A node keeps the ``joins`` nearest of all the shards and parts that it could join.
+    """
+    within, most = 2 * SHARD, MOST
+
+    def fit(group: pa.Table) -> pa.Table:
+        x, shard = _matrix(group), group["shard"][0].as_py()
+        k = min(-(-group["size"][0].as_py() * joins // within), len(x) // 4)
+        centre = fit_clusters(x, k) if k > 1 else x[:1]
+        part = cluster_parts(x, centre, threshold)
+        return pa.table({"shard": pa.array([shard] * len(centre), pa.int64()), "centre": pa.array([c.tobytes() for c in centre], pa.binary()), "part": pa.array(part, pa.int64()), "parts": pa.array([part.max() + 1] * len(centre), pa.int64())})
+
+    def deal(rows: pa.Table, centres: pa.Table) -> pa.Table:
+        none = np.zeros(0)
+        ids, near, to = none, none, none
+        if len(rows) and len(centres):
+            s, part = _matrix(rows) @ _matrix(centres, "centre").T, centres["part"].to_numpy()
+            order = np.argsort(part, kind="stable")
+            s = np.maximum.reduceat(s[:, order], np.flatnonzero(np.diff(part[order], prepend=-1)), axis=1)
+            take = min(joins, s.shape[1])
+            top = np.argpartition(-s, take - 1, axis=1)[:, :take]
+            ids, near = np.repeat(rows["id"].to_numpy(), take), np.take_along_axis(s, top, axis=1).ravel()
+            to = ((rows["shard"][0].as_py() + 1) * 4096 + top).ravel()
+        return pa.table({"id": pa.array(ids, pa.int64()), "near": pa.array(near, pa.float64()), "to": pa.array(to, pa.int64())})
+
+    for level in range(LEVELS):
+        joined = homes.select("id", F.explode("shards").alias("home")).select("id", "home.near", "home.shard")
+        sizes = scratch.keep(joined.groupBy("shard").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > most), f"large{level}")
+        if sizes.isEmpty():
+            break
+        large = joined.join(small(sizes), "shard").join(placed.select("id", "x"), "id")
+        drawn = F.pmod(F.xxhash64("id", F.lit(level)), F.lit(1 << 30)) < F.lit(float(PART_SAMPLE << 30)) / F.col("size")
+        fits = scratch.keep(large.where(drawn).select("shard", "size", "x").groupBy("shard").applyInArrow(fit, "shard long, centre binary, part long, parts long"), f"fits{level}").where("parts > 1")
+        cut = fits.groupBy("shard").agg(F.first("parts").alias("parts")).join(sizes, "shard")
+        if cut.isEmpty():
+            break
+        salts = F.ceil(F.col("size") / PLACED)
+        rows = large.join(small(cut.select("shard")), "shard").select("shard", F.pmod(F.xxhash64("id"), salts).alias("salt"), "id", "x")
+        centres = fits.join(sizes, "shard").select("shard", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"), "centre", "part")
+        dealt = rows.groupBy("shard", "salt").cogroup(centres.groupBy("shard", "salt")).applyInArrow(deal, "id long, near double, to long")
+        stay = joined.join(small(cut.select("shard")), "shard", "left_anti").select("id", "near", F.col("shard").alias("to"))
+        every = stay.unionByName(dealt).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("near", F.col("to").alias("shard"))), asc=False).alias("shards"))
+        homes = scratch.keep(every.select("id", F.slice("shards", 1, joins).alias("shards")), f"homes{level}")
+    return homes
+
+
 def near_duplicates(vectors: DataFrame, scratch: Scratch, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for every row."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -215,7 +211,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, *, id_col: str = "vec_
     # of twice SHARD nodes on average, whatever the overlap
     wanted = -(-total * overlap(-(-total // SHARD)) // (2 * SHARD))
     centres = fit_clusters(sample, max(1, min(wanted, most_centres)))
-    joins = overlap(len(centres))
+    joins, first = overlap(max(wanted, 1)), min(overlap(max(wanted, 1)), len(centres))
     pivots = find_pivots(sample, threshold)
     half, wide = math.acos(threshold) / 2 - MARGIN, 1.5 * math.acos(threshold) + MARGIN
 
@@ -233,51 +229,51 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, *, id_col: str = "vec_
                 for i, k in zip(*np.nonzero((s >= math.cos(wide)) & (core < 0)[:, None]), strict=True):
                     near[i].append(int(k))
             s = x @ centres.T
-            nearest = np.argpartition(-s, joins - 1, axis=1)[:, :joins]
+            nearest = np.argpartition(-s, first - 1, axis=1)[:, :first]
+            homes = pa.StructArray.from_arrays([np.take_along_axis(s, nearest, axis=1).ravel(), nearest.ravel()], names=["near", "shard"])
+            homes = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * first, pa.int32()), homes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("mult"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(core, pa.int64()), pa.array(near, pa.list_(pa.int64())), pa.array(np.sort(nearest, axis=1).tolist(), pa.list_(pa.int64()))],
+                [batch.column("id"), batch.column("mult"), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(core, pa.int64()), pa.array(near, pa.list_(pa.int64())), homes],
                 names=["id", "mult", "x", "core", "near", "shards"],
             )
 
-    placed = scratch.keep(nodes.mapInArrow(place, "id long, mult long, x binary, core long, near array<long>, shards array<long>"), "placed")
+    placed = scratch.keep(nodes.mapInArrow(place, "id long, mult long, x binary, core long, near array<long>, shards array<struct<near:double,shard:long>>"), "placed")
     core = small(scratch.keep(placed.where("core >= 0").groupBy(F.col("core").alias("_core")).agg(F.sum("mult").alias("core_mult"), F.min("id").alias("core_root"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("core_blocks")), "core"))
     in_core = placed.where("core >= 0").join(core, F.col("core") == F.col("_core"))
     in_core = in_core.select("id", (F.col("core_mult") - F.col("mult")).alias("links"), F.col("core_root").alias("root"))
 
     # shards of the other nodes
-    loose = placed.where("core < 0").select("id", "mult", "x", "shards", F.explode("shards").alias("shard"))
+    homes = split_shards(placed, placed.where("core < 0").select("id", "shards"), joins, threshold, scratch)
+    loose = placed.where("core < 0").select("id", "mult", "x").join(homes.select("id", F.col("shards.shard").alias("shards")), "id")
+    loose = loose.select("id", "mult", "x", "shards", F.explode("shards").alias("shard"))
     sizes = small(scratch.keep(loose.groupBy(F.col("shard").alias("_shard")).agg(F.count(F.lit(1)).alias("size")), "sizes"))
     loose = loose.join(sizes, F.col("shard") == F.col("_shard")).drop("_shard")
     members = scratch.keep(loose.where(F.col("size") <= MOST).drop("size"), "members")
 
-    def matrix(t: pa.Table, k: str = "x") -> np.ndarray:
-        return np.frombuffer(b"".join(t[k].to_pylist()), np.float64).reshape(len(t), -1)
-
-    def build(group: pa.Table) -> pa.Table:
+    def graph_of(group: pa.Table) -> pa.Table:
         group = group.sort_by("id")
         ids = group["id"].to_numpy()
-        lists = pruned_graph(matrix(group).astype(np.float32), np.random.default_rng(len(ids))) if len(ids) > 1 else [np.zeros(0, np.int64)]
-        return pa.table({"id": pa.array(ids, pa.int64()), "near": pa.array([ids[a] for a in lists], pa.list_(pa.int64()))})
+        lists = build(_matrix(group).astype(np.float32), np.random.default_rng(len(ids)))
+        return pa.table({"id": pa.array(ids, pa.int64()), "near": pa.array([ids[a[a >= 0]] for a in lists], pa.list_(pa.int64()))})
 
-    graph = members.select("shard", "id", "x").groupBy("shard").applyInArrow(build, "id long, near array<long>")
+    graph = members.select("shard", "id", "x").groupBy("shard").applyInArrow(graph_of, "id long, near array<long>")
     union = graph.groupBy(F.col("id").alias("_id")).agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
     def search(group: pa.Table) -> pa.Table:
         group = group.sort_by("id")
         ids, mult, shard = group["id"].to_numpy(), group["mult"].to_numpy(), group["shard"][0].as_py()
-        lists = []
-        for a in group["near"].to_pylist():
-            a = np.array(a or [], dtype=np.int64)
-            at = np.minimum(np.searchsorted(ids, a), len(ids) - 1)
-            lists.append(at[ids[at] == a])
-        found = range_search(matrix(group), lists, threshold)
-        counted = counted_here(np.array(group["shards"].to_pylist()).reshape(len(ids), -1), found, shard)
-        links = (counted * mult[None, :]).sum(axis=1)
-        return pa.table({"id": pa.array(ids, pa.int64()), "links": pa.array(links, pa.int64()), "root": pa.array(_roots(ids, found), pa.int64())})
+        # the united lists, as far as they lead to nodes of this shard
+        length = [len(a or ()) for a in group["near"].to_pylist()]
+        to = np.array([t for a in group["near"].to_pylist() for t in a or ()], dtype=np.int64)
+        at = np.minimum(np.searchsorted(ids, to), len(ids) - 1)
+        here = ids[at] == to
+        lists = padded(np.repeat(np.arange(len(ids)), length)[here], at[here], len(ids), -1)
+        i, j = range_search(_matrix(group), lists, threshold)
+        return _answer(ids, mult, i, j, counted_here(group["shards"].to_pylist(), i, j, shard))
 
     searched = members.join(union, F.col("id") == F.col("_id")).drop("_id").groupBy("shard").applyInArrow(search, "id long, links long, root long")
 
-    # exact block comparisons: shards that are too large, and nodes near a pivot's group
+    # exact block comparisons: large groups of near copies without a pivot, and nodes near a pivot's group
     blocks = F.ceil(F.col("size") / BLOCK)
     large = loose.where(F.col("size") > MOST).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
@@ -293,18 +289,15 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, *, id_col: str = "vec_
 
     def exact(group: pa.Table) -> pa.Table:
         ids, mult, own, key = group["id"].to_numpy(), group["mult"].to_numpy(), group["own"].to_numpy(), group["key"][0].as_py()
-        x, is_core = matrix(group), group["core"].to_numpy(zero_copy_only=False)
+        x, is_core = _matrix(group), group["core"].to_numpy(zero_copy_only=False)
         i, j = (pa.compute.struct_field(group["cell"].combine_chunks(), k)[0].as_py() for k in ("i", "j"))
         found = (x @ x.T) >= threshold
-        np.fill_diagonal(found, False)
         if key < 0:
             found &= is_core[:, None] != is_core[None, :]
-            counted = found
-        else:
-            if i != j:
-                found &= own[:, None] != own[None, :]
-            counted = counted_here(np.array(group["shards"].to_pylist()).reshape(len(ids), -1), found, key)
-        return pa.table({"id": pa.array(ids, pa.int64()), "links": pa.array((counted * mult[None, :]).sum(axis=1), pa.int64()), "root": pa.array(_roots(ids, found), pa.int64())})
+        elif i != j:
+            found &= own[:, None] != own[None, :]
+        p, q = np.nonzero(np.triu(found, 1))
+        return _answer(ids, mult, p, q, counted_here(group["shards"].to_pylist(), p, q, key) if key >= 0 else np.ones(len(p), dtype=bool))
 
     compared = large.unionByName(one).unionByName(two).groupBy("key", "cell").applyInArrow(exact, "id long, links long, root long")
 
@@ -327,20 +320,20 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, *, id_col: str = "vec_
 def recall(vectors: DataFrame, found: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, every: int = 100) -> float:
     """Share of true links that ``found`` counts, for the rows whose id is divisible by ``every``.
 
-    Brute force in blocks: the queries (1 row in ``every``) go to all partitions.
+    Brute force: blocks of queries meet blocks of rows, none of them through the driver.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.where("id is not null and v is not null").where(~F.exists("v", lambda e: e.isNull() | F.isnan(e))).where(F.exists("v", lambda e: e != 0))
-    asked = rows.where(F.col("id") % every == 0).toArrow()
-    ids, queries = asked["id"].to_numpy(), _unit(asked["v"])
+    asked, to = -(-rows.where(F.col("id") % every == 0).count() // 1_000) or 1, -(-rows.count() // 20_000) or 1
+    every_block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    queries = rows.where(F.col("id") % every == 0).select("id", "v", F.pmod(F.xxhash64("id"), F.lit(asked)).cast("int").alias("q"), every_block(to).alias("r"))
+    against = rows.select("v", every_block(asked).alias("q"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(to)).cast("int").alias("r"))
 
-    def count(batches):
-        for batch in batches:
-            if batch.num_rows:
-                hits = (queries @ _unit(batch.column("v")).T >= threshold).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hits, pa.int64())], names=["id", "hits"])
+    def count(some: pa.Table, block: pa.Table) -> pa.Table:
+        hits = (_unit(some["v"]) @ _unit(block["v"]).T >= threshold).sum(axis=1) if len(some) and len(block) else np.zeros(len(some), np.int64)
+        return pa.table({"id": some["id"].cast(pa.int64()), "hits": pa.array(hits, pa.int64())})
 
-    true = rows.mapInArrow(count, "id long, hits long").groupBy("id").agg((F.sum("hits") - 1).alias("hits"))
+    true = queries.groupBy("q", "r").cogroup(against.groupBy("q", "r")).applyInArrow(count, "id long, hits long").groupBy("id").agg((F.sum("hits") - 1).alias("hits"))
     both = true.join(found, F.col("id") == F.col("vec_id")).agg(F.sum("hits").alias("t"), F.sum(F.least("hits", "n_links")).alias("f")).first()
     return both["f"] / both["t"] if both["t"] else 1.0
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from geolink.llm import embedding_dedup, hashblocks, line_dedup, ngram_join, substring_dedup
+from geolink.llm import embedding_dedup, flat_graph, hashblocks, line_dedup, ngram_join, substring_dedup
 from geolink.llm.common import Scratch
 from geolink.llm.components import components
 from geolink.llm.queries import QUERIES
@@ -327,3 +327,27 @@ def test_windows_meet_in_parts(spark):
     got = substring_dedup.remove_repeats(docs(spark, rows).repartition(5), buckets=9).collect()
     by = defaultdict(int, {r.doc_id: r.n_removed for r in got})
     assert by[0] == 0 and all(by[i] == 80 for i in range(1, 50))
+
+
+def test_graph_search_finds_isolated_and_grouped_pairs():
+    rng = np.random.default_rng(4)
+    x, g = rng.normal(size=(2, 500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g -= (g * x).sum(axis=1, keepdims=True) * x
+    g /= np.linalg.norm(g, axis=1, keepdims=True)
+    group = rng.normal(size=64) + 0.15 * rng.normal(size=(300, 64))
+    every = np.vstack([x, 0.953 * x + np.sqrt(1 - 0.953**2) * g, group / np.linalg.norm(group, axis=1, keepdims=True)])
+    i, j = flat_graph.range_search(every, flat_graph.build(every.astype(np.float32), np.random.default_rng(1)), 0.95)
+    true = np.argwhere(np.triu(every @ every.T >= 0.95, 1))
+    assert {*zip(i.tolist(), j.tolist(), strict=True)} <= {*map(tuple, true.tolist())} and len(i) >= 0.99 * len(true)
+    for n in (1, 2, 33):
+        assert len(flat_graph.range_search(every[:n], flat_graph.build(every[:n].astype(np.float32), rng), 0.95)[0]) == 0
+
+
+def test_clusters_of_one_group_stay_together():
+    rng = np.random.default_rng(6)
+    x = np.vstack([np.eye(8)[0] + 0.02 * rng.normal(size=(200, 8)), rng.normal(size=(400, 8))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centre = embedding_dedup.fit_clusters(x, 40)
+    part = embedding_dedup.cluster_parts(x, centre, 0.95)[(x @ centre.T).argmax(axis=1)]
+    assert len(set(part[:200].tolist())) == 1 and len(set(part.tolist())) > 5
