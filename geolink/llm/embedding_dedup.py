@@ -46,7 +46,8 @@ from geolink.llm.components import components
 from geolink.llm.flat_graph import build, padded, range_search
 
 THRESHOLD = 0.95
-#: Rows of the sample of the table; wanted nodes in a shard; nodes beyond which it is split; rows in an exact block.
+#: Rows of the sample of the table; wanted nodes in a shard; nodes beyond which it is split (four times as
+#: many: the parts and the shards that a node joins are reckoned from the wanted size); rows in an exact block.
 SAMPLE, SHARD, MOST, BLOCK = 8_192, 500, 2_000, 1_000
 #: Rows of the sample of a shard that is split, rows placed at a time, how often shards are split at most.
 PART_SAMPLE, PLACED, LEVELS = 4_096, 8_192, 4
@@ -306,7 +307,7 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch, *, id_col: str = "vec_
     links = answers.groupBy("id").agg(F.sum("links").alias("links"))
     result = nodes.join(links.withColumnRenamed("id", "_a"), F.col("id") == F.col("_a"), "left").join(joined, F.col("id") == F.col("node"), "left")
     result = scratch.keep(result.select("v", (F.coalesce("links", F.lit(0)) + F.col("mult") - 1).alias("links"), F.coalesce("component", "id").alias("component")), "result")
-    for name in ("nodes", "placed", "core", "sizes", "members", "beside", "answers"):
+    for name in ("nodes", "placed", "core", "sizes", "members", "beside", "answers", *(f"{kind}{level}" for kind in ("large", "fits", "homes") for level in range(LEVELS))):
         scratch.drop(name)
     scaled = F.when(F.col("v").isNotNull() & (F.size("v") > 0) & ~bad & (most > 0), F.transform("v", lambda e: e / most))
     out = rows.withColumn("w", scaled).join(result.withColumnRenamed("v", "_v"), F.col("w") == F.col("_v"), "left")

@@ -311,6 +311,17 @@ def test_vectors_recall_and_edges(spark, sf):
     assert embedding_dedup.near_duplicates(none, Scratch(spark, "t")).count() == 0
 
 
+def test_vectors_recall_holds_when_shards_split(spark, monkeypatch):
+    for name, value in (("SHARD", 40), ("MOST", 150), ("SAMPLE", 40)):
+        monkeypatch.setattr(embedding_dedup, name, value)
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.normal(size=(400, 16)), 2, axis=0) + 0.02 * rng.normal(size=(800, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = Scratch(spark, "t").keep(embedding_dedup.near_duplicates(df, Scratch(spark, "t")), "found")
+    share, links = embedding_dedup.recall(df, found, every=4), found.agg({"n_links": "sum"}).first()[0]
+    assert share >= 0.95 and 760 <= links <= 800, (share, links)
+
+
 def test_queries_cover_their_tables(spark, sf):
     for name, table_ in (("op3_substring_dedup", "documents"), ("op4_ngram_join", "documents"), ("op5_line_dedup", "documents"), ("op10_embedding_dedup", "embeddings")):
         assert QUERIES[name](spark, sf).count() == spark.read.parquet(f"{sf}/{table_}.parquet").count()
