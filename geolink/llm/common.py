@@ -54,6 +54,14 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def carried(df: DataFrame, keep: tuple[str, ...], results: tuple[str, ...]) -> list[Column]:
+    """The caller's columns as one struct ``_kept``, so that their names meet no helper's; a result's name is refused."""
+    taken = {r.lower() for r in results}
+    if clash := [k for k in keep if k.lower() in taken]:
+        raise ValueError(f"kept columns have names of results: {', '.join(clash)}; rename them first")
+    return [F.struct(*[F.col(f"`{k}`") for k in keep]).alias("_kept")] if keep else []
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark for broadcast if the table, counted now, is within the bound; else leave the join to AQE.
 

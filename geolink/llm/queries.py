@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from geolink.llm import embedding_dedup, html_extraction, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, sharding, substring_dedup
+from geolink.llm import (
+    centroid_clustering, conversation_repair, document_fingerprints, embedding_dedup, html_extraction, line_dedup, mixing, ngram_join, quality_classifier, quality_rules, sentencepiece_codec, sharding,
+    substring_dedup,
+)
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,6 +19,9 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+    "op11_centroid_clustering": centroid_clustering.op11_centroid_clustering,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_document_fingerprints": document_fingerprints.op13_document_fingerprints,
 }
 
 ORACLE_SQL = {
@@ -27,4 +33,6 @@ ORACLE_SQL = {
     "op5_run_dedup": line_dedup.RUN_SQL,
     "op8_quality_rules": quality_rules.SQL,
     "op10_embedding_dedup": embedding_dedup.SQL,
+    "op11_centroid_clustering": centroid_clustering.SQL,
+    "op12_conversation_repair": conversation_repair.SQL,
 }
