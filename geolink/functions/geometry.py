@@ -26,7 +26,7 @@ def normal_lon(lon: Column) -> Column:
 
 
 def contains(rings: Column, x: Column, y: Column) -> Column:
-    """Even-odd test of a point against rings (closed or not)."""
+    """Even-odd test of one point against rings (closed or not); many points of a grid go by ``operators.cover``."""
 
     def crossings(ring: Column) -> Column:
         edges = F.transform(F.sequence(F.lit(0), F.size(ring) - 1), lambda i: F.struct(F.get(ring, i).alias("a"), F.get(ring, F.pmod(i + 1, F.size(ring))).alias("b")))
@@ -38,22 +38,43 @@ def contains(rings: Column, x: Column, y: Column) -> Column:
     return F.aggregate(F.filter(rings, lambda r: F.size(r) > 0), F.lit(0), lambda n, r: n + crossings(r)) % 2 == 1
 
 
-def edge_km(rings: Column, x: Column, y: Column) -> Column:
-    """Distance in km from a point to the nearest edge of rings, on the plane that touches the sphere at the point's latitude."""
-    degree = math.radians(1.0) * EARTH_KM
-    across = F.cos(F.radians(y)) * degree
+def short_way(a: Column, b: Column) -> Column:
+    """Longitude ``b`` by the name that is nearest to ``a``; a difference of a full turn stays."""
+    far = F.abs(b - a)
+    return F.when((far > 180.0) & (far < 360.0 - 1e-9) | (far > 360.0 + 1e-9), a + F.pmod(b - a + 180.0, F.lit(360.0)) - 180.0).otherwise(b)
 
-    def nearest(ring: Column) -> Column:
-        def distance(i: Column) -> Column:
-            a, b = F.get(ring, i), F.get(ring, F.pmod(i + 1, F.size(ring)))
-            ax, ay, bx, by = (a["x"] - x) * across, (a["y"] - y) * degree, (b["x"] - x) * across, (b["y"] - y) * degree
-            dx, dy = bx - ax, by - ay
-            t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(-(ax * dx + ay * dy), dx * dx + dy * dy), F.lit(0.0))))
-            return F.sqrt(F.pow(ax + t * dx, F.lit(2)) + F.pow(ay + t * dy, F.lit(2)))
 
-        return F.array_min(F.transform(F.sequence(F.lit(0), F.size(ring) - 1), distance))
+def _unit(lon: Column, lat: Column) -> tuple[Column, Column, Column]:
+    across = F.cos(F.radians(lat))
+    return across * F.cos(F.radians(lon)), across * F.sin(F.radians(lon)), F.sin(F.radians(lat))
 
-    return F.array_min(F.transform(F.filter(rings, lambda r: F.size(r) > 0), nearest))
+
+def _cross(a, b):
+    return a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]
+
+
+def _dot(a, b):
+    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+
+
+def arc(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Of the shorter great-circle arc between two points: its circle's normal and the bounds of what lies beside it, as unit vectors."""
+    a, b = _unit(ax, ay), _unit(bx, by)
+    n = _cross(a, b)
+    vectors = {"n": n, "from": _cross(n, a), "to": _cross(b, n)}
+    return F.struct(F.sqrt(_dot(n, n)).alias("size"), *[v.alias(f"{k}{i}") for k, xyz in vectors.items() for i, v in enumerate(xyz)])
+
+
+def arc_km(arc: Column, ax: Column, ay: Column, bx: Column, by: Column, x: Column, y: Column) -> Column:
+    """Distance in km from a point to an arc (``arc`` of its ends).
+
+    To the arc's circle if the point's foot lies on the arc, else to the nearer end.
+    """
+    p = _unit(x, y)
+    of = lambda k: _dot([arc[f"{k}{i}"] for i in range(3)], p)
+    beside = (arc["size"] > 1e-12) & (of("from") >= 0) & (of("to") >= 0)
+    off = F.lit(EARTH_KM) * F.abs(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), of("n") / F.greatest(arc["size"], F.lit(1e-300))))))
+    return F.when(beside, off).otherwise(F.least(haversine_km(ax, ay, x, y), haversine_km(bx, by, x, y)))
 
 
 def bounds(rings: Column) -> dict[str, Column]:

@@ -4,11 +4,14 @@ Values belong to (date, cell), not to observations: the distinct (link date, cel
 keys of all observations are formed first, each gets its means once, and one
 equi-join brings them home.  No observation id is needed, so null and repeated ids
 and any number of rows a cell and date in the cube leave the row count as it is.
+The caller's columns travel as one struct, so their names meet none of these.
 
 * Cells are arithmetic; a span is a RANGE frame over one cell's history, so a key
   costs one row however long the span is.
 * A baseline meets a climatology: sums and counts per (day of the year, cell).
-* Observations with several cells share the mean of equal (date, place).
+* Places of several cells are runs of columns (``operators.cover``).  Means over time are summed
+  up along each (date, row of cells), and a run's sum is the difference of two of
+  those sums: two rows a run are shuffled, not one a cell.
 
 Unmatched observations keep their row with NULL.
 """
@@ -80,37 +83,64 @@ def baseline_means(keys: DataFrame, cube: DataFrame, first: int, last: int, span
     return named.join(means, sets).select(*KEY, out)
 
 
-def link(obs: DataFrame, date: Column, place: list[str], cells: Column, single: bool, measures: list, shape: str | None = None) -> DataFrame:
-    """``obs`` with one column for each of ``measures``, (name, function of distinct keys to their means).
+def wrapped(obs: DataFrame, names: list[str], **columns: Column) -> DataFrame:
+    """The caller's row as the struct ``row``, beside further columns; columns called like a result go."""
+    kept = obs.drop(*names)
+    return obs.select((F.struct(*[kept[f"`{c}`"] for c in kept.columns]) if kept.columns else F.lit(None)).alias("row"), *[c.alias(k) for k, c in columns.items()])
 
-    ``place``: the columns that tell places apart; ``cells``, an array of struct(ix, iy),
-    is computed from them, or from ``shape``, which they stand for.  With
-    ``single`` it holds one cell at most; otherwise means over time are averaged over
-    the cells of each distinct date and place.
-    """
-    names = [name for name, _ in measures]
-    # outer explodes: conditions on a cell stop there instead of copying its formula
-    if single:
-        at = obs.select("*", date.alias("_d"), F.explode_outer(F.array(F.get(cells, F.lit(0)))).alias("_c"))
-        rows = at.select(F.col("_d").alias("link_date"), "_c.ix", "_c.iy").where("link_date is not null and ix is not null")
-        on = {"_d": "link_date", "_c.ix": "ix", "_c.iy": "iy"}
-    else:
-        at = obs.withColumn("_d", date)
-        # cells once for each place; rows of one place hold one shape, so it doesn't matter which of them gives it
-        spots = at.groupBy(*place).agg(F.first(shape).alias(shape)) if shape else at.select(*place).distinct()
-        spots = spots.select(*place, F.explode_outer(cells).alias("_c")).select(*place, "_c.ix", "_c.iy").where("ix is not null")
-        rows = at.select(F.col("_d").alias("link_date"), *place).where("link_date is not null").distinct().join(spots, place)
-        on = {"_d": "link_date", **{p: p for p in place}}
-    keys = rows.select(*KEY).distinct()
+
+def _means(keys: DataFrame, measures: list) -> DataFrame:
+    """Keys with one column a measure, where any has a value."""
     parts = [f(keys) for _, f in measures]
     means = parts[0]
     for more in parts[1:]:
         means = means.join(more, KEY, "full")
-    if not single:
-        means = rows.join(means, KEY).groupBy(*on.values()).agg(*[F.avg(n).alias(n) for n in names])
-    means = means.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(on.values())], *names)
-    same = [F.col(k) == F.col(f"_k{i}") for i, k in enumerate(on)]
-    return at.join(means, same, "left").select(*obs.columns, *names)
+    return means
+
+
+def link_cells(at: DataFrame, measures: list) -> DataFrame:
+    """Rows (``row``, ``date``, ``cell``) as the caller's columns and one for each of ``measures``, (name, function of distinct keys to their means)."""
+    names = [name for name, _ in measures]
+    # an outer explode of one: conditions on a cell stop there instead of copying its formula
+    at = at.select("row", "date", F.explode_outer(F.array("cell")).alias("cell")).select("row", "date", F.col("cell.ix").alias("x"), F.col("cell.iy").alias("y"))
+    keys = at.select(F.col("date").alias("link_date"), F.col("x").alias("ix"), F.col("y").alias("iy")).where("link_date is not null and ix is not null").distinct()
+    means = _means(keys, measures)
+    home = (F.col("date") == F.col("link_date")) & (F.col("x") == F.col("ix")) & (F.col("y") == F.col("iy"))
+    return at.join(means, home, "left").select("row.*", *names)
+
+
+#: Columns of cells that are asked for together where a run touches one of them.
+TILE = 32
+
+
+def link_runs(at: DataFrame, runs: DataFrame, place: list[str], measures: list) -> DataFrame:
+    """As ``link_cells``, for rows (``row``, ``date``, ``place``) whose places cover ``runs`` (place, iy, i0, i1, own).
+
+    Means over time are averaged over the cells of each distinct date and place; the
+    own cell counts where a place has no other.
+    """
+    names = [name for name, _ in measures]
+    pairs = at.select("date", *place).where("date is not null").distinct()
+    rows = pairs.join(runs, place)
+    tiles = rows.select("date", "iy", "i0", "i1", F.explode(F.sequence(F.floor(F.col("i0") / TILE), F.floor(F.col("i1") / TILE))).alias("tile"))
+    tiles = tiles.groupBy("date", "iy", "tile").agg(F.min(F.greatest("i0", F.col("tile") * TILE)).alias("lo"), F.max(F.least("i1", F.col("tile") * TILE + TILE - 1)).alias("hi"))
+    keys = tiles.select(F.col("date").alias("link_date"), F.explode(F.sequence(F.col("lo").cast("int"), F.col("hi").cast("int"))).alias("ix"), "iy")
+    means = _means(keys, measures)
+    ends = F.array(F.struct((F.col("i0") - 1).alias("ix"), F.lit(-1).alias("sign")), F.struct(F.col("i1").alias("ix"), F.lit(1).alias("sign")))
+    ends = rows.select("date", *place, "own", "iy", F.explode(ends).alias("end")).select("date", *place, "own", "iy", "end.ix", "end.sign")
+    spots = ends.select(F.col("date").alias("link_date"), "ix", "iy").distinct()
+    both = means.withColumn("spot", F.lit(False)).unionByName(spots.withColumn("spot", F.lit(True)), allowMissingColumns=True)
+    along = W.partitionBy("link_date", "iy").orderBy("ix", "spot").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = [x for n in names for x in (F.coalesce(F.sum(n).over(along), F.lit(0.0)).alias(f"{n}_sum"), F.count(n).over(along).alias(f"{n}_n"))]
+    sums = both.select(F.col("link_date").alias("date"), "iy", "ix", "spot", *sums).where("spot").drop("spot")
+    own = lambda c, is_own: F.sum(F.when(F.col("own") == is_own, F.col("sign") * F.col(c)))
+    wide = ends.join(sums, ["date", "iy", "ix"]).groupBy("date", *place).agg(
+        F.bool_or(~F.col("own")).alias("other"), *[own(f"{n}_{part}", is_own).alias(f"{n}_{part}_{is_own}") for n in names for part in ("sum", "n") for is_own in (False, True)]
+    )
+    mean = lambda n, is_own: F.try_divide(F.when(F.col(f"{n}_n_{is_own}") > 0, F.col(f"{n}_sum_{is_own}")), F.col(f"{n}_n_{is_own}"))
+    wide = wide.select(*[F.col(k).alias(f"_{k}") for k in ("date", *place)], *[F.when(F.col("other"), mean(n, False)).otherwise(mean(n, True)).alias(n) for n in names])
+    home = [F.col(k) == F.col(f"_{k}") for k in ("date", *place)]
+    return at.join(wide, home, "left").select("row.*", *names)
 
 
 def deviation(df: DataFrame) -> DataFrame:

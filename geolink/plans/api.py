@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from geolink.functions.dates import link_date, month_day
 from geolink.functions.geometry import EARTH_KM, bounds, from_laea, unproject
-from geolink.operators import extract, gridlink
+from geolink.operators import cover, extract, gridlink
 from geolink.sources import catalogue as C
 from geolink.sources.cube import Request, daily_statistic, ingest, monthly_mean, scan
-from geolink.sources.grid import Grid
+from geolink.sources.grid import Grid, usable
 
 
 @dataclass(frozen=True)
@@ -32,6 +32,7 @@ class LinkSpec:
     time_zone: str = "utc+00:00"
     by_hour: str | bool = False
     method: str = "bilinear"
+    stamp: str = "catalogue"
 
     @staticmethod
     def of(resolution: str, indicator: str, catalogue: str, **options) -> LinkSpec:
@@ -44,6 +45,7 @@ class LinkSpec:
             raise ValueError("time_span must not be negative")
         if options.get("buffer_km", 0) < 0:
             raise ValueError("buffer must not be negative")
+        C.check_stamp(options.get("stamp", "catalogue"))
         options["baseline"] = C.check_baseline(options.get("baseline"))
         return LinkSpec(indicator, catalogue, "day" if resolution == "daily" else "month", **options)
 
@@ -51,7 +53,9 @@ class LinkSpec:
 def _cube(cube: DataFrame, spec: LinkSpec) -> DataFrame:
     """The cube at the link's grain: hourly data (a ``ts`` column) is aggregated, other data is keyed.
 
-    By month, dates become the first of their month; means are formed after pruning.
+    By month, dates become the first of the month they stand for, by the indicator's
+    stamp rule; means are formed after pruning.  Options that a cube without ``ts``
+    can't honour are conditions on its columns of that name, or an error.
     """
     for name in ("indicator", "catalogue"):
         if name in cube.columns:
@@ -59,7 +63,18 @@ def _cube(cube: DataFrame, spec: LinkSpec) -> DataFrame:
     if "ts" in cube.columns:
         cube = daily_statistic(cube, spec.statistic, spec.time_zone) if spec.grain == "day" else monthly_mean(cube, spec.by_hour)
         return ingest(cube)
+    for name, default in (("statistic", "daily_mean"), ("time_zone", "utc+00:00"), ("by_hour", False)):
+        value = getattr(spec, name)
+        if name in cube.columns:
+            # a mean over all hours has no hour
+            cube = cube.where(F.col(name).isNull() if value is False else F.col(name) == value)
+        elif value != default:
+            raise ValueError(f"{name} needs hours (a column ts) or a column {name}; the cube has neither")
     if spec.grain == "month":
+        shift = C.stamp_shift(spec.stamp, spec.indicator, spec.catalogue, spec.by_hour)
+        if shift:
+            stands_for = F.trunc(F.date_add(F.col("obs_date").cast("date"), shift), "month")
+            return ingest(cube.withColumn("obs_date", stands_for))
         cube = cube.withColumn("obs_date", F.to_date(F.trunc("obs_date", "month")))
     return cube if {"year", "md"} <= set(cube.columns) else ingest(cube)
 
@@ -78,17 +93,18 @@ def _days_before(days: set[str], span: int) -> set[str] | None:
     return out if len(out) < 300 else None
 
 
-def _requests(obs: DataFrame, grid: Grid, spec: LinkSpec, when: Column, box: dict[str, Column]) -> tuple[Request, Request] | None:
-    """What the link and its baseline need of the cube: one small aggregate over the observations.
+def _requests(places: DataFrame, grid: Grid, spec: LinkSpec) -> tuple[Request, Request] | None:
+    """What the link and its baseline need of the cube: one small aggregate over (date, xmin, xmax, ymin, ymax).
 
-    Bounds of the cells, dates and days of the year; None without observations.
+    Bounds of the cells, dates and days of the year, over places whose coordinates
+    are numbers; None without any.
     """
-    obs = obs.select(when.alias("_when"), *[box[k].cast("double").alias(f"_{k}") for k in box]).withColumn("_middle", (F.col("_xmin") + F.col("_xmax")) / 2)
-    obs = obs.withColumn("_shift", grid.near_lon(F.col("_middle")) - F.col("_middle"))
-    when, shift, box = F.col("_when"), F.col("_shift"), {k: F.col(f"_{k}") for k in box}
-    facts = obs.agg(
-        F.min(when).alias("first"), F.max(when).alias("last"), F.collect_set(month_day(when)).alias("days"), F.min(box["ymin"]).alias("s"), F.max(box["ymax"]).alias("n"),
-        F.min(box["xmin"] + shift).alias("w"), F.max(box["xmax"] + shift).alias("e"), F.bool_or(box["xmax"] - box["xmin"] > 180).alias("wide"),
+    places = places.where(usable(F.col("xmin"), F.col("ymin")) & usable(F.col("xmax"), F.col("ymax"))).withColumn("middle", (F.col("xmin") + F.col("xmax")) / 2)
+    places = places.withColumn("shift", grid.near_lon(F.col("middle")) - F.col("middle"))
+    when, shift = F.col("date"), F.col("shift")
+    facts = places.agg(
+        F.min(when).alias("first"), F.max(when).alias("last"), F.collect_set(month_day(when)).alias("days"), F.min("ymin").alias("s"), F.max("ymax").alias("n"),
+        F.min(F.col("xmin") + shift).alias("w"), F.max(F.col("xmax") + shift).alias("e"), F.bool_or(F.col("xmax") - F.col("xmin") > 180).alias("wide"),
     ).first()
     if facts["first"] is None or facts["s"] is None:
         return None
@@ -106,43 +122,53 @@ def _requests(obs: DataFrame, grid: Grid, spec: LinkSpec, when: Column, box: dic
         months = {(m - 1 - k) % 12 + 1 for m in months for k in range(min(spec.time_span, 11) + 1)}
         days = None if len(months) == 12 else {f"{m:02d}-{d:02d}" for m in months for d in range(1, 32)}
     month_days = tuple(sorted(days)) if days else ()
-    return Request(extent=extent, dates=(facts["first"] - timedelta(span), facts["last"] + timedelta(0 if spec.grain == "day" else 31)), month_days=month_days), Request(extent=extent, month_days=month_days)
+    first = facts["first"] - timedelta(min(span, (facts["first"] - date.min).days))
+    last = facts["last"] + timedelta(min(0 if spec.grain == "day" else 31, (date.max - facts["last"]).days))
+    return Request(extent=extent, dates=(first, last), month_days=month_days), Request(extent=extent, month_days=month_days)
 
 
 def link_observations(obs: DataFrame, cube: DataFrame, grid: Grid, spec: LinkSpec, *, date_col: str = "date", lon: str = "lon", lat: str = "lat", rings: str | None = None, crs: int = 4326, prune: bool = True) -> DataFrame:
     """Points (``lon``, ``lat``) or polygons (``rings``) with ``linked`` and, given a baseline, ``baseline`` and ``deviation``.
 
     ``crs`` names the system of the coordinates, 4326 or 3035; the columns stay as
-    they are.  So do rows and their number, whatever the observations' ids and
-    however many rows the cube holds for a cell and date (their mean counts).
+    they are, whatever their names (one called like a result gives way to it).  So do
+    rows and their number, whatever the observations' ids and however many rows the
+    cube holds for a cell and date (their mean counts).  Coordinates that are NULL,
+    NaN, infinite or beyond the poles link with nothing.
     """
     C.check_columns(obs, date_col, *([rings] if rings else [lon, lat]))
     if crs not in (4326, 3035):
         raise ValueError(f"crs must be 4326 or 3035; got {crs!r}")
-    when = link_date(F.col(date_col).cast("date"), spec.time_lag, spec.grain)
-    columns = obs.columns
+    names = ["linked", *(["baseline", "deviation"] if spec.baseline else [])]
+    when = link_date(obs[f"`{date_col}`"].cast("date"), spec.time_lag, spec.grain)
     if rings:
-        # 128 bits stand for a polygon's corners where places are told apart
-        shape = F.col(rings) if crs == 4326 else unproject(F.col(rings))
-        obs = obs.select("*", F.explode_outer(F.array(shape)).alias("_shape")).withColumns({"_h1": F.xxhash64("_shape"), "_h2": F.xxhash64(F.lit("rings"), "_shape")})
-        place, cells, box = ["_h1", "_h2"], grid.cover(F.col("_shape"), spec.buffer_km), bounds(F.col("_shape"))
+        shape = obs[f"`{rings}`"]
+        at = extract.wrapped(obs, names, date=when, shape=shape if crs == 4326 else unproject(shape))
+        # an outer explode of one: what reads the shape stops there instead of copying its formula; 128 bits stand for it
+        at = at.select("row", "date", F.explode_outer(F.array("shape")).alias("shape")).withColumns({"p": F.xxhash64("shape"), "q": F.xxhash64(F.lit("rings"), "shape")})
+        place, box = ["p", "q"], bounds(F.col("shape"))
     else:
-        place, x, y = ["_x", "_y"], F.col("_x"), F.col("_y")
-        if crs == 4326:
-            obs = obs.withColumns({"_x": F.col(lon).cast("double"), "_y": F.col(lat).cast("double")})
-        else:
-            # an outer explode of one: conditions on cells stop here instead of copying the projection's formulas
-            east, north = from_laea(F.col(lon), F.col(lat))
-            obs = obs.select("*", F.explode_outer(F.array(F.struct(east.alias("x"), north.alias("y")))).alias("_at")).withColumns({"_x": F.col("_at.x"), "_y": F.col("_at.y")})
-        cells, box = grid.buffer(x, y, spec.buffer_km), {"xmin": x, "xmax": x, "ymin": y, "ymax": y}
+        x, y = obs[f"`{lon}`"].cast("double"), obs[f"`{lat}`"].cast("double")
+        x, y = (x, y) if crs == 4326 else from_laea(x, y)
+        at = extract.wrapped(obs, names, date=when, at=F.struct(x.alias("x"), y.alias("y")))
+        at = at.select("row", "date", F.explode_outer(F.array("at")).alias("at")).select("row", "date", "at.x", "at.y")
+        place, box = ["x", "y"], {"xmin": F.col("x"), "xmax": F.col("x"), "ymin": F.col("y"), "ymax": F.col("y")}
     recent = past = _cube(cube, spec)
-    wanted = _requests(obs, grid, spec, when, box) if prune else None
+    wanted = _requests(at.select("date", *[box[k].cast("double").alias(k) for k in box]), grid, spec) if prune else None
     if wanted:
         recent, past = scan(recent, wanted[0], grid), scan(past, wanted[1], grid)
     measures = [("linked", lambda keys: extract.span_means(keys, recent, spec.time_span, spec.grain))]
     if spec.baseline:
         measures.append(("baseline", lambda keys: extract.baseline_means(keys, past, *spec.baseline, spec.time_span, spec.grain)))
-    out = extract.link(obs, when, place, cells, not rings and spec.buffer_km == 0, measures, "_shape" if rings else None).select(*columns, *[name for name, _ in measures])
+    if rings:
+        # cells once for each place; rows of one place hold one shape, so it doesn't matter which of them gives it
+        spots = at.groupBy(*place).agg(F.first("shape").alias("shape"))
+        out = extract.link_runs(at, cover.polygon_runs(spots, place, grid, spec.buffer_km), place, measures)
+    elif spec.buffer_km > 0:
+        spots = at.select(*place).distinct()
+        out = extract.link_runs(at, cover.point_runs(spots, place, grid, spec.buffer_km), place, measures)
+    else:
+        out = extract.link_cells(at.withColumn("cell", grid.cell(F.col("x"), F.col("y"))), measures)
     return extract.deviation(out) if spec.baseline else out
 
 
@@ -159,7 +185,9 @@ def link_daily(obs: DataFrame, cube: DataFrame, grid: Grid, indicator: str, *, d
 def link_monthly(obs: DataFrame, cube: DataFrame, grid: Grid, indicator: str, *, date_var: str = "date", rings: str | None = None, crs: int = 4326, catalogue: str = "reanalysis-era5-land-monthly-means", prune: bool = True, **options) -> DataFrame:
     """Link points or polygons by month; span and lag count months.
 
-    Options: ``time_span``, ``time_lag``, ``buffer_km``, ``baseline``, ``by_hour``.
+    Options: ``time_span``, ``time_lag``, ``buffer_km``, ``baseline``, ``by_hour`` and
+    ``stamp``, which says what dates of a monthly cube mean: ``catalogue`` (the
+    indicator's own rule), ``first`` or ``last`` (a day of the month itself), ``last_of_previous``, ``first_of_next``.
     """
     spec = LinkSpec.of("monthly", indicator, catalogue, **options)
     return link_observations(obs, cube, grid, spec, date_col=date_var, rings=rings, crs=crs, prune=prune)

@@ -12,12 +12,15 @@ from geolink.functions import dates as D
 from geolink.functions import geometry as G
 from geolink.functions import ids as I
 from geolink.functions import text as T
+from geolink.operators import cover as V
 from geolink.operators import enrich as E
 from geolink.operators import extract as X
 from geolink.operators import gridlink as R
 from geolink.operators import merge as M
 from geolink.plans import api
 from geolink.plans.datasets import GRID, cube, hourly, observations, polygons, read, sql, targets
+from geolink.plans.registry import ORACLE_SQL, QUERIES, query
+from geolink.plans.registry import rounded as _r
 from geolink.session import shared_dir
 from geolink.sources import adaptors as A
 from geolink.sources import catalogue as C
@@ -27,25 +30,6 @@ from geolink.sources.sinks import temporary_cube
 from geolink.sources.stash import Stash, clean_index, key_column, live, pop_last, restore_all
 from geolink.streaming.stream_link import link_stream
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, oracle: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if oracle:
-            ORACLE_SQL[name] = oracle
-        return f
-
-    return add
-
-
-def _r(name: str, digits: int = 6):
-    """Rounded, and without a negative zero."""
-    return (F.round(F.col(name), digits) + F.lit(0.0)).alias(name)
-
-
 _OBS = "SELECT * FROM cells"
 _SPAN = "SELECT o.id, avg(c.v) AS linked FROM o JOIN cube c ON c.ix = o.ix AND c.iy = o.iy AND c.t BETWEEN o.d - 3 AND o.d GROUP BY o.id"
 _CLIM = "SELECT strftime(t, '%m-%d') AS md, ix, iy, sum(v) AS s, count(v) AS n FROM cube WHERE year(t) BETWEEN 1995 AND 1996 GROUP BY ALL"
@@ -84,8 +68,9 @@ def jn3(spark, sf):
 @query("jn4_baseline", sql("SELECT o.id, round(baseline, 6) AS baseline FROM o LEFT JOIN b USING (id)", "obs", "cells", "cube", o=_OBS, clim=_CLIM, b=_BASE))
 def jn4(spark, sf):
     obs = observations(spark, sf)
-    q, cells = cube(spark, sf), GRID.buffer(F.col("lon"), F.col("lat"), 0)
-    return X.link(obs, F.col("d"), ["lon", "lat"], cells, True, [("baseline", lambda keys: X.baseline_means(keys, q, 1995, 1996, 3))]).select("id", _r("baseline"))
+    q = cube(spark, sf)
+    at = X.wrapped(obs, ["baseline"], date=F.col("d"), cell=GRID.cell(F.col("lon"), F.col("lat")))
+    return X.link_cells(at, [("baseline", lambda keys: X.baseline_means(keys, q, 1995, 1996, 3))]).select("id", _r("baseline"))
 
 
 _POLY = dict(
@@ -105,9 +90,8 @@ def jn5(spark, sf):
 
 @query("jn5_polygon_cells", sql("SELECT p, ix, iy FROM pc", "edges", "grid", **{k: v for k, v in _POLY.items() if k != "pd"}))
 def jn5_cells(spark, sf):
-    each = polygons(spark).select(F.floor(F.col("id") / 10).cast("int").alias("p"), "rings").distinct()
-    one = each.select("p", F.explode(GRID.cover(F.col("rings"))).alias("c"))
-    return one.select("p", "c.ix", "c.iy")
+    each = polygons(spark).select(F.floor(F.col("id") / 10).cast("int").alias("p"), F.col("rings").alias("shape")).distinct()
+    return V.covered_cells(V.polygon_runs(each, ["p"], GRID), ["p"]).select("p", "ix", "iy")
 
 
 def _buffer(km: float) -> dict[str, str]:
@@ -200,9 +184,11 @@ def jn11(spark, sf):
     return read(spark, sf, "customer").join(read(spark, sf, "supplier").where("s_acctbal > 5000"), F.col("c_nationkey") == F.col("s_nationkey"), "left_semi").select("c_custkey")
 
 
-@query("jn12_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("jn12_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 100000 AND o_custkey IS NOT NULL)")
 def jn12(spark, sf):
-    return read(spark, sf, "customer").join(read(spark, sf, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Customers without a large order."""
+    large = read(spark, sf, "orders").where("o_totalprice > 100000")
+    return read(spark, sf, "customer").join(large, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 # aggregates
@@ -336,7 +322,7 @@ def src6_json(spark, sf):
 @query("src7_reference_areas", "SELECT n_nationkey, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('EUROPE', 'ASIA')")
 def src7(spark, sf):
     n, r = read(spark, sf, "nation"), read(spark, sf, "region").where(F.col("r_name").isin("EUROPE", "ASIA"))
-    return n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
+    return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
 
 
 @query("prj6_deviation", "SELECT l_orderkey, l_linenumber, linked - baseline AS deviation FROM (SELECT l_orderkey, l_linenumber, l_quantity AS linked, CASE WHEN l_linenumber > 1 THEN l_tax END AS baseline FROM lineitem)")
@@ -947,3 +933,6 @@ def snk2(spark, sf):
     with temporary_cube(cube(spark, sf)) as written:
         row = written.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total")).first()
     return spark.createDataFrame([tuple(row)], "n long, total double")
+
+
+from geolink.plans import area_queries, rule_queries  # noqa: E402, F401  they register themselves

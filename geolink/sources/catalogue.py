@@ -30,6 +30,17 @@ INDICATORS = {
 STATISTICS = ("daily_mean", "daily_maximum", "daily_minimum")
 HOURS = tuple(f"{h:02d}:00" for h in range(24))
 ZONES = tuple(f"utc{h:+03d}:00" for h in range(-12, 15))
+#: Days from a monthly layer's stamp to the month it stands for.
+STAMPS = {"first": 0, "last": 0, "last_of_previous": 1, "first_of_next": -1}
+#: Monthly indicators that are not stamped in their own month, for means over all hours and for those of one hour.
+STAMP_OF = {
+    ("reanalysis-era5-land-monthly-means", "snow_cover"): ("first_of_next", "last"),
+    ("reanalysis-era5-single-levels-monthly-means", "total_precipitation"): ("last_of_previous", "last_of_previous"),
+    ("reanalysis-era5-single-levels-monthly-means", "instantaneous_10m_wind_gust"): ("last_of_previous", "first"),
+    ("reanalysis-era5-single-levels-monthly-means", "downward_uv_radiation_at_the_surface"): ("last_of_previous", "last_of_previous"),
+    ("reanalysis-era5-single-levels-monthly-means", "snowfall"): ("last_of_previous", "last_of_previous"),
+    ("reanalysis-era5-single-levels-monthly-means", "k_index"): ("last", "last"),
+}
 METHODS = ("near", "bilinear", "cubic")
 #: Indicator, name, parameter id, category, unit, subsets of reanalysis indicators (two ids by the public parameter list).
 _REANALYSIS = (
@@ -92,6 +103,17 @@ def check_time_zone(zone: str) -> str:
     return _one_of(zone, ZONES, "time_zone")
 
 
+def check_stamp(stamp: str) -> str:
+    return _one_of(stamp, ("catalogue", *STAMPS), "stamp")
+
+
+def stamp_shift(stamp: str, indicator: str, catalogue: str, by_hour: str | bool = False) -> int:
+    """Days to add to a stamp to be in the month that it stands for."""
+    if stamp == "catalogue":
+        stamp = STAMP_OF.get((catalogue, indicator), ("first", "first"))[by_hour is not False]
+    return STAMPS[stamp]
+
+
 def check_baseline(baseline) -> tuple[int, int] | None:
     """None for no baseline, else (first, last) year; strings of digits are accepted."""
     if baseline is None or baseline is False:

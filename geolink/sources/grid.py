@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geolink.functions.geometry import EARTH_KM, bounds, contains, edge_km, haversine_km
+from geolink.functions.geometry import EARTH_KM, haversine_km
 
 
 @dataclass(frozen=True)
@@ -32,23 +32,17 @@ class Grid:
         west = self.xmin + self.nx * self.dx / 2 - 180.0
         return F.when((lon >= west) & (lon < west + 360.0), lon).otherwise(F.pmod(lon - west, F.lit(360.0)) + west)
 
-    def column(self, lon: Column) -> Column:
-        at = F.floor((self.near_lon(lon) - self.xmin) / self.dx).cast("int")
-        return F.pmod(at, F.lit(self.nx)) if self.wraps else at
-
-    def row(self, lat: Column) -> Column:
-        return F.floor((self.ymax - lat) / self.dy).cast("int")
-
-    def inside(self, ix: Column, iy: Column) -> Column:
-        return ix.between(0, self.nx - 1) & iy.between(0, self.ny - 1)
-
     def centre(self, ix: Column, iy: Column) -> tuple[Column, Column]:
         return self.xmin + (ix + 0.5) * self.dx, self.ymax - (iy + 0.5) * self.dy
 
     def cell(self, lon: Column, lat: Column) -> Column:
-        """struct(ix, iy) of the containing cell; NULL outside the grid."""
-        ix, iy = self.column(lon), self.row(lat)
-        return F.when(self.inside(ix, iy), F.struct(ix.alias("ix"), iy.alias("iy")))
+        """struct(ix, iy) of the containing cell; NULL outside the grid and for coordinates that are none (NULL, NaN, infinite)."""
+        u, v = (self.near_lon(lon) - self.xmin) / self.dx, (self.ymax - lat) / self.dy
+        across = (u > -1) & (u < self.nx + 1) if self.wraps else (u >= 0) & (u < self.nx)
+        # compared before the cast: a NaN is greater than any number
+        held = usable(lon, lat) & across & (v >= 0) & (v < self.ny)
+        ix = F.floor(u).cast("int")
+        return F.when(held, F.struct((F.pmod(ix, F.lit(self.nx)) if self.wraps else ix).alias("ix"), F.floor(v).cast("int").alias("iy")))
 
     def _box(self, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
         """All cells that a box touches, as array<struct(ix, iy)>; columns of a grid that wraps run on beyond its edge."""
@@ -57,7 +51,8 @@ class Grid:
             i1 = F.least(i1, i0 + (self.nx - 1))
         else:
             i0, i1 = F.greatest(i0, F.lit(0)), F.least(i1, F.lit(self.nx - 1))
-        j0, j1 = F.greatest(self.row(y1), F.lit(0)), F.least(self.row(y0), F.lit(self.ny - 1))
+        row = lambda y: F.floor((self.ymax - y) / self.dy).cast("int")
+        j0, j1 = F.greatest(row(y1), F.lit(0)), F.least(row(y0), F.lit(self.ny - 1))
         every = F.flatten(F.transform(F.sequence(i0, i1), lambda i: F.transform(F.sequence(j0, j1), lambda j: F.struct(i.alias("ix"), j.alias("iy")))))
         return F.when((i0 <= i1) & (j0 <= j1), every).otherwise(_no_cells())
 
@@ -73,21 +68,14 @@ class Grid:
             return own
         up, aside = reach(lat, km)
         x = self.near_lon(lon)
-        near = F.filter(self._box(x - aside, x + aside, lat - up, lat + up), lambda c: haversine_km(x, lat, *self.centre(c["ix"], c["iy"])) <= km)
+        box = F.when(usable(lon, lat), self._box(x - aside, x + aside, lat - up, lat + up)).otherwise(_no_cells())
+        near = F.filter(box, lambda c: haversine_km(x, lat, *self.centre(c["ix"], c["iy"])) <= km)
         return _first_full(self._named(near), own)
 
-    def cover(self, rings: Column, km: float = 0.0) -> Column:
-        """Cells whose centre lies in a polygon, or within ``km`` of its edge; the cell of the box's centre if there is none."""
-        b = bounds(rings)
-        x, y = (b["xmin"] + b["xmax"]) / 2, (b["ymin"] + b["ymax"]) / 2
-        shift = self.near_lon(x) - x
-        rings = F.when(shift == 0, rings).otherwise(F.transform(rings, lambda r: F.transform(r, lambda p: F.struct((p["x"] + shift).alias("x"), p["y"].alias("y")))))
-        up, aside = reach(F.greatest(F.abs(b["ymin"]), F.abs(b["ymax"])), km) if km > 0 else (0.0, F.lit(0.0))
-        box = self._box(b["xmin"] + shift - aside, b["xmax"] + shift + aside, b["ymin"] - up, b["ymax"] + up)
-        inside = lambda c: contains(rings, *self.centre(c["ix"], c["iy"]))
-        hit = F.filter(box, (lambda c: inside(c) | (edge_km(rings, *self.centre(c["ix"], c["iy"])) <= km)) if km > 0 else inside)
-        middle = self.cell(x, y)
-        return _first_full(self._named(hit), F.when(middle.isNotNull(), F.array(middle)).otherwise(_no_cells()))
+
+def usable(lon: Column, lat: Column) -> Column:
+    """Whether coordinates are finite numbers, the latitude at most 90 degrees; longitudes may have any name."""
+    return (F.abs(lon) <= 1e6) & (F.abs(lat) <= 90.0)
 
 
 def _no_cells() -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from geolink.functions import dates as D
 from geolink.functions import ids as I
 from geolink.functions.geometry import RINGS, contains, normal_lon
+from geolink.operators import cover as V
 from geolink.operators import gridlink as R
 from geolink.operators import merge as M
 from geolink.plans import api
@@ -63,8 +64,8 @@ def test_polygon_hole_and_sliver(spark):
     df = spark.createDataFrame([([[{"x": x, "y": y} for x, y in r] for r in box],)], f"rings {RINGS}")
     at = lambda x, y: df.select(contains(F.col("rings"), F.lit(x), F.lit(y))).first()[0]
     assert at(0.5, 0.5) and not at(2.0, 2.0) and not at(5.0, 2.0)
-    sliver = spark.createDataFrame([([[{"x": 0.1, "y": 1.1}, {"x": 0.2, "y": 1.1}, {"x": 0.2, "y": 1.2}]],)], f"rings {RINGS}")
-    assert [tuple(c) for c in sliver.select(G.cover(F.col("rings"))).first()[0]] == [(0, 0)]
+    sliver = spark.createDataFrame([(1, [[{"x": 0.1, "y": 1.1}, {"x": 0.2, "y": 1.1}, {"x": 0.2, "y": 1.2}]])], f"p int, shape {RINGS}")
+    assert [tuple(c) for c in V.covered_cells(V.polygon_runs(sliver, ["p"], G), ["p"]).collect()] == [(1, 0, 0)]
 
 
 def test_buffer_zero_is_the_cell_and_small_falls_back(spark):
