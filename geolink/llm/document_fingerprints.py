@@ -202,21 +202,23 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return total / weight
 
 
-def _hex(chain: np.ndarray) -> str:
-    return chain.tobytes().hex()
-
-
 def _edited(text: str, after: str) -> str:
     n = len(text) // 4
     return text[: len(text) - n] + after[:n]
 
 
-_DONE = "n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-_TYPES = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+_DONE = "n_chars bigint, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
+_TYPES = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+
+
+def _other(a: bytes, b: bytes) -> bytes:
+    """``b`` told by where it differs from ``a``, as far as both go; the same gives ``b`` back."""
+    n = min(len(a), len(b))
+    return (np.frombuffer(a[:n], np.uint8) ^ np.frombuffer(b[:n], np.uint8)).tobytes() + b[n:]
 
 
 def _row(text: str, edited: bytes, own: np.ndarray, new: np.ndarray, after: np.ndarray) -> tuple:
-    return len(text), hashlib.sha256(edited).hexdigest(), _hex(own), _hex(new), likeness(own, new), likeness(own, after)
+    return len(text), hashlib.sha256(edited).hexdigest(), own.tobytes(), _other(own.tobytes(), new.tobytes()), likeness(own, new), likeness(own, after)
 
 
 def _by_bytes(texts: list[str]):
@@ -282,7 +284,8 @@ def fingerprint(docs: DataFrame, scratch: Scratch, *, ranks: np.ndarray | None =
                 yield made([k], [_row(text, edited, own, new, follow)], [(0, "done", None)], kinds)
 
     whole = f"{head}, {_DONE}, part int, kind string, text string"
-    written = scratch.keep(ordered.mapInArrow(stream, whole), "rows")
+    # packed bytes, not text, and of the edited form only what differs: chains are most of what is written here
+    written = scratch.keep(ordered.mapInArrow(stream, whole), "rows", compression="zstd")
     # one number for each range that holds rows
     parts = sorted(r.part for r in written.where("kind = 'last'").select("part").collect())
     follows = dict(zip(parts, parts[1:] + parts[:1], strict=True))
@@ -292,7 +295,15 @@ def fingerprint(docs: DataFrame, scratch: Scratch, *, ranks: np.ndarray | None =
     firsts = written.where("kind = 'first'").select("part", F.col("text").alias("after"))
     ends = lasts.join(firsts, "part").select(*names, "text", "after").mapInArrow(complete, whole)
     out = written.where("kind = 'done'").unionByName(ends)
-    return out.select(*RESULTS, *(["_kept.*"] if keep else []))
+
+    def restored(batches):
+        for batch in batches:
+            own, new = (batch.column(c).to_pylist() for c in ("fingerprint", "edited_fingerprint"))
+            made = {"fingerprint": pa.array([a.hex() for a in own], pa.string()), "edited_fingerprint": pa.array([_other(a, b).hex() for a, b in zip(own, new, strict=True)], pa.string())}
+            yield pa.RecordBatch.from_arrays([made.get(f.name, batch.column(f.name)) for f in batch.schema], names=batch.schema.names)
+
+    final = f"{head}, {_DONE.replace('binary', 'string')}"
+    return out.drop("part", "kind", "text").mapInArrow(restored, final).select(*RESULTS, *(["_kept.*"] if keep else []))
 
 
 def op13_document_fingerprints(spark, sf_dir: str) -> DataFrame:
