@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +13,8 @@ from geolink.functions.dates import link_date, month_day
 from geolink.functions.geometry import EARTH_KM, bounds, from_laea, unproject
 from geolink.operators import cover, extract, gridlink
 from geolink.sources import catalogue as C
-from geolink.sources.cube import Request, daily_statistic, ingest, monthly_mean, scan
+from geolink.sources.cube import BLOCK, Request, daily_statistic, ingest, monthly_mean, scan, tile, tile_ranges
+from geolink.sources.cumulative import CumulativeCube
 from geolink.sources.grid import Grid, usable
 
 
@@ -127,13 +128,34 @@ def _requests(places: DataFrame, grid: Grid, spec: LinkSpec) -> tuple[Request, R
     return Request(extent=extent, dates=(first, last), month_days=month_days), Request(extent=extent, month_days=month_days)
 
 
-def link_observations(obs: DataFrame, cube: DataFrame, grid: Grid, spec: LinkSpec, *, date_col: str = "date", lon: str = "lon", lat: str = "lat", rings: str | None = None, crs: int = 4326, prune: bool = True) -> DataFrame:
+def _tiles(places: DataFrame, grid: Grid, aside: float, up: float) -> tuple[tuple[int, int], ...]:
+    """Ranges of the tiles that the places' own boxes touch; what reaches the driver is bounded by the grid's tiles.
+
+    Boxes over the grid's edge take its whole width.
+    """
+    places = places.where(usable(F.col("xmin"), F.col("ymin")) & usable(F.col("xmax"), F.col("ymax")))
+    middle = (F.col("xmin") + F.col("xmax")) / 2
+    shift = grid.near_lon(middle) - middle
+    at = lambda v, n: F.least(F.lit(float(n - 1)), F.greatest(F.lit(0.0), v))
+    west, east = (F.col("xmin") + shift - aside - grid.xmin) / grid.dx, (F.col("xmax") + shift + aside - grid.xmin) / grid.dx
+    over = (F.col("xmax") - F.col("xmin") > 180) | (west < 0) | (east >= grid.nx)
+    part = lambda v, n: F.floor(at(v, n) / BLOCK).cast("int")
+    box = places.select(
+        F.when(over, 0).otherwise(part(west, grid.nx)).alias("i0"), F.when(over, (grid.nx - 1) // BLOCK).otherwise(part(east, grid.nx)).alias("i1"),
+        part((grid.ymax - F.col("ymax") - up) / grid.dy, grid.ny).alias("j0"), part((grid.ymax - F.col("ymin") + up) / grid.dy, grid.ny).alias("j1"),
+    ).distinct()
+    cells = box.select("j0", "j1", F.explode(F.sequence("i0", "i1")).alias("i")).distinct().select("i", F.explode(F.sequence("j0", "j1")).alias("j")).distinct()
+    return tile_ranges([r.t for r in cells.select(tile(F.col("i") * BLOCK, F.col("j") * BLOCK).alias("t")).collect()])
+
+
+def link_observations(obs: DataFrame, cube: DataFrame | CumulativeCube, grid: Grid, spec: LinkSpec, *, date_col: str = "date", lon: str = "lon", lat: str = "lat", rings: str | None = None, crs: int = 4326, prune: bool = True) -> DataFrame:
     """Points (``lon``, ``lat``) or polygons (``rings``) with ``linked`` and, given a baseline, ``baseline`` and ``deviation``.
 
     ``crs`` names the system of the coordinates, 4326 or 3035; the columns stay as
     they are, whatever their names (one called like a result gives way to it).  So do
     rows and their number, whatever the observations' ids and however many rows the
-    cube holds for a cell and date (their mean counts).  Coordinates that are NULL,
+    cube holds for a cell and date (their mean counts).  ``cube`` may also be running
+    totals (``sources.cumulative``).  Coordinates that are NULL,
     NaN, infinite or beyond the poles link with nothing.
     """
     C.check_columns(obs, date_col, *([rings] if rings else [lon, lat]))
@@ -153,11 +175,22 @@ def link_observations(obs: DataFrame, cube: DataFrame, grid: Grid, spec: LinkSpe
         at = extract.wrapped(obs, names, date=when, at=F.struct(x.alias("x"), y.alias("y")))
         at = at.select("row", "date", F.explode_outer(F.array("at")).alias("at")).select("row", "date", "at.x", "at.y")
         place, box = ["x", "y"], {"xmin": F.col("x"), "xmax": F.col("x"), "ymin": F.col("y"), "ymax": F.col("y")}
-    recent = past = _cube(cube, spec)
-    wanted = _requests(at.select("date", *[box[k].cast("double").alias(k) for k in box]), grid, spec) if prune else None
+    running = cube if isinstance(cube, CumulativeCube) else None
+    if running and spec.grain != "day":
+        raise ValueError("running totals are daily")
+    cube = _cube(running.cube if running else cube, spec)
+    recent = past = cube
+    places = at.select("date", *[box[k].cast("double").alias(k) for k in box])
+    wanted = _requests(places, grid, spec) if prune and not (running and not spec.baseline) else None
+    if wanted and "tile" in cube.columns:
+        n, w, s, e = wanted[0].extent
+        up = math.degrees(spec.buffer_km / EARTH_KM)
+        aside = 0.0 if up == 0 else 360.0 if max(abs(n), abs(s)) >= 80 else up / math.cos(math.radians(max(abs(n), abs(s)))) * 1.1
+        tiles = _tiles(places, grid, aside, up)
+        wanted = tuple(replace(r, tiles=tiles) for r in wanted)
     if wanted:
         recent, past = scan(recent, wanted[0], grid), scan(past, wanted[1], grid)
-    measures = [("linked", lambda keys: extract.span_means(keys, recent, spec.time_span, spec.grain))]
+    measures = [("linked", lambda keys: running.span_means(keys, spec.time_span) if running else extract.span_means(keys, recent, spec.time_span, spec.grain))]
     if spec.baseline:
         measures.append(("baseline", lambda keys: extract.baseline_means(keys, past, *spec.baseline, spec.time_span, spec.grain)))
     if rings:

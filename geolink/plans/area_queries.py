@@ -65,6 +65,13 @@ def jn5_runs(spark, sf):
     return cover.polygon_runs(customer_areas(spark, sf), ["c_custkey"], FINE).select("c_custkey", "iy", "i0", "i1", "own")
 
 
+@query("jn5_polygon_cells", _AREAS + "SELECT k AS c_custkey, iy, ix FROM cell UNION ALL SELECT k, iy, ix FROM own WHERE k NOT IN (SELECT k FROM cell)")
+def jn5_cells(spark, sf):
+    """The same written out; a polygon without a cell has that of its box's centre."""
+    place = ["c_custkey"]
+    return cover.covered_cells(cover.polygon_runs(customer_areas(spark, sf), place, FINE), place).select("c_custkey", "iy", "ix")
+
+
 def fine_cube(spark, sf: str) -> DataFrame:
     """Mean quantity a day, of 50 x 40 cells."""
     rows = read(spark, sf, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("obs_date"), (F.col("l_suppkey") * 7 % 50).cast("int").alias("ix"), (F.col("l_partkey") % 40).cast("int").alias("iy"))

@@ -12,7 +12,6 @@ from geolink.functions import dates as D
 from geolink.functions import geometry as G
 from geolink.functions import ids as I
 from geolink.functions import text as T
-from geolink.operators import cover as V
 from geolink.operators import enrich as E
 from geolink.operators import extract as X
 from geolink.operators import gridlink as R
@@ -88,12 +87,6 @@ def jn5(spark, sf):
     return api.link_daily(polygons(spark), cube(spark, sf), GRID, "2m_temperature", date_var="d", rings="rings", time_span=6).select("id", _r("linked"))
 
 
-@query("jn5_polygon_cells", sql("SELECT p, ix, iy FROM pc", "edges", "grid", **{k: v for k, v in _POLY.items() if k != "pd"}))
-def jn5_cells(spark, sf):
-    each = polygons(spark).select(F.floor(F.col("id") / 10).cast("int").alias("p"), F.col("rings").alias("shape")).distinct()
-    return V.covered_cells(V.polygon_runs(each, ["p"], GRID), ["p"]).select("p", "ix", "iy")
-
-
 def _buffer(km: float) -> dict[str, str]:
     hav = "2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians(clat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(clat)) * pow(sin(radians(clon - lon) / 2), 2))))"
     return dict(
@@ -294,23 +287,6 @@ def src5(spark, sf):
     return A.from_wkt(text, "wkt").select("id", "lon", "lat")
 
 
-_INDICATORS = """
-SELECT * FROM (VALUES ('2m_temperature', 'Temperature', 'K', 2, 3, true), ('total_precipitation', 'Precipitation', 'm', 2, 3, true), ('10m_u_component_of_wind', 'Wind', 'm s**-1', 3, 3, true),
- ('10m_v_component_of_wind', 'Wind', 'm s**-1', 3, 3, true), ('leaf_area_index_high_vegetation', 'Vegetation', 'm**2 m**-2', 2, 3, true), ('leaf_area_index_low_vegetation', 'Vegetation', 'm**2 m**-2', 2, 3, true),
- ('snow_cover', 'Snow', '%', 1, 3, true), ('snowfall', 'Snow', 'm to water equivalent', 1, 3, true), ('total_cloud_cover', 'Clouds', '(0 - 1)', 1, 3, true), ('fire_weather_index', 'Extreme weather', NULL, 0, 3, false),
- ('extreme_wind_speed_days', 'Extreme weather', 'days', 0, 3, false), ('mean_wind_speed', 'Wind', 'm s**-1', 0, 3, false), ('days_with_high_fire_danger', 'Extreme weather', 'days', 0, 3, false),
- ('magnitude_of_meteorological_droughts', 'Extreme weather', NULL, 0, 1, false), ('duration_of_meteorological_droughts', 'Extreme weather', 'months', 0, 1, false), ('consecutive_dry_days', 'Extreme weather', 'days', 0, 1, false),
- ('frequency_of_extreme_precipitation', 'Extreme weather', 'days', 0, 1, false), ('extreme_precipitation_total', 'Extreme weather', 'mm', 0, 1, false), ('maximum_consecutive_five_day_precipitation', 'Extreme weather', 'mm', 0, 1, false)
-) AS t(indicator, category, unit, n_subsets, n_resolutions, reanalysis)"""
-
-
-@query("src6_indicators", _INDICATORS)
-def src6(spark, sf):
-    return C.indicators(spark).select(
-        "indicator", "category", "unit", F.coalesce(F.size("subsets"), F.lit(0)).alias("n_subsets"), F.size("temporal_resolution").alias("n_resolutions"), (F.col("project") == "era5").alias("reanalysis")
-    )
-
-
 @query("src6_read_json", "SELECT c_name AS indicator, c_mktsegment AS category, c_nationkey::BIGINT AS id, 'land' AS first_subset, c_mktsegment AS zone FROM customer")
 def src6_json(spark, sf):
     """Catalogue objects of JSON text, one indicator for each customer, read to rows."""
@@ -372,24 +348,6 @@ def flt6(spark, sf):
 
 # dates
 
-_DATES = "(VALUES (1, '2019-8-31'), (2, '2019-07-03'), (3, '2019-2-31'), (4, '07/08/2014'), (5, NULL), (6, '2019-7-4 12:30:00'))"
-_MIXED = "(VALUES (1, '2019-8-31'), (2, '07/08/2014'), (3, '25/08/2014'), (4, 'August 5, 2014'), (5, '5-Aug-2014'), (6, '2014/8/5'), (7, '5.8.2014'), (8, 'nothing'), (9, NULL))"
-
-
-def _values(spark, text: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM {text.removeprefix('(').removesuffix(')') if text.startswith('(VALUES') else text} AS t(k, s)")
-
-
-@query("dt1_parse_column", f"SELECT k, try_strptime(regexp_replace(s, '[T ][0-9]+:.*$', ''), '%Y-%m-%d')::DATE AS date FROM {_DATES} AS t(k, s)")
-def dt1(spark, sf):
-    return D.parse_date_column(_values(spark, _DATES), "s", "k").select("k", "date")
-
-
-@query("dt1_parse_rowwise", f"SELECT k, coalesce(try_strptime(s, '%Y-%m-%d'), try_strptime(s, '%m/%d/%Y'), try_strptime(s, '%d/%m/%Y'), try_strptime(s, '%B %d, %Y'), try_strptime(s, '%d-%b-%Y'), try_strptime(s, '%Y/%m/%d'), try_strptime(s, '%d.%m.%Y'))::DATE AS date FROM {_MIXED} AS t(k, s)")
-def dt1_rows(spark, sf):
-    return _values(spark, _MIXED).select("k", D.parse_date_rowwise(F.col("s")).alias("date"))
-
-
 @query("dt2_lag", sql("SELECT id, d - 10 AS back, d + 5 AS ahead, (date_trunc('month', d) - INTERVAL 2 MONTH)::DATE AS months_back FROM obs", "obs"))
 def dt2(spark, sf):
     d = F.col("d")
@@ -421,12 +379,6 @@ def dt10(spark, sf):
     return observations(spark, sf).select("id", F.date_format("d", "yyyy-MM-dd").alias("day"), F.date_format("d", "yyyy").alias("year"), F.date_format("d", "dd").alias("dom"))
 
 
-@query("dt11_vocabulary", "SELECT 'hour' AS kind, lpad(range::VARCHAR, 2, '0') || ':00' AS name FROM range(24) UNION ALL SELECT 'zone', 'utc' || CASE WHEN range < 0 THEN '-' ELSE '+' END || lpad(abs(range)::VARCHAR, 2, '0') || ':00' FROM range(-12, 15)")
-def dt11(spark, sf):
-    one = spark.range(1)
-    return one.select(F.lit("hour").alias("kind"), F.explode(D.hour_names()).alias("name")).union(one.select(F.lit("zone"), F.explode(D.zone_names())))
-
-
 # sets
 
 
@@ -447,15 +399,6 @@ def set3(spark, sf):
 
 # ids
 
-_IDS = "(VALUES (1, 'DEU.1_1'), (2, 'DEU.1.2.3_1'), (3, 'DE1'), (4, 'DE111'), (5, 'DE_01001000'), (6, '01001'), (7, '1kmN2690E4341'), (8, 'CRS3035RES1000mN2690000E4341000'), (9, 'DEU'), (10, 'x'), (11, NULL), (12, 'DE'), (13, 'FRA.1.2.3.4_'))"
-
-
-@query("str1_id_patterns", f"""SELECT k, coalesce(regexp_matches(s, '^([A-Z]{{3}})(\\.[0-9]+){{1,4}}_[0-9]{{1}}?$'), false) AS gadm, coalesce(regexp_matches(s, '[A-Z]{{2}}_[0-9]+'), false) AS lau, coalesce(regexp_matches(s, '^[A-Z]{{2}}[A-Z0-9]{{1,3}}$'), false) AS nuts,
- coalesce(regexp_matches(s, '[0-9]+k?mN[0-9]+E[0-9]+'), false) AS short_inspire, coalesce(regexp_matches(s, 'CRS[0-9]+RES[0-9]+mN[0-9]+E[0-9]+'), false) AS long_inspire, coalesce(regexp_matches(s, '^[0-1]([0-9]{{1}})?([0-9]{{1}})?([0-9]{{2}})?([0-9]{{3}})?'), false) AS ags FROM {_IDS} AS t(k, s)""")
-def str1(spark, sf):
-    return _values(spark, _IDS).select("k", *[F.coalesce(test(F.col("s")), F.lit(False)).alias(name) for name, test in I.TESTS])
-
-
 @query("str6_parse_gadm", "SELECT n_nationkey, 'ABC' || repeat('.' || n_nationkey, n_nationkey % 4 + 1) || '_1' AS id, 'ABC' AS country, n_nationkey % 4 + 1 AS level FROM nation")
 def str6(spark, sf):
     k = F.col("n_nationkey")
@@ -463,16 +406,6 @@ def str6(spark, sf):
     return df.select("n_nationkey", "id", I.gadm_country(F.col("id")).alias("country"), I.gadm_level(F.col("id")).alias("level"))
 
 
-@query("str7_parse_nuts", f"SELECT k, CASE WHEN regexp_matches(s, '^[A-Z]{{2}}[A-Z0-9]{{0,3}}$') THEN substr(s, 1, 2) END AS country, CASE WHEN regexp_matches(s, '^[A-Z]{{2}}[A-Z0-9]{{0,3}}$') THEN length(s) - 2 END AS level FROM {_IDS} AS t(k, s)")
-def str7(spark, sf):
-    return _values(spark, _IDS).select("k", I.nuts_country(F.col("s")).alias("country"), I.nuts_level(F.col("s")).alias("level"))
-
-
-@query("str8_parse_lau", f"SELECT k, nullif(regexp_extract(s, '([A-Z]{{2}})_[0-9]+', 1), '') AS country, s AS gisco_id FROM {_IDS} AS t(k, s)")
-def str8(spark, sf):
-    return _values(spark, _IDS).select("k", I.lau_country(F.col("s")).alias("country"), F.col("s").alias("gisco_id"))
-
-
 _AGS = "SELECT c_custkey AS k, CASE c_custkey % 6 WHEN 0 THEN lpad((c_custkey % 16 + 1)::VARCHAR, 2, '0') WHEN 1 THEN lpad((c_custkey % 16 + 1)::VARCHAR, 2, '0') || '1' WHEN 5 THEN '00000000' ELSE lpad((c_custkey % 16 + 1)::VARCHAR, 2, '0') || '0' || lpad((c_custkey % 50 + 1)::VARCHAR, 2, '0') || CASE WHEN c_custkey % 6 = 2 THEN '001' ELSE '' END END AS ags FROM customer"
 
 
@@ -507,24 +440,6 @@ def str11(spark, sf):
     return out.select("c_custkey", "id")
 
 
-def _card(*lines: str) -> str:
-    return "concat_ws(chr(10), " + ", ".join(f"'{x}'" for x in lines) + ")"
-
-
-@query("str13_indicator_card", "SELECT '2m_temperature' AS indicator, " + _card(
-    "Indicator:           2 metre temperature", "Category:            Temperature", "Data type:           gridded", "Unit:                K", "Spatial resolution:  0.25° x 0.25°", "Spatial coverage:    global",
-    "Temporal resolution: - hourly", "                     - daily", "                     - monthly", "Temporal coverage:   1950-01-01 00:00") + " AS card UNION ALL SELECT 'fire_weather_index', " + _card(
-    "Indicator:           Fire weather index", "Category:            Extreme weather", "Data type:           gridded", "Unit:                N/A", "Spatial resolution:  0.25° x 0.25°", "Spatial coverage:    global",
-    "Temporal resolution: - monthly", "                     - seasonal", "                     - yearly", "Temporal coverage:   1940-01-01"))
-def str13(spark, sf):
-    return C.lookup(spark, "2m_temperature").unionByName(C.lookup(spark, "fire_weather_index")).select("indicator", "card")
-
-
-@query("str14_superscript", "SELECT * FROM (VALUES (1, 'm s⁻¹'), (2, 'm² m⁻²'), (3, 'K')) AS t(k, unit)")
-def str14(spark, sf):
-    return spark.createDataFrame([(1, "m s**-1"), (2, "m**2 m**-2"), (3, "K")], "k int, unit string").select("k", T.superscript(F.col("unit")).alias("unit"))
-
-
 # math, maps, hashes
 
 
@@ -792,15 +707,6 @@ def val_arguments(spark, sf):
     return C.valid_arguments(rows).select("o_orderkey", "ok_catalogue", "ok_indicator", "ok_by_hour", "ok_statistic", "ok_time_zone", "ok_last")
 
 
-@query("srt3_by_category", f"SELECT row_number() OVER (ORDER BY category DESC, indicator) AS place, indicator, category FROM ({_INDICATORS})")
-def srt3(spark, sf):
-    """The catalogue's order as a number: the answer of a sorted list has no order of its own."""
-    listed = C.indicators(spark)
-    above = listed.select(F.col("category").alias("_c"), F.col("indicator").alias("_i"))
-    later = (F.col("_c") > F.col("category")) | ((F.col("_c") == F.col("category")) & (F.col("_i") <= F.col("indicator")))
-    return listed.join(F.broadcast(above), later).groupBy("indicator", "category").agg(F.count(F.lit(1)).alias("place"))
-
-
 # rules of linking that the inventory's lines leave open
 
 
@@ -863,8 +769,8 @@ def api1_polygon_buffer(spark, sf):
 
 _GLOBE = dict(
     g="SELECT x.range::INT AS ix, y.range::INT AS iy, -180 + (x.range + 0.5::DOUBLE) * 10 AS clon, 90 - (y.range + 0.5::DOUBLE) * 10 AS clat FROM range(36) AS x, range(18) AS y",
-    q="SELECT l_shipdate::DATE AS t, (l_suppkey % 36)::INT AS ix, (l_partkey % 18)::INT AS iy, avg(l_quantity) AS v FROM lineitem WHERE l_shipdate < DATE '1995-07-01' GROUP BY ALL",
-    p="SELECT o_orderkey AS id, o_orderdate::DATE AS d, (o_custkey * 7 % 720)::DOUBLE + 0.3::DOUBLE AS lon, (o_custkey * 11 % 179) - 89 + 0.2::DOUBLE AS lat FROM orders WHERE o_orderdate < DATE '1995-07-01'",
+    q="SELECT l_shipdate::DATE AS t, (l_suppkey % 36)::INT AS ix, (l_partkey % 18)::INT AS iy, avg(l_quantity) AS v FROM lineitem GROUP BY ALL",
+    p="SELECT o_orderkey AS id, o_orderdate::DATE AS d, (o_custkey * 7 % 720)::DOUBLE + 0.3::DOUBLE AS lon, (o_custkey * 11 % 179) - 89 + 0.2::DOUBLE AS lat FROM orders",
     near="SELECT p.id, p.d, g.ix, g.iy FROM p, g WHERE 2 * 6371.0088 * asin(least(1.0, sqrt(pow(sin(radians(clat - lat) / 2), 2) + cos(radians(lat)) * cos(radians(clat)) * pow(sin(radians(clon - lon) / 2), 2)))) <= 900",
     bc="SELECT * FROM near UNION ALL SELECT id, d, (floor((lon + 180) / 10)::INT % 36) AS ix, floor((90 - lat) / 10)::INT AS iy FROM p WHERE id NOT IN (SELECT id FROM near)",
 )
@@ -874,10 +780,10 @@ _GLOBE = dict(
     "SELECT p.id, round(m, 6) AS linked FROM p LEFT JOIN (SELECT bc.id, avg(v) AS m FROM bc JOIN q ON q.t = bc.d AND q.ix = bc.ix AND q.iy = bc.iy GROUP BY bc.id) AS a USING (id)", **_GLOBE))
 def api1_globe(spark, sf):
     """A global grid: longitudes of any name, buffers across the edge of the map and round the poles."""
-    rows = read(spark, sf, "lineitem").where("l_shipdate < date'1995-07-01'").groupBy(F.col("l_shipdate").cast("date").alias("obs_date"), (F.col("l_suppkey") % 36).alias("ix"), (F.col("l_partkey") % 18).alias("iy"))
+    rows = read(spark, sf, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("obs_date"), (F.col("l_suppkey") % 36).alias("ix"), (F.col("l_partkey") % 18).alias("iy"))
     q = Q.ingest(rows.agg(F.avg("l_quantity").alias("value")))
     at = (F.col("o_custkey") * 7 % 720).cast("double") + 0.3, (F.col("o_custkey") * 11 % 179) - 89 + F.lit(0.2)
-    obs = read(spark, sf, "orders").where("o_orderdate < date'1995-07-01'").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("d"), at[0].alias("lon"), at[1].alias("lat"))
+    obs = read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("d"), at[0].alias("lon"), at[1].alias("lat"))
     return api.link_daily(obs, q, Grid(-180.0, 90.0, 10.0, 10.0, 36, 18), "2m_temperature", date_var="d", buffer_km=900.0).select("id", _r("linked"))
 
 
@@ -927,12 +833,13 @@ def geo3_forward(spark, sf):
     return observations(spark, sf).select("id", F.round(east, 2).alias("east"), F.round(north, 2).alias("north"))
 
 
-@query("snk2_temporary_cube", sql("SELECT count(*) AS n, round(sum(v), 6) AS total FROM cube", "cube"))
+@query("snk2_temporary_cube", sql("SELECT year(t)::INT AS year, count(*) AS n, round(sum(v), 6) AS total FROM cube GROUP BY 1", "cube"))
 def snk2(spark, sf):
-    """A cube written for the time of a block, read again and deleted."""
+    """A cube written for the time of a block, read again and deleted; what was made of it stays."""
+    kept = f"{shared_dir(spark)}/totals-{uuid.uuid4().hex}"
     with temporary_cube(cube(spark, sf)) as written:
-        row = written.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total")).first()
-    return spark.createDataFrame([tuple(row)], "n long, total double")
+        written.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total")).write.parquet(kept)
+    return spark.read.parquet(kept)
 
 
-from geolink.plans import area_queries, rule_queries  # noqa: E402, F401  they register themselves
+from geolink.plans import area_queries, catalogue_queries, cube_queries, rule_queries  # noqa: E402, F401  they register themselves

@@ -26,19 +26,43 @@ def ingest(df: DataFrame, date: str = "obs_date", value: str = "value", keep: tu
     return out.where(F.col("value").isNotNull())
 
 
-#: Cells on a side of the blocks that a written cube's files keep together.
+#: Cells on a side of the tiles that a written cube's files keep together.
 BLOCK = 32
+#: Ranges of tiles that a scan is given at most; the smallest gaps between them close first.
+RANGES = 64
 
 
-def write_cube(cube: DataFrame, path: str) -> None:
-    """Parquet by year, files of neighbouring blocks of cells, sorted by block, cell and date.
+def tile(ix: Column, iy: Column) -> Column:
+    """Number of a cell's tile on a curve that keeps neighbours together (the bits of its row and column by turns)."""
 
-    So a file spans few blocks and conditions on ``ix`` and ``iy`` skip files, those
-    on ``md`` and ``obs_date`` row groups.
+    def spread(v: Column) -> Column:
+        for by, mask in ((8, 0x00FF00FF), (4, 0x0F0F0F0F), (2, 0x33333333), (1, 0x55555555)):
+            v = (v.bitwiseOR(F.shiftleft(v, by))).bitwiseAND(F.lit(mask).cast("bigint"))
+        return v
+
+    part = lambda v: F.floor(v / BLOCK).cast("bigint")
+    return spread(part(ix)).bitwiseOR(F.shiftleft(spread(part(iy)), 1))
+
+
+def write_cube(cube: DataFrame, path: str, grid: Grid | None = None) -> None:
+    """Parquet by year, files of neighbouring tiles, sorted by tile, date and cell.
+
+    So a file spans few tiles: conditions on ``tile`` (a link's own set of tiles), ``ix``
+    and ``iy`` skip files and row groups, those on ``md`` and ``obs_date`` row groups.
     """
-    block = [F.floor(F.col(k) / BLOCK).alias(f"_{k}") for k in ("iy", "ix")]
-    rows = cube.select("*", *block).repartitionByRange("year", "_iy", "_ix").sortWithinPartitions("year", "_iy", "_ix", "obs_date", "iy", "ix")
-    rows.drop("_iy", "_ix").write.partitionBy("year").mode("overwrite").parquet(path)
+    if grid and max(grid.nx, grid.ny) > BLOCK << 16:
+        raise ValueError("the grid has too many tiles")
+    rows = cube.withColumn("tile", tile(F.col("ix"), F.col("iy"))).repartitionByRange("year", "tile").sortWithinPartitions("year", "tile", "obs_date", "iy", "ix")
+    rows.write.partitionBy("year").mode("overwrite").parquet(path)
+
+
+def tile_ranges(tiles: list[int], most: int = RANGES) -> tuple[tuple[int, int], ...]:
+    """Sorted ranges that hold all of the tiles, ``most`` at most."""
+    tiles = sorted(set(tiles))
+    gaps = sorted(((b - a, b) for a, b in zip(tiles, tiles[1:], strict=False) if b > a + 1), reverse=True)[: most - 1]
+    starts = sorted({tiles[0], *(b for _, b in gaps)}) if tiles else []
+    ends = [max(t for t in tiles if t < s) for s in starts[1:]] + tiles[-1:]
+    return tuple(zip(starts, ends, strict=True))
 
 
 _STATISTIC = {"daily_mean": F.avg, "daily_maximum": F.max, "daily_minimum": F.min}
@@ -77,6 +101,7 @@ class Request:
     days: tuple[int, ...] = ()
     dates: tuple[date, date] | None = None
     month_days: tuple[str, ...] = ()
+    tiles: tuple[tuple[int, int], ...] = ()
     options: dict = field(default_factory=dict)
 
     def canonical(self) -> str:
@@ -110,6 +135,12 @@ def scan(cube: DataFrame, request: Request, grid: Grid | None = None) -> DataFra
     if request.dates:
         first, last = request.dates
         where += [F.col("obs_date").between(F.lit(first), F.lit(last)), F.col("year").between(first.year, last.year)]
+    if request.tiles and "tile" in cube.columns:
+        near = [F.col("tile").between(a, b) for a, b in request.tiles]
+        # a balanced tree: a long chain of conditions is deep
+        while len(near) > 1:
+            near = [a | b for a, b in zip(near[::2], near[1::2], strict=False)] + near[len(near) // 2 * 2 :]
+        where.append(near[0])
     if request.extent and grid:
         n, w, s, e = request.extent
         i0, i1 = int((w - grid.xmin) // grid.dx), int((e - grid.xmin) // grid.dx)

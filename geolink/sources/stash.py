@@ -2,16 +2,24 @@
 
 The index is a Parquet log: storing appends one file with an entry, deleting one
 with tombstones, and nothing is rewritten.  So a crash loses at most the entry being
-written and two writers lose none.  ``live`` reads the log as the entries that stand.
+written and two writers lose none.  ``live`` reads the log as the entries that stand;
+``compact`` puts them into one file.
+
+Of several callers that want one request, one makes it: ``materialise`` takes a claim, a
+file that only one can create, and renews it while it works; the others wait for the
+entry.  A claim that nobody renews is taken over after its lease.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
+import threading
 import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,12 +121,81 @@ class Stash:
         fs, p = self._fs(self.folder)
         fs.delete(p, True)
 
-    def materialise(self, df: DataFrame, request: dict, cache: bool = True) -> DataFrame:
-        """Reuse the stored result of an equal request, or write ``df`` once and store it."""
-        path = self.restore(request) if cache else None
-        if path is None:
-            path = f"{self.folder}/data/{request_key(request, self.service)}-{uuid.uuid4().hex}"
+    def compact(self) -> None:
+        """One file with the entries that stand takes the place of the log's files.
+
+        What others append meanwhile is not among the files that go.  Files of entries
+        go before those with tombstones: a crash between leaves entries twice, which is
+        harmless, and none that was dead.
+        """
+        where = f"{self.folder}/index"
+        if not self.exists(where):
+            return
+        fs, p = self._fs(where)
+        old = [str(s.getPath().toString()) for s in fs.listStatus(p) if s.getPath().getName().startswith("part-")]
+        log = self.spark.read.schema(SCHEMA).parquet(*old)
+        dead = {r.f for r in log.where("dead").select(F.input_file_name().alias("f")).distinct().collect()}
+        live(log).withColumn("dead", F.lit(False)).select(*[c.split(" ")[0] for c in SCHEMA.split(", ")]).coalesce(1).write.mode("append").parquet(where)
+        names = {d.rsplit("/", 1)[1] for d in dead}
+        for path in sorted(old, key=lambda o: o.rsplit("/", 1)[1] in names):
+            fs.delete(self._fs(path)[1], False)
+
+    def _claim(self, key: str, lease: float) -> str | None:
+        """The path of a claim that is now ours, or None while another's holds."""
+        path = f"{self.folder}/claims/{key}"
+        fs, p = self._fs(path)
+        with contextlib.suppress(Py4JJavaError):
+            fs.create(p, False).close()
+            return path
+        with contextlib.suppress(Py4JJavaError):  # it may go while we look
+            if time.time() - fs.getFileStatus(p).getModificationTime() / 1000 > lease:
+                # only one caller's rename of the old claim succeeds
+                gone = f"{path}-{uuid.uuid4().hex}"
+                if fs.rename(p, self._fs(gone)[1]):
+                    fs.delete(self._fs(gone)[1], False)
+        return None
+
+    @contextlib.contextmanager
+    def _renewed(self, path: str, lease: float):
+        """Keep a claim fresh for the time of a block, then give it back."""
+        fs, p = self._fs(path)
+        over = threading.Event()
+
+        def renew():
+            while not over.wait(lease / 4):
+                with contextlib.suppress(Py4JJavaError):
+                    fs.setTimes(p, int(time.time() * 1000), -1)
+
+        beat = threading.Thread(target=renew, daemon=True)
+        beat.start()
+        try:
+            yield
+        finally:
+            over.set()
+            beat.join()
+            fs.delete(p, False)
+
+    def materialise(self, df: DataFrame, request: dict, cache: bool = True, lease: float = 600.0, wait: float = 0.5) -> DataFrame:
+        """Reuse the stored result of an equal request, or write ``df`` once and store it.
+
+        A caller waits (looking every ``wait`` seconds) while another one's claim to the
+        same request is younger than ``lease`` seconds.
+        """
+        key = request_key(request, self.service)
+        if not cache:
+            path = f"{self.folder}/data/{key}-{uuid.uuid4().hex}"
             df.write.parquet(path)
-            if cache:
+            return self.spark.read.parquet(path)
+        while True:
+            if path := self.restore(request):
+                return self.spark.read.parquet(path)
+            if claim := self._claim(key, lease):
+                break
+            time.sleep(wait)
+        with self._renewed(claim, lease):
+            path = self.restore(request)  # stored between our look and our claim
+            if path is None:
+                path = f"{self.folder}/data/{key}-{uuid.uuid4().hex}"
+                df.write.parquet(path)
                 self.store(path, request)
         return self.spark.read.parquet(path)
