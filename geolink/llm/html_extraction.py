@@ -120,6 +120,21 @@ def parse(html: str) -> Page:
     """The element tree of a page, with HTML's implied end tags where blocks need them."""
     page, stack, at, run = Page(), [0], 0, 0
     tags, parents, names, texts = page.tag, page.parent, page.names, page.texts
+    # where in the stack elements of each name, and blocks, are open: no tag looks through the stack
+    places: dict[str, list[int]] = {}
+    blocks_open: list[int] = []
+    deepest = lambda several: max((places[t][-1] for t in several if places.get(t)), default=0)
+
+    def cut(k: int) -> bool:
+        """Close all elements from place ``k`` on; whether a block was among them."""
+        for x in stack[k:]:
+            places[tags[x]].pop()
+        del stack[k:]
+        before = len(blocks_open)
+        while blocks_open and blocks_open[-1] >= k:
+            blocks_open.pop()
+        return len(blocks_open) < before
+
     scan = _markup(html)
     for start, end, closing, name, attributes in scan:
         if start > at:
@@ -128,27 +143,15 @@ def parse(html: str) -> Page:
         if name is None:
             continue
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == name:
-                    run += any(tags[x] in BLOCK for x in stack[k:])
-                    del stack[k:]
-                    break
+            if places.get(name):
+                run += cut(places[name][-1])
             continue
         if name in BLOCK:
             run += 1
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] == "p":
-                    del stack[k:]
-                    break
-                if tags[stack[k]] in BLOCK:
-                    break
-        if name in SIBLINGS:
-            for k in range(len(stack) - 1, 0, -1):
-                if tags[stack[k]] in FENCE[name]:
-                    break
-                if tags[stack[k]] in SIBLINGS[name]:
-                    del stack[k:]
-                    break
+            if blocks_open and tags[stack[blocks_open[-1]]] == "p":
+                cut(blocks_open[-1])
+        if name in SIBLINGS and (k := deepest(SIBLINGS[name])) > deepest(FENCE[name]):
+            cut(k)
         node = len(tags)
         tags.append(name)
         parents.append(stack[-1])
@@ -163,6 +166,9 @@ def parse(html: str) -> Page:
             if name == "br":
                 texts.append((stack[-1], " ", run))
         elif not attributes.endswith("/"):
+            places.setdefault(name, []).append(len(stack))
+            if name in BLOCK:
+                blocks_open.append(len(stack))
             stack.append(node)
     if at < len(html):
         texts.append((stack[-1], unescape(html[at:]), run))
@@ -275,10 +281,12 @@ class Model:
     odds: np.ndarray
 
 
-def boost(x: np.ndarray, y: np.ndarray, *, trees: int = 60, depth: int = 4, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> Trees:
+def boost(x: np.ndarray, y: np.ndarray, *, trees: int = 80, depth: int = 5, rate: float = 0.25, bins: int = 32, ridge: float = 1.0) -> Trees:
     """Second-order gradient boosting on the logistic loss with histogram splits."""
     n, k = x.shape
-    cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(k)]
+    # values of a kind (tags, counts) are told apart one by one, others by quantiles
+    distinct = [np.unique(x[:, j]) for j in range(k)]
+    cuts = [d[:-1] if len(d) <= 2 * bins else np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j, d in enumerate(distinct)]
     code = np.stack([np.searchsorted(cuts[j], x[:, j], side="left") for j in range(k)])
     base = float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
     score = np.full(n, base)
@@ -359,7 +367,7 @@ class Extractor:
 
 
 #: Generated pages that the trees are fitted on.
-PAGES = 400
+PAGES = 500
 SEED = 11
 
 
@@ -367,6 +375,9 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
     """A generated page and, for each of its elements in order, whether it holds main text."""
     html: list[str] = []
     truth: list[bool] = [True]
+    # telling names, names of a layout that say nothing, or names in a language of the page's own
+    style = str(rng.choice(["telling", "plain", "own"], p=[0.6, 0.25, 0.15]))
+    own: dict[str, str] = {}
 
     def word():
         return "".join(rng.choice(_SYLLABLES) for _ in range(rng.integers(1, 4)))
@@ -374,10 +385,18 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
     def sentence(n):
         return " ".join(word() for _ in range(n)).capitalize() + str(rng.choice([".", ".", ".", "!", "?", " |", "***"], p=[0.4, 0.2, 0.2, 0.05, 0.05, 0.05, 0.05]))
 
+    def title():
+        n = int(rng.integers(1, 7))
+        return sentence(n) if rng.random() < 0.3 else " ".join(word() for _ in range(n)).capitalize()
+
     def prose(lo, hi):
         return " ".join(sentence(int(rng.integers(3, 15))) for _ in range(rng.integers(lo, hi)))
 
     def some(tokens):
+        if style == "plain":
+            return " ".join(str(rng.choice(_LAYOUT)) + str(rng.integers(1, 9)) for _ in range(rng.integers(1, 4)))
+        if style == "own":
+            return own.setdefault(tokens[0], "".join(rng.choice(_LETTERS) for _ in range(rng.integers(4, 11))))
         return str(rng.choice(tokens)) + ("-" + word() if rng.random() < 0.3 else "")
 
     def name(tokens, p=0.8):
@@ -433,6 +452,8 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
         put(tag, False, name(tokens, 0.4 if tag == "nav" else 1), lambda: put("ul", False, "", lambda: links(int(rng.integers(2, 12)))))
 
     def notice(tokens, tag="div", long=(1, 3)):
+        if style != "telling" and tag == "div":
+            return  # prose in a div without a telling name is text
         put(tag, False, name(tokens, 1), lambda: (put("p", False, "", prose(*long)) if rng.random() < 0.4 else html.append(prose(*long))))
 
     def form():
@@ -443,6 +464,21 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
         put("form", False, name(["search", "login", "newsletter", "subscribe", "signup", "form"], 0.5), inside)
 
     def comments():
+        def listed():
+            for _ in range(rng.integers(1, 7)):
+                def entry():
+                    put(str(rng.choice(["cite", "b", "strong", "span"])), False, "", word().capitalize())
+                    put(str(rng.choice(["time", "small", "span"])), False, "", f"{rng.integers(1, 29)}.{rng.integers(1, 13)}.{rng.integers(1990, 2030)} {rng.integers(0, 24)}:{rng.integers(10, 60)}")
+                    put("p", False, "", prose(1, 3))
+                    if rng.random() < 0.5:
+                        put("a", False, f' href="#{word()}"', word())
+                put("li", False, name(["comment", "reply", "depth"], 0.5), entry)
+        if rng.random() < 0.4 or style != "telling":
+            if rng.random() < 0.5:
+                put("h3", False, "", f"{rng.integers(1, 40)} {word()}")
+            put("ol" if rng.random() < 0.6 else "ul", False, name(["commentlist", "comments", "comment-list", "children"], 0.7), listed)
+            return
+
         def inside():
             put("h3", False, "", word())
             for _ in range(rng.integers(1, 6)):
@@ -461,28 +497,43 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
         elif kind < 0.3:
             put("blockquote", True, "", lambda: put("p", True, "", text))
         elif kind < 0.34:
-            put("h2", True, "", sentence(int(rng.integers(1, 6))))
+            put("h2", True, "", title())
         elif kind < 0.37:
             put("div", True, "", text)
+        elif kind < 0.39:
+            cells = lambda: (put("th", True, "", word().capitalize()), put("td", True, "", sentence(int(rng.integers(1, 5)))))
+            put("table", True, name(["infobox", "data", "facts"], 0.5), lambda: [put("tr", True, "", cells) for _ in range(rng.integers(2, 6))])
         else:
             put("p", True, "", text if rng.random() < 0.8 else sentence(int(rng.integers(1, 4))))
 
     def article():
         if rng.random() < 0.25:
             put("header", False, "", lambda: put("p", False, name(["byline", "meta", "author"], 0.7), sentence(3)))
-        if rng.random() < 0.85:
-            put("h1", True, "", sentence(int(rng.integers(1, 9))))
+        if rng.random() < 0.92:
+            put("h1", True, "", title())
         for _ in range(int(rng.choice([1, 1, 2, 4, 8, 20]))):
             paragraph()
             if rng.random() < 0.06:
                 notice(["ad", "advert", "promo", "related", "share", "sponsored", "callout-ad", "newsletter"], str(rng.choice(["div", "aside"])))
         if rng.random() < 0.15:
             put("div", False, name(["share", "sharing", "social", "tags"], 1), lambda: links(int(rng.integers(2, 5)), item="span"))
+        if style != "telling" and rng.random() < 0.3:
+            bar("div", int(rng.integers(3, 8)))
         if rng.random() < 0.12:
             comments()
         if rng.random() < 0.1:
             put("footer", False, "", prose(1, 2))
 
+    def last():
+        mark = str(rng.choice(["&copy; ", "© ", "&copy; 20"])) + word()
+        if style != "telling" and rng.random() < 0.7:
+            inside = lambda: (html.append(f"{mark} {sentence(int(rng.integers(1, 6)))} "), [put("a", False, f' href="/{word()}"', word()) for _ in range(rng.integers(0, 5))])
+            put("div", False, name(["footer"], 0.8), inside)
+        elif rng.random() < 0.8:
+            put("footer", False, name(["footer", "credits", "legal"], 0.5), f"{mark} {prose(1, 3)}")
+        else:
+            put("div", False, name(["footer", "disclaimer", "credits", "legal"], 1), prose(1, 3) if style == "telling" else f"{mark} {prose(1, 3)}")
+
     def body():
         if rng.random() < 0.3:
             notice(["cookie", "cookies", "consent", "notice", "alert", "banner", "gdpr", "overlay", "modal"])
@@ -499,9 +550,9 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
         wrap = rng.random()
         if wrap < 0.1:
             layout()
-        elif wrap < 0.6:
+        elif wrap < 0.45:
             put("article", True, name(["post", "entry", "story", "article", "hentry"], 0.3), article)
-        elif wrap < 0.75:
+        elif wrap < 0.6:
             put("main", True, "", lambda: put("article", True, "", article) if rng.random() < 0.5 else article())
         else:
             put("div", True, name(["content", "post-body", "entry-content", "main", "article-text", "story", "prose", "copy", "text", "body"], 0.9), article)
@@ -514,20 +565,23 @@ def sample_page(rng: np.random.Generator) -> tuple[str, list[bool]]:
         if rng.random() < 0.15:
             form()
         if rng.random() < 0.9:
-            put("footer", False, name(["footer", "credits", "legal"], 0.5), "&copy; " + prose(1, 3)) if rng.random() < 0.8 else put("div", False, name(["footer", "disclaimer", "credits", "legal"], 1), prose(1, 3))
+            last()
 
     def head():
         put("meta", False, ' charset="utf-8"', close=False)
         put("title", False, "", word())
         if rng.random() < 0.5:
-            put("style", False, "", "p{margin:0}")
+            put("style", False, "", f".{word()}{{{word()}:{rng.integers(0, 99)}px}}")
         if rng.random() < 0.5:
-            put("script", False, "", "track(1);")
+            put("script", False, "", f"var {word()} = {rng.integers(0, 99)}; {word()}();")
 
     put("html", True, "", lambda: (put("head", False, "", head), put("body", True, "", body)))
     return "<!DOCTYPE html>" + "".join(html), truth
 
 
+#: Names that speak of looks only.
+_LAYOUT = ("col-", "mt-", "px-", "w-", "flex-", "grid-", "row-", "text-", "css-", "sc-")
+_LETTERS = list("abcdefghijklmnoprstuvwz")
 _SYLLABLES = ["an", "be", "ca", "do", "el", "fi", "go", "hu", "in", "jo", "ka", "lu", "mi", "no", "ou", "pe", "qui", "re", "so", "tri", "un", "ve", "wa", "xi", "yo", "zu", "THE", "é", "ß", "ñ"]
 
 

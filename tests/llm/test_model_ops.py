@@ -143,6 +143,49 @@ def test_hostile_pages_take_linear_time(unit, end):
     assert times[1] < 3 and times[1] < 30 * max(times[0], 0.02)
 
 
+@pytest.mark.parametrize("parts", [("<span>", "<hr>"), ("<div>", "</x>"), ("<p><b>", "<li>"), ("<ul><span>", "<td>"), ("<table><i>", "<tr>"), ("<em>", "</p>")])
+def test_deep_pages_take_linear_time(parts):
+    n = 1_000_000 // sum(map(len, parts))
+    began = time.process_time()
+    page = H.parse(parts[0] * n + "text" + parts[1] * n)
+    assert time.process_time() - began < 6 and len(page.tag) > n
+
+
+A = "The river rises in the hills above the town, and in spring it carries more water than the old bridge was built for. "
+B = "People remember the flood of that year, when boats went through the market, and nobody had seen such a thing before. "
+WHOLE = [
+    # utility names only
+    (f'<body><div class="flex px-4 mt-2"><a href=/>Home</a> <a href=/n>News</a> <a href=/c>Contact</a></div><div class="grid w-8"><h1>The river</h1><p>{A}</p><p>{B}</p></div><div class="mt-8 text-3">© 2020 Town Press <a href=/i>Imprint</a> <a href=/p>Privacy</a></div></body>',
+     f"The river\n{A.strip()}\n{B.strip()}"),
+    # names of another language
+    (f'<body><nav class="leiste"><ul><li><a href=/>Start</a></li><li><a href=/a>Archiv</a></li></ul></nav><div class="inhalt"><h1>Der Fluss</h1><p>{A}</p><p>{B}</p></div><div class="fusszeile">© 2021 Verlag <a href=/i>Impressum</a> <a href=/d>Datenschutz</a></div></body>',
+     f"Der Fluss\n{A.strip()}\n{B.strip()}"),
+    # readers' comments as a list beside the article
+    (f'<body><article><h1>Bridge</h1><p>{A}</p><p>{B}</p></article><h3>2 comments</h3><ol class="commentlist"><li><cite>Ann</cite> <span>3.4.2011 10:12</span><p>I was there, and it was worse.</p><a href="#r">Reply</a></li><li><cite>Bob</cite> <span>4.4.2011 09:40</span><p>So was I, with my father.</p><a href="#r">Reply</a></li></ol></body>',
+     f"Bridge\n{A.strip()}\n{B.strip()}"),
+    # a table of facts in the article
+    (f'<body><article><h1>River</h1><table class="infobox"><tr><th>Length</th><td>84 km in all.</td></tr><tr><th>Source</th><td>Two springs near the pass.</td></tr></table><p>{A}</p><p>{B}</p></article><footer>© 2019 All rights reserved</footer></body>', None),
+    # a list in the article, an unclosed paragraph, scripts between
+    (f'<body><nav><a href=/>Home</a> <a href=/x>More</a></nav><main><h1>Steps</h1><p>{A}<script>var a = 1;</script><ul><li>First, look at the water and wait for the evening.</li><li>Then walk home, slowly, along the wall.</li></ul><p>{B}</main></body>',
+     f"Steps\n{A.strip()}\nFirst, look at the water and wait for the evening.\nThen walk home, slowly, along the wall.\n{B.strip()}"),
+    # a form and a search box
+    (f'<body><form action=/s><input name=q><button>Search</button></form><article><h1>Water</h1><p>{A}</p><blockquote><p>{B}</p></blockquote></article><form><label>Mail</label><input><button>Subscribe</button></form></body>',
+     f"Water\n{A.strip()}\n{B.strip()}"),
+    # only text
+    (f"<p>{A}<p>{B}", f"{A.strip()}\n{B.strip()}"),
+    (f"<html><head><title>T</title><style>p {{}}</style></head><body><div class=content><h2>Flood</h2><p>{A}</p><p><em>{B}</em></p></div></body></html>", f"Flood\n{A.strip()}\n{B.strip()}"),
+]
+
+
+@pytest.mark.parametrize("html,want", WHOLE)
+def test_whole_texts_of_hand_made_pages(html, want):
+    text = H.Extractor(H.fitted()).texts([html])[0]
+    if want is None:
+        assert all(x in text for x in ("84 km in all.", "Two springs near the pass.", A.strip(), B.strip())) and "rights" not in text
+    else:
+        assert text == want
+
+
 HAND_MADE = [
     # a table layout of old, without any names
     ("<html><body><table width=100%><tr><td colspan=2><a href=/>Home</a> <a href=/b>News</a> <a href=/c>About</a> <a href=/d>Links</a></td></tr><tr><td valign=top><a href=1>One</a><br><a href=2>Two</a><br><a href=3>Three</a></td>"
