@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +64,27 @@ def carried(df: DataFrame, keep: tuple[str, ...], results: tuple[str, ...]) -> l
     return [F.struct(*[F.col(f"`{k}`") for k in keep]).alias("_kept")] if keep else []
 
 
+def keeping(f):
+    """For operators with ``keep``: kept columns go under names of their own and get theirs back at the end.
+
+    So a caller's column meets no helper's name; one called like a result is refused.
+    """
+    default = inspect.signature(f).parameters["keep"].default
+
+    @functools.wraps(f)
+    def run(df: DataFrame, *args, keep: tuple[str, ...] = default, **options):
+        if not keep:
+            return f(df, *args, keep=(), **options)
+        own = {f"_keep{i}": name for i, name in enumerate(keep)}
+        out = f(df.withColumns({k: df[f"`{name}`"] for k, name in own.items()}), *args, keep=tuple(own), **options)
+        results = {c.lower() for c in out.columns if c not in own}
+        if clash := [name for name in keep if name.lower() in results]:
+            raise ValueError(f"kept columns have names of results: {', '.join(clash)}; rename them first")
+        return out.withColumnsRenamed(own)
+
+    return run
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark for broadcast if the table, counted now, is within the bound; else leave the join to AQE.
 

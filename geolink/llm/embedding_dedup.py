@@ -343,6 +343,17 @@ def op10_embedding_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "embeddings"), Scratch(spark, "op10"))
 
 
+def op10_near_copies(spark, sf_dir: str) -> DataFrame:
+    """The embeddings, each with a scaled and a perturbed copy: cosines from 0.94 to 1, so links are found and missed."""
+    rows = table(spark, sf_dir, "embeddings")
+    id_ = F.col("vec_id")
+    swing = lambda i: 1 + (F.lit(0.1) + F.lit(0.05) * (id_ % 10)) * (((id_ * 7 + i.cast("long") * 13) % 11 - 5) / F.lit(5.0))
+    one = F.transform("embedding", lambda e: e.cast("double"))
+    copies = F.array(one, F.transform(one, lambda e: e * 1.5), F.transform(one, lambda e, i: e * swing(i)))
+    each = rows.select("vec_id", F.posexplode(copies).alias("k", "embedding")).select((id_ * 3 + F.col("k")).alias("vec_id"), "embedding")
+    return near_duplicates(each, Scratch(spark, "op10-copies"))
+
+
 SQL = r"""
 WITH RECURSIVE v AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
@@ -357,3 +368,9 @@ WITH RECURSIVE v AS (
 SELECT vec_id, coalesce(k.n, 0)::BIGINT AS n_links, m.c AS component_id, m.c = vec_id AS kept
 FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) k ON k.a = vec_id JOIN (SELECT id, min(c) AS c FROM r GROUP BY id) m ON m.id = vec_id
 """
+#: The same over the table with its copies.
+COPIES_SQL = SQL.replace("WITH RECURSIVE v AS (", """WITH RECURSIVE copies AS (
+  SELECT vec_id * 3 AS vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS embedding FROM embeddings UNION ALL
+  SELECT vec_id * 3 + 1, list_transform(embedding, lambda x: x::DOUBLE * 1.5::DOUBLE) FROM embeddings UNION ALL
+  SELECT vec_id * 3 + 2, list_transform(embedding, lambda x, i: x::DOUBLE * (1 + (0.1::DOUBLE + 0.05::DOUBLE * (vec_id % 10)) * (((vec_id * 7 + (i - 1) * 13) % 11 - 5) / 5.0::DOUBLE))) FROM embeddings
+), v AS (""").replace("FROM embeddings\n  WHERE", "FROM copies\n  WHERE").replace("AS c FROM embeddings UNION", "AS c FROM copies UNION").replace("FROM embeddings LEFT JOIN", "FROM copies LEFT JOIN")

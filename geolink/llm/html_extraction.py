@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geolink.llm.common import table
+from geolink.llm.common import keeping, table
 
 #: Fixed values of HTML: elements without content, with raw text, that end an open paragraph, that flow inside a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -602,6 +602,7 @@ def fitted() -> Model:
     return Model(boost(x, np.concatenate(truths).astype(float)), odds)
 
 
+@keeping
 def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """``page_id``, the columns in ``keep``, ``text`` and ``n_chars`` for every page."""
     rows = pages.select(F.col(id_col).alias("page_id"), *keep, F.col(html_col).cast("string").alias("_html"))

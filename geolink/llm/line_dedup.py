@@ -39,7 +39,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geolink.llm.common import SPACE_CLASS, SPACES, Scratch, table, text_or_empty
+from geolink.llm.common import SPACES, SPACE_CLASS, Scratch, keeping, table, text_or_empty
 
 GRAM, WINDOW = 2, 2
 #: Words from which a run of fewer lines counts.
@@ -120,6 +120,7 @@ def repeated_runs(docs: DataFrame, scratch: Scratch, *, id_col: str, text_col: s
     return found.groupBy("doc_id").agg(F.collect_set(F.struct("start", "size")).alias("starts"))
 
 
+@keeping
 def remove_lines(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW, words: int | None = WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """Delete later repeated runs: ``doc_id, text, n_lines, n_removed`` and ``keep``."""
     found = repeated_runs(docs, scratch, id_col=id_col, text_col=text_col, gram=gram, window=window, words=words).withColumnRenamed("doc_id", "_id")

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from geolink.llm.common import Scratch, small, table, text_or_empty, unit_hash, word_count
+from geolink.llm.common import Scratch, keeping, small, table, text_or_empty, unit_hash, word_count
 
 #: Characters that lower a document's quality weight.
 SYMBOLS = "#*$%&|<>!"
@@ -81,6 +81,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: tuple[i
     return found.select("source", "source_size", "weight", target.cast("double").alias("target"))
 
 
+@keeping
 def mix(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
     """Take each document 0, 1 or 2 times so that sources come near their targets.
 

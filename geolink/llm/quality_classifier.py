@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geolink.llm.common import table
+from geolink.llm.common import keeping, table
 from geolink.llm.textkernel import chunks, window_hashes, word_hashes, words
 
 #: Words in a passage; most labelled documents that training reads; hidden and attention units; training steps.
@@ -192,6 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return train(bags, got["y"].to_numpy())
 
 
+@keeping
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, held_out, score, predicted`` and ``keep`` for every row."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"), (_fold(id_col) == 1).alias("held_out"), *keep)

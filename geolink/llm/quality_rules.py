@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geolink.llm.common import SPACE_CLASS, SPACES, table, text_or_empty, word_list
+from geolink.llm.common import SPACES, SPACE_CLASS, keeping, table, text_or_empty, word_list
 
 SYMBOLS = "#*$%&|<>"
 SOLID = f"[^{SPACE_CLASS}]"
@@ -68,6 +68,7 @@ def menu_lines(short: str, i: Column) -> Column:
     return at(0) & ((at(-2) & at(-1)) | (at(-1) & at(1)) | (at(1) & at(2)))
 
 
+@keeping
 def clean(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Judge every row: base counts, ``base_failed``, ``lost_words``, ``kept`` and the cleaned ``text``."""
     lines = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("_t"), *keep)

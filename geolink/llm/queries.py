@@ -19,6 +19,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+    "op10_near_copies": embedding_dedup.op10_near_copies,
     "op11_centroid_clustering": centroid_clustering.op11_centroid_clustering,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
     "op13_document_fingerprints": document_fingerprints.op13_document_fingerprints,
@@ -33,6 +34,7 @@ ORACLE_SQL = {
     "op5_run_dedup": line_dedup.RUN_SQL,
     "op8_quality_rules": quality_rules.SQL,
     "op10_embedding_dedup": embedding_dedup.SQL,
+    "op10_near_copies": embedding_dedup.COPIES_SQL,
     "op11_centroid_clustering": centroid_clustering.SQL,
     "op12_conversation_repair": conversation_repair.SQL,
 }

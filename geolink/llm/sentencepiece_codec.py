@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geolink.llm.common import table
+from geolink.llm.common import keeping, table
 
 MARK = "▁"
 #: Segments that a worker remembers at once.
@@ -228,6 +228,7 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+@keeping
 def encode(docs: DataFrame, *, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", ids: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Encode and decode every text: ``doc_id, n_tokens, ids_sha256, decoded_sha256, n_corrected`` and ``keep``.
 

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from geolink.llm.common import Scratch, small, table, text_or_empty
+from geolink.llm.common import Scratch, keeping, small, table, text_or_empty
 
 SHARDS = 16
 #: Rows numbered by one task at once, about.
@@ -43,6 +43,7 @@ def shard_of(key: Column, shards: int, weights: tuple[float, ...] | None = None)
     return best["shard"].cast("int")
 
 
+@keeping
 def assign(docs: DataFrame, scratch: Scratch, *, shards: int = SHARDS, weights: tuple[float, ...] | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Shard every row: ``doc_id, size, text_crc32, law, shard, slot, grown_shard`` and ``keep``.
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolink.llm import hashblocks
-from geolink.llm.common import table, text_bytes
+from geolink.llm.common import keeping, table, text_bytes
 from geolink.llm.textkernel import chunks, joined, mix, window_checks, window_hashes, word_hashes, words
 
 LENGTH = 50
@@ -130,6 +130,7 @@ def repeated_windows(docs: DataFrame, *, id_col: str, text_col: str, length: int
     return counted.groupBy("part").applyInArrow(gather, "doc_id long, starts binary")
 
 
+@keeping
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, texts: bool = True, buckets: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Remove repeated windows: ``doc_id, n_words, n_removed, kept_sha256`` and ``keep``.
 

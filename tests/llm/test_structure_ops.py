@@ -15,6 +15,32 @@ from geolink.llm import conversation_repair as R
 from geolink.llm import document_fingerprints as D
 from geolink.llm.common import Scratch
 
+# --- kept columns of earlier operators
+
+HELPERS = ("_text", "_t", "_place", "_number", "_range", "size", "Words", "_sub_text", "_html", "_id", "_keep0", "a.b")
+
+
+@pytest.mark.parametrize("name", ["mix", "assign", "remove_repeats", "remove_lines", "encode", "clean", "extract"])
+def test_kept_columns_of_any_name(spark, name):
+    from geolink.llm import html_extraction, line_dedup, mixing, quality_rules, sentencepiece_codec, sharding, substring_dedup
+
+    f = {
+        "mix": lambda d, k: mixing.mix(d, Scratch(spark, "t"), keep=k), "assign": lambda d, k: sharding.assign(d, Scratch(spark, "t"), keep=k), "remove_repeats": lambda d, k: substring_dedup.remove_repeats(d, keep=k),
+        "remove_lines": lambda d, k: line_dedup.remove_lines(d, Scratch(spark, "t"), keep=k), "encode": lambda d, k: sentencepiece_codec.encode(d, keep=k), "clean": lambda d, k: quality_rules.clean(d, keep=k),
+        "extract": lambda d, k: html_extraction.extract(d, id_col="doc_id", html_col="text", keep=k),
+    }[name]
+    docs = spark.createDataFrame([(i, "one two three\nfour five six\nseven", "en", "a") for i in range(4)], "doc_id long, text string, lang string, source string")
+    docs = docs.select("*", *[F.concat(F.lit(h), F.col("doc_id").cast("string")).alias(h) for h in HELPERS])
+    results = {c.lower() for c in f(docs, ()).columns}
+    names = tuple(h for h in HELPERS if h.lower() not in results)
+    for r in f(docs, names).collect():
+        i = r["page_id" if name == "extract" else "doc_id"]
+        assert all(r[h] == f"{h}{i}" for h in names)
+    taken = next(c for c in f(docs, ()).columns if c not in ("doc_id", "page_id", "text"))
+    with pytest.raises(ValueError, match="names of results"):
+        f(docs.withColumn(taken, F.lit(1)), (taken,))
+
+
 # --- centroid clustering
 
 
