@@ -120,8 +120,3 @@ def from_laea(east: Column, north: Column) -> tuple[Column, Column]:
     e4, e6 = _E2**2, _E2**3
     lat = beta + (_E2 / 3 + 31 * e4 / 180 + 517 * e6 / 5040) * F.sin(2 * beta) + (23 * e4 / 360 + 251 * e6 / 3780) * F.sin(4 * beta) + 761 * e6 / 45360 * F.sin(6 * beta)
     return F.when(rho == 0, F.lit(_LON0)).otherwise(lon), F.degrees(lat)
-
-
-def unproject(rings: Column) -> Column:
-    """Rings in EPSG:3035 to longitude and latitude."""
-    return F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(from_laea(p["x"], p["y"])[0].alias("x"), from_laea(p["x"], p["y"])[1].alias("y"))))

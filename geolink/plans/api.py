@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geolink.functions.dates import link_date, month_day
-from geolink.functions.geometry import EARTH_KM, bounds, from_laea, unproject
+from geolink.functions.geometry import EARTH_KM, bounds
+from geolink.functions.projections import Geographic, projection, unproject
 from geolink.operators import cover, extract, gridlink
 from geolink.sources import catalogue as C
 from geolink.sources.cube import BLOCK, Request, daily_statistic, ingest, monthly_mean, scan, tile, tile_ranges
@@ -151,7 +152,7 @@ def _tiles(places: DataFrame, grid: Grid, aside: float, up: float) -> tuple[tupl
 def link_observations(obs: DataFrame, cube: DataFrame | CumulativeCube, grid: Grid, spec: LinkSpec, *, date_col: str = "date", lon: str = "lon", lat: str = "lat", rings: str | None = None, crs: int = 4326, prune: bool = True) -> DataFrame:
     """Points (``lon``, ``lat``) or polygons (``rings``) with ``linked`` and, given a baseline, ``baseline`` and ``deviation``.
 
-    ``crs`` names the system of the coordinates, 4326 or 3035; the columns stay as
+    ``crs`` is the EPSG code of the coordinates (``functions.projections``); the columns stay as
     they are, whatever their names (one called like a result gives way to it).  So do
     rows and their number, whatever the observations' ids and however many rows the
     cube holds for a cell and date (their mean counts).  ``cube`` may also be running
@@ -159,19 +160,18 @@ def link_observations(obs: DataFrame, cube: DataFrame | CumulativeCube, grid: Gr
     NaN, infinite or beyond the poles link with nothing.
     """
     C.check_columns(obs, date_col, *([rings] if rings else [lon, lat]))
-    if crs not in (4326, 3035):
-        raise ValueError(f"crs must be 4326 or 3035; got {crs!r}")
+    system = projection(crs)
     names = ["linked", *(["baseline", "deviation"] if spec.baseline else [])]
     when = link_date(obs[f"`{date_col}`"].cast("date"), spec.time_lag, spec.grain)
     if rings:
         shape = obs[f"`{rings}`"]
-        at = extract.wrapped(obs, names, date=when, shape=shape if crs == 4326 else unproject(shape))
+        at = extract.wrapped(obs, names, date=when, shape=shape if system is Geographic else unproject(shape, crs))
         # an outer explode of one: what reads the shape stops there instead of copying its formula; 128 bits stand for it
         at = at.select("row", "date", F.explode_outer(F.array("shape")).alias("shape")).withColumns({"p": F.xxhash64("shape"), "q": F.xxhash64(F.lit("rings"), "shape")})
         place, box = ["p", "q"], bounds(F.col("shape"))
     else:
         x, y = obs[f"`{lon}`"].cast("double"), obs[f"`{lat}`"].cast("double")
-        x, y = (x, y) if crs == 4326 else from_laea(x, y)
+        x, y = system.inverse(x, y)
         at = extract.wrapped(obs, names, date=when, at=F.struct(x.alias("x"), y.alias("y")))
         at = at.select("row", "date", F.explode_outer(F.array("at")).alias("at")).select("row", "date", "at.x", "at.y")
         place, box = ["x", "y"], {"xmin": F.col("x"), "xmax": F.col("x"), "ymin": F.col("y"), "ymax": F.col("y")}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from geolink.functions.projections import projection
 from geolink.plans import api
 from geolink.plans.datasets import GRID, cube, observations, read, sql
 from geolink.plans.registry import query, rounded
@@ -43,3 +44,29 @@ def _stamped(indicator: str):
 
 for _i in _RULES:
     _stamped(_i)
+
+
+_SPAN_OF_4 = "SELECT o.id, avg(c.v) AS linked FROM cells o JOIN cube c ON c.ix = o.ix AND c.iy = o.iy AND c.t BETWEEN o.d - 3 AND o.d GROUP BY o.id"
+
+
+@query("api1_utm_points", sql("SELECT o.id, round(linked, 6) AS linked FROM cells o LEFT JOIN s USING (id)", "obs", "cells", "cube", s=_SPAN_OF_4))
+def api1_utm(spark, sf):
+    """Observations in UTM zone 32."""
+    east, north = projection(32632).forward(F.col("lon"), F.col("lat"))
+    obs = observations(spark, sf).select("id", "d", east.alias("lon"), north.alias("lat"))
+    return api.link_daily(obs, cube(spark, sf), GRID, "2m_temperature", date_var="d", time_span=3, crs=32632).select("id", rounded("linked"))
+
+
+@query("geo3_round_trips", sql("SELECT id, code, round(lon, 7) AS lon, round(lat, 7) AS lat FROM obs, (VALUES (3035), (32632), (25831), (3995), (3413), (32661)) AS t(code)", "obs"))
+def geo3_trips(spark, sf):
+    """Every point to six projected systems and back."""
+    each = []
+    for code in (3035, 32632, 25831, 3995, 3413, 32661):
+        east, north = projection(code).forward(F.col("lon"), F.col("lat"))
+        there = observations(spark, sf).select("id", east.alias("e"), north.alias("n"))
+        lon, lat = projection(code).inverse(F.col("e"), F.col("n"))
+        each.append(there.select("id", F.lit(code).alias("code"), F.round(lon, 7).alias("lon"), F.round(lat, 7).alias("lat")))
+    out = each[0]
+    for more in each[1:]:
+        out = out.unionByName(more)
+    return out

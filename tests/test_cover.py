@@ -172,3 +172,40 @@ def test_a_run_asks_for_two_rows(spark, sf):
         want.setdefault((r.x, r.y), []).append(value[r.ix, r.iy])
     for r in obs.collect():
         assert got[r.id] == pytest.approx(sum(want[r.lon, r.lat]) / len(want[r.lon, r.lat]), abs=1e-9)
+
+
+def test_projections_meet_published_examples(spark):
+    from geolink.functions.projections import PolarStereographic, TransverseMercator, projection
+
+    airy = TransverseMercator(6377563.396, 1 / 299.32496, 49.0, -2.0, 0.9996012717, 400_000.0, -100_000.0)
+    cases = [(airy, 0.5, 50.5, 577274.99, 69740.50), (projection(32661), 44.0, 73.0, 3320416.75, 632668.43), (projection(3032), 120.0, -75.0, 7255380.79, 7053389.56)]
+    assert isinstance(projection(32661), PolarStereographic)
+    one = spark.range(1)
+    for system, lon, lat, east, north in cases:
+        e, n = system.forward(F.lit(lon), F.lit(lat))
+        x, y = system.inverse(F.lit(east), F.lit(north))
+        r = one.select(e.alias("e"), n.alias("n"), x.alias("x"), y.alias("y")).first()
+        assert (r.e, r.n) == (pytest.approx(east, abs=0.01), pytest.approx(north, abs=0.01)) and (r.x, r.y) == (pytest.approx(lon, abs=1e-6), pytest.approx(lat, abs=1e-6))
+    # on the central meridian a northing is the meridian's arc
+    a, e2 = 6378137.0, (2 - 1 / 298.257223563) / 298.257223563
+    arc_m = sum(a * (1 - e2) / (1 - e2 * math.sin(math.radians(47 * (k + 0.5) / 20000)) ** 2) ** 1.5 * math.radians(47 / 20000) for k in range(20000))
+    e, n = projection(32633).forward(F.lit(15.0), F.lit(47.0))
+    r = one.select(e.alias("e"), n.alias("n")).first()
+    assert r.e == pytest.approx(500_000, abs=1e-6) and r.n == pytest.approx(0.9996 * arc_m, abs=0.001)
+    south = projection(32733).forward(F.lit(15.0), F.lit(-47.0))[1]
+    assert one.select(south.alias("n")).first().n == pytest.approx(10_000_000 - r.n, abs=1e-6)
+    for bad in (1, 32600, 32800, 27700):
+        with pytest.raises(ValueError):
+            projection(bad)
+
+
+def test_projected_polygons_link(spark):
+    from geolink.functions.projections import projection
+
+    grid = Grid(12.0, 50.0, 1.0, 1.0, 4, 4)
+    e, n = projection(32633).forward(F.col("x"), F.col("y"))
+    corners = spark.createDataFrame([(0, 13.0, 47.0), (1, 15.0, 47.0), (2, 15.0, 48.0), (3, 13.0, 48.0)], "k int, x double, y double")
+    ring = [{"x": r.e, "y": r.n} for r in corners.select("k", e.alias("e"), n.alias("n")).orderBy("k").collect()]
+    areas = spark.createDataFrame([(1, "1999-01-01", [ring])], f"id long, date string, rings {RINGS}")
+    q = cube(spark, [("1999-01-01", i, j, float(10 * i + j)) for i in range(4) for j in range(4)])
+    assert api.link_daily(areas, q, grid, IND, rings="rings", crs=32633).first().linked == 17.0
