@@ -31,20 +31,43 @@ def _tensor(grid: Grid, lon: Column, lat: Column, offsets: range, weight) -> Col
     return F.when(grid.cell(lon, lat).isNotNull(), cells)
 
 
-def neighbours(grid: Grid, lon: Column, lat: Column, method: str) -> Column:
-    """array<struct(ix, iy, w)>: the cells a target centre takes its value from; NULL outside the grid."""
+def _overlaps(grid: Grid, lon: Column, lat: Column, cell: tuple[float, float]) -> Column:
+    """The cells that a target cell of size ``cell`` overlaps, by their share of its area: one overlap an axis, multiplied."""
+
+    def axis(low: Column, high: Column, n: int) -> Column:
+        """Numbers and lengths of the unit intervals between two places on an axis of n of them."""
+        a, b = F.greatest(low, F.lit(0.0)), F.least(high, F.lit(float(n)))
+        steps = F.sequence(F.floor(a).cast("int"), F.greatest(F.floor(a), F.ceil(b) - 1).cast("int"))
+        return F.when(a < b, F.transform(steps, lambda k: F.struct(k.alias("k"), (F.least(b, k + F.lit(1.0)) - F.greatest(a, k.cast("double"))).alias("w"))))
+
+    u, v = (lon - grid.xmin) / grid.dx, (grid.ymax - lat) / grid.dy
+    du, dv = cell[0] / grid.dx / 2, cell[1] / grid.dy / 2
+    columns, rows = axis(u - du, u + du, grid.nx), axis(v - dv, v + dv, grid.ny)
+    return F.flatten(F.transform(columns, lambda c: F.transform(rows, lambda r: F.struct(c["k"].alias("ix"), r["k"].alias("iy"), (c["w"] * r["w"]).alias("w")))))
+
+
+def neighbours(grid: Grid, lon: Column, lat: Column, method: str, cell: tuple[float, float] | None = None) -> Column:
+    """array<struct(ix, iy, w)>: the cells a target centre (for ``average``, its cell) takes its value from; NULL outside the grid."""
+    if method == "average":
+        if cell is None:
+            raise ValueError("method average needs the size of the target's cells")
+        return _overlaps(grid, lon, lat, cell)
     if method == "near":
         return _near(grid, lon, lat)
     if method == "bilinear":
         return _tensor(grid, lon, lat, range(0, 2), lambda d: 1.0 - F.abs(d))
     if method == "cubic":
         return _tensor(grid, lon, lat, range(-1, 3), _cubic)
-    raise ValueError("method must be near, bilinear or cubic")
+    raise ValueError("method must be near, bilinear, cubic or average")
 
 
-def resample(target: DataFrame, layer: DataFrame, grid: Grid, method: str = "bilinear", out: str = "linked") -> DataFrame:
-    """``target`` (tx, ty, lon, lat) with the layer's (ix, iy, value); weights renormalise over cells with a value."""
-    wide = target.select("tx", "ty", F.explode(neighbours(grid, F.col("lon"), F.col("lat"), method)).alias("n")).select("tx", "ty", "n.ix", "n.iy", "n.w")
+def resample(target: DataFrame, layer: DataFrame, grid: Grid, method: str = "bilinear", out: str = "linked", cell: tuple[float, float] | None = None) -> DataFrame:
+    """``target`` (tx, ty, lon, lat) with the layer's (ix, iy, value); weights renormalise over cells with a value.
+
+    ``average`` is conservative: where every cell has a value and the target covers the
+    grid, areas times values add up to the same.
+    """
+    wide = target.select("tx", "ty", F.explode(neighbours(grid, F.col("lon"), F.col("lat"), method, cell)).alias("n")).select("tx", "ty", "n.ix", "n.iy", "n.w")
     hit = wide.join(layer.where("value is not null").select("ix", "iy", "value"), ["ix", "iy"])
     weight = F.sum("w")
     value = F.when(F.abs(weight) > 1e-9, F.sum(F.col("w") * F.col("value")) / weight)
@@ -67,12 +90,12 @@ def baseline_layer(cube: DataFrame, link_date: Column, first: int, last: int, sp
     return cube.where(F.col("year").between(first, last) & match).groupBy("ix", "iy").agg(F.avg("value").alias("value"))
 
 
-def grid_link(target: DataFrame, cube: DataFrame, grid: Grid, date: str, *, span: int = 0, baseline: tuple[int, int] | None = None, method: str = "bilinear", grain: str = "day") -> DataFrame:
+def grid_link(target: DataFrame, cube: DataFrame, grid: Grid, date: str, *, span: int = 0, baseline: tuple[int, int] | None = None, method: str = "bilinear", grain: str = "day", cell: tuple[float, float] | None = None) -> DataFrame:
     """Target cells with ``linked`` and, given a baseline, ``baseline`` and ``deviation`` (same method for both)."""
     at = F.to_date(F.lit(date))
-    out = resample(target, span_layer(cube, at, span, grain), grid, method, "linked")
+    out = resample(target, span_layer(cube, at, span, grain), grid, method, "linked", cell)
     if baseline:
-        out = resample(out, baseline_layer(cube, at, *baseline, span, grain), grid, method, "baseline")
+        out = resample(out, baseline_layer(cube, at, *baseline, span, grain), grid, method, "baseline", cell)
         out = out.withColumn("deviation", F.col("linked") - F.col("baseline"))
     return out
 

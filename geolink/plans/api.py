@@ -35,6 +35,7 @@ class LinkSpec:
     by_hour: str | bool = False
     method: str = "bilinear"
     stamp: str = "catalogue"
+    cell: tuple[float, float] | None = None
 
     @staticmethod
     def of(resolution: str, indicator: str, catalogue: str, **options) -> LinkSpec:
@@ -230,16 +231,16 @@ def _link_grid(target: DataFrame, cube: DataFrame, grid: Grid, spec: LinkSpec, d
     C.check_columns(target, "tx", "ty", "lon", "lat", date_col)
     C.check_uniform_date(target, date_col)
     at = target.select(link_date(F.col(date_col).cast("date"), spec.time_lag, spec.grain).cast("string").alias("d")).first()["d"]
-    return gridlink.grid_link(target, _cube(cube, spec), grid, at, span=spec.time_span, baseline=spec.baseline, method=spec.method, grain=spec.grain)
+    return gridlink.grid_link(target, _cube(cube, spec), grid, at, span=spec.time_span, baseline=spec.baseline, method=spec.method, grain=spec.grain, cell=spec.cell)
 
 
 def link_daily_grid(target: DataFrame, cube: DataFrame, grid: Grid, indicator: str, *, date_col: str = "date", catalogue: str = "derived-era5-land-daily-statistics", **options) -> DataFrame:
-    """Link a target grid (tx, ty, lon, lat, one date) by day; also takes ``method``."""
+    """Link a target grid (tx, ty, lon, lat, one date) by day; also takes ``method`` and, for ``average``, ``cell``, the size of its cells."""
     C._one_of(options.get("method", "bilinear"), C.METHODS, "method")
     return _link_grid(target, cube, grid, LinkSpec.of("daily", indicator, catalogue, **options), date_col)
 
 
 def link_monthly_grid(target: DataFrame, cube: DataFrame, grid: Grid, indicator: str, *, date_col: str = "date", catalogue: str = "reanalysis-era5-land-monthly-means", **options) -> DataFrame:
-    """Link a target grid by month; also takes ``method``."""
+    """Link a target grid by month; also takes ``method`` and ``cell``."""
     C._one_of(options.get("method", "bilinear"), C.METHODS, "method")
     return _link_grid(target, cube, grid, LinkSpec.of("monthly", indicator, catalogue, **options), date_col)

@@ -14,6 +14,7 @@ from geolink.sources import raster
 from geolink.sources.cube import ingest, write_cube
 from geolink.sources.cumulative import accumulate
 from geolink.sources.grid import Grid
+from geolink.streaming.stream_link import daily_statistics_stream, link_streams
 
 
 def _raster(spark, sf) -> str:
@@ -72,3 +73,45 @@ def src2_tiles(spark, sf):
     lon, lat = F.when(k % 2 == 0, F.lit(0.05)).otherwise(F.lit(55.05)) + (k % 40) * F.lit(0.1), F.when(k % 2 == 0, F.lit(0.05)).otherwise(F.lit(59.95))
     obs = read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").alias("d"), lon.alias("lon"), lat.alias("lat"))
     return api.link_daily(obs, spark.read.parquet(path), WIDE, "2m_temperature", date_var="d", time_span=60).select("id", "linked")
+
+
+def _written(spark, stream) -> object:
+    """What a stream has to say of all that is there, written by micro-batches and read back."""
+    where = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    run = stream.writeStream.format("parquet").option("path", f"{where}/out").option("checkpointLocation", f"{where}/log").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{where}/out")
+
+
+def _events(spark, sf):
+    """Events as a stream, and a last one years later (for each side), so that every watermark passes them all."""
+    source = read(spark, sf, "events")
+    where = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
+    end = source.limit(1).select(*[F.lit("2030-01-01").cast("timestamp_ntz").alias("ts") if c == "ts" else F.lit(None).cast(source.schema[c].dataType).alias(c) for c in source.columns])
+    source.unionByName(end).write.parquet(where)
+    return spark.readStream.schema(source.schema).parquet(where)
+
+
+@query("stream_event_time_link", """
+WITH h AS (SELECT date_trunc('hour', ts) AS t, (user_id % 5)::INT AS ix, (user_id % 4)::INT AS iy, avg(value) AS v FROM events WHERE event_type <> 'purchase' GROUP BY ALL)
+SELECT event_id, round(v, 6) AS linked FROM events LEFT JOIN h ON h.t = date_trunc('hour', ts) AND ix = event_id % 5 AND iy = event_id % 4
+""")
+def stream_links(spark, sf):
+    """Events as points against hourly layers of other events, both arriving; those without a layer come out with NULL once it can't come any more."""
+    arriving = _events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+    lon, lat = GRID.centre(F.col("event_id") % 5, F.col("event_id") % 4)
+    points = arriving.select("event_id", "ts", F.coalesce(lon, F.lit(-1.0)).alias("lon"), F.coalesce(lat, F.lit(-1.0)).alias("lat"))
+    # layers are made once and arrive as files do
+    made = read(spark, sf, "events").where("event_type <> 'purchase'").groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("ts"), (F.col("user_id") % 5).cast("int").alias("ix"), (F.col("user_id") % 4).cast("int").alias("iy")).agg(F.avg("value").alias("value"))
+    last = made.limit(1).select(F.lit("2030-01-01").cast("timestamp").alias("ts"), F.lit(0).alias("ix"), F.lit(0).alias("iy"), F.lit(None).cast("double").alias("value"))
+    where = f"{shared_dir(spark)}/layers-{uuid.uuid4().hex}"
+    made.unionByName(last).write.parquet(where)
+    layers = spark.readStream.schema(made.schema).parquet(where)
+    return _written(spark, link_streams(points, layers, GRID)).where("event_id is not null").select("event_id", rounded("linked"))
+
+
+@query("stream_daily_statistics", "SELECT ts::DATE AS obs_date, (user_id % 5)::INT AS ix, (event_id % 4)::INT AS iy, round(avg(value), 6) AS mean, max(value) AS maximum, min(value) AS minimum FROM events GROUP BY ALL")
+def stream_daily(spark, sf):
+    """Daily statistics of a stream, each day written when the watermark has passed it."""
+    hourly = _events(spark, sf).select(F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 5).cast("int").alias("ix"), (F.col("event_id") % 4).cast("int").alias("iy"), "value")
+    return _written(spark, daily_statistics_stream(hourly)).where("ix is not null").select("obs_date", "ix", "iy", rounded("mean"), "maximum", "minimum")

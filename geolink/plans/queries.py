@@ -547,7 +547,7 @@ def _grid_query(method: str):
     return run
 
 
-for _m in C.METHODS:
+for _m in ("near", "bilinear", "cubic"):
     query(f"grd2_{_m}", _grid_sql(_m))(_grid_query(_m))
 
 

@@ -1,4 +1,4 @@
-"""Streams of observations against a static cube, and daily statistics of an hourly stream (extensions)."""
+"""Streams: observations against a static cube, hourly data to daily statistics, and observations against arriving layers (extensions)."""
 
 from __future__ import annotations
 
@@ -20,3 +20,21 @@ def daily_statistics_stream(hourly: DataFrame, delay: str = "1 day", ts: str = "
     rows = hourly.withWatermark(ts, delay).groupBy(day.alias("w"), "ix", "iy")
     out = rows.agg(F.avg(value).alias("mean"), F.max(value).alias("maximum"), F.min(value).alias("minimum"))
     return out.select(F.to_date("w.start").alias("obs_date"), "ix", "iy", "mean", "maximum", "minimum")
+
+
+def link_streams(observations: DataFrame, layers: DataFrame, grid: Grid, *, ts: str = "ts", lon: str = "lon", lat: str = "lat", late: str = "2 days", wait: str = "1 day", out: str = "linked") -> DataFrame:
+    """Points and layers that both arrive: each point gets the value of its cell and hour.
+
+    ``layers`` holds (ts, ix, iy, value), one row an hour and cell.  A point waits for its
+    layer up to ``wait`` of event time; one whose layer has not come when the
+    watermarks (``late`` behind the latest times) pass that comes out with NULL.  Points without a
+    cell come out with NULL too.  State holds what may still meet: points not yet older
+    than the wait, layers not yet older than the points that may come.
+    """
+    cell = grid.cell(F.col(lon), F.col(lat))
+    points = observations.withColumn("_cell", F.coalesce(cell, F.struct(F.lit(-1).alias("ix"), F.lit(-1).alias("iy")))).withWatermark(ts, late)
+    right = layers.select(F.col("ts").alias("_at"), F.col("ix").alias("_ix"), F.col("iy").alias("_iy"), F.col("value").alias(out)).withWatermark("_at", late)
+    hour = lambda c: F.date_trunc("hour", c)
+    same = (F.col("_cell.ix") == F.col("_ix")) & (F.col("_cell.iy") == F.col("_iy")) & (hour(ts) == hour("_at"))
+    near = (F.col("_at") >= F.col(ts) - F.expr("interval 1 hour")) & (F.col("_at") <= F.col(ts) + F.expr(f"interval {wait}"))
+    return points.join(right, same & near, "left").select(*observations.columns, out)

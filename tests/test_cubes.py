@@ -230,6 +230,46 @@ def test_files_of_others(spark, tmp_path):
         raster.read_raster(spark, f"file://{tmp_path}/b.nc").count()
 
 
+# --- resampling by area
+
+
+def test_averages_keep_the_sum(spark):
+    from geolink.operators import gridlink
+    from geolink.sources.grid import target_grid
+
+    source, to = Grid(0.0, 6.0, 1.0, 1.0, 8, 6), Grid(0.0, 6.0, 1.6, 0.75, 5, 8)
+    pick = random.Random(6)
+    layer = [(i, j, pick.random() * 100) for i in range(8) for j in range(6)]
+    df = spark.createDataFrame(layer, "ix int, iy int, value double")
+    out = gridlink.resample(target_grid(spark, to), df, source, "average", cell=(to.dx, to.dy)).collect()
+    assert sum(r.linked for r in out) * to.dx * to.dy == pytest.approx(sum(v for _, _, v in layer), abs=1e-9)
+    hole = gridlink.resample(target_grid(spark, to), df.where("ix <> 0 or iy <> 0"), source, "average", cell=(to.dx, to.dy)).collect()
+    assert all(r.linked is not None for r in hole if (r.tx, r.ty) != (0, 0))
+    with pytest.raises(ValueError):
+        gridlink.resample(target_grid(spark, to), df, source, "average")
+
+
+# --- two streams
+
+
+def test_late_layers_and_points_without_one(spark, tmp_path):
+    from geolink.streaming.stream_link import link_streams
+
+    stamp = lambda s: datetime.datetime.fromisoformat(s)
+    points = [[(1, stamp("2024-01-01 10:30:00"), 0.5, 1.5), (2, stamp("2024-01-01 11:30:00"), 0.5, 1.5), (3, stamp("2024-01-01 10:30:00"), float("nan"), 1.5)], [(4, stamp("2024-01-09 00:00:00"), 0.5, 1.5)], [(5, stamp("2024-01-30 00:00:00"), 0.5, 1.5)], [(6, stamp("2024-02-20 00:00:00"), 0.5, 1.5)]]
+    layers = [[(stamp("2024-01-01 01:00:00"), 0, 0, 9.0)], [(stamp("2024-01-01 10:00:00"), 0, 0, 7.0), (stamp("2024-01-09 00:00:00"), 0, 0, 4.0)], [(stamp("2024-01-30 00:00:00"), 1, 1, 1.0)], [(stamp("2024-01-01 11:00:00"), 0, 0, 8.0), (stamp("2024-02-20 00:00:00"), 1, 1, 1.0)]]
+    for k, (p, q) in enumerate(zip(points, layers, strict=True)):
+        spark.createDataFrame(p, "id long, ts timestamp, lon double, lat double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/p")
+        spark.createDataFrame(q, "ts timestamp, ix int, iy int, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/q")
+    read = lambda ddl, d: spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/{d}")
+    out = link_streams(read("id long, ts timestamp, lon double, lat double", "p"), read("ts timestamp, ix int, iy int, value double", "q"), SMALL)
+    run = out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start()
+    run.awaitTermination()
+    got = {r.id: r.linked for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    # 1: its layer came a file later; 2: after the watermark had passed; 3: no cell
+    assert got[1] == 7.0 and got[2] is None and got[3] is None and got[4] == 4.0 and 6 not in got
+
+
 # --- claims
 
 
