@@ -13,6 +13,7 @@ from geolink.plans import api
 from geolink.plans.datasets import read
 from geolink.plans.registry import query, rounded
 from geolink.sources.cube import ingest
+from geolink.sources.geometry_codec import from_geojson, from_wkb, to_wkb
 from geolink.sources.grid import Grid
 
 FINE = Grid(5.0, 51.0, 0.1, 0.1, 50, 40)
@@ -132,3 +133,37 @@ def geo2_arc(spark, sf):
     line = F.array(F.struct(x.alias("x"), y.alias("y")), F.struct((x + 0.71).alias("x"), (y + 0.43).alias("y")))
     rows = read(spark, sf, "customer").select("c_custkey", F.array(line).alias("shape"))
     return cover.near_cells(cover.edges(rows, ["c_custkey"], "shape"), ["c_custkey"], FINE, 15.0).select("c_custkey", "iy", "ix")
+
+
+def _shapes(spark, sf):
+    """A square with a triangular hole for each customer, at whole and half degrees."""
+    x, y = (F.col("c_custkey") % 50).cast("double"), (F.col("c_custkey") % 30).cast("double")
+    corner = lambda a, b: F.struct((x + a).alias("x"), (y + b).alias("y"))
+    rings = F.array(F.array(corner(0, 0), corner(4.5, 0), corner(4.5, 4), corner(0, 4)), F.array(corner(1, 1), corner(2, 1.25), corner(1.5, 2)))
+    return read(spark, sf, "customer").select("c_custkey", rings.alias("shape"))
+
+
+_SUMS = "SELECT c_custkey, 2 AS n_rings, 7 AS n_points, 7.0::DOUBLE * (c_custkey % 50) + 13.5::DOUBLE AS sx, 7.0::DOUBLE * (c_custkey % 30) + 12.25::DOUBLE AS sy FROM customer"
+
+
+def _summed(df) -> DataFrame:
+    points = F.flatten("rings")
+    total = lambda k: F.aggregate(points, F.lit(0.0), lambda a, p: a + p[k])
+    return df.select("c_custkey", F.size("rings").alias("n_rings"), F.size(points).alias("n_points"), total("x").alias("sx"), total("y").alias("sy"))
+
+
+@query("src7_wkb_areas", _SUMS)
+def src7_wkb(spark, sf):
+    """Shapes through well-known binary: even ones with the most significant byte first, with a system's number."""
+    shapes = _shapes(spark, sf)
+    big, small = to_wkb(shapes.where("c_custkey % 2 = 0"), "shape", big=True, srid=4326), to_wkb(shapes.where("c_custkey % 2 = 1"), "shape")
+    return _summed(from_wkb(big.unionByName(small).drop("shape"), "wkb"))
+
+
+@query("src7_geojson_areas", _SUMS)
+def src7_geojson(spark, sf):
+    """Shapes through GeoJSON, every third as a feature."""
+    pairs = F.to_json(F.transform("shape", lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"]))))
+    geometry = F.concat(F.lit('{"type":"Polygon","coordinates":'), pairs, F.lit("}"))
+    text = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('{"type":"Feature","properties":{"a":1},"geometry":'), geometry, F.lit("}"))).otherwise(geometry)
+    return _summed(from_geojson(_shapes(spark, sf).select("c_custkey", text.alias("json")), "json"))

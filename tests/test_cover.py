@@ -209,3 +209,27 @@ def test_projected_polygons_link(spark):
     areas = spark.createDataFrame([(1, "1999-01-01", [ring])], f"id long, date string, rings {RINGS}")
     q = cube(spark, [("1999-01-01", i, j, float(10 * i + j)) for i in range(4) for j in range(4)])
     assert api.link_daily(areas, q, grid, IND, rings="rings", crs=32633).first().linked == 17.0
+
+
+def test_geometry_codec(spark):
+    import struct
+
+    from geolink.sources.geometry_codec import from_geojson, from_wkb
+
+    point = lambda o, kind, *v: struct.pack(f"{o}BI", o == "<", kind) + struct.pack(f"{o}{len(v)}d", *v)
+    ring = lambda o, *v: struct.pack(f"{o}I", len(v)) + b"".join(struct.pack(f"{o}{len(p)}d", *p) for p in v)
+    area = lambda o, kind, *rings: struct.pack(f"{o}BII", o == "<", kind, len(rings)) + b"".join(rings)
+    several = struct.pack(">BII", 0, 6, 2) + area("<", 3, ring("<", (0, 0), (1, 0), (1, 1))) + area(">", 1003, ring(">", (5, 5, 9), (6, 5, 9), (6, 6, 9)))
+    cases = {
+        "point": point("<", 1, 3.0, 4.0), "z": point(">", 1001, 3.0, 4.0, 5.0), "zm": point("<", 0xC0000001, 3.0, 4.0, 5.0, 6.0), "srid": struct.pack("<BII", 1, 0x20000001, 4326) + struct.pack("<2d", 3.0, 4.0),
+        "several": several, "void": point("<", 1, float("nan"), float("nan")), "line": struct.pack("<BII", 1, 2, 0), "cut": several[:-3], "none": None, "blank": b"", "noise": b"\x07abc",
+    }
+    df = spark.createDataFrame(list(cases.items()), "k string, lon binary").withColumn("rings", F.lit(1))
+    got = {r.k: r for r in from_wkb(df.withColumnRenamed("lon", "w"), "w").collect()}
+    assert all((got[k].lon, got[k].lat, got[k].rings) == (3.0, 4.0, None) for k in ("point", "z", "zm", "srid"))
+    assert [[tuple(p) for p in r] for r in got["several"].rings] == [[(0, 0), (1, 0), (1, 1)], [(5, 5), (6, 5), (6, 6)]] and got["void"].rings == []
+    assert all(got[k].lon is None and got[k].rings is None for k in ("line", "cut", "none", "blank", "noise"))
+    text = {"p": '{"type":"Point","coordinates":[1.5,2]}', "m": '{"type":"Feature","geometry":{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0,7],[1,1]]],[[[2,2],[3,2],[3,3]]]]}}', "bad": "{", "null": None, "line": '{"type":"LineString","coordinates":[[0,0],[1,1]]}'}
+    got = {r.k: r for r in from_geojson(spark.createDataFrame(list(text.items()), "k string, j string"), "j").collect()}
+    assert (got["p"].lon, got["p"].lat) == (1.5, 2.0) and [[tuple(p) for p in r] for r in got["m"].rings] == [[(0, 0), (1, 0), (1, 1)], [(2, 2), (3, 2), (3, 3)]]
+    assert all(got[k].lon is None and got[k].rings is None for k in ("bad", "null", "line"))
