@@ -67,9 +67,9 @@ _DERIVED = (
     ("extreme_precipitation_total", "Total extreme precipitation", "Extreme weather", "mm", "yearly"),
     ("maximum_consecutive_five_day_precipitation", "Maximum consecutive five-day precipitation", "Extreme weather", "mm", "yearly"),
 )
-#: Default arguments of reanalysis indicators, and a warning of one of them.
+#: Default arguments of reanalysis indicators; a warning of one of them.
 _ARGUMENTS = {"only_land": "true", "statistic": "daily_mean", "time_zone": "utc+00:00"}
-_WARNINGS = {"total_precipitation": {"by_hour && !only_land": "If `by_hour` and `land_only`, timestamp is one hour earlier than usual."}}
+_WARNINGS = {"total_precipitation": {"by_hour && !only_land": "Stamps of one hour's layers are an hour early unless only land is asked for."}}
 ITEM = (
     "name string, id long, category string, project string, data_type string, subsets array<string>, unit string, spatial_resolution string, spatial_coverage string,"
     " temporal_resolution array<string>, temporal_coverage string, arguments map<string,string>, warning map<string,string>"
