@@ -243,8 +243,10 @@ def encode(docs: DataFrame, *, vocabulary: str = VOCABULARY, id_col: str = "doc_
         codec = _codec(vocabulary if "/" in vocabulary else tokenizer_path(vocabulary))
         for batch in batches:
             texts = batch.column("_text").fill_null("")
-            out: dict[str, list] = {"n": [], "i": [], "d": [], "c": [], "ids": [], "text": []}
+            # a slice's results leave before the next slice's are made
             for at in range(0, len(texts), TEXTS):
+                part = batch.slice(at, TEXTS)
+                out: dict[str, list] = {"n": [], "i": [], "d": [], "ids": [], "text": []}
                 for one in codec.encode(texts[at : at + TEXTS].to_pylist()):
                     text = codec.decode(one)
                     out["n"].append(len(one) // 4)
@@ -253,13 +255,12 @@ def encode(docs: DataFrame, *, vocabulary: str = VOCABULARY, id_col: str = "doc_
                     if ids:
                         out["ids"].append(np.frombuffer(one, dtype="<i4"))
                         out["text"].append(text)
-                out["c"] += codec.met
-            made = [pa.array(out["n"], pa.int64()), pa.array(out["i"], pa.string()), pa.array(out["d"], pa.string()), pa.array(out["c"], pa.int64())]
-            names = ["n_tokens", "ids_sha256", "decoded_sha256", "n_corrected"]
-            if ids:
-                made += [pa.array(out["ids"], pa.list_(pa.int32())), pa.array(out["text"], pa.string())]
-                names += ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), *made], names=[*(f.name for f in fields), *names])
+                made = [pa.array(out["n"], pa.int64()), pa.array(out["i"], pa.string()), pa.array(out["d"], pa.string()), pa.array(codec.met, pa.int64())]
+                names = ["n_tokens", "ids_sha256", "decoded_sha256", "n_corrected"]
+                if ids:
+                    made += [pa.array(out["ids"], pa.list_(pa.int32())), pa.array(out["text"], pa.string())]
+                    names += ["ids", "decoded"]
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), *made], names=[*(f.name for f in fields), *names])
 
     return rows.mapInArrow(run, schema)
 
