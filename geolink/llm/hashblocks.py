@@ -34,7 +34,7 @@ def _width(buckets: int) -> int:
 
 
 def pack(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray | None = None, checks: np.ndarray | None = None, buckets: int = 0) -> bytes:
-    """``docs`` should come in runs; ``places`` should rise within a run; ``checks`` keep 16 bits.
+    """``docs`` should come in runs; ``places`` should rise within a run; ``checks`` keep 32 bits.
 
     Hashes and checks are as random as they look and stay as they are, less the byte
     that their bucket (one of ``buckets``) says already; the small differences of ids
@@ -43,7 +43,7 @@ def pack(hashes: np.ndarray, docs: np.ndarray, places: np.ndarray | None = None,
     small = [_planes(np.diff(docs, prepend=0).astype("<i8"))]
     if places is not None:
         small.append(_planes(np.diff(places, prepend=0).astype("<i4")))
-    body = hashes.astype("<u8").view(np.uint8).reshape(len(hashes), 8)[:, : _width(buckets)].T.tobytes() + (b"" if checks is None else checks.astype("<u2").tobytes())
+    body = hashes.astype("<u8").view(np.uint8).reshape(len(hashes), 8)[:, : _width(buckets)].T.tobytes() + (b"" if checks is None else checks.astype("<u4").tobytes())
     return len(hashes).to_bytes(4, "little") + body + zstandard.compress(b"".join(small), 1)
 
 
@@ -51,7 +51,7 @@ def unpack(raw: bytes, places: bool = True, checks: bool = False, buckets: int =
     """(hashes, docs), then places and checks as packed; hashes are comparable within their bucket."""
     n, width = int.from_bytes(raw[:4], "little"), _width(buckets)
     at = 4 + width * n
-    tail = at + (2 * n if checks else 0)
+    tail = at + (4 * n if checks else 0)
     hashes = np.zeros((n, 8), dtype=np.uint8)
     hashes[:, :width] = np.frombuffer(raw[4:at], np.uint8).reshape(width, n).T
     small = zstandard.decompress(raw[tail:])
@@ -59,10 +59,22 @@ def unpack(raw: bytes, places: bool = True, checks: bool = False, buckets: int =
     if places:
         out.append(np.cumsum(_unplanes(small[8 * n :], n, "<i4")))
     if checks:
-        out.append(np.frombuffer(raw[at:tail], "<u2"))
+        out.append(np.frombuffer(raw[at:tail], "<u4"))
     return tuple(out)
 
 
+def pack_places(docs: np.ndarray, places: np.ndarray) -> bytes:
+    """Documents and positions alone, sorted by both, as differences through zstd."""
+    order = np.lexsort((places, docs))
+    small = [_planes(np.diff(docs[order], prepend=0).astype("<i8")), _planes(np.diff(places[order], prepend=0).astype("<i4"))]
+    return len(docs).to_bytes(4, "little") + zstandard.compress(b"".join(small), 1)
+
+
+def unpack_places(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n, small = int.from_bytes(raw[:4], "little"), zstandard.decompress(raw[4:])
+    return np.cumsum(_unplanes(small[: 8 * n], n, "<i8")), np.cumsum(_unplanes(small[8 * n :], n, "<i4")).astype(np.int32)
+
+
 def by_bucket(hashes: np.ndarray, buckets: int):
     """Yield (bucket, indices in their old order) for every bucket that has hashes."""
     b = bucket_of(hashes, buckets)
