@@ -68,13 +68,21 @@ def passages(column: pa.Array):
         own = start[text] + (np.arange(len(text)) - w.first[text]) // PASSAGE  # passage of each word
         out = np.zeros((total, WIDTH), dtype=np.float32)
         if len(text):
-            # a byte belongs to the passage of the word it is in or follows
+            # a byte belongs to the passage of the word it is in or follows; blanks before a text's first word to none
             head = np.r_[True, own[1:] != own[:-1]]
             spans = np.r_[w.starts[head], len(data)]
             of_byte = np.repeat(own[head], np.diff(spans))
             kind = _CLASS[data[spans[0] :]]
-            pair = kind[:-1] * _K + kind[1:]
-            counts = np.bincount(of_byte[:-1] * (_K * _K) + pair, minlength=total * _K * _K)[: total * _K * _K].reshape(total, -1)
+            # pairs lie within one text, so a score doesn't depend on the texts beside it
+            edge = np.zeros(len(data) + 1, dtype=np.int32)
+            np.add.at(edge, offsets[:-1], 1)
+            np.add.at(edge, np.where(w.counts > 0, w.starts[np.minimum(w.first[:-1], len(w.starts) - 1)], offsets[1:]), -1)
+            solid = np.cumsum(edge[:-1]) == 0
+            ends = offsets[1:]
+            solid[ends[ends > 0] - 1] = False
+            solid = solid[spans[0] : -1]
+            pair = (kind[:-1] * _K + kind[1:])[solid]
+            counts = np.bincount(of_byte[:-1][solid] * (_K * _K) + pair, minlength=total * _K * _K)[: total * _K * _K].reshape(total, -1)
             out[:, : _K * _K] = np.sqrt(counts / np.maximum(1, counts.sum(axis=1, keepdims=True)))
             h = word_hashes(w)
             size = np.bincount(own, minlength=total)
@@ -86,7 +94,7 @@ def passages(column: pa.Array):
             inside = np.arange(len(grams)) + 3 <= w.first[text[: len(grams)] + 1]
             n = np.bincount(text[: len(grams)][inside], minlength=len(per))
             once = _distinct(text[: len(grams)][inside], grams[inside], len(per))
-            out[:, -2] = np.repeat(1 - once / np.maximum(1, n), per)
+            out[:, -2] = np.repeat((n - once) / np.maximum(1, n), per)  # no trigram, none repeated
             out[:, -1] = np.repeat(np.log1p(w.counts) / 10, per)
         for i in range(len(per)):
             yield lo + i, out[start[i] : start[i + 1]]

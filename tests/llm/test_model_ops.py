@@ -1,8 +1,11 @@
 """Tokenizer, classifier, page extraction and the pipeline."""
 
 import hashlib
+import math
+import re
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -85,6 +88,52 @@ def test_classifier_edges_and_chunks(spark, sf):
     assert {(r.score, r.predicted) for r in Q.score(df, unlearned).collect()} == {(0.5, 1)}
 
 
+def plain_score(text, model):
+    """A score by the definition: bytes and words of one text one by one, bags in lists."""
+    raw = (text or "").encode()
+    spans = [m.span() for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    grams = [tuple(raw[a:b] for a, b in spans[i : i + 3]) for i in range(len(spans) - 2)]
+    k = len(Q._GROUPS) + 1
+    kinds = [next((i for i, g in enumerate(Q._GROUPS) if chr(b) in g), k - 1) for b in raw]
+    bag = []
+    for at in range(0, max(1, len(spans)), Q.PASSAGE):
+        x = [0.0] * Q.WIDTH
+        if mine := spans[at : at + Q.PASSAGE]:
+            end = spans[at + Q.PASSAGE][0] if at + Q.PASSAGE < len(spans) else len(raw)
+            pairs = Counter(kinds[i] * k + kinds[i + 1] for i in range(mine[0][0], min(end, len(raw) - 1)))
+            for pair, n in pairs.items():
+                x[pair] = (n / sum(pairs.values())) ** 0.5
+            x[-5] = len({raw[a:b] for a, b in mine}) / len(mine)
+            x[-4] = sum(b - a for a, b in mine) / len(mine) / 10
+            x[-3] = math.log1p(len(mine))
+            x[-2] = (len(grams) - len(set(grams))) / max(1, len(grams))
+            x[-1] = math.log1p(len(spans)) / 10
+        bag.append((np.array(x) - model.mean) / model.scale)
+    p = {name: np.asarray(value, dtype=np.float64) for name, value in model.weights.items()}
+    hidden = [np.tanh(x @ p["w"] + p["b"]) for x in bag]
+    logit = [float((np.tanh(h @ p["v"]) / (1 + np.exp(-(h @ p["u"])))) @ p["a"]) for h in hidden]
+    part = [math.exp(s - max(logit)) for s in logit]
+    z = sum(e * h for e, h in zip(part, hidden, strict=True)) / sum(part)
+    return 1 / (1 + math.exp(-max(-30, min(30, float(z @ p["c"] + p["d"])))))
+
+
+def test_classifier_against_plain_scores(spark, sf):
+    """Whole texts of the table, and texts of far more passages than training reads, blank ones and ones that begin with blanks."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = Q.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    more = [(-1, None), (-2, ""), (-3, " \n\t "), (-4, "  \n one two"), (-5, "Some words, and more. " * 5000 + "é#|* 9" * 300), (-6, "x")]
+    rows = docs.select(F.col("doc_id").cast("long"), "text").union(spark.createDataFrame(more, "doc_id long, text string")).coalesce(1)
+    texts = {r.doc_id: r.text for r in rows.collect()}
+    got = {r.doc_id: r for r in Q.score(rows, model).collect()}
+    assert max(len((t or "").split()) for t in texts.values()) > Q.FIT_PASSAGES * Q.PASSAGE
+    for doc_id, text in texts.items():
+        want = plain_score(text, model)
+        assert got[doc_id].score == pytest.approx(want, abs=1e-4), doc_id
+    # whatever lies beside it, a text has one score
+    again = {r.doc_id: r.score for r in Q.score(rows.repartition(7), model).collect()}
+    assert all(again[k] == pytest.approx(r.score, abs=1e-6) for k, r in got.items())
+
+
 def test_gradient_of_attention_model():
     rng = np.random.default_rng(0)
     bags = [rng.normal(size=(rng.integers(1, 5), Q.WIDTH)).astype(np.float32) + (3 if k % 2 else 0) * (np.arange(Q.WIDTH) == 7) for k in range(60)]
