@@ -8,7 +8,6 @@ ids of every row.  ``n_chars`` follows the text.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from geolink.llm import line_dedup, mixing, ngram_join, quality_classifier, sentencepiece_codec
@@ -35,13 +34,16 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near duplicates (word 5-grams, Jaccard 0.75 or more) the smallest id stays, once.
 
+    Of several rows of one id the one of fewest characters stays (ties: the smallest hash of the row).
     A document without an id belongs to no group and stays.
     """
     docs = docs.select(*COLUMNS)
     groups, _ = ngram_join.join(docs, Scratch(spark, "pipeline-near"))
     leaders = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_leader")).distinct()
-    rows = docs.join(leaders, F.col("doc_id") == F.col("_leader")).drop("_leader")
-    once = rows.withColumn("_nth", F.row_number().over(W.partitionBy("doc_id").orderBy("n_chars"))).where("_nth = 1").drop("_nth")
+    # one row an id before the join: partial aggregation leaves a frequent id one row a task
+    rest = COLUMNS[1:]
+    rows = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct(*rest), F.struct("n_chars", F.xxhash64(*rest))).alias("r"))
+    once = rows.join(leaders, F.col("doc_id") == F.col("_leader")).select("doc_id", *[f"r.{c}" for c in rest])
     return once.unionByName(docs.where("doc_id is null"))
 
 
