@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,18 @@ def _cubic(d: Column) -> Column:
     return F.when(d <= 1, (1.5 * d - 2.5) * d * d + 1).when(d < 2, ((-0.5 * d + 2.5) * d - 4) * d + 2).otherwise(0.0)
 
 
+def _spline(d: Column) -> Column:
+    """Cubic B-spline weight at distance d: smooths, as it isn't 1 at a cell's own centre."""
+    d = F.abs(d)
+    return F.when(d <= 1, (3 * d - 6) * d * d / 6 + F.lit(4.0) / 6).when(d < 2, (2 - d) * (2 - d) * (2 - d) / 6).otherwise(0.0)
+
+
+def _lanczos(d: Column) -> Column:
+    """Windowed sinc of three lobes at distance d."""
+    x = d * math.pi
+    return F.when(F.abs(d) < 1e-9, 1.0).when(F.abs(d) < 3, 3 * F.sin(x) * F.sin(x / 3) / (x * x)).otherwise(0.0)
+
+
 def _tensor(grid: Grid, lon: Column, lat: Column, offsets: range, weight) -> Column:
     u, v = (lon - grid.xmin) / grid.dx - 0.5, (grid.ymax - lat) / grid.dy - 0.5
     i0, j0 = F.floor(u).cast("int"), F.floor(v).cast("int")
@@ -46,31 +60,42 @@ def _overlaps(grid: Grid, lon: Column, lat: Column, cell: tuple[float, float]) -
     return F.flatten(F.transform(columns, lambda c: F.transform(rows, lambda r: F.struct(c["k"].alias("ix"), r["k"].alias("iy"), (c["w"] * r["w"]).alias("w")))))
 
 
+#: Methods by distance to the target's centre: offsets of the cells and their weight.
+KERNELS = {
+    "bilinear": (range(0, 2), lambda d: 1.0 - F.abs(d)), "cubic": (range(-1, 3), _cubic), "cubicspline": (range(-1, 3), _spline), "lanczos": (range(-2, 4), _lanczos),
+}
+#: Methods over the cells that a target's cell overlaps, ``w`` being the share of the cube's cell.
+AREAS = {
+    "average": lambda w, v: F.sum(w * v) / F.sum(w), "sum": lambda w, v: F.sum(w * v), "min": lambda w, v: F.min(v), "max": lambda w, v: F.max(v),
+    "rms": lambda w, v: F.sqrt(F.sum(w * v * v) / F.sum(w)),
+}
+
+
 def neighbours(grid: Grid, lon: Column, lat: Column, method: str, cell: tuple[float, float] | None = None) -> Column:
-    """array<struct(ix, iy, w)>: the cells a target centre (for ``average``, its cell) takes its value from; NULL outside the grid."""
-    if method == "average":
+    """array<struct(ix, iy, w)>: the cells a target centre (for ``AREAS``, its cell) takes its value from; NULL outside the grid."""
+    if method in AREAS:
         if cell is None:
-            raise ValueError("method average needs the size of the target's cells")
+            raise ValueError(f"method {method} needs the size of the target's cells")
         return _overlaps(grid, lon, lat, cell)
     if method == "near":
         return _near(grid, lon, lat)
-    if method == "bilinear":
-        return _tensor(grid, lon, lat, range(0, 2), lambda d: 1.0 - F.abs(d))
-    if method == "cubic":
-        return _tensor(grid, lon, lat, range(-1, 3), _cubic)
-    raise ValueError("method must be near, bilinear, cubic or average")
+    if method in KERNELS:
+        return _tensor(grid, lon, lat, *KERNELS[method])
+    raise ValueError(f"method must be one of near, {', '.join([*KERNELS, *AREAS])}")
 
 
 def resample(target: DataFrame, layer: DataFrame, grid: Grid, method: str = "bilinear", out: str = "linked", cell: tuple[float, float] | None = None) -> DataFrame:
     """``target`` (tx, ty, lon, lat) with the layer's (ix, iy, value); weights renormalise over cells with a value.
 
     ``average`` is conservative: where every cell has a value and the target covers the
-    grid, areas times values add up to the same.
+    grid, areas times values add up to the same; of ``sum`` the values themselves do.
+    A cell that is overlapped by less than a billionth counts for nothing.
     """
     wide = target.select("tx", "ty", F.explode(neighbours(grid, F.col("lon"), F.col("lat"), method, cell)).alias("n")).select("tx", "ty", "n.ix", "n.iy", "n.w")
     hit = wide.join(layer.where("value is not null").select("ix", "iy", "value"), ["ix", "iy"])
     weight = F.sum("w")
-    value = F.when(F.abs(weight) > 1e-9, F.sum(F.col("w") * F.col("value")) / weight)
+    value = AREAS[method](F.col("w"), F.col("value")) if method in AREAS else F.when(F.abs(weight) > 1e-9, F.sum(F.col("w") * F.col("value")) / weight)
+    hit = hit.where("w > 1e-9") if method in AREAS else hit
     means = hit.groupBy(F.col("tx").alias("_tx"), F.col("ty").alias("_ty")).agg(value.alias(out))
     return target.join(means, (F.col("tx") == F.col("_tx")) & (F.col("ty") == F.col("_ty")), "left").drop("_tx", "_ty")
 

@@ -182,7 +182,7 @@ def link_observations(obs: DataFrame, cube: DataFrame | CumulativeCube, grid: Gr
     cube = _cube(running.cube if running else cube, spec)
     recent = past = cube
     places = at.select("date", *[box[k].cast("double").alias(k) for k in box])
-    wanted = _requests(places, grid, spec) if prune and not (running and not spec.baseline) else None
+    wanted = _requests(places, grid, spec) if prune and not running else None
     if wanted and "tile" in cube.columns:
         n, w, s, e = wanted[0].extent
         up = math.degrees(spec.buffer_km / EARTH_KM)
@@ -193,7 +193,7 @@ def link_observations(obs: DataFrame, cube: DataFrame | CumulativeCube, grid: Gr
         recent, past = scan(recent, wanted[0], grid), scan(past, wanted[1], grid)
     measures = [("linked", lambda keys: running.span_means(keys, spec.time_span) if running else extract.span_means(keys, recent, spec.time_span, spec.grain))]
     if spec.baseline:
-        measures.append(("baseline", lambda keys: extract.baseline_means(keys, past, *spec.baseline, spec.time_span, spec.grain)))
+        measures.append(("baseline", lambda keys: running.baseline_means(keys, *spec.baseline, spec.time_span) if running else extract.baseline_means(keys, past, *spec.baseline, spec.time_span, spec.grain)))
     if rings:
         # cells once for each place; rows of one place hold one shape, so it doesn't matter which of them gives it
         spots = at.groupBy(*place).agg(F.first("shape").alias("shape"))
@@ -235,7 +235,7 @@ def _link_grid(target: DataFrame, cube: DataFrame, grid: Grid, spec: LinkSpec, d
 
 
 def link_daily_grid(target: DataFrame, cube: DataFrame, grid: Grid, indicator: str, *, date_col: str = "date", catalogue: str = "derived-era5-land-daily-statistics", **options) -> DataFrame:
-    """Link a target grid (tx, ty, lon, lat, one date) by day; also takes ``method`` and, for ``average``, ``cell``, the size of its cells."""
+    """Link a target grid (tx, ty, lon, lat, one date) by day; also takes ``method`` (``catalogue.METHODS``) and, for those by area, ``cell``, the size of its cells."""
     C._one_of(options.get("method", "bilinear"), C.METHODS, "method")
     return _link_grid(target, cube, grid, LinkSpec.of("daily", indicator, catalogue, **options), date_col)
 

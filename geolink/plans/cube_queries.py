@@ -53,6 +53,15 @@ def jn3_cumulative(spark, sf):
     return api.link_daily(observations(spark, sf), accumulate(whole_cube(spark, sf)), GRID, "2m_temperature", date_var="d", time_span=365, time_lag=35).select("id", "linked")
 
 
+@query("jn4_cumulative_baseline", sql(
+    "SELECT o.id, linked, baseline, linked - baseline AS deviation FROM cells o LEFT JOIN (SELECT o.id, sum(c.v) / count(*) AS linked FROM cells o JOIN w c ON c.ix = o.ix AND c.iy = o.iy AND c.t BETWEEN o.d - 60 AND o.d GROUP BY o.id) USING (id)"
+    " LEFT JOIN (SELECT id, sum(s) / sum(n) AS baseline FROM (SELECT DISTINCT o.id, o.ix, o.iy, strftime(o.d - k.range::INT, '%m-%d') AS md FROM cells o, range(61) AS k) JOIN clim USING (md, ix, iy) GROUP BY id) USING (id)",
+    "obs", "cells", w=_WHOLE, clim="SELECT strftime(t, '%m-%d') AS md, ix, iy, sum(v) AS s, count(*) AS n FROM w WHERE year(t) BETWEEN 1995 AND 1997 GROUP BY ALL"))
+def jn4_cumulative(spark, sf):
+    """Two months and their anniversaries in three years, 29 February among them, all from running totals."""
+    return api.link_daily(observations(spark, sf), accumulate(whole_cube(spark, sf)), GRID, "2m_temperature", date_var="d", time_span=60, baseline=(1995, 1997)).select("id", "linked", "baseline", "deviation")
+
+
 WIDE = Grid(0.0, 60.0, 0.1, 0.1, 600, 600)
 
 

@@ -528,8 +528,13 @@ _BLAYER = "SELECT ix, iy, avg(v) AS v FROM cube WHERE year(t) BETWEEN 1995 AND 1
 def _resample_sql(method: str, layer: str) -> str:
     if method == "near":
         return f"SELECT tx, ty, v AS x FROM targets LEFT JOIN {layer} ON ix = floor(lon - 5) AND iy = floor(51 - lat)"
-    offsets = "(VALUES (0), (1))" if method == "bilinear" else "(VALUES (-1), (0), (1), (2))"
-    w = (lambda d: f"(1 - abs({d}))") if method == "bilinear" else (lambda d: f"(CASE WHEN abs({d}) <= 1 THEN (1.5 * abs({d}) - 2.5) * abs({d}) * abs({d}) + 1 WHEN abs({d}) < 2 THEN ((-0.5 * abs({d}) + 2.5) * abs({d}) - 4) * abs({d}) + 2 ELSE 0 END)")
+    offsets = {"bilinear": "(VALUES (0), (1))", "lanczos": "(VALUES (-2), (-1), (0), (1), (2), (3))"}.get(method, "(VALUES (-1), (0), (1), (2))")
+    w = {
+        "bilinear": lambda d: f"(1 - abs({d}))",
+        "cubic": lambda d: f"(CASE WHEN abs({d}) <= 1 THEN (1.5 * abs({d}) - 2.5) * abs({d}) * abs({d}) + 1 WHEN abs({d}) < 2 THEN ((-0.5 * abs({d}) + 2.5) * abs({d}) - 4) * abs({d}) + 2 ELSE 0 END)",
+        "cubicspline": lambda d: f"(CASE WHEN abs({d}) <= 1 THEN 2 / 3 - {d} * {d} + pow(abs({d}), 3) / 2 WHEN abs({d}) < 2 THEN pow(2 - abs({d}), 3) / 6 ELSE 0 END)",
+        "lanczos": lambda d: f"(CASE WHEN abs({d}) < 1e-9 THEN 1 WHEN abs({d}) < 3 THEN sin(pi() * {d}) / (pi() * {d}) * sin(pi() * {d} / 3) / (pi() * {d} / 3) ELSE 0 END)",
+    }[method]
     return (
         f"SELECT tx, ty, CASE WHEN abs(sum(w)) > 1e-9 THEN sum(w * v) / sum(w) END AS x FROM (SELECT tx, ty, greatest(0, least(4, i0 + a)) AS ix, greatest(0, least(3, j0 + b)) AS iy, {w('(u - i0 - a)')} * {w('(q - j0 - b)')} AS w"
         f" FROM (SELECT tx, ty, lon - 5.5::DOUBLE AS u, 50.5::DOUBLE - lat AS q, floor(lon - 5.5::DOUBLE)::INT AS i0, floor(50.5::DOUBLE - lat)::INT AS j0 FROM targets), {offsets} AS o1(a), {offsets} AS o2(b)) JOIN {layer} USING (ix, iy) GROUP BY tx, ty"
@@ -547,7 +552,7 @@ def _grid_query(method: str):
     return run
 
 
-for _m in ("near", "bilinear", "cubic"):
+for _m in ("near", "bilinear", "cubic", "cubicspline", "lanczos"):
     query(f"grd2_{_m}", _grid_sql(_m))(_grid_query(_m))
 
 

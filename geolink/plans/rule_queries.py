@@ -77,13 +77,21 @@ def geo3_trips(spark, sf):
 ACROSS = Grid(4.7, 51.2, 0.8, 0.7, 7, 7)
 
 
-@query("grd2_average", """
+_AREA_SQL = {"average": "sum(w * v) / sum(w)", "sum": "sum(w * v)", "min": "min(v)", "max": "max(v)", "rms": "sqrt(sum(w * v * v) / sum(w))"}
+
+
+def _by_area(method: str):
+    @query(f"grd2_{method}", f"""
 WITH q AS (SELECT ix, iy, avg(v) AS v FROM (SELECT l_shipdate::DATE AS t, (l_suppkey % 5)::INT AS ix, (l_partkey % 4)::INT AS iy, avg(l_quantity) AS v FROM lineitem GROUP BY ALL) WHERE t BETWEEN DATE '1998-07-29' AND DATE '1998-08-01' GROUP BY ALL),
 t AS (SELECT x.range::INT AS tx, y.range::INT AS ty, 4.7::DOUBLE + x.range * 0.8::DOUBLE AS x0, 51.2::DOUBLE - y.range * 0.7::DOUBLE AS y1 FROM range(7) AS x, range(7) AS y),
 w AS (SELECT tx, ty, v, greatest(0, least(x0 + 0.8::DOUBLE, 6 + ix) - greatest(x0, 5 + ix)) * greatest(0, least(y1, 51 - iy) - greatest(y1 - 0.7::DOUBLE, 50 - iy)) AS w FROM t, q)
-SELECT t.tx, t.ty, round(x, 9) AS linked FROM t LEFT JOIN (SELECT tx, ty, sum(w * v) / sum(w) AS x FROM w WHERE w > 1e-9 GROUP BY ALL) USING (tx, ty)
+SELECT t.tx, t.ty, round(x, 9) AS linked FROM t LEFT JOIN (SELECT tx, ty, {_AREA_SQL[method]} AS x FROM w WHERE w > 1e-9 GROUP BY ALL) USING (tx, ty)
 """)
-def grd2_average(spark, sf):
-    """Means by the share of the area, on cells that lie across those of the cube."""
-    t = target_grid(spark, ACROSS).withColumn("date", F.to_date(F.lit("1998-08-01")))
-    return api.link_daily_grid(t, cube(spark, sf), GRID, "2m_temperature", time_span=3, method="average", cell=(ACROSS.dx, ACROSS.dy)).select("tx", "ty", rounded("linked", 9))
+    def run(spark, sf):
+        """By the cells of the cube that a target's cell lies across, and their shares."""
+        t = target_grid(spark, ACROSS).withColumn("date", F.to_date(F.lit("1998-08-01")))
+        return api.link_daily_grid(t, cube(spark, sf), GRID, "2m_temperature", time_span=3, method=method, cell=(ACROSS.dx, ACROSS.dy)).select("tx", "ty", rounded("linked", 9))
+
+
+for _m in _AREA_SQL:
+    _by_area(_m)

@@ -41,7 +41,7 @@ STAMP_OF = {
     ("reanalysis-era5-single-levels-monthly-means", "snowfall"): ("last_of_previous", "last_of_previous"),
     ("reanalysis-era5-single-levels-monthly-means", "k_index"): ("last", "last"),
 }
-METHODS = ("near", "bilinear", "cubic", "average")
+METHODS = ("near", "bilinear", "cubic", "cubicspline", "lanczos", "average", "sum", "min", "max", "rms")
 #: Indicator, name, parameter id, category, unit, subsets of reanalysis indicators (two ids by the public parameter list).
 _REANALYSIS = (
     ("2m_temperature", "2 metre temperature", 167, "Temperature", "K", "single_levels land"),

@@ -3,7 +3,8 @@
 One row a (cell, month): the running sum and count before the month, and those after
 each of its days that has values.  The total up to a date is then one equi-join on
 (cell, month) and a look at no more than 31 entries of the row it finds, whatever the
-span; a span's mean is the difference of two such totals.  Every cell has a row for each month from its
+span; a span's mean is the difference of two such totals, a baseline's mean that of two to six a
+baseline year.  Every cell has a row for each month from its
 first to the cube's last, so that a month without values is found too.
 
 The table is bucketed by (cell, month): a link shuffles its keys to the buckets, the cube
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from geolink.functions.dates import leap_days, month_day
 from geolink.operators.extract import KEY
 from geolink.session import shared_dir
 
@@ -32,7 +34,7 @@ def _month(d: Column) -> Column:
 
 @dataclass(frozen=True)
 class CumulativeCube:
-    """The daily cube it was made of (for baselines), the table of running totals, its last month."""
+    """The daily cube it was made of, the table of running totals, its last month."""
 
     cube: DataFrame
     table: str
@@ -56,6 +58,33 @@ class CumulativeCube:
         sums = both.groupBy(*KEY).agg(F.sum(F.col("sign") * F.col("sum_")).alias("s"), F.sum(F.col("sign") * F.col("n_")).alias("n"))
         return sums.where("n > 0").select(*KEY, (F.col("s") / F.col("n")).alias(out))
 
+    def baseline_means(self, keys: DataFrame, first: int, last: int, span: int, out: str = "baseline") -> DataFrame:
+        """(link_date, ix, iy, out) over the baseline years' anniversaries of the span's days; 29 February meets leap years only.
+
+        In each year those days are one stretch or, over New Year, two; a 29 February inside one
+        that the span doesn't hold is taken out.  Keys of the same days are answered together.
+        """
+        end, start = F.col("link_date"), F.date_sub("link_date", span)
+        leap = leap_days(end) != leap_days(F.date_sub(start, 1))
+        a, b = (F.lit("01-01"), F.lit("12-31")) if span >= 365 else (month_day(start), month_day(end))
+        sets = ["a", "b", "leap", "ix", "iy"]
+        named = keys.select(*KEY, a.alias("a"), b.alias("b"), leap.alias("leap"))
+        each = named.select(*sets).distinct().withColumn("year", F.explode(F.sequence(F.lit(first), F.lit(last))))
+        day = lambda md: F.substring(md, 4, 2).cast("int")
+        month = lambda md: F.make_date("year", F.substring(md, 1, 2).cast("int"), F.lit(1))
+        before = lambda md: F.struct(F.date_add(month(md), day(md) - 2).alias("on"), F.lit(-1).alias("sign"))
+        upto = lambda md: F.struct(F.least(F.date_add(month(md), day(md) - 1), F.last_day(month(md))).alias("on"), F.lit(1).alias("sign"))
+        one, a, b = F.col("a") <= F.col("b"), F.col("a"), F.col("b")
+        stretches = F.when(one, F.array(before(a), upto(b))).otherwise(F.array(before(a), upto(F.lit("12-31")), before(F.lit("01-01")), upto(b)))
+        feb = F.lit("02-29")
+        inside = F.when(one, (a <= feb) & (feb <= b)).otherwise((a <= feb) | (feb <= b))
+        extra = ~F.col("leap") & inside & (F.dayofyear(F.make_date("year", F.lit(12), F.lit(31))) == 366)
+        at = lambda d, sign: F.struct(F.make_date("year", F.lit(2), F.lit(d)).alias("on"), F.lit(sign).alias("sign"))
+        ends = F.when(extra, F.concat(stretches, F.array(at(28, 1), F.struct(F.date_add(month(feb), 28).alias("on"), F.lit(-1).alias("sign"))))).otherwise(stretches)
+        both = self.totals(each.select(*sets, F.explode(ends).alias("e")).select(*sets, "e.on", "e.sign"), {"total": "sum_", "n": "n_"})
+        sums = both.groupBy(*sets).agg(F.sum(F.col("sign") * F.col("sum_")).alias("s"), F.sum(F.col("sign") * F.col("n_")).alias("n")).where("n > 0")
+        return named.join(sums, sets).select(*KEY, (F.col("s") / F.col("n")).alias(out))
+
 
 def accumulate(cube: DataFrame, name: str | None = None) -> CumulativeCube:
     """Write the running totals of a daily cube as a bucketed table (in the shared folder) and return a handle to it."""

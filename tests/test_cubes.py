@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from geolink.operators import extract
 from geolink.plans import api
 from geolink.sources import netcdf, raster
 from geolink.sources.cube import Request, ingest, scan, tile, tile_ranges, write_cube
@@ -105,11 +106,28 @@ def test_running_totals_equal_sums(spark):
         api.link_monthly(df, running, grid, IND)
 
 
-def test_the_cube_is_not_shuffled(spark):
+def test_baselines_from_running_totals(spark):
+    """Ends on and round 29 February and New Year, spans up to and beyond a year, a cell with gaps and one without values."""
+    pick = random.Random(12)
+    start = datetime.date(1995, 6, 10)
+    rows = [(str(start + datetime.timedelta(d)), c, 0, float(pick.randrange(100))) for c in range(2) for d in range(2000) if pick.random() < (0.9, 0.1)[c]]
+    q = ingest(spark.createDataFrame(rows, "obs_date string, ix int, iy int, value double"))
+    running = accumulate(q)
+    days = [f"{y}-{md}" for y in (1990, 1995, 1996, 1997, 2000, 2001, 2004) for md in ("01-01", "01-02", "02-27", "02-28", "03-01", "03-02", "06-15", "12-30", "12-31")] + ["1996-02-29", "2000-02-29", "2004-02-29"]
+    keys = spark.createDataFrame([(d, c, 0) for d in days for c in range(3)], "d string, ix int, iy int").select(F.to_date("d").alias("link_date"), "ix", "iy")
+    for span in (0, 1, 3, 59, 60, 300, 364, 365, 366, 800):
+        for years in ((1995, 2000), (1996, 1996), (1997, 1997)):
+            got = running.baseline_means(keys, *years, span)
+            want = extract.baseline_means(keys, q, *years, span).where("baseline is not null")
+            assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str), (span, years)
+
+
+@pytest.mark.parametrize("means", [lambda running, keys: running.span_means(keys, 40), lambda running, keys: running.baseline_means(keys, 1996, 1998, 40)])
+def test_the_cube_is_not_shuffled(spark, means):
     _, q = _daily(spark)
     running = accumulate(q)
     keys = q.select(F.col("obs_date").alias("link_date"), "ix", "iy").distinct()
-    out = running.span_means(keys, 40)
+    out = means(running, keys)
     out.count()
     lines = out._jdf.queryExecution().executedPlan().toString().split("\n")
     at = next(i for i, line in enumerate(lines) if "FileScan parquet" in line and running.table in line)
@@ -247,6 +265,18 @@ def test_averages_keep_the_sum(spark):
     assert all(r.linked is not None for r in hole if (r.tx, r.ty) != (0, 0))
     with pytest.raises(ValueError):
         gridlink.resample(target_grid(spark, to), df, source, "average")
+    sums = gridlink.resample(target_grid(spark, to), df, source, "sum", cell=(to.dx, to.dy)).collect()
+    assert sum(r.linked for r in sums) == pytest.approx(sum(v for _, _, v in layer), abs=1e-9)
+
+
+@pytest.mark.parametrize("method", ["bilinear", "cubic", "cubicspline", "lanczos"])
+def test_kernels_keep_a_constant(spark, method):
+    from geolink.operators import gridlink
+    from geolink.sources.grid import target_grid
+
+    source, to = Grid(0.0, 6.0, 1.0, 1.0, 8, 6), Grid(0.0, 6.0, 0.4, 0.3, 20, 20)
+    df = spark.createDataFrame([(i, j, 7.0) for i in range(8) for j in range(6)], "ix int, iy int, value double")
+    assert all(r.linked == pytest.approx(7.0) for r in gridlink.resample(target_grid(spark, to), df, source, method).collect())
 
 
 # --- two streams
