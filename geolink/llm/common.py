@@ -97,6 +97,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 SIEVE_BITS = 1 << 25
 
 
+def _sieved(big: DataFrame, key: str, wanted: DataFrame, wanted_key: str, how: str):
+    """``big`` joined with the filter of the wanted keys, and whether a row's bit is set."""
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS)) + 1
+    at = wanted.select(place(F.col(wanted_key)).alias("_p"))
+    bits = at.groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
+    rows = big.withColumn("_p", place(F.col(key))).withColumn("_at", F.bitmap_bit_position("_p"))
+    rows = rows.join(F.broadcast(bits), F.bitmap_bucket_number("_p") == F.col("_bucket"), how)
+    byte = F.conv(F.hex(F.substr("_bits", (F.floor(F.col("_at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return rows, F.pmod(F.floor(byte / F.pow(F.lit(2), F.col("_at") % 8)), F.lit(2)) == 1
+
+
 def sieve(big: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
     """Rows of ``big`` whose key may be among ``wanted``'s: a one-hash Bloom filter of fixed size.
 
@@ -104,13 +115,14 @@ def sieve(big: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataF
     unwanted rows before a shuffle join decides exactly.  With more keys than bits
     it passes everything, which costs the shuffle and no row.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE_BITS)) + 1
-    at = wanted.select(place(F.col(wanted_key)).alias("_p"))
-    bits = at.groupBy(F.bitmap_bucket_number("_p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("_bits"))
-    rows = big.withColumn("_p", place(F.col(key))).withColumn("_at", F.bitmap_bit_position("_p"))
-    rows = rows.join(F.broadcast(bits), F.bitmap_bucket_number("_p") == F.col("_bucket"))
-    byte = F.conv(F.hex(F.substr("_bits", (F.floor(F.col("_at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
-    return rows.where(F.pmod(F.floor(byte / F.pow(F.lit(2), F.col("_at") % 8)), F.lit(2)) == 1).select(*big.columns)
+    rows, hit = _sieved(big, key, wanted, wanted_key, "inner")
+    return rows.where(hit).select(*big.columns)
+
+
+def sieve_marked(big: DataFrame, key: str, wanted: DataFrame, wanted_key: str, name: str) -> DataFrame:
+    """All rows of ``big`` with the column ``name``: whether the key may be among ``wanted``'s."""
+    rows, hit = _sieved(big, key, wanted, wanted_key, "left")
+    return rows.select(*big.columns, F.coalesce(hit, F.lit(False)).alias(name))
 
 
 def text_bytes(df: DataFrame, col: str) -> int:

@@ -14,6 +14,10 @@ A task first counts what it holds: of equal windows only the smallest document's
 travel on, the others are already known to repeat.  So however often a window
 occurs, a bucket gets it once per flush of a task.
 
+The repeated windows are written; only texts that pass a filter of their documents' ids
+are shuffled to them (the filter has a fixed size: beyond some 10**8 such documents it
+passes all).
+
 Defined results
     null or blank text  no words, nothing removed, hash of the empty text
     fewer words than a window  nothing removed
@@ -34,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolink.llm import hashblocks
-from geolink.llm.common import keeping, table, text_bytes
+from geolink.llm.common import Scratch, keeping, sieve_marked, table, text_bytes
 from geolink.llm.textkernel import chunks, joined, mix, window_checks, window_hashes, word_hashes, words
 
 LENGTH = 50
@@ -136,9 +140,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     the maximal removal intervals as word positions (start, end exclusive).
     """
     found = repeated_windows(docs, id_col=id_col, text_col=text_col, length=length, buckets=buckets)
-    found = found.select(F.col("doc_id").alias("_sub_id"), F.col("starts").alias("_sub_starts"))
+    found = Scratch(docs.sparkSession, "substrings").keep(found.select(F.col("doc_id").alias("_sub_id"), F.col("starts").alias("_sub_starts")), "found")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_sub_text"), *keep)
-    rows = rows.join(found, F.col("doc_id") == F.col("_sub_id"), "left").drop("_sub_id")
+    # texts in which nothing repeats stay where they are; the others meet their windows
+    marked = sieve_marked(rows, "doc_id", found, "_sub_id", "_sub_may")
+    met = marked.where("_sub_may").drop("_sub_may").join(found, F.col("doc_id") == F.col("_sub_id"), "left").drop("_sub_id")
+    rows = marked.where("not _sub_may").drop("_sub_may").withColumn("_sub_starts", F.lit(None).cast("binary")).unionByName(met)
     fields = [f for f in rows.schema.fields if not f.name.startswith("_sub_")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "n_words long, n_removed long, kept_sha256 string", *(["text string, spans array<struct<start:int,end:int>>"] if texts else [])])
 
