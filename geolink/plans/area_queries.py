@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from geolink.functions.geometry import normal_lon
 from geolink.operators import cover
 from geolink.plans import api
-from geolink.plans.datasets import read
+from geolink.plans.datasets import dealt, read
 from geolink.plans.registry import query, rounded
 from geolink.sources.cube import ingest
 from geolink.sources.geometry_codec import from_geojson, from_wkb, to_wkb
@@ -29,13 +29,14 @@ def _ring(n: Column, radius, x: Column, y: Column, squeeze: Column) -> Column:
 def customer_areas(spark, sf: str) -> DataFrame:
     """A star for each customer, of 3 to 42 or 10,000 corners; every third has a hole, every eleventh is a sliver."""
     k = F.col("c_custkey")
-    n = F.when(k % 500 == 7, 10_000).otherwise((3 + k % 40).cast("int"))
-    x, y = F.lit(5.503) + (k % 37) * F.lit(0.1137), F.lit(47.4043) + (k % 29) * F.lit(0.1139)
-    squeeze = F.when(k % 11 == 0, 0.01).otherwise(F.lit(1.0))
+    corners = F.when(k % 500 == 7, 10_000).otherwise((3 + k % 40).cast("int"))
+    middle = (F.lit(5.503) + (k % 37) * F.lit(0.1137)).alias("_x"), (F.lit(47.4043) + (k % 29) * F.lit(0.1139)).alias("_y")
+    rows = read(spark, sf, "customer").select("c_custkey", corners.alias("_n"), *middle, F.when(k % 11 == 0, 0.01).otherwise(F.lit(1.0)).alias("_squeeze"))
+    rows, n, x, y, squeeze = dealt(rows, "c_custkey"), *map(F.col, ("_n", "_x", "_y", "_squeeze"))
     star = _ring(n, lambda j: F.lit(0.1) + F.lit(0.9) * ((k * 7 + j.cast("long") * j * 13) % 17) / F.lit(17.0), x, y, squeeze)
     hole = _ring(F.lit(12), lambda j: F.lit(0.15), x, y, squeeze)
     rings = F.when(k % 3 == 0, F.array(star, hole)).otherwise(F.array(star))
-    return read(spark, sf, "customer").select("c_custkey", F.date_add(F.to_date(F.lit("1997-01-01")), (k % 300).cast("int")).alias("d"), rings.alias("shape"))
+    return rows.select("c_custkey", F.date_add(F.to_date(F.lit("1997-01-01")), (k % 300).cast("int")).alias("d"), rings.alias("shape"))
 
 
 _AREAS = """

@@ -90,6 +90,17 @@ def test_work_grows_with_vertices_not_with_cells(spark):
     assert took[32_000] < took[500] + 5
 
 
+def test_derived_polygons_spread_over_tasks(spark, tmp_path):
+    """One small file isn't one task, and a polygon's formula is computed once for edges, crossings and middle each."""
+    from geolink.plans.area_queries import FINE, customer_areas
+
+    spark.range(5_000).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    areas = customer_areas(spark, str(tmp_path))
+    assert areas.rdd.getNumPartitions() == 3
+    plan = cover.polygon_runs(areas, ["c_custkey"], FINE)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("COS(") == 3 * 3  # star, star and hole
+
+
 def test_buffers_of_polygons_follow_the_sphere(spark):
     got = cells(spark, km=120.0, line=[box(179, 0, -179, 2)], polar=[[(-60, 88.5), (0, 88.5), (120, 88.5)]])
     assert len(got["line"]) == 16 and (358, 90) in got["line"]
