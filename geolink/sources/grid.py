@@ -35,12 +35,15 @@ class Grid:
     def centre(self, ix: Column, iy: Column) -> tuple[Column, Column]:
         return self.xmin + (ix + 0.5) * self.dx, self.ymax - (iy + 0.5) * self.dy
 
-    def cell(self, lon: Column, lat: Column) -> Column:
-        """struct(ix, iy) of the containing cell; NULL outside the grid and for coordinates that are none (NULL, NaN, infinite)."""
+    def cell(self, lon: Column, lat: Column, beyond: bool = False) -> Column:
+        """struct(ix, iy) of the containing cell; NULL outside the grid and for coordinates that are none (NULL, NaN, infinite).
+
+        ``beyond``: rows and columns are counted on outside the grid.
+        """
         u, v = (self.near_lon(lon) - self.xmin) / self.dx, (self.ymax - lat) / self.dy
         across = (u > -1) & (u < self.nx + 1) if self.wraps else (u >= 0) & (u < self.nx)
         # compared before the cast: a NaN is greater than any number
-        held = usable(lon, lat) & across & (v >= 0) & (v < self.ny)
+        held = usable(lon, lat) if beyond else usable(lon, lat) & across & (v >= 0) & (v < self.ny)
         ix = F.floor(u).cast("int")
         return F.when(held, F.struct((F.pmod(ix, F.lit(self.nx)) if self.wraps else ix).alias("ix"), F.floor(v).cast("int").alias("iy")))
 

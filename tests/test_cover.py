@@ -90,6 +90,15 @@ def test_work_grows_with_vertices_not_with_cells(spark):
     assert took[32_000] < took[500] + 5
 
 
+def test_the_middle_of_a_polygon_may_lie_outside_the_grid(spark):
+    df = shapes(spark, half=[box(0.2, 0.2, 4.4, 1.8)], off=[box(-5.4, 7.2, -5.2, 7.4)])
+    runs = {(r.p, r.iy, r.i0, r.i1, r.own) for r in cover.polygon_runs(df, ["p"], SMALL).collect()}
+    assert runs == {("half", 0, 0, 1, False), ("half", 1, 0, 1, False), ("half", 1, 2, 2, True), ("off", -6, -6, -6, True)}
+    areas = df.withColumns({"date": F.lit("1999-01-01")})
+    q = cube(spark, [("1999-01-01", i, j, float(10 * i + j)) for i in range(2) for j in range(2)])
+    assert {r.p: r.linked for r in api.link_daily(areas, q, SMALL, IND, rings="shape").collect()} == {"half": 5.5, "off": None}
+
+
 def test_derived_polygons_spread_over_tasks(spark, tmp_path):
     """One small file isn't one task, and a polygon's formula is computed once for edges, crossings and middle each."""
     from geolink.plans.area_queries import FINE, customer_areas
