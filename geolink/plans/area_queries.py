@@ -109,7 +109,7 @@ def geo2_date_line(spark, sf):
     zero = F.lit(0.0)
     diamond = F.array(corner(w, zero), corner(zero, w), corner(-w, zero), corner(zero, -w))
     ring = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda j: F.struct((j * F.lit(30.0) - 165).alias("x"), cap.alias("y")))
-    rows = read(spark, sf, "supplier").select("s_suppkey", F.array(F.when(k % 7 == 0, ring).otherwise(diamond)).alias("shape"))
+    rows = dealt(read(spark, sf, "supplier").select("s_suppkey"), "s_suppkey").select("s_suppkey", F.array(F.when(k % 7 == 0, ring).otherwise(diamond)).alias("shape"))
     return cover.polygon_runs(rows, ["s_suppkey"], GLOBE).where("not own").select("s_suppkey", "iy", "i0", "i1")
 
 
@@ -132,7 +132,7 @@ def geo2_arc(spark, sf):
     k = F.col("c_custkey")
     x, y = F.lit(5.31) + (k % 31) * F.lit(0.117), F.lit(47.23) + (k % 23) * F.lit(0.131)
     line = F.array(F.struct(x.alias("x"), y.alias("y")), F.struct((x + 0.71).alias("x"), (y + 0.43).alias("y")))
-    rows = read(spark, sf, "customer").select("c_custkey", F.array(line).alias("shape"))
+    rows = dealt(read(spark, sf, "customer").select("c_custkey"), "c_custkey").select("c_custkey", F.array(line).alias("shape"))
     return cover.near_cells(cover.edges(rows, ["c_custkey"], "shape"), ["c_custkey"], FINE, 15.0).select("c_custkey", "iy", "ix")
 
 

@@ -110,6 +110,15 @@ def test_derived_polygons_spread_over_tasks(spark, tmp_path):
     assert plan.count("COS(") == 3 * 3  # star, star and hole
 
 
+def test_cells_of_arcs_are_told_apart_beside_their_line(spark, sf):
+    """Lines are shuffled, dealt by key before they become cells; no shuffle carries cells."""
+    from geolink.plans.area_queries import geo2_arc
+
+    plan = geo2_arc(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(dealt) == 1 and "REPARTITION_BY_NUM" in dealt[0] and "iy" not in dealt[0]
+
+
 def test_buffers_of_polygons_follow_the_sphere(spark):
     got = cells(spark, km=120.0, line=[box(179, 0, -179, 2)], polar=[[(-60, 88.5), (0, 88.5), (120, 88.5)]])
     assert len(got["line"]) == 16 and (358, 90) in got["line"]
