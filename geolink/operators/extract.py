@@ -120,7 +120,8 @@ def link_runs(at: DataFrame, runs: DataFrame, place: list[str], measures: list)
     own cell counts where a place has no other.
     """
     names = [name for name, _ in measures]
-    pairs = at.select("date", *place).where("date is not null").distinct()
+    # dealt first: a partial aggregate would hold all pairs of a split, and few of them repeat in it
+    pairs = at.select("date", *place).where("date is not null").repartition("date", *place).distinct()
     rows = pairs.join(runs, place)
     tiles = rows.select("date", "iy", "i0", "i1", F.explode(F.sequence(F.floor(F.col("i0") / TILE), F.floor(F.col("i1") / TILE))).alias("tile"))
     tiles = tiles.groupBy("date", "iy", "tile").agg(F.min(F.greatest("i0", F.col("tile") * TILE)).alias("lo"), F.max(F.least("i1", F.col("tile") * TILE + TILE - 1)).alias("hi"))
@@ -134,7 +135,7 @@ def link_runs(at: DataFrame, runs: DataFrame, place: list[str], measures: list)
     sums = [x for n in names for x in (F.coalesce(F.sum(n).over(along), F.lit(0.0)).alias(f"{n}_sum"), F.count(n).over(along).alias(f"{n}_n"))]
     sums = both.select(F.col("link_date").alias("date"), "iy", "ix", "spot", *sums).where("spot").drop("spot")
     own = lambda c, is_own: F.sum(F.when(F.col("own") == is_own, F.col("sign") * F.col(c)))
-    wide = ends.join(sums, ["date", "iy", "ix"]).groupBy("date", *place).agg(
+    wide = ends.join(sums, ["date", "iy", "ix"]).repartition("date", *place).groupBy("date", *place).agg(
         F.bool_or(~F.col("own")).alias("other"), *[own(f"{n}_{part}", is_own).alias(f"{n}_{part}_{is_own}") for n in names for part in ("sum", "n") for is_own in (False, True)]
     )
     mean = lambda n, is_own: F.try_divide(F.when(F.col(f"{n}_n_{is_own}") > 0, F.col(f"{n}_sum_{is_own}")), F.col(f"{n}_n_{is_own}"))

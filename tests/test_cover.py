@@ -203,6 +203,17 @@ def test_a_run_asks_for_two_rows(spark, sf):
         assert got[r.id] == pytest.approx(sum(want[r.lon, r.lat]) / len(want[r.lon, r.lat]), abs=1e-9)
 
 
+def test_pairs_are_dealt_before_they_are_gathered(spark):
+    """No task gathers the pairs of a whole split: both aggregates by (date, place) come after their shuffle."""
+    obs = spark.range(40).select("id", F.lit("1999-01-01").alias("date"), (F.col("id") % 4 * 0.5).alias("lon"), (F.col("id") % 3 * 0.5).alias("lat"))
+    q = cube(spark, [("1999-01-01", i, j, float(10 * i + j)) for i in range(2) for j in range(2)])
+    out = api.link_daily(obs, q, SMALL, IND, buffer_km=90.0, prune=False)
+    plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    dealt = [k for k, line in enumerate(plan) if "REPARTITION_BY_COL" in line]
+    assert len(dealt) >= 2 and all("partial_" not in plan[k + 1] and "Aggregate" not in plan[k + 1] for k in dealt)
+    assert out.count() == 40
+
+
 def test_projections_meet_published_examples(spark):
     from geolink.functions.projections import PolarStereographic, TransverseMercator, projection
 
