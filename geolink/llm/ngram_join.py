@@ -18,6 +18,11 @@ one class, so only class representatives are joined:
     stays under the required overlap are skipped.  The overlap of what is left
     follows from both sets' differences to the pivot, without reading a set; where
     the pivot is not similar to both, the two sets are compared.
+5.  Many pairs.  Where a block leaves more pairs than members, only the members are
+    written, once for each pivot.  The sets of a pivot's members are compared in cells
+    of a bounded number of rows, which return as many links as connect their labels.
+    Larger lists and pivots are first compared within cells of random members: that
+    connects most near copies, and only what it leaves apart is compared throughout.
 
 Sets are compared as 64-bit gram hashes (Rabin-Karp over a field of 61 bits, which
 no kind of text makes collide): of two sets of n grams, n * n / 2**61 pairs of
@@ -58,6 +63,8 @@ OVER, UNDER = 100, 75
 FLUSH, BUCKET_BYTES = 1 << 20, 12 << 20
 #: Members that are compared with one copy of a pivot, and entries in a block of an index list.
 PIVOT_ROWS, BLOCK_ROWS = 256, 256
+#: Grams that sets are compared by at once.
+COLUMNS = 4096
 #: Differences to a pivot are kept from this share of the larger set in common; class that stands for several.
 SIMILAR, MANY = 0.6, np.iinfo(np.int64).min
 _LOW = np.uint64(0xFFFFFFFF)
@@ -274,21 +281,24 @@ def pivot_answers(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFr
     )
 
 
-def open_pairs(index: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs (a, b, pivot) of an index list that no pivot connects and that the size and position bounds allow."""
-    labels = labels.select(F.col("node").alias("_node"), "component")
-    entries = index.join(labels, F.col("rep") == F.col("_node"), "left").select("gram", "rep", "n", "pos", F.coalesce("component", "rep").alias("label"))
-    entries = scratch.keep(entries, "entries")
-    by_label = entries.groupBy("gram", "label").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("first"))
-    lists = by_label.groupBy(F.col("gram").alias("_gram")).agg(
-        F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("total"), F.min("first").alias("pivot"), F.count(F.lit(1)).alias("labels")
-    )
-    lists = lists.where("labels > 1").select(
-        "_gram", "pivot", F.col("top.label").alias("major"), F.ceil(F.col("top.c") / BLOCK_ROWS).alias("rows"), F.ceil((F.col("total") - F.col("top.c")) / BLOCK_ROWS).alias("cols")
+def dealt_to_cells(rows: DataFrame, key: str, whole: bool, scratch: Scratch, name: str) -> tuple[DataFrame, bool]:
+    """(rows with ``least``, the smallest rep of their group, ``is_major`` and ``cell``; whether all pairs of a group meet).
+
+    Groups of one label are left out.  A row goes to one cell of about ``BLOCK_ROWS`` or, if the ``whole`` group is
+    asked for, to those of a grid: blocks of the largest label against blocks of the others, and these among themselves.
+    """
+    by_label = rows.groupBy(key, "label").agg(F.count(F.lit(1)).alias("c"), F.min("rep").alias("first"))
+    groups = by_label.groupBy(F.col(key).alias("_key")).agg(
+        F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("total"), F.min("first").alias("least"), F.count(F.lit(1)).alias("labels")
     )
-    lists = scratch.keep(lists, "lists")
-    entries = entries.join(lists, F.col("gram") == F.col("_gram")).withColumn("is_major", F.col("label") == F.col("major"))
-    # a grid of (major block, minor block) and, for minor entries among themselves, (minor block, minor block)
+    blocks = {"blocks": F.col("total"), "rows": F.col("top.c"), "cols": F.col("total") - F.col("top.c")}
+    groups = groups.where("labels > 1").select("_key", "least", F.col("top.label").alias("major"), *[F.ceil(c / BLOCK_ROWS).alias(k) for k, c in blocks.items()])
+    groups = scratch.keep(groups, name)
+    dealt = rows.join(groups, F.col(key) == F.col("_key")).withColumn("is_major", F.col("label") == F.col("major"))
+    if not whole:
+        at = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+        cell = F.struct(F.lit(1).alias("kind"), at.alias("i"), at.alias("j"))
+        return dealt.withColumn("cell", cell).select(*rows.columns, "least", "is_major", "cell"), not groups.where("blocks > 1").limit(1).count()
     own = F.when(F.col("is_major"), F.pmod(F.xxhash64("rep"), F.col("rows"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("cols")))
     cells = F.when(F.col("is_major"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1), lambda j: F.struct(F.lit(0).alias("kind"), F.col("own").alias("i"), j.alias("j")))).otherwise(
         F.concat(
@@ -296,7 +306,20 @@ def open_pairs(index: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFra
             F.transform(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1), lambda j: F.struct(F.lit(1).alias("kind"), F.least(j, "own").alias("i"), F.greatest(j, "own").alias("j"))),
         )
     )
-    placed = entries.withColumn("own", own).withColumn("cell", F.explode(cells)).select("gram", "cell", "pivot", "rep", "n", "pos", "label", "is_major")
+    return dealt.withColumn("own", own).withColumn("cell", F.explode(cells)).select(*rows.columns, "least", "is_major", "cell"), True
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    labels = labels.select(F.col("node").alias("_node"), "component")
+    return rows.join(labels, F.col("rep") == F.col("_node"), "left").select(*rows.columns, F.coalesce("component", "rep").alias("label"))
+
+
+def open_pairs(index: DataFrame, labels: DataFrame, whole: bool, scratch: Scratch, name: str) -> tuple[DataFrame, bool]:
+    """(rows (a, b, pivot), whether lists were whole): pairs of one cell of an index list whose labels differ and that the size
+    and position bounds allow or, where these are more than their members, the members alone, in ``a``."""
+    entries = scratch.keep(_labelled(index, labels), f"{name}-entries")
+    placed, met = dealt_to_cells(entries, "gram", whole, scratch, f"{name}-lists")
+    placed = placed.select("gram", "cell", F.col("least").alias("pivot"), "rep", "n", "pos", "label", "is_major")
     placed = placed.repartition("gram", "cell").sortWithinPartitions("gram", "cell", "n", "pos")
 
     def skip(batches):
@@ -322,6 +345,7 @@ def open_pairs(index: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFra
                 continue
             kind = key[1, lo]
             r, s, p, l, m = rep[lo:hi], n[lo:hi], pos[lo:hi], label[lo:hi], major[lo:hi]
+            pairs = []
             # blocks of one size, by position; sizes rise, so partners of a block are a range of blocks
             sizes, start = np.unique(s, return_index=True)
             stop = np.r_[start[1:], len(s)]
@@ -338,14 +362,79 @@ def open_pairs(index: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFra
                     ok &= (m[i][:, None] != m[j][None, :]) if kind == 0 else True
                     i, j = (k[w] for k, w in zip((i, j), np.nonzero(ok), strict=True))
                     if len(i):
-                        a, b = np.minimum(r[i], r[j]), np.maximum(r[i], r[j])
-                        out.append((a, b, np.full(len(a), pivot[lo])))
+                        pairs.append((np.minimum(r[i], r[j]), np.maximum(r[i], r[j])))
+            if pairs:
+                a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                on = (a != pivot[lo]) & (b != pivot[lo]) & (a != b)  # pairs with the pivot are answered already
+                if not on.any():
+                    continue
+                a, b = np.unique(np.stack([a[on], b[on]]), axis=1)
+                members = np.unique(np.r_[a, b])
+                many = len(a) > len(members)
+                a, b = (members, np.full(len(members), MANY)) if many else (a, b)
+                out.append((a, b, np.full(len(a), pivot[lo])))
         if out:
-            a, b, c = (np.concatenate(x) for x in zip(*out, strict=True))
-            on = (a != c) & (b != c) & (a != b)  # pairs with the pivot are answered already
-            yield pa.RecordBatch.from_arrays([pa.array(x[on], pa.int64()) for x in (a, b, c)], names=["a", "b", "pivot"])
-
-    return placed.mapInArrow(skip, "a long, b long, pivot long").groupBy("a", "b").agg(F.min("pivot").alias("pivot"))
+            a, b, c = np.unique(np.stack([np.concatenate(x) for x in zip(*out, strict=True)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=b == MANY), pa.array(c)], names=["a", "b", "pivot"])
+
+    return scratch.keep(placed.mapInArrow(skip, "a long, b long, pivot long"), name), met
+
+
+def linked_in_cells(members: DataFrame, sets: DataFrame, whole: bool, scratch: Scratch, name: str) -> tuple[DataFrame, bool]:
+    """(links (a, b), whether groups were whole): of the members (pivot, rep, label) of a pivot, as many as connect the labels of a cell."""
+    placed, met = dealt_to_cells(members, "pivot", whole, scratch, f"{name}-groups")
+    own = sets.select(F.col("rep").alias("_rep"), "n", "grams")
+    placed = placed.join(own, F.col("rep") == F.col("_rep")).select("pivot", "cell", "rep", "label", "n", "grams")
+
+    def overlaps(grams):
+        which = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+        _, at, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+        several = count > 1
+        at, which = (np.cumsum(several) - 1)[at[several[at]]], which[several[at]]
+        order = np.argsort(at, kind="stable")
+        at, which = at[order], which[order]
+        out = np.zeros((len(grams), len(grams)), np.int64)
+        for lo in range(0, int(several.sum()), COLUMNS):
+            a, b = np.searchsorted(at, (lo, lo + COLUMNS))
+            has = np.zeros((len(grams), COLUMNS), np.float32)
+            has[which[a:b], at[a:b] - lo] = 1
+            out += (has @ has.T).astype(np.int64)
+        return out
+
+    def compare(group: pa.Table) -> pa.Table:
+        rep, n = group["rep"].to_numpy(), group["n"].to_numpy()
+        names, label = np.unique(group["label"].to_numpy(), return_inverse=True)
+        on = linked(overlaps(_grams(group["grams"])), n[:, None], n[None, :]) & (label[:, None] < label[None, :])
+        i, j = np.nonzero(on)
+        _, one = np.unique(label[i] * len(names) + label[j], return_index=True)
+        root, kept = list(range(len(names))), []
+
+        def top(x):
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for k in one.tolist():
+            x, y = top(label[i[k]]), top(label[j[k]])
+            if x != y:
+                root[x] = y
+                kept.append(k)
+        a, b = rep[i[kept]], rep[j[kept]]
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return placed.groupBy("pivot", "cell").applyInArrow(compare, "a long, b long"), met
+
+
+def open_links(index: DataFrame, answers: DataFrame, sets: DataFrame, labels: DataFrame, whole: bool, scratch: Scratch, name: str) -> tuple[DataFrame, bool]:
+    """(links (a, b) that connect labels, whether nothing was left): few pairs from their pivot, the members of many in cells."""
+    rows, lists = open_pairs(index, labels, whole, scratch, name)
+    pairs = rows.where("b is not null").groupBy("a", "b").agg(F.min("pivot").alias("pivot"))
+    members = scratch.keep(_labelled(rows.where("b is null").select("pivot", F.col("a").alias("rep")).distinct(), labels), f"{name}-members")
+    links, groups = linked_in_cells(members, sets, whole, scratch, name)
+    links = scratch.keep(derived_answers(pairs, answers, sets).union(links).distinct(), f"{name}-links")
+    for part in ("-entries", "-lists", "", "-members", "-groups"):
+        scratch.drop(f"{name}{part}")
+    return links, lists and groups
 
 
 def derived_answers(pairs: DataFrame, answers: DataFrame, sets: DataFrame) -> DataFrame:
@@ -404,11 +493,14 @@ def join(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col:
     stars = index.join(first, F.col("gram") == F.col("_gram")).where("rep <> pivot").select("pivot", "rep").distinct()
     answers = scratch.keep(pivot_answers(stars, sets, scratch), "answers")
     near = answers.where(linked(F.col("overlap"), F.col("n_pivot"), F.col("n"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-    pairs = scratch.keep(open_pairs(index, components(near, scratch, "near"), scratch), "open")
-    far = scratch.keep(derived_answers(pairs, answers, sets), "derived")
-    links = scratch.keep(near.union(far).distinct(), "links")
+    links, done, whole = near, False, False
+    while not done:
+        name = "rest" if whole else "open"
+        far, done = open_links(index, answers, sets, components(links, scratch, f"{name}-near"), whole, scratch, name)
+        links, whole = links.union(far), True
+    links = scratch.keep(links.distinct(), "links")
     joined = components(links, scratch, "all")
-    for name in ("sets", "survivors", "index", "first", "pairs", "salted", "answers", "entries", "lists", "open", "derived"):
+    for name in ("sets", "survivors", "index", "first", "pairs", "salted", "answers", "open-links", "rest-links"):
         scratch.drop(name)
 
     member = classes.join(joined, F.col("rep") == F.col("node"), "left").select(

@@ -156,6 +156,37 @@ def test_ngram_pivots_that_are_not_similar(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute_ngram(rows)
 
 
+class Counted(Scratch):
+    """Rows of every table that is kept."""
+
+    def __init__(self, spark, name):
+        super().__init__(spark, name)
+        self.rows = {}
+
+    def keep(self, df, name, **options):
+        out = super().keep(df, name, **options)
+        self.rows[name] = out.count()
+        return out
+
+
+def one_template(apart, count=160):
+    """Texts that each lack a few words of one template: pairs share about three quarters of their grams, some of them rare ones."""
+    rng, base = np.random.default_rng(8), words(100, 5)
+    out = [(k + 10, " ".join(np.delete(base, rng.choice(100, apart, replace=False)))) for k in range(count)]
+    return [(1, " ".join(base)), *out]
+
+
+@pytest.mark.parametrize("block", [256, 16])
+def test_ngram_rows_of_a_large_group_do_not_grow_with_its_square(spark, monkeypatch, block):
+    """Before, one row a pair of index list members that no pivot connects."""
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+    rows, scratch = one_template(4), Counted(spark, "t")
+    out, links = ngram_join.join(docs(spark, rows).repartition(3), scratch)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect()} == brute_ngram(rows)
+    assert scratch.rows["open"] <= 6 * len(rows)
+    assert links.count() < 4 * len(rows)
+
+
 def test_blank_and_common_texts_are_dealt_out(spark):
     many = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, "one licence line that very many documents hold").otherwise(F.concat(F.lit("the same five words here "), "id")).alias("text"))
     buckets = 37
