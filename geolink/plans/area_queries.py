@@ -18,6 +18,8 @@ from geolink.sources.grid import Grid
 
 FINE = Grid(5.0, 51.0, 0.1, 0.1, 50, 40)
 GLOBE = Grid(-180.0, 90.0, 1.0, 1.0, 360, 180)
+#: Line items whose groups one task holds.
+FINE_ROWS = 200_000
 
 
 def _ring(n: Column, radius, x: Column, y: Column, squeeze: Column) -> Column:
@@ -76,7 +78,9 @@ def jn5_cells(spark, sf):
 
 def fine_cube(spark, sf: str) -> DataFrame:
     """Mean quantity a day, of 50 x 40 cells."""
-    rows = read(spark, sf, "lineitem").groupBy(F.col("l_shipdate").cast("date").alias("obs_date"), (F.col("l_suppkey") * 7 % 50).cast("int").alias("ix"), (F.col("l_partkey") % 40).cast("int").alias("iy"))
+    cells = [F.col("l_shipdate").cast("date").alias("obs_date"), (F.col("l_suppkey") * 7 % 50).cast("int").alias("ix"), (F.col("l_partkey") % 40).cast("int").alias("iy")]
+    key = ["obs_date", "ix", "iy"]
+    rows = dealt(read(spark, sf, "lineitem").select(*cells, "l_quantity"), *key, each=FINE_ROWS).groupBy(*key)
     return ingest(rows.agg(F.avg("l_quantity").alias("value")))
 
 

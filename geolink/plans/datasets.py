@@ -17,13 +17,13 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def dealt(rows: DataFrame, key: str, each: int = 2_000) -> DataFrame:
+def dealt(rows: DataFrame, *key: str, each: int = 2_000) -> DataFrame:
     """Rows of a few bytes that become thousands each, dealt over tasks by ``key`` before they do.
 
-    A split of the file holds millions of them.  About ``each`` go to one task, so its
+    A split of the file holds millions of them, and a partial aggregate as many groups where few repeat in it.  About ``each`` go to one task, so its
     memory does not grow with the table.
     """
-    return rows.repartition(max(1, -(-rows.count() // each)), key)
+    return rows.repartition(max(1, -(-rows.count() // each)), *key)
 
 
 def observations(spark: SparkSession, sf: str) -> DataFrame:

@@ -273,3 +273,14 @@ def test_geometry_codec(spark):
     got = {r.k: r for r in from_geojson(spark.createDataFrame(list(text.items()), "k string, j string"), "j").collect()}
     assert (got["p"].lon, got["p"].lat) == (1.5, 2.0) and [[tuple(p) for p in r] for r in got["m"].rings] == [[(0, 0), (1, 0), (1, 1)], [(2, 2), (3, 2), (3, 3)]]
     assert all(got[k].lon is None and got[k].rings is None for k in ("bad", "null", "line"))
+
+
+def test_line_items_are_dealt_by_cell_before_they_are_averaged(spark, sf, monkeypatch):
+    """A task holds its share of the fine cube's groups, not those of a whole split."""
+    from geolink.plans import area_queries
+
+    monkeypatch.setattr(area_queries, "FINE_ROWS", 500, raising=False)
+    cube, rows = area_queries.fine_cube(spark, sf), spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    held = [r["count"] for r in cube.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(held) >= rows // 500 and max(held) < 2 * 500
+    assert "partial_avg" not in cube._jdf.queryExecution().executedPlan().toString().split("REPARTITION_BY_NUM")[1]
