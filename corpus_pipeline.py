@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), gets its predecessor's rows as Parquet and
 returns documents (doc_id, text, lang, source, n_chars); the last returns the token
-ids of every row.  ``n_chars`` follows the text.
+ids of every row.  ``n_chars`` follows the text.  Stages that run Python bound the
+session's Arrow batches by bytes (``bounded_batches``).
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolink.llm import line_dedup, mixing, ngram_join, quality_classifier, sentencepiece_codec
-from geolink.llm.common import Scratch
+from geolink.llm.common import Scratch, bounded_batches
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects (score under 0.5) go."""
+    bounded_batches(spark)
     model = quality_classifier.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = quality_classifier.score(docs, model, keep=COLUMNS[1:])
     return scored.where("predicted = 1").select(*COLUMNS)
@@ -37,6 +39,7 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of several rows of one id the one of fewest characters stays (ties: the smallest hash of the row).
     A document without an id belongs to no group and stays.
     """
+    bounded_batches(spark)
     docs = docs.select(*COLUMNS)
     groups, _ = ngram_join.join(docs, Scratch(spark, "pipeline-near"))
     leaders = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_leader")).distinct()
@@ -55,6 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every row with begin and end ids, checked, with digests of ids and decoded text."""
+    bounded_batches(spark)
     return sentencepiece_codec.encode(docs.select("doc_id", "source", "text"), keep=("source",)).drop("decoded")
 
 

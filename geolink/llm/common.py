@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import inspect
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +87,52 @@ def keeping(f):
     return run
 
 
+#: Bytes of an Arrow batch on its way to a worker, and Spark's own bound.
+BATCH_BYTES, _SPARKS = 8 << 20, "67108864b"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on rows go to the session's workers in Arrow batches of ``BATCH_BYTES``, unless it has a bound of its own.
+
+    Spark's is 64 MB; executor and worker hold a few batches a task at once.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, _SPARKS) == _SPARKS:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Return to the system what this process has freed; numpy's and Arrow's allocators hold on to it.
+
+    Spark keeps a worker for later stages, which would carry the largest arrays of all stages before them.
+    """
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
+def lean(f):
+    """For functions of batches, of a group or of two: what they have freed is given back when they end."""
+
+    def batched(batches):
+        yield from f(batches)
+        give_back()
+
+    def single(group):
+        out = f(group)
+        give_back()
+        return out
+
+    def double(left, right):
+        out = f(left, right)
+        give_back()
+        return out
+
+    if inspect.isgeneratorfunction(f):
+        return batched
+    return single if len(inspect.signature(f).parameters) == 1 else double
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """Mark for broadcast if the table, counted now, is within the bound; else leave the join to AQE.
 

@@ -53,7 +53,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolink.llm import hashblocks
-from geolink.llm.common import Scratch, sieve, small, table, text_bytes
+from geolink.llm.common import Scratch, give_back, lean, sieve, small, table, text_bytes
 from geolink.llm.components import components
 from geolink.llm.textkernel import chunks, mix, run_hashes, window_hashes, word_hashes, words
 
@@ -123,18 +123,23 @@ def screen(docs: DataFrame, n: int, buckets: int) -> DataFrame:
         held, size, seen, dealt = [], 0, set(), 0
 
         def flush():
-            h, s = (np.concatenate(x) for x in zip(*held, strict=True))
+            h, s = np.concatenate([x for x, _ in held]), np.repeat(np.array([one for _, one in held], np.int64), [len(x) for x, _ in held])
+            held.clear()
             order = np.argsort(h, kind="stable")
             h, s = h[order], s[order]
+            del order
             first = np.r_[True, h[1:] != h[:-1]]
-            several = np.repeat(np.diff(np.r_[np.flatnonzero(first), len(h)]) > 1, np.diff(np.r_[np.flatnonzero(first), len(h)]))
+            same = np.diff(np.r_[np.flatnonzero(first), len(h)])
+            several = np.repeat(same > 1, same)
             known, count = np.unique(s[several], return_counts=True)
             yield rows(known % buckets, count, known, None)
             h, s = h[first], np.where(several[first], MANY, s[first])
             order = np.argsort(s, kind="stable")  # runs of one class pack best
             h, s = h[order], s[order]
             packed = [(b, hashblocks.pack(h[at], s[at])) for b, at in _low_buckets(h, buckets)]
+            del h, s, first, same, several, order
             yield rows([b for b, _ in packed], None, None, [x for _, x in packed])
+            give_back()
 
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
@@ -147,7 +152,7 @@ def screen(docs: DataFrame, n: int, buckets: int) -> DataFrame:
                 if len(grams) and ids[row] is not None and one not in seen:
                     seen.add(one)
                     half = grams[: (len(grams) + 1) // 2]
-                    held.append((half, np.full(len(half), one, dtype=np.int64)))
+                    held.append((half.copy(), one))
                     size += len(half)
                     if size >= FLUSH:
                         yield from flush()
@@ -177,8 +182,8 @@ def screen(docs: DataFrame, n: int, buckets: int) -> DataFrame:
         new = {"doc_id": none, "n": none, "s1": pa.array(classes, pa.int64()), "s2": none, "shared": pa.array(counts, pa.int64())}
         return pa.table({k: pa.concat_arrays([v.combine_chunks(), new[k]]) for k, v in old.items()})
 
-    dealt = docs.mapInArrow(read, "bucket long, doc_id long, n long, s1 long, s2 long, body binary")
-    return dealt.groupBy("bucket").applyInArrow(share, "doc_id long, n long, s1 long, s2 long, shared long")
+    dealt = docs.mapInArrow(lean(read), "bucket long, doc_id long, n long, s1 long, s2 long, body binary")
+    return dealt.groupBy("bucket").applyInArrow(lean(share), "doc_id long, n long, s1 long, s2 long, shared long")
 
 
 def survivor_sets(docs: DataFrame, survivors: DataFrame, n: int) -> DataFrame:
@@ -197,7 +202,7 @@ def survivor_sets(docs: DataFrame, survivors: DataFrame, n: int) -> DataFrame:
                 rep, size, grams = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(size, pa.int64()), pa.array(grams, pa.binary())], names=["rep", "n", "grams"])
 
-    return sieve(docs, "doc_id", survivors, "rep").join(survivors, F.col("doc_id") == F.col("rep")).select("rep", "s1", "text").mapInArrow(read, "rep long, n long, grams binary")
+    return sieve(docs, "doc_id", survivors, "rep").join(survivors, F.col("doc_id") == F.col("rep")).select("rep", "s1", "text").mapInArrow(lean(read), "rep long, n long, grams binary")
 
 
 def _grams(column) -> list[np.ndarray]:
@@ -224,7 +229,7 @@ def frequencies(sets: DataFrame, buckets: int) -> DataFrame:
         parts = [level[b - n : b].tobytes() for b, n in zip(ends.tolist(), sizes, strict=True)]
         return pa.table({"block": group["block"], "bucket": group["bucket"], "levels": pa.array(parts, pa.binary())})
 
-    counted = sets.groupBy("block").applyInArrow(deal, "bucket long, block long, body binary").groupBy("bucket").applyInArrow(count, "block long, bucket long, levels binary")
+    counted = sets.groupBy("block").applyInArrow(lean(deal), "bucket long, block long, body binary").groupBy("bucket").applyInArrow(lean(count), "block long, bucket long, levels binary")
     return counted.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("bucket", "levels"))).alias("parts"))
 
 
@@ -245,7 +250,7 @@ def postings(sets: DataFrame, levels: DataFrame) -> DataFrame:
         columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
         return pa.table([pa.array(x, pa.int64()) for x in columns], names=["gram", "rep", "n", "pos"])
 
-    return sets.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(read, "gram long, rep long, n long, pos long")
+    return sets.groupBy("block").cogroup(levels.groupBy("block")).applyInArrow(lean(read), "gram long, rep long, n long, pos long")
 
 
 def pivot_answers(pairs: DataFrame, sets: DataFrame, scratch: Scratch) -> DataFrame:
@@ -377,7 +382,7 @@ def open_pairs(index: DataFrame, labels: DataFrame, whole: bool, scratch: Scratc
             a, b, c = np.unique(np.stack([np.concatenate(x) for x in zip(*out, strict=True)]), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=b == MANY), pa.array(c)], names=["a", "b", "pivot"])
 
-    return scratch.keep(placed.mapInArrow(skip, "a long, b long, pivot long"), name), met
+    return scratch.keep(placed.mapInArrow(lean(skip), "a long, b long, pivot long"), name), met
 
 
 def linked_in_cells(members: DataFrame, sets: DataFrame, whole: bool, scratch: Scratch, name: str) -> tuple[DataFrame, bool]:
@@ -469,7 +474,7 @@ def derived_answers(pairs: DataFrame, answers: DataFrame, sets: DataFrame) -> Da
     far = rows.where(~similar).select("a", "b")
     for side in "ab":
         far = far.join(sets.select(F.col("rep").alias(f"_{side}"), F.col("grams").alias(f"grams_{side}")), F.col(side) == F.col(f"_{side}")).drop(f"_{side}")
-    return rows.where(similar).mapInArrow(derive, "a long, b long").union(far.mapInArrow(compare, "a long, b long"))
+    return rows.where(similar).mapInArrow(lean(derive), "a long, b long").union(far.mapInArrow(lean(compare), "a long, b long"))
 
 
 def join(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id", text_col: str = "text", n: int = N) -> tuple[DataFrame, DataFrame]:

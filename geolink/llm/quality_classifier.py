@@ -31,13 +31,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geolink.llm.common import keeping, table
+from geolink.llm.common import keeping, lean, table
 from geolink.llm.textkernel import chunks, window_hashes, word_hashes, words
 
 #: Words in a passage; most labelled documents that training reads; hidden and attention units; training steps.
 PASSAGE, SAMPLE, HIDDEN, ATTENTION, STEPS = 100, 3_000, 16, 8, 250
 #: Most passages of one document that training reads, spread evenly over it (scoring reads all).
 FIT_PASSAGES = 64
+#: Bytes of text whose passages are made at once; each takes some 60 bytes of arrays meanwhile.
+PASSAGE_BYTES = 1 << 18
 SEED = 7
 
 #: Character classes: lower, upper, digit, blank, newline, non-ASCII, and the punctuation that junk is made of.
@@ -59,7 +61,7 @@ def _distinct(group: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
 
 def passages(column: pa.Array):
     """Yield (row, features float32 [passages, WIDTH]) for every text of a column, in order."""
-    for lo, _, data, offsets in chunks(column):
+    for lo, _, data, offsets in chunks(column, PASSAGE_BYTES):
         w = words(data, offsets)
         per = np.maximum(1, -(-w.counts // PASSAGE))  # passages of each text
         start = np.r_[0, np.cumsum(per)]
@@ -186,7 +188,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
             body = [f[np.linspace(0, len(f) - 1, min(len(f), FIT_PASSAGES)).astype(int)].astype("<f2").tobytes() for _, f in passages(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("_y").cast(pa.int32()), pa.array(body, pa.binary())], names=["doc_id", "y", "bag"])
 
-    return rows.mapInArrow(read, "doc_id long, y int, bag binary").toArrow().sort_by([("doc_id", "ascending"), ("bag", "ascending")])
+    return rows.mapInArrow(lean(read), "doc_id long, y int, bag binary").toArrow().sort_by([("doc_id", "ascending"), ("bag", "ascending")])
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
@@ -200,17 +202,25 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
     return train(bags, got["y"].to_numpy())
 
 
-@keeping
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, held_out, score, predicted`` and ``keep`` for every row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("_text"), (_fold(id_col) == 1).alias("held_out"), *keep)
+    kept = keep.index(text_col) if text_col in keep and docs.schema[text_col].dataType.typeName() == "string" else None
+    return _score(docs, model, id_col, text_col, kept, keep=keep)
+
+
+@keeping
+def _score(docs: DataFrame, model: Model, id_col: str, text_col: str, kept: int | None, *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``kept``: the place of the text in ``keep``; then it goes to the workers once."""
+    text = "_text" if kept is None else keep[kept]
+    own = [F.col(text_col).cast("string").alias("_text")] if kept is None else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), *own, (_fold(id_col) == 1).alias("held_out"), *keep)
     fields = [f for f in rows.schema.fields if f.name != "_text"]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "score double"])
 
     def read(batches):
         for batch in batches:
             out, held, n = [], [], 0
-            for _, bag in passages(batch.column("_text")):
+            for _, bag in passages(batch.column(text)):
                 held.append(bag)
                 n += len(bag)
                 if n >= 4096:
@@ -221,7 +231,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             made = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in fields), pa.array(made, pa.float64())], names=[*(f.name for f in fields), "score"])
 
-    scored = rows.mapInArrow(read, schema)
+    scored = rows.mapInArrow(lean(read), schema)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geolink.llm.common import keeping, table
+from geolink.llm.common import give_back, keeping, lean, table
 
 MARK = "▁"
 #: Segments that a worker remembers at once.
@@ -261,8 +261,10 @@ def encode(docs: DataFrame, *, vocabulary: str = VOCABULARY, id_col: str = "doc_
                     made += [pa.array(out["ids"], pa.list_(pa.int32())), pa.array(out["text"], pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in fields), *made], names=[*(f.name for f in fields), *names])
+                del part, out, made
+                give_back()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -93,8 +93,9 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts)
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Split a string column into (first row, last row, bytes, offsets); nulls are empty texts."""
+def chunks(column: pa.Array, size: int = 0) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Split a string column into (first row, last row, bytes, offsets) of about ``size`` or ``CHUNK_BYTES``; nulls are empty texts."""
+    size = size or CHUNK_BYTES
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     column = column.cast(pa.large_string()).fill_null("")
     if not len(column):
@@ -104,7 +105,7 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     data = np.frombuffer(body, dtype=np.uint8) if body is not None else np.zeros(0, np.uint8)
     at = 0
     while at < len(column):
-        upto = int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1
+        upto = int(np.searchsorted(offsets, offsets[at] + size, side="right")) - 1
         upto = min(max(upto, at + 1), len(column))
         yield at, upto, data[offsets[at] : offsets[upto]], offsets[at : upto + 1] - offsets[at]
         at = upto

@@ -349,6 +349,23 @@ def test_pipeline_against_brute_force(spark, sf):
         assert r.decoded_sha256 == hashlib.sha256(left[r.doc_id].encode()).hexdigest()
 
 
+def test_pipeline_sends_bounded_batches(spark, sf):
+    """A batch for a worker is bounded by bytes, and a kept text is in it once."""
+    import corpus_pipeline as P
+
+    docs = spark.createDataFrame([(i, "word " * 5_000, "en", "a", 25_000) for i in range(700)], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    scored = P.classify(spark, docs, sf)
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert len(sizes) > 1 and max(r.n for r in sizes) < 9 << 20
+    plan = scored._jdf.queryExecution().analyzed().toString()
+    assert "MapInArrow" in plan and "_text" not in plan
+    assert scored.columns == docs.columns and {r.text for r in scored.collect()} <= {"word " * 5_000}
+    model = Q.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    apart, together = Q.score(docs, model, keep=("lang",)), Q.score(docs, model, keep=("text", "lang"))
+    assert together.columns == ["doc_id", "held_out", "text", "lang", "score", "predicted"]
+    assert {(r.doc_id, r.score) for r in apart.collect()} == {(r.doc_id, r.score) for r in together.collect()}
+
+
 def test_stages_on_edges(spark, sf):
     import corpus_pipeline as P
 
